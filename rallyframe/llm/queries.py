@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rallyframe.llm.langid import op4_language
 from rallyframe.llm.media import op7_media
+from rallyframe.llm.neardup import op5_neardup
 from rallyframe.llm.pii import op9_pii
 from rallyframe.llm.quality import op2_quality
 from rallyframe.llm.toxicity import op3_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_language": op4_language,
+    "op5_neardup": op5_neardup,
     "op7_media": op7_media,
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
