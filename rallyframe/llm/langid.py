@@ -184,6 +184,22 @@ def predict_languages(docs: DataFrame, model: LanguageFilter | None, key: str =
     return source.mapInArrow(predict, schema)
 
 
+def identified(docs: DataFrame, model: LanguageFilter | None, least_score: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known: not ``und``, and a score of ``least_score`` or more. Nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi, letters, owner, hashes in grams(batch.column(text).to_pylist()):
+                if m is not None:
+                    good[lo:hi] = (m.decide(hi - lo, owner, hashes)[1] >= least_score) & (letters > 0)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     held_out = crc_mod("doc_id", 5) == 0
