@@ -1,10 +1,433 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL. A query binds an operator to the test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rallyframe.functions import keys, markup
+from rallyframe.operators import identity, lineup, merge, ratings, records, roster, scope
+from rallyframe.plans import bind
+from rallyframe.plans.bind import ANCHOR, SQL_BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+SCOPE = "exclude:MA,BUILD"
+PRECEDENCE = ["purchase", "click", "view", "signup"]
+INVERTED = ["error", "click"]
+
+
+def query(sql: str | None = None, base: bool = True):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (SQL_BASE if base else "") + sql
+        return f
+
+    return add
+
+
+def _since():
+    return keys.twelve_months_before(F.lit(ANCHOR).cast("date"))
+
+
+_SINCE = "DATE '2000-08-01'"
+_COUNTS = """count(CASE WHEN {d} AND winner_side = side THEN 1 END) AS wins, count(CASE WHEN {d} AND winner_side <> side THEN 1 END) AS losses,
+  count(CASE WHEN {d} AND winner_side IS NULL THEN 1 END) AS undecided, count(CASE WHEN played_on IS NULL THEN 1 END) AS excluded_undated"""
+
+
+@query(f"SELECT player_id, discipline, {_COUNTS.format(d=f'played_on >= {_SINCE}')} FROM match_players GROUP BY 1, 2")
+def windowed_record(s, d):
+    return records.windowed_record(bind.match_players(s, d), _since())
+
+
+@query(f"SELECT player_id, discipline, {_COUNTS.format(d='played_on IS NOT NULL')} FROM match_players GROUP BY 1, 2")
+def all_time_record(s, d):
+    return records.windowed_record(bind.match_players(s, d))
+
+
+@query(f"SELECT match_id, played_on, slot FROM court_matches WHERE played_on >= {_SINCE}")
+def rows_within_window(s, d):
+    return records.rows_within(bind.court_matches(s, d), _since()).select("match_id", "played_on", "slot")
+
+
+@query("SELECT player_id, slot, count(*) AS matches FROM match_players GROUP BY 1, 2")
+def slot_tendencies(s, d):
+    return records.slot_tendencies(bind.match_players(s, d))
+
+
+@query("SELECT p.team_id, m.slot, count(*) AS matches FROM match_players m JOIN players p ON p.player_id = m.player_id GROUP BY 1, 2")
+def team_slot_tendencies(s, d):
+    return records.slot_tendencies(bind.match_players(s, d).join(bind.players(s, d), "player_id"), "team_id")
+
+
+@query("""SELECT a.player_id, b.player_id AS partner_id, count(*) AS matches FROM match_players a JOIN match_players b
+  ON a.match_id = b.match_id AND a.side = b.side AND a.player_id <> b.player_id WHERE a.discipline = 'doubles' GROUP BY 1, 2""")
+def partner_frequency(s, d):
+    return records.partner_frequency(bind.match_players(s, d))
+
+
+@query("""SELECT r.player_id, r.opponent_id, count(CASE WHEN m.winner_side = m.side THEN 1 END) AS wins, count(CASE WHEN m.winner_side <> m.side THEN 1 END) AS losses,
+  count(CASE WHEN m.match_id IS NOT NULL AND m.winner_side IS NULL THEN 1 END) AS undecided, count(m.match_id) AS matches
+FROM (SELECT a.player_id, b.player_id AS opponent_id FROM players a JOIN players b ON b.team_id = (a.team_id + 1) % 25) r
+LEFT JOIN (SELECT a.match_id, a.player_id, a.side, a.winner_side, b.player_id AS opponent_id FROM match_players a JOIN match_players b ON a.match_id = b.match_id AND a.side <> b.side) m
+  ON m.player_id = r.player_id AND m.opponent_id = r.opponent_id GROUP BY 1, 2""")
+def head_to_head(s, d):
+    p = bind.players(s, d)
+    others = p.select(F.col("team_id").alias("other_team"), F.col("player_id").alias("opponent_id"))
+    requested = p.select("player_id", ((F.col("team_id") + 1) % 25).alias("other_team")).join(others, "other_team").select("player_id", "opponent_id")
+    return records.head_to_head(bind.match_players(s, d), requested)
+
+
+@query(f"""SELECT team_id, count(CASE WHEN played_on >= {_SINCE} AND ours > theirs THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND ours < theirs THEN 1 END) AS losses,
+  count(CASE WHEN played_on >= {_SINCE} AND (ours IS NULL OR theirs IS NULL OR ours = theirs) THEN 1 END) AS undecided, count(CASE WHEN played_on IS NULL THEN 1 END) AS excluded_undated
+FROM (SELECT home_team_id AS team_id, played_on, home_courts_won AS ours, visiting_courts_won AS theirs FROM team_matches
+      UNION ALL SELECT visiting_team_id, played_on, visiting_courts_won, home_courts_won FROM team_matches) x GROUP BY 1""")
+def team_record(s, d):
+    return records.team_record(bind.team_matches(s, d), _since())
+
+
+@query("SELECT player_id, source, observed_on, rating_id, value, CAST(row_number() OVER (PARTITION BY player_id, source ORDER BY observed_on, rating_id) AS INTEGER) AS place FROM ratings")
+def rating_trajectory(s, d):
+    return ratings.trajectory(bind.ratings(s, d))
+
+
+_LATEST = "latest AS (SELECT player_id, source, observed_on, rating_id, value FROM (SELECT *, row_number() OVER (PARTITION BY player_id, source ORDER BY observed_on DESC, rating_id DESC) AS k FROM ratings) x WHERE k = 1)"
+
+
+@query(f", {_LATEST} SELECT * FROM latest")
+def latest_rating(s, d):
+    return ratings.latest(bind.ratings(s, d))
+
+
+_CHOSEN = f""", {_LATEST}, covered AS (SELECT p.team_id, l.source, count(*) AS covered FROM players p JOIN latest l ON l.player_id = p.player_id GROUP BY 1, 2),
+best AS (SELECT team_id, source, covered FROM (SELECT *, row_number() OVER (PARTITION BY team_id ORDER BY covered DESC,
+  CASE source {' '.join(f"WHEN '{p}' THEN {i + 1}" for i, p in enumerate(PRECEDENCE))} ELSE {len(PRECEDENCE) + 1} END, source) AS k FROM covered) x WHERE k = 1),
+chosen AS (SELECT t.team_id, b.source, coalesce(b.covered, 0) AS covered, t.n AS roster_size FROM (SELECT team_id, count(*) AS n FROM players GROUP BY 1) t LEFT JOIN best b ON b.team_id = t.team_id)"""
+
+
+def _choice(s, d):
+    last = ratings.latest(bind.ratings(s, d))
+    return last, ratings.choose_source(bind.players(s, d), last, PRECEDENCE)
+
+
+@query(f"{_CHOSEN} SELECT * FROM chosen")
+def rating_source_choice(s, d):
+    return _choice(s, d)[1]
+
+
+@query(f"""{_CHOSEN}, rated AS (SELECT p.team_id, p.player_id, c.source, l.value FROM players p JOIN chosen c ON c.team_id = p.team_id LEFT JOIN latest l ON l.player_id = p.player_id AND l.source = c.source)
+SELECT team_id, player_id, source, value, CASE WHEN value IS NOT NULL THEN row_number() OVER (PARTITION BY team_id ORDER BY
+  CASE WHEN source IN ('error', 'click') THEN -value ELSE value END DESC NULLS LAST, player_id) - 1 ELSE count(value) OVER (PARTITION BY team_id) END AS rank FROM rated""")
+def roster_rank(s, d):
+    last, chosen = _choice(s, d)
+    return ratings.roster_rank(bind.players(s, d).select("team_id", "player_id"), last, chosen, INVERTED)
+
+
+_SLOTS = """, counted AS (SELECT slot, discipline, count(*) AS n FROM court_matches GROUP BY 1, 2),
+modal AS (SELECT slot, discipline, n FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY n DESC, discipline) AS k FROM counted) x WHERE k = 1)"""
+
+
+@query(f"{_SLOTS} SELECT slot, discipline, n AS matches FROM modal")
+def slot_modal_discipline(s, d):
+    return records.slot_disciplines(bind.court_matches(s, d)).select("slot", "discipline", "matches")
+
+
+@query(f"{_SLOTS} SELECT slot, CASE discipline WHEN 'singles' THEN 0 WHEN 'doubles' THEN 1 ELSE 2 END AS kind_rank, CAST(substr(slot, 2) AS INTEGER) AS slot_number FROM modal")
+def slot_order(s, d):
+    return records.slot_disciplines(bind.court_matches(s, d)).select("slot", "kind_rank", "slot_number")
+
+
+_PAIRS = """, pairs AS (SELECT a.player_id AS low_id, b.player_id AS high_id, a.slot, count(*) AS matches FROM match_players a JOIN match_players b
+  ON a.match_id = b.match_id AND a.side = b.side AND a.player_id < b.player_id WHERE a.discipline = 'doubles' GROUP BY 1, 2, 3)"""
+
+
+@query(f"{_PAIRS} SELECT * FROM pairs")
+def pair_slot_counts(s, d):
+    return records.pair_slot_counts(bind.match_players(s, d))
+
+
+@query(f"{_PAIRS} SELECT low_id, high_id, CAST(sum(matches) AS BIGINT) AS total, string_agg(slot, ',' ORDER BY matches DESC, slot) AS slots FROM pairs GROUP BY 1, 2 HAVING sum(matches) >= 2")
+def established_pairs(s, d):
+    return records.established_pairs(records.pair_slot_counts(bind.match_players(s, d)))
+
+
+def _scoped(s, d):
+    return bind.participants(s, d).join(bind.leagues(s, d), "match_id")
+
+
+_RETAIN = "(l.league_context IS NULL OR NOT (lower(l.league_context) LIKE 'ma%' OR lower(l.league_context) LIKE 'build%'))"
+
+
+@query(f"""SELECT p.player_id, count(*) AS considered, count(CASE WHEN {_RETAIN} THEN 1 END) AS retained, count(CASE WHEN NOT {_RETAIN} THEN 1 END) AS excluded,
+  count(CASE WHEN l.league_context IS NULL THEN 1 END) AS unclassified FROM participants p JOIN leagues l ON l.match_id = p.match_id GROUP BY 1""")
+def evidence_scope_summary(s, d):
+    return scope.scope_summary(_scoped(s, d), *scope.parse_scope(SCOPE))
+
+
+@query(f"SELECT l.league_context, count(*) AS matches FROM leagues l WHERE {_RETAIN} GROUP BY 1")
+def retained_leagues(s, d):
+    return scope.retained_leagues(bind.leagues(s, d), *scope.parse_scope(SCOPE))
+
+
+_ROSTER = """, registered AS (SELECT DISTINCT team_id, player_id FROM memberships WHERE NOT retired AND event_id = 1),
+season AS (SELECT DISTINCT team_id, player_id FROM memberships WHERE NOT retired AND event_id IS NULL),
+resolved AS (SELECT team_id, player_id, 'registered' AS scope FROM registered UNION ALL SELECT team_id, player_id, 'season' FROM season WHERE team_id NOT IN (SELECT team_id FROM registered))"""
+
+
+@query(f"{_ROSTER} SELECT * FROM resolved")
+def roster_resolved(s, d):
+    return roster.resolve_roster(bind.memberships(s, d), 1)
+
+
+@query(f"{_ROSTER} SELECT s.team_id, s.player_id FROM season s LEFT JOIN registered r ON r.team_id = s.team_id AND r.player_id = s.player_id WHERE r.player_id IS NULL AND s.team_id IN (SELECT team_id FROM registered)")
+def roster_absent(s, d):
+    return roster.absent(bind.memberships(s, d), 1)
+
+
+_GRID = f"""{_ROSTER}, grid AS (SELECT r.team_id, r.player_id, 1 AS event_id, g.day, a.status FROM resolved r
+  JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS DATE) AS day) g ON true
+  LEFT JOIN availability a ON a.player_id = r.player_id AND a.day = g.day)"""
+
+
+def _grid(s, d):
+    members = roster.resolve_roster(bind.memberships(s, d), 1).select("team_id", "player_id", F.lit(1).alias("event_id"))
+    return roster.availability_grid(members, bind.events(s), bind.availability(s, d)).select("team_id", "player_id", "event_id", "day", "status")
+
+
+@query(f"{_GRID} SELECT * FROM grid")
+def availability_grid(s, d):
+    return _grid(s, d)
+
+
+@query(f"""{_GRID} SELECT team_id, event_id, day, count(CASE WHEN status = 'available' THEN 1 END) AS available, count(CASE WHEN status = 'unavailable' THEN 1 END) AS unavailable,
+  count(CASE WHEN status = 'uncertain' THEN 1 END) AS uncertain, count(CASE WHEN status IS NULL THEN 1 END) AS unrecorded FROM grid GROUP BY 1, 2, 3""")
+def eligibility_ledger(s, d):
+    return roster.eligibility_ledger(_grid(s, d))
+
+
+@query("""SELECT day, n AS events, CASE WHEN n = 1 THEN e END AS event_id, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS outcome
+FROM (SELECT x.day, count(h.event_id) AS n, min(h.event_id) AS e FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) x LEFT JOIN happenings h ON x.day BETWEEN h.starts_on AND h.ends_on GROUP BY 1) y""")
+def day_covering_events(s, d):
+    return roster.covering_events(bind.read(s, d, "events").select(F.to_date("ts").alias("day")).distinct(), bind.events(s))
+
+
+_OWN = """, own AS (SELECT DISTINCT p.team_id, m.match_id, CASE WHEN p.team_id = t.home_team_id THEN 'home' WHEN p.team_id = t.visiting_team_id THEN 'visiting' END AS our_side
+  FROM participants m JOIN players p ON p.player_id = m.player_id LEFT JOIN team_matches t ON t.match_id = m.match_id)"""
+
+
+def _own(s, d):
+    return roster.own_team_matches(bind.participants(s, d), bind.team_matches(s, d), bind.players(s, d))
+
+
+@query(f"{_OWN} SELECT * FROM own WHERE our_side IS NOT NULL")
+def own_team_matches(s, d):
+    return _own(s, d).where("our_side IS NOT NULL")
+
+
+@query(f"{_OWN} SELECT team_id, count(*) AS observed, count(our_side) AS kept, count(*) - count(our_side) AS excluded_other_team FROM own GROUP BY 1")
+def excluded_counts(s, d):
+    return roster.excluded_counts(_own(s, d))
+
+
+@query("""SELECT m.player_id, p.name, n.n_name AS team_name, r.r_name AS district, h.event_name, m.retired FROM memberships m JOIN players p ON p.player_id = m.player_id
+JOIN nation n ON n.n_nationkey = m.team_id LEFT JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN happenings h ON h.event_id = m.event_id""")
+def membership_profile(s, d):
+    m = bind.memberships(s, d).join(bind.players(s, d).select("player_id", "name"), "player_id").join(bind.teams(s, d), "team_id")
+    return m.join(bind.events(s).select("event_id", "event_name"), "event_id", "left").select("player_id", "name", "team_name", "district", "event_name", "retired")
+
+
+@query(""", current AS (SELECT DISTINCT player_id FROM memberships WHERE NOT retired)
+SELECT conv_id AS player_id, turn, text AS note, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS place FROM conversations WHERE conv_id IN (SELECT player_id FROM current)""")
+def notes_for_roster(s, d):
+    notes = bind.read(s, d, "conversations").select(F.col("conv_id").alias("player_id"), "turn", F.col("text").alias("note"))
+    members = bind.memberships(s, d).where("NOT retired").select("player_id").distinct()
+    latest_first = Window.partitionBy("player_id").orderBy(F.desc("turn"))
+    return notes.join(members, "player_id", "leftsemi").withColumn("place", F.row_number().over(latest_first))
+
+
+def _names(s, d):
+    """Part names as canonical names; every fifth part's name with its first letter gone as an alias; customers' segments and part names as requests."""
+    p = bind.read(s, d, "part").select(F.col("p_partkey").alias("id"), keys.ascii_name_key(F.col("p_name")).alias("key"))
+    canonical = p.groupBy("key").agg(F.min("id").alias("id"))
+    aliases = p.where("id % 5 = 0").select(F.expr("substring(key, 2)").alias("key"), "id").groupBy("key").agg(F.min("id").alias("id"))
+    wanted = p.select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("request"), F.when(F.col("id") % 3 == 0, F.concat("key", F.lit("x"))).when(F.col("id") % 7 == 0, F.expr("substring(key, 2)")).otherwise(F.col("key")).alias("key"))
+    return wanted, canonical, aliases
+
+
+_NAMES = """, part_keys AS (SELECT p_partkey AS id, lower(trim(p_name)) AS key FROM part),
+canonical AS (SELECT key, min(id) AS id FROM part_keys GROUP BY 1),
+aliases AS (SELECT substr(key, 2) AS key, min(id) AS id FROM part_keys WHERE id % 5 = 0 GROUP BY 1),
+wanted AS (SELECT 'r' || CAST(id AS VARCHAR) AS request, CASE WHEN id % 3 = 0 THEN key || 'x' WHEN id % 7 = 0 THEN substr(key, 2) ELSE key END AS key FROM part_keys),
+known AS (SELECT key, id FROM canonical UNION SELECT key, id FROM aliases),
+near AS (SELECT a.key, count(*) AS near FROM (SELECT DISTINCT key FROM wanted) a JOIN (SELECT DISTINCT key FROM known) b ON abs(length(a.key) - length(b.key)) <= 2 AND levenshtein(a.key, b.key) BETWEEN 1 AND 2 GROUP BY 1),
+exact AS (SELECT w.request, count(DISTINCT k.id) AS exact, min(k.id) AS id FROM wanted w JOIN known k ON k.key = w.key GROUP BY 1)"""
+
+
+@query(f"{_NAMES} SELECT w.request, k.key, k.id FROM wanted w JOIN known k ON k.key = w.key")
+def exact_identity(s, d):
+    return identity.exact_ids(*_names(s, d)).select("request", "key", "id")
+
+
+@query(""", k AS (SELECT DISTINCT lower(trim(p_name)) AS key FROM part)
+SELECT a.key, b.key AS other_key, CAST(levenshtein(a.key, b.key) AS BIGINT) AS edits FROM k a JOIN k b ON levenshtein(a.key, b.key) BETWEEN 1 AND 2""")
+def fuzzy_identity(s, d):
+    k = bind.read(s, d, "part").select(keys.ascii_name_key(F.col("p_name")).alias("key")).distinct()
+    return keys.fuzzy_neighbours(k, k)
+
+
+@query(f"""{_NAMES} SELECT w.request, w.key, CASE WHEN coalesce(e.exact, 0) = 1 THEN 'matched' WHEN coalesce(e.exact, 0) > 1 THEN 'ambiguous-exact' WHEN coalesce(n.near, 0) > 0 THEN 'ambiguous-near' ELSE 'new' END AS outcome,
+  CASE WHEN e.exact = 1 THEN e.id END AS id, coalesce(e.exact, 0) AS exact, coalesce(n.near, 0) AS near FROM wanted w LEFT JOIN exact e ON e.request = w.request LEFT JOIN near n ON n.key = w.key""")
+def identity_tier(s, d):
+    return identity.ladder(*_names(s, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", base=False)
+def duplicate_slots(s, d):
+    return merge.duplicates(bind.read(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2", base=False)
+def dedupe_min_id(s, d):
+    return merge.keep_first(bind.read(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("""SELECT player_id, source, observed_on, rating_id, value FROM (SELECT *, row_number() OVER (PARTITION BY player_id, source, observed_on
+  ORDER BY rating_id % 2 DESC, rating_id DESC) AS k FROM ratings) x WHERE k = 1""")
+def merge_ratings(s, d):
+    r = bind.ratings(s, d)
+    key = ["player_id", "source", "observed_on"]
+    stored = merge.merge_latest(r.where("false"), r.where("rating_id % 2 = 0"), key, ["rating_id"])
+    return merge.merge_latest(stored, r.where("rating_id % 2 = 1"), key, ["rating_id"]).select("player_id", "source", "observed_on", "rating_id", "value")
+
+
+@query(""", oriented AS (SELECT least(home_team_id, visiting_team_id) AS low, greatest(home_team_id, visiting_team_id) AS high, played_on, match_id, home_team_id > visiting_team_id AS swap,
+  CASE WHEN home_team_id > visiting_team_id THEN visiting_courts_won ELSE home_courts_won END AS a, CASE WHEN home_team_id > visiting_team_id THEN home_courts_won ELSE visiting_courts_won END AS b FROM team_matches),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY low, high, played_on ORDER BY match_id) AS f, row_number() OVER (PARTITION BY low, high, played_on ORDER BY match_id DESC) AS l, count(*) OVER (PARTITION BY low, high, played_on) AS reports FROM oriented)
+SELECT x.match_id, x.played_on, CASE WHEN x.swap THEN x.high ELSE x.low END AS home_team_id, CASE WHEN x.swap THEN x.low ELSE x.high END AS visiting_team_id,
+  CASE WHEN x.swap THEN y.b ELSE y.a END AS home_courts_won, CASE WHEN x.swap THEN y.a ELSE y.b END AS visiting_courts_won, x.reports
+FROM numbered x JOIN numbered y ON x.low = y.low AND x.high = y.high AND x.played_on IS NOT DISTINCT FROM y.played_on WHERE x.f = 1 AND y.l = 1""")
+def merge_fixture_orientation(s, d):
+    return merge.merge_fixtures(bind.team_matches(s, d))
+
+
+_OBSERVED = "(SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) <= DATE '2024-01-05')"
+
+
+@query(f""", observed AS (SELECT team_id, player_id FROM players WHERE player_id IN {_OBSERVED})
+SELECT player_id, team_id, event_id, retired OR (event_id IS NULL AND team_id IN (SELECT team_id FROM observed) AND player_id NOT IN (SELECT player_id FROM observed)) AS retired FROM memberships""")
+def retire_absent(s, d):
+    seen = bind.read(s, d, "events").where((F.col("event_type") == "view") & (F.to_date("ts") <= F.lit("2024-01-05").cast("date"))).select(F.col("user_id").alias("player_id")).distinct()
+    return merge.retire_absent(bind.memberships(s, d), bind.players(s, d).join(seen, "player_id", "leftsemi"))
+
+
+@query(f""", counts AS (SELECT p.player_id, count(r.rating_id) AS n FROM players p LEFT JOIN ratings r ON r.player_id = p.player_id GROUP BY 1)
+SELECT player_id, n AS ratings, CASE WHEN n = 0 THEN 'empty' ELSE 'has-data' END AS rating_gap, 'not-collected' AS weather_gap, CASE WHEN n >= 5 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM counts""")
+def data_gaps(s, d):
+    n = bind.ratings(s, d).groupBy("player_id").agg(F.count("*").alias("n"))
+    n = bind.players(s, d).join(n, "player_id", "left").select("player_id", F.coalesce("n", F.lit(0)).alias("ratings"))
+    return n.select("player_id", "ratings", records.data_gap(F.col("ratings"), F.lit(True)).alias("rating_gap"), records.data_gap(F.lit(0), F.lit(False)).alias("weather_gap"), records.confidence(F.col("ratings")).alias("confidence"))
+
+
+@query("""SELECT match_id, day, day IN (strftime(played_on, '%Y-%m-%d')) AS valid, CAST(played_on - INTERVAL 1 YEAR AS DATE) AS since
+FROM (SELECT match_id, played_on, CASE WHEN match_id % 5 = 0 THEN strftime(played_on, '%Y') || '-02-30' WHEN match_id % 5 = 1 THEN strftime(played_on, '%Y/%m/%d') ELSE strftime(played_on, '%Y-%m-%d') END AS day FROM court_matches WHERE played_on IS NOT NULL) x""")
+def iso_days(s, d):
+    m = bind.court_matches(s, d).where("played_on IS NOT NULL")
+    day = F.when(F.col("match_id") % 5 == 0, F.concat(F.date_format("played_on", "yyyy"), F.lit("-02-30"))).when(F.col("match_id") % 5 == 1, F.date_format("played_on", "yyyy/MM/dd")).otherwise(F.date_format("played_on", "yyyy-MM-dd"))
+    return m.select("match_id", day.alias("day"), keys.is_iso_day(day).alias("valid"), keys.twelve_months_before(F.col("played_on")).alias("since"))
+
+
+@query("SELECT h.event_id, CAST(g.day AS DATE) AS day FROM happenings h, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS day) g WHERE CAST(g.day AS DATE) BETWEEN h.starts_on AND h.ends_on AND EXISTS (SELECT 1 FROM events)")
+def day_sequence(s, d):
+    seen = bind.read(s, d, "events").select(F.to_date("ts").alias("day")).distinct()
+    return roster.days_of(bind.events(s)).join(seen, "day", "left").select("event_id", "day")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'raw:tbd' ELSE 'clock:' || lpad(CAST(CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 12 + CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE 0 END + CASE WHEN o_orderkey % 12 = 0 THEN 0 ELSE 12 END
+  WHEN o_orderkey % 4 = 2 THEN o_orderkey % 24 ELSE o_orderkey % 12 END AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS time_key FROM orders""", base=False)
+def time_key(s, d):
+    k = F.col("o_orderkey")
+    minute = F.lpad((k % 60).cast("string"), 2, "0")
+    h12 = F.when(k % 12 == 0, 12).otherwise(k % 12).cast("string")
+    text = F.when(k % 4 == 0, F.lit(" TBD ")).when(k % 4 == 1, F.concat(h12, F.lit(":"), minute, F.lit(" PM"))).when(k % 4 == 2, F.concat((k % 24).cast("string"), F.lit(":"), minute)).otherwise(F.concat(h12, F.lit(":"), minute, F.lit("am")))
+    return bind.read(s, d, "orders").select("o_orderkey", keys.time_key(text).alias("time_key"))
+
+
+@query("""SELECT p_partkey, 'lit:' || trim(regexp_replace(lower(p_type || ' #' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS site_key,
+  regexp_replace(regexp_replace(lower(p_name || '  ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lower(trim(p_name)) AS name_key FROM part""", base=False)
+def text_keys(s, d):
+    site = F.concat("p_type", F.lit(" #"), "p_brand")
+    return bind.read(s, d, "part").select("p_partkey", keys.site_key(site).alias("site_key"), keys.slug(F.concat("p_name", F.lit("  "), "p_type")).alias("slug"), keys.name_key(F.concat(F.lit(" \u200b"), "p_name", F.lit("\u00ad "))).alias("name_key"))
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, regexp_extract(text, '{p}', 0) AS hit FROM documents WHERE regexp_extract(text, '{p}', 0) <> ''" for k, p in sorted((k, p.replace("'", "''")) for k, p in markup.CLASSES.items())), base=False)
+def pii_classes(s, d):
+    return markup.first_hits(bind.read(s, d, "documents"))
+
+
+_SKELETON = "trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_SKELETON}) AS skeleton FROM documents", base=False)
+def skeletons(s, d):
+    return bind.read(s, d, "documents").select("doc_id", F.md5(markup.skeleton(F.col("text"))).alias("skeleton"))
+
+
+_LINES = "(SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g')) AS skeleton FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, skeleton FROM {_LINES} a WHERE skeleton <> '' AND skeleton NOT IN (SELECT skeleton FROM {_LINES} b WHERE conv_id % 2 = 0)", base=False)
+def off_vocabulary(s, d):
+    lines = bind.read(s, d, "conversations").select("conv_id", "turn", markup.skeleton(F.col("text")).alias("skeleton"))
+    return markup.off_vocabulary(lines, lines.where("conv_id % 2 = 0")).select("conv_id", "turn", "skeleton")
+
+
+@query("""SELECT page_id, CAST(length(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?is)<style[^>]*>.*?</style>', '<style></style>', 'g')) AS BIGINT) AS length,
+  regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""", base=False)
+def page_text(s, d):
+    return bind.read(s, d, "pages").select("page_id", F.char_length(markup.strip_code(F.col("html"))).cast("long").alias("length"), markup.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) x GROUP BY 1, 2", base=False)
+def page_links(s, d):
+    return markup.links(bind.read(s, d, "pages"))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in _TABLES), base=False)
+def snapshot_counts(s, d):
+    return reduce(DataFrame.union, [bind.read(s, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in _TABLES])
+
+
+def _team_pairs(s, d):
+    """Established pairs within one team."""
+    p = bind.players(s, d).select("player_id", "team_id")
+    found = records.pair_slot_counts(bind.match_players(s, d))
+    low = p.withColumnRenamed("player_id", "low_id")
+    high = p.select(F.col("player_id").alias("high_id"), F.col("team_id").alias("other"))
+    return found.join(low, "low_id").join(high, "high_id").where("team_id = other").drop("other")
+
+
+@query()
+def predicted_lineup(s, d):
+    members = bind.players(s, d).select("team_id", "player_id")
+    last, chosen = _choice(s, d)
+    places = records.slot_disciplines(bind.court_matches(s, d)).select("slot", "discipline", (F.col("kind_rank") * 1000 + F.col("slot_number")).alias("place"))
+    slots = members.select("team_id").distinct().withColumn("__k", F.lit(1)).join(F.broadcast(places.withColumn("__k", F.lit(1))), "__k")
+    singles = bind.match_players(s, d).where("discipline = 'singles'").groupBy("player_id").agg(F.count("*").alias("matches")).join(members, "player_id")
+    return lineup.predicted_lineup(slots, ratings.roster_rank(members, last, chosen, INVERTED), singles, _team_pairs(s, d))
+
+
+@query()
+def day_scenarios(s, d):
+    last, chosen = _choice(s, d)
+    members = bind.players(s, d).select("team_id", "player_id")
+    ranked = ratings.roster_rank(members, last, chosen, INVERTED).select("player_id", F.when(F.col("source").isin(INVERTED), -F.col("value")).otherwise(F.col("value")).alias("strength"))
+    eligible = _grid(s, d).where("status = 'available'").join(ranked, "player_id").select("team_id", "day", "player_id", "strength")
+    pairs = _team_pairs(s, d).groupBy("team_id", "low_id", "high_id").agg(F.sum("matches").alias("matches"))
+    return lineup.day_scenarios(eligible, pairs)
