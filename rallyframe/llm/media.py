@@ -20,6 +20,7 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,14 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     """Write all rows' payloads; returns the URI of the manifest (Parquet: archive, bytes, members)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = (b for b in batches if b.num_rows)
+        first = next(full, None)
+        if first is None:  # a task without rows leaves no archive
+            return
         uri, members = new_file(f"{folder}/archives", ".zip"), 0
         fs, path = open_fs(uri)
         with fs.open_output_stream(path, compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
-            for batch in batches:
+            for batch in chain([first], full):
                 for k, t in zip(batch.column("key"), batch.column("text")):
                     value, body = k.as_py(), t.as_py() or ""
                     info = zipfile.ZipInfo(f"{members}.wav")
