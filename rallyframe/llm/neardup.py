@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     named = known.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    component = F.coalesce("component", "class_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
