@@ -11,7 +11,8 @@ from rallyframe.llm.common import written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked with the smallest node of its neighbourhood."""
     both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written, so that the join shuffles both sides and a hub's many edges can be split
+    least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 

@@ -167,7 +167,9 @@ def joining_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], pe
 def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows: int = 5, bands: int = 30, block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept."""
     sketched = written(sketch_table(docs, shingle, rows, bands), "sketches")
-    classes = sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id"))
+    # Aggregates are written before they are joined again: only a side with a shuffle of its own lets
+    # adaptive execution split the rows of a hot key (a third of all rows may be copies of one text).
+    classes = written(sketched.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "class_list")
     known = written(
         sketched.join(classes, ["n", "fp1", "fp2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"), F.when(F.col("doc_id") == F.col("class_id"), F.col("bands")).alias("bands")),
         "classes",
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
 
     # Buckets with two members or more; the hub is the smallest member.
     keys = known.where("bands IS NOT NULL").select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = written(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where("hub.id < last").select("key", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     buckets = written(keys.join(hubs, "key").where("id <> hub"), "buckets")
 
     near = 100 * F.least("n", "hub_n") >= per_cent * F.greatest("n", "hub_n")
