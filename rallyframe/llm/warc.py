@@ -89,6 +89,7 @@ def write_warcs(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFr
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), url_key(F.col("url")).alias("url_key"))
     large = F.octet_length("html") >= least_revisit
     groups = pages.where(large).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("digest", "response", F.lit(True).alias("shared"))
+    groups = written(groups, "groups")  # so that the join can split the rows of a payload that very many pages share
     decided = pages.join(groups, "digest", "left").select("page_id", "url", "html", "url_key", "response", (F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
