@@ -49,3 +49,39 @@ def off_vocabulary(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def needs_review(skeletons: Column) -> Column:
     """Name-shaped: two or more alphabetic tokens."""
     return skeletons.rlike(r"(^|\s)[a-z]{2,}(\s.*)?\s[a-z]{2,}(\s|$)")
+
+
+# Parts of names that mark an input or meta element as a session's credential.
+CREDENTIAL_NAMES = ("csrf", "xsrf", "viewstate", "eventvalidation", "authenticity_token", "_token", "requestverification")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*[\"']?([^\"'>]*)", 1)
+
+
+def session_credentials(pages: DataFrame) -> DataFrame:
+    """page_id, tag and signal of the input and meta elements that look like a session's credential: hidden with a value, a marked name, or an opaque value of 64 characters or more.
+
+    Tags are found in the text as it stands, so those inside raw-text containers are seen too.
+    """
+    tags = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<\s*((?:input|meta)[\s/][^>]*)>"), 1)).alias("tag"))
+    named = F.lower(F.concat(_attribute(F.col("tag"), "name"), F.lit(" "), _attribute(F.col("tag"), "id")))
+    value = F.concat(_attribute(F.col("tag"), "value"), _attribute(F.col("tag"), "content"))
+    kind = F.lower(_attribute(F.col("tag"), "type"))
+    marked = F.lit(False)
+    for m in CREDENTIAL_NAMES:
+        marked = marked | named.contains(m)
+    opaque = value.rlike(r"^[A-Za-z0-9+/=._-]{64,}$") & (F.lower(_attribute(F.col("tag"), "http-equiv")) != "origin-trial")
+    button = kind.isin("submit", "button", "reset", "image")
+    signal = F.when(button | (value == ""), None).when(marked, "name").when(opaque, "shape").when(kind == "hidden", "hidden")
+    return tags.withColumn("signal", signal).where("signal IS NOT NULL")
+
+
+def page_atoms(pages: DataFrame) -> DataFrame:
+    """page_id, kind (text, attribute, comment) and value of everything a page would publish."""
+    html = strip_code(F.col("html"))
+    comments = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), 1), lambda c: F.struct(F.lit("comment").alias("kind"), F.trim(c).alias("value")))
+    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    texts = F.transform(F.regexp_extract_all(bare, F.lit(r">([^<]+)"), 1), lambda c: F.struct(F.lit("text").alias("kind"), F.trim(c).alias("value")))
+    values = F.transform(F.regexp_extract_all(bare, F.lit(r"[\w-]+=\"([^\"]*)\""), 1), lambda c: F.struct(F.lit("attribute").alias("kind"), F.trim(c).alias("value")))
+    return pages.select("page_id", F.inline(F.concat(texts, values, comments))).where("value <> ''").groupBy("page_id", "kind", "value").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import keys, markup
 from rallyframe.operators import identity, lineup, merge, ratings, records, roster, scope
-from rallyframe.plans import bind
+from rallyframe.plans import bind, dossier
 from rallyframe.plans.bind import ANCHOR, SQL_BASE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,3 +431,28 @@ def day_scenarios(s, d):
     eligible = _grid(s, d).where("status = 'available'").join(ranked, "player_id").select("team_id", "day", "player_id", "strength")
     pairs = _team_pairs(s, d).groupBy("team_id", "low_id", "high_id").agg(F.sum("matches").alias("matches"))
     return lineup.day_scenarios(eligible, pairs)
+
+
+@query()
+def session_credentials(s, d):
+    return markup.session_credentials(bind.read(s, d, "pages"))
+
+
+@query()
+def page_atoms(s, d):
+    return markup.page_atoms(bind.read(s, d, "pages"))
+
+
+@query(f""", r AS (SELECT team_id, count(CASE WHEN played_on >= {_SINCE} AND ours > theirs THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND ours < theirs THEN 1 END) AS losses
+FROM (SELECT home_team_id AS team_id, played_on, home_courts_won AS ours, visiting_courts_won AS theirs FROM team_matches
+      UNION ALL SELECT visiting_team_id, played_on, visiting_courts_won, home_courts_won FROM team_matches) x GROUP BY 1),
+p AS (SELECT player_id, count(CASE WHEN played_on >= {_SINCE} AND winner_side = side THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND winner_side <> side THEN 1 END) AS losses,
+  count(CASE WHEN played_on >= {_SINCE} AND winner_side IS NULL THEN 1 END) AS undecided FROM match_players GROUP BY 1),
+l AS (SELECT q.team_id, string_agg('| ' || q.name || ' | ' || coalesce(p.wins, 0) || '-' || coalesce(p.losses, 0) || ' | ' || coalesce(p.undecided, 0) || ' |', chr(10) ORDER BY lower(q.name), q.player_id) AS lines FROM players q LEFT JOIN p ON p.player_id = q.player_id GROUP BY 1)
+SELECT n.n_nationkey AS team_id, md5('# ' || n.n_name || chr(10) || chr(10) || 'Record: ' || coalesce(r.wins, 0) || '-' || coalesce(r.losses, 0) || chr(10) || chr(10) || '| Player | Record | Undecided |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || coalesce(l.lines, 'no players recorded') || chr(10)) AS digest, trim(regexp_replace(lower(n.n_name), '[^a-z0-9]+', '-', 'g')) AS directory
+FROM nation n LEFT JOIN r ON r.team_id = n.n_nationkey LEFT JOIN l ON l.team_id = n.n_nationkey""")
+def team_dossiers(s, d):
+    teams = bind.teams(s, d)
+    text = dossier.markdown(teams, records.team_record(bind.team_matches(s, d), _since()).select("team_id", "wins", "losses"), bind.players(s, d), records.windowed_record(bind.match_players(s, d), _since()))
+    return text.join(dossier.directory_names(teams), "team_id").select("team_id", F.md5("text").alias("digest"), "directory")
