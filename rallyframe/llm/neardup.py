@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
 
     near = 100 * F.least("n", "hub_n") >= per_cent * F.greatest("n", "hub_n")
     stars = buckets.where(near).select("hub", "id").distinct()
-    crowded = buckets.groupBy("key").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i < j").select("key")
+    crowded = written(buckets.groupBy("key").agg(F.min("id").alias("i"), F.max("id").alias("j")).where("i < j").select("key"), "crowded")
     needed = stars.select("hub").union(stars.select("id")).union(buckets.join(crowded, "key", "leftsemi").select("id")).distinct().withColumnRenamed("hub", "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "leftsemi")
     sets = written(set_table(texts, shingle).groupBy("doc_id").agg(F.min("shingles").alias("shingles")), "sets")
