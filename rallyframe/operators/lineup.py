@@ -23,10 +23,10 @@ def predicted_lineup(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pai
 
     Singles slots, in order, take the free player with most singles matches (ties: rank, id). Then in
     rounds every free pair with two matches or more asks for its most frequent open doubles slot; of
-    the pairs that ask for one slot the best combined rank stands; of those the one with most matches
-    is placed (ties: combined rank, slot order). Pairs without an open slot of their own take the
-    first open one. What is left goes by rank. A court that cannot be filled stays empty, and a player
-    is on one court at most.
+    the pairs that ask for one slot the strongest stands (best combined rank, then most matches, then
+    ids); of those the one with most matches is placed (ties: the stronger, then slot order). Pairs
+    without an open slot of their own take the first open one. What is left goes by rank: a court may
+    stay short or empty, and a player is on one court at most.
     """
     rows = (
         slots.select("team_id", F.lit("slot").alias("kind"), "slot", "discipline", F.col("place").cast("long").alias("n"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
@@ -54,51 +54,53 @@ def _predict(team: pd.DataFrame) -> pd.DataFrame:
             free.discard(p)
             placed[slot] = ([p], "history" if played.get(p) else "rating", played.get(p, 0))
     order = {slot: k for k, (slot, kind) in enumerate(courts) if kind == "doubles"}
-    together = {p: rank[p[0]] + rank[p[1]] for p in history}
+    total = {p: sum(s.values()) for p, s in history.items()}
+    strength = {p: (rank[p[0]] + rank[p[1]], -total[p], p) for p in history}
 
-    def seat(slot: str, pair: tuple[int, int], support: int) -> None:
+    def seat(slot: str, pair: tuple[int, int]) -> None:
         free.difference_update(pair)
-        placed[slot] = (list(pair), "history", support)
+        placed[slot] = (list(pair), "history", total[pair])
 
     while True:
-        asked: dict[str, tuple] = {}
-        for pair, slots in history.items():
-            mine = [s for s in slots if s in order and s not in placed]
-            if mine and free.issuperset(pair):
-                s = min(mine, key=lambda x: (-slots[x], order[x]))
-                asked[s] = min(asked.get(s, ((1 << 60,),)), ((together[pair], -slots[s], pair), pair, slots[s]))
+        asked: dict[str, tuple[int, int]] = {}
+        for pair in sorted((p for p in history if free.issuperset(p)), key=strength.get):
+            mine = [s for s in history[pair] if s in order and s not in placed]
+            if mine:
+                asked.setdefault(min(mine, key=lambda x: (-history[pair][x], order[x])), pair)
         if not asked:
             break
-        s = min(asked, key=lambda x: (-asked[x][2], asked[x][0][0], order[x]))
-        seat(s, asked[s][1], asked[s][2])
-    for pair in sorted(history, key=lambda p: (together[p], -sum(history[p].values()), p)):
+        slot = min(asked, key=lambda x: (-total[asked[x]], strength[asked[x]], order[x]))
+        seat(slot, asked[slot])
+    for pair in sorted(history, key=strength.get):
         left = [s for s in order if s not in placed]
         if left and free.issuperset(pair):
-            seat(left[0], pair, sum(history[pair].values()))
+            seat(left[0], pair)
     for slot in order:
         if slot not in placed:
             rest = sorted(free, key=lambda i: (rank[i], i))[:2]
-            rest = rest if len(rest) == 2 else []
             free.difference_update(rest)
             placed[slot] = (rest, "rating" if rest else "empty", 0)
     team_id = int(team["team_id"].iloc[0])
     return pd.DataFrame([(team_id, s, k, *placed.get(s, ([], "empty", 0))) for s, k in courts], columns=["team_id", "slot", "discipline", "player_ids", "basis", "support"])
 
 
-SCENARIOS = "team_id int, day date, strategies string, court int, discipline string, player_ids array<long>, strength double"
+SCENARIOS = "team_id int, day date, strategies string, court int, discipline string, player_ids array<long>, strength double, doubles_only_override boolean"
 
 
 def day_scenarios(eligible: DataFrame, pairs: DataFrame, singles_courts: int = 1, doubles_courts: int = 2) -> DataFrame:
     """Three ways to field a team on a day, from its available players only; equal ways are merged.
 
-    ``eligible``: team_id, day, player_id, strength (null: unrated). ``pairs``: team_id, low_id, high_id, matches.
-    Strength first: the strongest on singles, then pairs in order of strength. History first: the pairs
-    that played together most. Balanced: of all pairings of the chosen players the one with the least
-    spread of pair strengths. A court that cannot be filled stays empty.
+    ``eligible``: team_id, day, player_id, strength (null: unrated), singles (matches), doubles_only. ``pairs``:
+    team_id, low_id, high_id, matches. Singles go to the strongest (history first: to those with most
+    singles matches); who plays doubles only is taken there last. Doubles: strength first takes pairs in
+    order; history first the pair with most matches together, or the strongest two where none has any;
+    balanced, of all pairings of the strength-first field, the first with the least spread of pair sums.
+    Of groups the one with more rated players comes first, then the stronger (within 1e-9), then by ids.
+    A doubles court that cannot be filled stays empty.
     """
-    rows = eligible.select("team_id", "day", F.col("player_id").alias("a"), F.lit(None).cast("long").alias("b"), F.col("strength").alias("n"))
+    rows = eligible.select("team_id", "day", F.col("player_id").alias("a"), F.lit(None).cast("long").alias("b"), "strength", F.col("singles").cast("long").alias("n"), "doubles_only")
     days = eligible.select("team_id", "day").distinct()
-    known = pairs.join(days, "team_id").select("team_id", "day", F.col("low_id").alias("a"), F.col("high_id").alias("b"), F.col("matches").cast("double"))
+    known = pairs.join(days, "team_id").select("team_id", "day", "low_id", "high_id", F.lit(None).cast("double"), F.col("matches").cast("long"), F.lit(False))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         return _scenarios(group, singles_courts, doubles_courts)
@@ -119,34 +121,41 @@ def pairings(players: list[int]):
 
 def _scenarios(group: pd.DataFrame, singles: int, doubles: int) -> pd.DataFrame:
     people, known = group[group["b"].isna()], group[group["b"].notna()]
-    strength = {int(r.a): None if pd.isna(r.n) else float(r.n) for r in people.itertuples()}
+    strength = {int(r.a): None if pd.isna(r.strength) else float(r.strength) for r in people.itertuples()}
+    alone = {int(r.a): int(r.n or 0) for r in people.itertuples()}
+    only = {int(r.a) for r in people.itertuples() if r.doubles_only}
     together = {(int(r.a), int(r.b)): int(r.n) for r in known.itertuples() if int(r.a) in strength and int(r.b) in strength}
-    value = {p: s or 0.0 for p, s in strength.items()}
-    order = sorted(strength, key=lambda p: (strength[p] is None, -value[p], p))
-    alone, rest = order[:singles], order[singles:]
-    strong = [tuple(rest[i : i + 2]) for i in range(0, min(len(rest) - 1, 2 * doubles), 2)]
-    left, kept = list(rest), []
+
+    def single_key(p: int) -> tuple:
+        return (strength[p] is None, -(strength[p] or 0.0), p)
+
+    def group_key(pair) -> tuple:  # sums are rounded, so that they compare within 1e-9
+        return (sum(strength[p] is None for p in pair), round(-sum(strength[p] or 0.0 for p in pair), 9), tuple(sorted(pair)))
+
+    ranked = sorted(strength, key=single_key)
+    by_rating = sorted(ranked, key=lambda p: p in only)[:singles]
+    by_history = sorted(ranked, key=lambda p: (p in only, -alone[p], single_key(p)))[:singles]
+    field = [p for p in ranked if p not in by_rating]
+    strong = [tuple(field[i : i + 2]) for i in range(0, min(len(field) - 1, 2 * doubles), 2)]
+    left, kept = [p for p in ranked if p not in by_history], []
     while len(kept) < doubles and len(left) >= 2:
-        best = max(combinations(sorted(left), 2), key=lambda p: (together.get(p, 0), value[p[0]] + value[p[1]], -p[0], -p[1]))
+        best = min(combinations(sorted(left), 2), key=lambda p: (-together.get(p, 0), group_key(p)))
+        best = best if together.get(best) else tuple(left[:2])
         kept.append(best)
         left = [p for p in left if p not in best]
-    chosen = sorted(p for pair in strong for p in pair)
     even, least = [], None
-    for way in pairings(chosen):
-        sums = [value[a] + value[b] for a, b in way]
+    for way in pairings(field[: 2 * len(strong)]):
+        sums = [sum(strength[p] or 0.0 for p in pair) for pair in way]
         spread = max(sums, default=0) - min(sums, default=0)
         if least is None or spread < least - 1e-9:
             even, least = way, spread
     ways: dict[tuple, list[str]] = {}
-    for name, pairs in (("strength-first", strong), ("history-first", kept), ("balanced", even)):
-        courts = tuple(tuple(sorted(p)) for p in sorted(pairs, key=lambda p: -(value[p[0]] + value[p[1]])))
-        ways.setdefault(courts, []).append(name)
+    for name, solo, pairs in (("strength-first", by_rating, strong), ("history-first", by_history, kept), ("balanced", by_rating, sorted(even, key=group_key))):
+        ways.setdefault((tuple(solo), tuple(tuple(sorted(p)) for p in pairs)), []).append(name)
     out, (team, day) = [], (int(group["team_id"].iloc[0]), group["day"].iloc[0])
-    for courts, names in ways.items():
-        for k in range(singles):
-            who = alone[k : k + 1]
-            out.append((team, day, ",".join(names), k + 1, "singles", who, sum(value[p] for p in who)))
-        for k in range(doubles):
-            who = list(courts[k]) if k < len(courts) else []
-            out.append((team, day, ",".join(names), singles + k + 1, "doubles", who, sum(value[p] for p in who)))
-    return pd.DataFrame(out, columns=["team_id", "day", "strategies", "court", "discipline", "player_ids", "strength"])
+    for (solo, pairs), names in ways.items():
+        courts = [("singles", list(solo[k : k + 1])) for k in range(singles)] + [("doubles", list(pairs[k]) if k < len(pairs) else []) for k in range(doubles)]
+        for k, (kind, who) in enumerate(courts):
+            rated = [strength[p] for p in who if strength[p] is not None]
+            out.append((team, day, ",".join(names), k + 1, kind, who, sum(rated) if rated else None, kind == "singles" and bool(only.intersection(who))))
+    return pd.DataFrame(out, columns=["team_id", "day", "strategies", "court", "discipline", "player_ids", "strength", "doubles_only_override"])

@@ -423,12 +423,17 @@ def predicted_lineup(s, d):
     return lineup.predicted_lineup(slots, ratings.roster_rank(members, last, chosen, INVERTED), singles, _team_pairs(s, d))
 
 
+def _singles(s, d):
+    return bind.match_players(s, d).where("discipline = 'singles'").groupBy("player_id").agg(F.count("*").alias("singles"))
+
+
 @query()
 def day_scenarios(s, d):
     last, chosen = _choice(s, d)
     members = bind.players(s, d).select("team_id", "player_id")
     ranked = ratings.roster_rank(members, last, chosen, INVERTED).select("player_id", F.when(F.col("source").isin(INVERTED), -F.col("value")).otherwise(F.col("value")).alias("strength"))
-    eligible = _grid(s, d).where("status = 'available'").join(ranked, "player_id").select("team_id", "day", "player_id", "strength")
+    eligible = _grid(s, d).where("status = 'available'").join(ranked, "player_id").join(_singles(s, d), "player_id", "left")
+    eligible = eligible.select("team_id", "day", "player_id", "strength", F.coalesce("singles", F.lit(0)).alias("singles"), (F.col("player_id") % 4 == 0).alias("doubles_only"))
     pairs = _team_pairs(s, d).groupBy("team_id", "low_id", "high_id").agg(F.sum("matches").alias("matches"))
     return lineup.day_scenarios(eligible, pairs)
 

@@ -117,14 +117,46 @@ def test_contested_slot_goes_to_the_better_pair_and_the_other_moves_on(spark):
     assert got == {"S1": ([1], "history"), "D1": ([2, 3], "history"), "D2": ([4, 5], "history")}
 
 
-def test_short_doubles_court_stays_empty_and_nobody_plays_twice(spark):
+def test_leftovers_go_by_rank_and_a_court_may_stay_short(spark):
     got = _lineup(spark, SLOTS, [(1, p, p) for p in range(1, 5)], [], [(1, 1, 2, "D2", 1)])
-    assert got == {"S1": ([1], "rating"), "D1": ([2, 3], "rating"), "D2": ([], "empty")}
+    assert got == {"S1": ([1], "rating"), "D1": ([2, 3], "rating"), "D2": ([4], "rating")}
+    got = _lineup(spark, SLOTS, [(1, 1, 0)], [], [])
+    assert got == {"S1": ([1], "rating"), "D1": ([], "empty"), "D2": ([], "empty")}
+
+
+def test_most_matches_win_across_slots(spark):
+    ranks = [(1, p, p) for p in range(1, 8)]
+    pairs = [(1, 2, 3, "D1", 2), (1, 3, 4, "D2", 9)]
+    got = _lineup(spark, SLOTS, ranks, [(1, 1, 4)], pairs)
+    assert got["D2"] == ([3, 4], "history") and got["D1"] == ([2, 5], "rating")
+
+
+ELIGIBLE = "team_id int, day date, player_id long, strength double, singles int, doubles_only boolean"
+
+
+def _courts(spark, players, pairs=()):
+    e = spark.createDataFrame([(1, date(2026, 1, 1), *p) for p in players], ELIGIBLE)
+    rows = lineup.day_scenarios(e, spark.createDataFrame(list(pairs), "team_id int, low_id long, high_id long, matches long")).collect()
+    return {(s, r["court"]): (r["player_ids"], r["doubles_only_override"]) for r in rows for s in r["strategies"].split(",")}
+
+
+def test_doubles_only_is_avoided_at_singles_unless_nobody_else_is_there(spark):
+    got = _courts(spark, [(1, 9.0, 5, True), (2, 8.0, 0, False), (3, None, 0, False), (4, 1.0, 2, True)])
+    assert got["strength-first", 1] == ([2], False) and got["history-first", 1] == ([2], False)
+    assert got["strength-first", 2][0] == [1, 4] and got["strength-first", 3][0] == []
+    got = _courts(spark, [(1, 9.0, 5, True)])
+    assert got["balanced", 1] == ([1], True) and got["balanced", 2][0] == []
+
+
+def test_history_first_keeps_the_pair_that_played_most(spark):
+    players = [(1, 9.0, 0, False), (2, 8.0, 7, False), (3, 7.0, 0, False), (4, 6.0, 0, False), (5, None, 0, False)]
+    got = _courts(spark, players, [(1, 3, 5, 2), (1, 1, 4, 1)])
+    assert got["history-first", 1][0] == [2] and got["history-first", 2][0] == [3, 5] and got["history-first", 3][0] == [1, 4]
 
 
 def test_balanced_is_the_brute_force_minimum_and_equal_ways_merge(spark):
     values = {1: 9.0, 2: 7.5, 3: 7.0, 4: 4.0, 5: 1.0}
-    e = spark.createDataFrame([(1, date(2026, 1, 1), p, v) for p, v in values.items()], "team_id int, day date, player_id long, strength double")
+    e = spark.createDataFrame([(1, date(2026, 1, 1), p, v, 0, False) for p, v in values.items()], ELIGIBLE)
     none = spark.createDataFrame([], "team_id int, low_id long, high_id long, matches long")
     rows = lineup.day_scenarios(e, none).collect()
     best = min(abs(sum(values[p] for p in a) - sum(values[p] for p in (2, 3, 4, 5) if p not in a)) for a in combinations((2, 3, 4, 5), 2))
