@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyframe.functions import keys, markup
-from rallyframe.operators import identity, lineup, merge, ratings, records, roster, scope
+from rallyframe.functions import keys, markup, phrases
+from rallyframe.operators import identity, ingest, lineup, merge, ratings, records, roster, scope
 from rallyframe.plans import bind, dossier
 from rallyframe.plans.bind import ANCHOR, SQL_BASE
 
@@ -461,3 +461,75 @@ def team_dossiers(s, d):
     teams = bind.teams(s, d)
     text = dossier.markdown(teams, records.team_record(bind.team_matches(s, d), _since()).select("team_id", "wins", "losses"), bind.players(s, d), records.windowed_record(bind.match_players(s, d), _since()))
     return text.join(dossier.directory_names(teams), "team_id").select("team_id", F.md5("text").alias("digest"), "directory")
+
+
+@query(f"""SELECT r.player_id, r.opponent_id, count(CASE WHEN m.winner_side = m.side THEN 1 END) AS wins, count(CASE WHEN m.winner_side <> m.side THEN 1 END) AS losses,
+  count(CASE WHEN m.match_id IS NOT NULL AND m.winner_side IS NULL THEN 1 END) AS undecided, count(m.match_id) AS matches
+FROM (SELECT a.player_id, b.player_id AS opponent_id FROM players a JOIN players b ON b.team_id = (a.team_id + 2) % 25) r
+LEFT JOIN (SELECT a.match_id, a.player_id, a.side, a.winner_side, b.player_id AS opponent_id FROM match_players a JOIN match_players b ON a.match_id = b.match_id AND a.side <> b.side
+           JOIN leagues l ON l.match_id = a.match_id WHERE {_RETAIN}) m ON m.player_id = r.player_id AND m.opponent_id = r.opponent_id GROUP BY 1, 2""")
+def prior_meetings(s, d):
+    """Head-to-heads within the league scope, whatever the window."""
+    p = bind.players(s, d)
+    others = p.select(F.col("team_id").alias("other_team"), F.col("player_id").alias("opponent_id"))
+    requested = p.select("player_id", ((F.col("team_id") + 2) % 25).alias("other_team")).join(others, "other_team").select("player_id", "opponent_id")
+    kept = bind.leagues(s, d).where(scope.retains(F.col("league_context"), *scope.parse_scope(SCOPE)))
+    return records.head_to_head(bind.match_players(s, d).join(kept, "match_id", "leftsemi"), requested)
+
+
+@query("""SELECT request, exact, lenient, CASE WHEN (CASE WHEN exact > 0 THEN exact ELSE lenient END) = 1 THEN coalesce(e, l) END AS match_id,
+  CASE CASE WHEN exact > 0 THEN exact ELSE lenient END WHEN 0 THEN 'new' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS outcome
+FROM (SELECT a.match_id AS request, count(CASE WHEN b.match_id IS NOT NULL AND a.k IS NOT DISTINCT FROM b.k THEN 1 END) AS exact,
+        count(CASE WHEN b.match_id IS NOT NULL AND (a.k IS NULL OR b.k IS NULL OR a.k = b.k) THEN 1 END) AS lenient,
+        min(CASE WHEN b.match_id IS NOT NULL AND a.k IS NOT DISTINCT FROM b.k THEN b.match_id END) AS e, min(CASE WHEN b.match_id IS NOT NULL AND (a.k IS NULL OR b.k IS NULL OR a.k = b.k) THEN b.match_id END) AS l
+      FROM (SELECT *, CASE WHEN match_id % 3 = 0 THEN NULL ELSE 'clock:' || (match_id % 2) END AS k FROM team_matches WHERE match_id % 2 = 0) a
+      LEFT JOIN (SELECT *, CASE WHEN match_id % 5 = 0 THEN NULL ELSE 'clock:' || (match_id % 4) END AS k FROM team_matches WHERE match_id % 2 = 1) b
+        ON a.played_on = b.played_on AND least(a.home_team_id, a.visiting_team_id) = least(b.home_team_id, b.visiting_team_id) AND greatest(a.home_team_id, a.visiting_team_id) = greatest(b.home_team_id, b.visiting_team_id)
+      GROUP BY 1) x""")
+def fixture_candidates(s, d):
+    m, k = bind.team_matches(s, d), F.col("match_id")
+    a = m.where(k % 2 == 0).withColumn("time_key", F.when(k % 3 != 0, F.concat(F.lit("clock:"), (k % 2).cast("string")))).withColumnRenamed("match_id", "request")
+    b = m.where(k % 2 == 1).withColumn("time_key", F.when(k % 5 != 0, F.concat(F.lit("clock:"), (k % 4).cast("string"))))
+    return ingest.fixture_candidates(a, b)
+
+
+@query("SELECT player_id, day, status FROM availability WHERE day < DATE '2024-01-03' OR day > DATE '2024-01-25'")
+def orphaned_availability(s, d):
+    return ingest.orphaned_availability(bind.availability(s, d), F.lit("2024-01-03").cast("date"), F.lit("2024-01-25").cast("date"))
+
+
+@query("SELECT player_id, min(observed_on) AS first_day, max(observed_on) AS last_day, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM ratings GROUP BY 1")
+def rating_provenance(s, d):
+    return ingest.provenance(bind.ratings(s, d))
+
+
+@query("""SELECT p.team_id, count(*) AS observed, count(CASE WHEN p.team_id <> t.home_team_id AND p.team_id <> t.visiting_team_id OR t.match_id IS NULL THEN 1 END) AS excluded_other_team,
+  count(CASE WHEN p.team_id = t.home_team_id AND m.side <> 'O' OR p.team_id <> t.home_team_id AND p.team_id = t.visiting_team_id AND m.side = 'O' THEN 1 END) AS excluded_opposing_side
+FROM participants m JOIN players p ON p.player_id = m.player_id LEFT JOIN team_matches t ON t.match_id = m.match_id GROUP BY 1""")
+def evidence_volumes(s, d):
+    return ingest.evidence_volumes(bind.participants(s, d), bind.team_matches(s, d), bind.players(s, d))
+
+
+@query("""SELECT player_id, discipline, wins || '-' || losses || CASE WHEN undecided > 0 THEN ' (' || undecided || ' undecided)' ELSE '' END AS line,
+  'player="' || player_id || '" record="' || wins || '-' || losses || '"' AS summary
+FROM (SELECT player_id, discipline, count(CASE WHEN played_on IS NOT NULL AND winner_side = side THEN 1 END) AS wins, count(CASE WHEN played_on IS NOT NULL AND winner_side <> side THEN 1 END) AS losses,
+  count(CASE WHEN played_on IS NOT NULL AND winner_side IS NULL THEN 1 END) AS undecided FROM match_players GROUP BY 1, 2) x""")
+def record_lines(s, d):
+    r = records.windowed_record(bind.match_players(s, d))
+    line = phrases.record(F.col("wins"), F.col("losses"), F.col("undecided"))
+    return r.select("player_id", "discipline", line.alias("line"), phrases.summary(player=F.col("player_id"), record=F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))).alias("summary"))
+
+
+@query(f"SELECT DISTINCT skeleton, regexp_matches(skeleton, '(^|\\s)[a-z]{{2,}}(\\s.*)?\\s[a-z]{{2,}}(\\s|$)') AS review FROM {_LINES} a WHERE skeleton <> ''", base=False)
+def vocabulary_bootstrap(s, d):
+    """Distinct skeletons of the turns, and whether they are name-shaped and need a review."""
+    lines = bind.read(s, d, "conversations").select(markup.skeleton(F.col("text")).alias("skeleton")).where("skeleton <> ''").distinct()
+    return lines.select("skeleton", markup.needs_review(F.col("skeleton")).alias("review"))
+
+
+@query("""SELECT event_id, CASE WHEN st IS NOT NULL THEN CASE WHEN st = 408 OR st = 429 OR st >= 500 THEN 'retryable' WHEN st >= 400 THEN 'permanent' ELSE 'unclassified' END ELSE 'unclassified' END AS disposition
+FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 400 + CAST(event_id % 120 AS INTEGER) WHEN event_type = 'view' THEN 200 END AS st FROM events) x""", base=False)
+def failure_dispositions(s, d):
+    status = F.when(F.col("event_type") == "error", 400 + F.col("event_id") % 120).when(F.col("event_type") == "view", 200).cast("int")
+    none = F.lit(None).cast("string")
+    return bind.read(s, d, "events").select("event_id", ingest.disposition(status, none, none).alias("disposition"))
