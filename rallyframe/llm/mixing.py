@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import table
+from rallyframe.llm.common import table, written
 
 MOST_SOURCES = 1000
 MOST_WEIGHT = 10000
@@ -101,10 +101,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
         weight = F.when(F.col("src") == "s" + k, F.lit(int(v))).otherwise(weight)
     sources = docs.groupBy(name.alias("src")).agg(F.count("*").alias("n")).withColumn("w", weight.cast("long"))
     sources = sources.withColumn("block_rows", F.lit(block_rows).cast("long")).withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    sources = written(sources, "sources")
     size = sources.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
     if size["n"] > MOST_SOURCES or (size["w"] or 0) > MOST_WEIGHT:
         raise ValueError(f"{size['n']} sources with weights {size['w']} in all; group them to at most {MOST_SOURCES} and {MOST_WEIGHT}")
-    plan = _plan(sources).withColumn("buckets", F.ceil(F.sqrt("n")))
+    plan = written(_plan(sources).withColumn("buckets", F.ceil(F.sqrt("n"))), "plan")
 
     columns = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_slot", "mix_position")]
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in columns and not kind.startswith("map")]
