@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import bounded_sample, crc_mod, table
+from rallyframe.llm.common import bounded_sample, crc_mod, small, table
 from rallyframe.llm.text import U64, mix
 
 SAMPLE_ROWS = 10000
@@ -130,7 +130,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share:
         raise ValueError("the bitmasks hold 64 languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             langs = np.array(batch.column("lang").to_pylist(), object)
             for lo, hi, _, owner, hashes in grams(batch.column("text").to_pylist()):
                 for lang in set(langs[lo:hi]):
@@ -170,7 +170,7 @@ def predict_languages(docs: DataFrame, model: LanguageFilter | None, key: str =
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             for lo, hi, letters, owner, hashes in grams(batch.column(text).to_pylist()):
                 if m is None:
                     names, score = ["und"] * (hi - lo), np.zeros(hi - lo)
@@ -190,7 +190,7 @@ def identified(docs: DataFrame, model: LanguageFilter | None, least_score: float
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in small(batches):
             good = np.zeros(batch.num_rows, bool)
             for lo, hi, letters, owner, hashes in grams(batch.column(text).to_pylist()):
                 if m is not None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import table
+from rallyframe.llm.common import small, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "secret", "iban")
@@ -149,7 +149,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the count of each base kind, base_sha256 and spans (``kind:start:end``, comma-joined)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts, hashes, spans = {k: [] for k in BASE_KINDS}, [], []
             for text in batch.column("text"):
                 items = find(text.as_py())
@@ -168,7 +168,7 @@ def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rows and columns, with the items in ``text`` masked."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k = batch.schema.get_field_index(text)
             yield batch.set_column(k, batch.schema.field(k), pa.array([masked(x.as_py()) for x in batch.column(k)], batch.schema.field(k).type))
 
