@@ -15,14 +15,14 @@ INVISIBLE = "\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
+def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def name_key(name: Column) -> Column:
     """Without invisible characters, trimmed, NFKC, lower case, in this order; pure ASCII never leaves the JVM."""
     bare = F.regexp_replace(F.regexp_replace(name, f"[{INVISIBLE}]", ""), r"(?U)^\s+|\s+$", "")
-    return F.lower(_nfkc(bare))
+    return F.lower(nfkc(bare))
 
 
 def ascii_name_key(name: Column) -> Column:

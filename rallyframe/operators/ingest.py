@@ -31,6 +31,21 @@ def orphaned_availability(answers: DataFrame, starts_on: Column, ends_on: Column
     return answers.where((F.col("day") < starts_on) | (F.col("day") > ends_on))
 
 
+def answer_outcomes(attempts: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
+    """What becomes of each answer (attempt, player_id, day): only members may answer, and one event must cover the day.
+
+    An event is taken apart into its days, so that days meet by an equi-join.
+    """
+    days = attempts.select("day").distinct()
+    open_days = events.where("starts_on <= ends_on").select("event_id", F.explode(F.sequence("starts_on", "ends_on")).alias("day"))
+    covered = days.join(open_days, "day", "left")
+    covered = covered.groupBy("day").agg(F.count("event_id").alias("events"), F.min("event_id").alias("event_id"))
+    known = members.select("player_id").distinct().withColumn("__member", F.lit(True))
+    out = attempts.join(known, "player_id", "left").join(covered, "day", "left")
+    outcome = F.when(F.col("__member").isNull(), "not a member").when(F.col("events") == 0, "no event").when(F.col("events") > 1, "ambiguous event").otherwise("recorded")
+    return out.select("attempt", "player_id", "day", outcome.alias("outcome"), F.when(outcome == "recorded", F.col("event_id")).alias("event_id"))
+
+
 def disposition(status: Column, code: Column, name: Column) -> Column:
     """Whether a failed fetch is worth another try: by HTTP status, then by system code, then by error name."""
     retry = (status == 408) | (status == 429) | (status >= 500)

@@ -49,6 +49,22 @@ def retire_absent(memberships: DataFrame, observed: DataFrame) -> DataFrame:
     return joined.withColumn("retired", F.col("retired") | gone).select(memberships.columns)
 
 
+def replace_members(memberships: DataFrame, observed: DataFrame) -> DataFrame:
+    """The members of (team_id, event_id) become those of ``observed``: named ones are added or taken back, others retired; groups that are not observed stay as they are."""
+    keys = ["player_id", "team_id", "event_id"]
+    named = observed.select(*keys).distinct().withColumn("__named", F.lit(True))
+    groups = observed.select("team_id", "event_id").distinct().withColumn("__group", F.lit(True))
+    joined = memberships.join(named, keys, "full").join(groups, ["team_id", "event_id"], "left")
+    return joined.withColumn("retired", F.when(F.col("__named"), False).when(F.col("__group"), True).otherwise(F.col("retired"))).select(memberships.columns)
+
+
+def compare_counts(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
+    """Rows per value of ``by`` on both sides and whether they agree; a value that one side lacks counts 0 there."""
+    a, b = before.groupBy(by).agg(F.count("*").alias("rows_before")), after.groupBy(by).agg(F.count("*").alias("rows_after"))
+    both = a.join(b, by, "full").fillna(0, ["rows_before", "rows_after"])
+    return both.withColumn("same", F.col("rows_before") == F.col("rows_after"))
+
+
 def keep_first(rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     """The row with the smallest id of each key."""
     rest = [c for c in rows.columns if c not in keys]

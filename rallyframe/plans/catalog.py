@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rallyframe.functions import keys, markup, phrases
+from rallyframe.functions import grammar, keys, markup, phrases, redact
 from rallyframe.operators import identity, ingest, lineup, merge, ratings, records, roster, scope
 from rallyframe.plans import bind, dossier
 from rallyframe.plans.bind import ANCHOR, SQL_BASE
@@ -533,3 +533,79 @@ def failure_dispositions(s, d):
     status = F.when(F.col("event_type") == "error", 400 + F.col("event_id") % 120).when(F.col("event_type") == "view", 200).cast("int")
     none = F.lit(None).cast("string")
     return bind.read(s, d, "events").select("event_id", ingest.disposition(status, none, none).alias("disposition"))
+
+
+@query("""SELECT match_id, CASE WHEN error IS NULL THEN slot || ':' || discipline || ',' || other || ':doubles' END AS courts, error
+FROM (SELECT *, CASE WHEN match_id % 5 = 0 THEN 'missing discipline' WHEN match_id % 7 = 0 THEN 'unknown discipline' WHEN slot = other THEN 'slot given twice' END AS error
+FROM (SELECT match_id, slot, discipline, 'D' || CAST(match_id % 6 AS VARCHAR) AS other FROM court_matches) x) y""")
+def event_formats(s, d):
+    m = bind.court_matches(s, d)
+    given = F.when(F.col("match_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit(" : "), F.when(F.col("match_id") % 7 == 0, "triples").otherwise(F.col("discipline"))))
+    text = F.concat("slot", given, F.lit(" , D"), (F.col("match_id") % 6).cast("string"), F.lit(":doubles"))
+    m = m.select("match_id", grammar.event_format(text).alias("f"))
+    return m.select("match_id", grammar.event_format_text(F.col("f.courts")).alias("courts"), "f.error")
+
+
+@query("""SELECT c_custkey, CASE WHEN error IS NULL THEN CASE c_custkey % 4 WHEN 0 THEN 'only' ELSE 'excluding' END || ' league contexts starting with "' || c_mktsegment || '" or "' || c_name || '"' END AS label, error
+FROM (SELECT *, CASE WHEN c_custkey % 4 = 2 THEN 'unknown mode' WHEN c_custkey % 5 = 0 THEN 'prefix given twice' WHEN c_custkey % 6 = 0 THEN 'blank prefix' END AS error FROM customer) x""", base=False)
+def league_scopes(s, d):
+    k = F.col("c_custkey")
+    mode = F.when(k % 4 == 0, "only").when(k % 4 == 2, "without").otherwise("exclude")
+    last = F.when(k % 5 == 0, F.lower("c_mktsegment")).when(k % 6 == 0, " ").otherwise(F.col("c_name"))
+    c = bind.read(s, d, "customer").select("c_custkey", grammar.league_scope(F.concat(mode, F.lit(": "), "c_mktsegment", F.lit(", "), last)).alias("p"))
+    return c.select("c_custkey", grammar.league_scope_label(F.col("p.mode"), F.col("p.prefixes")).alias("label"), "p.error")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=') THEN regexp_extract(url, '[?&]page=([^&]*)', 1) END AS page, CASE WHEN regexp_matches(url, '[?&]ref=') THEN regexp_extract(url, '[?&]ref=([^&]*)', 1) END AS ref FROM pages", base=False)
+def url_params(s, d):
+    return bind.read(s, d, "pages").select("page_id", grammar.href_param(F.col("url"), "page").alias("page"), grammar.href_param(F.col("url"), "ref").alias("ref"))
+
+
+@query("""SELECT coalesce(i.o_custkey, t.o_custkey) AS o_custkey, coalesce(i.price, t.price) AS price, coalesce(i.priority, t.priority) AS priority
+FROM (SELECT o_custkey, max(o_totalprice) AS price, min(o_orderpriority) AS priority FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) t
+FULL JOIN (SELECT o_custkey, CASE WHEN o_custkey % 3 <> 0 THEN max(o_totalprice) END AS price, CASE WHEN o_custkey % 2 = 0 THEN min(o_orderpriority) END AS priority FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) i ON i.o_custkey = t.o_custkey""", base=False)
+def merge_filled(s, d):
+    o = bind.read(s, d, "orders")
+
+    def best(status):
+        return o.where(F.col("o_orderstatus") == status).groupBy("o_custkey").agg(F.max("o_totalprice").alias("price"), F.min("o_orderpriority").alias("priority"))
+
+    k = F.col("o_custkey")
+    return merge.merge_filled(best("F"), best("O").select(k, F.when(k % 3 != 0, F.col("price")).alias("price"), F.when(k % 2 == 0, F.col("priority")).alias("priority")), ["o_custkey"])
+
+
+_LISTED = "SELECT DISTINCT p.player_id, p.team_id, 1 AS event_id FROM players p JOIN availability a ON a.player_id = p.player_id WHERE a.day = DATE '2024-01-09' AND a.status = 'available' AND p.team_id % 2 = 0"
+
+
+@query(f""", listed AS ({_LISTED})
+SELECT coalesce(m.player_id, l.player_id) AS player_id, coalesce(m.team_id, l.team_id) AS team_id, coalesce(m.event_id, l.event_id) AS event_id,
+  CASE WHEN l.player_id IS NOT NULL THEN false WHEN m.event_id = 1 AND m.team_id IN (SELECT team_id FROM listed) THEN true ELSE m.retired END AS retired
+FROM memberships m FULL JOIN listed l ON l.player_id = m.player_id AND l.team_id = m.team_id AND l.event_id = m.event_id""")
+def replace_event_roster(s, d):
+    there = bind.availability(s, d).where("day = DATE '2024-01-09' AND status = 'available'")
+    listed = bind.players(s, d).where("team_id % 2 = 0").join(there, "player_id", "leftsemi").select("player_id", "team_id", F.lit(1).alias("event_id"))
+    return merge.replace_members(bind.memberships(s, d), listed)
+
+
+@query("""SELECT attempt, player_id, day, outcome, CASE WHEN outcome = 'recorded' THEN e END AS event_id
+FROM (SELECT *, CASE WHEN NOT member THEN 'not a member' WHEN n = 0 THEN 'no event' WHEN n > 1 THEN 'ambiguous event' ELSE 'recorded' END AS outcome
+FROM (SELECT v.event_id AS attempt, v.user_id AS player_id, CAST(v.ts AS DATE) AS day, v.user_id IN (SELECT player_id FROM memberships WHERE NOT retired) AS member, c.n, c.e
+FROM events v JOIN (SELECT x.day, count(h.event_id) AS n, min(h.event_id) AS e FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) x LEFT JOIN happenings h ON x.day BETWEEN h.starts_on AND h.ends_on GROUP BY 1) c
+ON c.day = CAST(v.ts AS DATE)) y) z""")
+def answer_outcomes(s, d):
+    attempts = bind.read(s, d, "events").select(F.col("event_id").alias("attempt"), F.col("user_id").alias("player_id"), F.to_date("ts").alias("day"))
+    return ingest.answer_outcomes(attempts, bind.memberships(s, d).where("NOT retired"), bind.events(s))
+
+
+@query("""SELECT source, count(*) AS rows_before, count(DISTINCT (player_id, observed_on)) AS rows_after, count(*) = count(DISTINCT (player_id, observed_on)) AS same FROM ratings GROUP BY 1""")
+def merge_loss(s, d):
+    r = bind.ratings(s, d)
+    return merge.compare_counts(r, merge.keep_first(r, ["player_id", "source", "observed_on"], "rating_id"), "source")
+
+
+_STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?is)<style[^>]*>.*?</style>', '<style></style>', 'g')"
+
+
+@query(f"""SELECT page_id, md5(regexp_replace(regexp_replace({_STRIPPED}, 'EXAMPLE\\.NET', 'CLUB.INVALID', 'g'), '(?i)example\\.net', 'club.invalid', 'g')) AS digest FROM pages""", base=False)
+def redacted_pages(s, d):
+    return bind.read(s, d, "pages").select("page_id", F.md5(redact.redacted(F.col("html"), {"example.net": "club.invalid"})).alias("digest"))
