@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.keys import slug
+from rallyframe.functions.phrases import escape_html, safe
 
 
 def directory_names(teams: DataFrame) -> DataFrame:
@@ -19,16 +20,34 @@ def escape_cell(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[\r\n]+", " "), r"([|\\])", r"\\$1")
 
 
-def markdown(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame) -> DataFrame:
-    """team_id and its Markdown dossier. A team's roster bounds what is gathered for it."""
+def _tally(wins: str, losses: str) -> Column:
+    return F.concat_ws("-", F.coalesce(wins, F.lit(0)).cast("string"), F.coalesce(losses, F.lit(0)).cast("string"))
+
+
+def _gathered(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame, line: Column) -> DataFrame:
+    """Teams with their record and ``rows``, the lines of their players in order of name. A team's roster bounds what is gathered for it."""
     total = records.groupBy("player_id").agg(*[F.sum(c).alias(c) for c in ("wins", "losses", "undecided")])
-    line = F.concat(F.lit("| "), escape_cell(F.col("name")), F.lit(" | "), F.concat_ws("-", F.coalesce("wins", F.lit(0)).cast("string"), F.coalesce("losses", F.lit(0)).cast("string")), F.lit(" | "), F.coalesce("undecided", F.lit(0)).cast("string"), F.lit(" |"))
     lines = rosters.join(total, "player_id", "left").groupBy("team_id").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "player_id", line.alias("line")))).alias("rows"))
-    t = teams.join(team_records, "team_id", "left").join(lines, "team_id", "left")
+    return teams.join(team_records, "team_id", "left").join(lines, "team_id", "left")
+
+
+def markdown(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame) -> DataFrame:
+    """team_id and its Markdown dossier."""
+    line = F.concat(F.lit("| "), escape_cell(F.col("name")), F.lit(" | "), _tally("wins", "losses"), F.lit(" | "), F.coalesce("undecided", F.lit(0)).cast("string"), F.lit(" |"))
+    t = _gathered(teams, team_records, rosters, records, line)
     table = F.coalesce(F.array_join(F.transform("rows", lambda r: r.line), "\n"), F.lit("no players recorded"))
-    head = F.concat(F.lit("# "), escape_cell(F.col("team_name")), F.lit("\n\nRecord: "), F.concat_ws("-", F.coalesce("wins", F.lit(0)).cast("string"), F.coalesce("losses", F.lit(0)).cast("string")), F.lit("\n\n| Player | Record | Undecided |\n| --- | --- | --- |\n"))
+    head = F.concat(F.lit("# "), escape_cell(F.col("team_name")), F.lit("\n\nRecord: "), _tally("wins", "losses"), F.lit("\n\n| Player | Record | Undecided |\n| --- | --- | --- |\n"))
     return t.select("team_id", F.concat(head, table, F.lit("\n")).alias("text"))
 
 
+def html(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame) -> DataFrame:
+    """team_id and its dossier as a page; every text from the data is escaped."""
+    line = F.concat(F.lit("<tr><td>"), escape_html(safe(F.col("name"))), F.lit("</td><td>"), _tally("wins", "losses"), F.lit("</td><td>"), F.coalesce("undecided", F.lit(0)).cast("string"), F.lit("</td></tr>"))
+    t, name = _gathered(teams, team_records, rosters, records, line), escape_html(safe(F.col("team_name")))
+    rows = F.coalesce(F.array_join(F.transform("rows", lambda r: r.line), "\n"), F.lit("<tr><td colspan='3'>no players recorded</td></tr>"))
+    head = F.concat(F.lit("<!doctype html>\n<meta charset='utf-8'>\n<title>"), name, F.lit("</title>\n<h1>"), name, F.lit("</h1>\n<p>Record: "), _tally("wins", "losses"), F.lit("</p>\n<table>\n<tr><th>Player</th><th>Record</th><th>Undecided</th></tr>\n"))
+    return t.select("team_id", F.concat(head, rows, F.lit("\n</table>\n")).alias("text"))
+
+
 def write(dossiers: DataFrame, directories: DataFrame, path: str) -> None:
     dossiers.join(directories, "team_id").select("directory", F.col("text").alias("value")).write.partitionBy("directory").mode("overwrite").text(path)

@@ -32,7 +32,7 @@ def cell_text(html: Column) -> Column:
 
 
 def _header(row: Column) -> Column:
-    return F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1), lambda c: F.regexp_replace(F.lower(cell_text(c)), r"\s+", ""))
+    return F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1), lambda c: F.regexp_replace(F.lower(cell_text(c)), r"[\s|]+", ""))
 
 
 def table_rows(pages: DataFrame, columns: list[str]) -> DataFrame:

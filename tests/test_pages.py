@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import grammar, redact
 from rallyframe.operators import ingest, merge
-from rallyframe.sources import profiles
+from rallyframe.plans import dossier
+from rallyframe.sources import profiles, widgets
 
 
 def table(*rows, tag="td"):
@@ -34,7 +35,7 @@ def test_player_header(spark):
 
 def test_profile_tables(spark):
     teams = table(("Recent Team", "Type", "Section", "Gender", "Rating", "Match Start"), ("Net Gains", "Adult 18+", "Sec", "F", "4.0", "3/1/2026"), ("", "Adult", "", "", "", ""), ("short",))
-    head = ("All Matches", "Total Matches", "Win", "Loss", "W Pct", "Total Sets", "Win", "Loss", "W Pct", "Total Games", "Win", "Loss", "W Pct", "Defaults")
+    head = ("All Matches", "Total<br>Matches", "Win", "Loss", "W Pct", "Total Sets", "Win", "Loss", "W Pct", "Total Games", "Win", "Loss", "W Pct", "Defaults")
     seasons = table(head, ("2026", "3", "2", "1", "66%", "7", "5", "2", "71%", "60", "35", "25", "58%", "0"), ("Total", "x", *["1"] * 12))
     areas = table(("Current Playing Areas (Player Rating Lists)",), ("Tulsa",), ("",), ("Norman &amp; Moore",))
     docs = pages(spark, teams + seasons + areas, "<p>none</p>", table(head[:5] + ("Extra",) + head[5:]))
@@ -121,3 +122,42 @@ def test_answers(spark):
 def test_counts_are_compared(spark):
     a, b = spark.createDataFrame([("x",), ("x",), ("y",)], "k string"), spark.createDataFrame([("x",), ("z",)], "k string")
     assert sorted(map(tuple, merge.compare_counts(a, b, "k").collect())) == [("x", 2, 1, False), ("y", 1, 0, False), ("z", 0, 1, False)]
+
+
+def section(title, value, *subtitles, extra=""):
+    k = "v-form-wtn-widget__section"
+    return f"<div class='a {k} b'><p class='{k}-title'>{title}</p><p class='{k}-value'><b>{value}</b></p>" + "".join(f"<p class='{k}-subtitle'>{x}</p>" for x in subtitles) + extra + "</div>"
+
+
+def widget(*sections):
+    return "<div class='v-form-wtn-widget'>" + "".join(sections) + "<a class='v-form-wtn-widget__navigation-link' href='/p?x=1&amp;tennis-id=ABC1'>x</a></div>"
+
+
+def test_rating_widget(spark):
+    zone = "<p class='v-form-wtn-widget__section-zone'>Game zone 30.87 to 27.40</p><p class='v-form-wtn-widget__section-confidence'>High</p>"
+    good = section("WTN Singles", "29.1", "Updated 7/1/26", "Last played 6/30/2026", extra=zone)
+    docs = pages(
+        spark, widget(good, section("WTN Doubles", "31", "updated 07/02/2026"), section("", "")), "<p>no widget</p>", widget(good) * 2, widget(good, good), widget(section("WTN Singles", "--", "Updated 7/1/26")),
+        widget(section("WTN Mixed", "3")), widget(section("WTN Doubles", "31", "soon")), widget(section("WTN Doubles", "31", "Updated 7/1/26", "Updated 7/2/26")), None,
+    )
+    got = by_url(widgets.rating_widget(docs))
+    r = got["u0"]
+    assert r["error"] is None and r["tennis_id"] == "ABC1" and tuple(r["singles"]) == (29.1, "High", 30.87, 27.4, "2026-07-01", "2026-06-30") and tuple(r["doubles"]) == (31.0, None, None, None, "2026-07-02", None)
+    assert tuple(got["u1"])[1:] == tuple(got["u8"])[1:] == (None, None, None, None)
+    assert [got[f"u{i}"]["error"] for i in range(2, 8)] == ["several widgets", "section given twice", "no value", "unknown section", "no date", "date given twice"]
+
+
+def test_identity_page(spark):
+    block = "<div class='x playerDetailsHeader_a1'><h2> Jo  Day</h2><p>Female|41-50|</p><p>other</p></div>"
+    rows = [("u?tennis-id=A1", block), ("u", block), ("u?tennis-id=A2", "<p>"), ("u?tennis-id=A3", block * 2), ("u?tennis-id=A4", block.replace("|41", "41")), ("u?tennis-id=A5", block.replace("other", "Male|18|")), ("u?tennis-id=A6", block.replace("41-50", " "))]
+    got = by_url(widgets.identity_page(spark.createDataFrame(rows, "url string, html string")))
+    assert tuple(got["u?tennis-id=A1"])[1:] == ("A1", "Jo Day", "Female", "41-50", None)
+    assert [got[u]["error"] for u, _ in rows[1:]] == ["no tennis-id", "identity not found", "several identities", "no identity line", "several identity lines", "no age range"]
+
+
+def test_html_dossier_escapes(spark):
+    teams = spark.createDataFrame([(1, "A & <B>"), (2, "None")], "team_id int, team_name string")
+    won = spark.createDataFrame([(1, 2, 1)], "team_id int, wins int, losses int")
+    roster = spark.createDataFrame([(1, 7, "Jo 'x' Day")], "team_id int, player_id int, name string")
+    text = {r["team_id"]: r["text"] for r in dossier.html(teams, won, roster, spark.createDataFrame([(7, 3, 1, 0)], "player_id int, wins int, losses int, undecided int")).collect()}
+    assert "<h1>A &amp; &lt;B&gt;</h1>" in text[1] and "<td>Jo &#39;x&#39; Day</td><td>3-1</td><td>0</td>" in text[1] and "no players recorded" in text[2]
