@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from rallyframe.functions import markup
+from rallyframe.operators import pull
 from rallyframe.plans import dossier
 from rallyframe.sources import payloads, tables
 from rallyframe.streaming import observations
@@ -80,3 +81,16 @@ def test_merge_into_is_idempotent(spark, tmp_path):
     merge(b, 1)
     merge(b, 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).collect())) == [(1, 2, "b"), (2, 1, "c")]
+
+
+def test_pulled_courts(spark):
+    doubles = ("6/1/2026", "Adult 40+", "Net Gains", "D2", "Jo Day<br>(3.4)", "A B<br>(3.1)<br>C D<br>(3.2)", "L", LINK, "3.51", "(3.40)")
+    default = ("6/2/2026", "Adult", "T", "S1", "", "Default", "W", "<a href='?mid=78'>x</a>", "S", "-----")
+    docs = spark.createDataFrame([("u1", page(doubles, default)), ("u2", page(doubles, (*doubles[:3], "R9", *doubles[4:])))], "url string, html string")
+    history = tables.match_history(docs)
+    got = sorted(tuple(r) for r in pull.courts(history).select("url", "source_match_id", "slot", "winner_side", "score", F.col("played_on").cast("string")).collect())
+    assert got == [("u1", "77", "D2", "visiting", "6-4 3-6 1-0", "2026-06-01"), ("u1", "78", "S1", "home", None, "2026-06-02")]
+    subjects = spark.createDataFrame([("u1", "Me"), ("u2", "You")], "url string, name string")
+    got = sorted((r["source_match_id"], r["side"], r["name"]) for r in pull.participants(history, subjects).collect())
+    assert got == [("77", "home", "Jo Day"), ("77", "home", "Me"), ("77", "visiting", "A B"), ("77", "visiting", "C D"), ("78", "home", "Me")]
+    assert [tuple(r) for r in pull.refused_pages(history).collect()] == [("u2", ["unknown slot"])]
