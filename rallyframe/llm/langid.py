@@ -10,10 +10,12 @@ N-grams are runs of 2 to 4 characters of the lower-cased words with a blank on e
 n-gram is common in a language if its share of documents there is at least ``least_share`` and at
 least ``least_ratio`` of its largest share in any language.
 
-Learning takes about ``sample_rows`` labelled rows at most (a documented bound). Prediction reads
-every whole text. Null texts and texts without a letter are ``und`` with score 0. Other texts get a
+Learning takes all labelled rows of a language, or about ``sample_rows`` of them where it has more (a
+documented bound, for each language by itself), so how rare a language is among all rows does not
+matter. They are picked by a hash of key and text: copies of a text under different keys are picked
+one by one, copies under the same key or none together. Prediction reads every whole text. Null texts and texts without a letter are ``und`` with score 0. Other texts get a
 learned language even if no n-gram is known: the most frequent one, score 0. Ties go to the more
-frequent language. Nothing learned: ``und``. Extra columns are ignored.
+frequent language (of all labelled rows). Nothing learned: ``und``. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import bounded_sample, crc_mod, small, table
+from rallyframe.llm.common import crc_mod, small, table
 from rallyframe.llm.text import U64, mix
 
 SAMPLE_ROWS = 10000
@@ -120,14 +122,25 @@ class LanguageFilter:
         return best, np.where(total > 0, hits[np.arange(n), best] / np.maximum(total, 1), 0.0).clip(0, 1)
 
 
-def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float = 0.01, least_ratio: float = 0.5, bits_per_gram: int = 24) -> LanguageFilter | None:
-    """Learn a filter from the rows with text and lang; None if there are none."""
-    known = bounded_sample(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("__h")), "__h", sample_rows).select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
-    if not sizes:
+def _rows_by_language(known: DataFrame) -> dict[str, int]:
+    """The rows of each language, the most frequent language first."""
+    return {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
+
+
+def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float = 0.01, least_ratio: float = 0.5, bits_per_gram: int = 24, key: str = "doc_id") -> LanguageFilter | None:
+    """Learn a filter from the rows with text and lang, about ``sample_rows`` at most of each language; None if there are none."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = rows = _rows_by_language(known)
+    if not rows:
         return None
-    if len(sizes) > 64:
+    if len(rows) > 64:
         raise ValueError("the bitmasks hold 64 languages")
+    many = [F.when(F.col("lang") == k, F.lit(int((1 << 30) * sample_rows / n))) for k, n in rows.items() if n > sample_rows]
+    if many:
+        picked = F.pmod(F.xxhash64(F.col(key).cast("string"), F.xxhash64("text"), F.lit(97)), F.lit(1 << 30))
+        known = known.where(picked < F.coalesce(*many, F.lit(1 << 30)))
+        sizes = _rows_by_language(known)
+    known = known.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -146,7 +159,7 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share:
     # A language has at most (n-grams of a document) / least_share such n-grams.
     common = common.where((F.col("share") >= least_share) & (F.col("n") >= 2))
     got = common.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("by")).toArrow()
-    names = list(sizes)
+    names = [k for k in rows if k in sizes]
     gram = got.column("gram").to_numpy().view(U64)
     mask = np.zeros(len(gram), U64)
     for i, by in enumerate(got.column("by").to_pylist()):

@@ -42,6 +42,17 @@ def test_language_odd_rows_and_empty_tables(spark):
     assert kept.columns == docs.columns and kept.where("doc_id in (1, 2, 3, 8)").isEmpty()
 
 
+def test_language_rare_among_many_rows_and_copies(spark):
+    # 12 Greek rows of 20012, 20000 copies of one German text, and a bound of 400 rows.
+    common = spark.range(20000).selectExpr("id AS doc_id", "concat('the house of the man is near the river ', id) AS text", "'en' AS lang")
+    copies = spark.range(20000, 40000).selectExpr("id AS doc_id", "'das haus des mannes ist an dem fluss' AS text", "'de' AS lang")
+    rare = spark.range(40000, 40012).selectExpr("id AS doc_id", "concat('το σπίτι του άνδρα είναι κοντά στο ποτάμι ', id) AS text", "'el' AS lang")
+    model = langid.fit_languages(common.union(copies).union(rare), sample_rows=400)
+    assert model.languages == ["de", "en", "el"]
+    got = langid.predict_languages(rare.union(copies.limit(3)).union(common.limit(3)), model, keep=("lang",)).collect()
+    assert len(got) == 18 and all(r["lang_pred"] == r["lang"] and r["score"] >= 0.3 for r in got)
+
+
 def test_language_does_not_depend_on_the_rows_around(spark):
     texts = ["und der", "the of and", "", "le la", "a"]
     alone = [next(iter(langid.grams([t])))[4].tolist() for t in texts]
