@@ -11,9 +11,10 @@ an edit distance (words inserted, deleted or replaced) of at most floor(``edits`
    walk: at step j the current word is put out, and a random bit of (j, word) says whether to move
    on. Small edit distance becomes small Hamming distance.
 3. LSH. ``walks`` walks times ``samples`` draws of ``sampled`` positions make the keys of a window;
-   an item that shares a key is a candidate. Recall at the largest allowed distance is measured in
-   the tests against brute force.
-4. Each candidate is verified over its whole stretch by an exact bit-parallel edit distance.
+   an item that shares a key is a candidate. The keys miss some leaks, and more of long items.
+4. Counting. So an item is also a candidate if n + k words of the stretch hold n - q + 1 - k * q of its
+   own q-grams, as every leak does: no leak is missed, whatever the item's size and the keys.
+5. Each candidate is verified over its whole stretch by an exact bit-parallel edit distance.
 
 The items are held in blocks of about ``block_items``: each block is one pass over the documents, so
 what tasks hold is bounded however many items there are. Items of fewer than ``least_words`` words
@@ -89,6 +90,13 @@ class SizeClass:
     items: list[int] = field(default_factory=list)
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
     owners: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    # the items' q-grams in order; the r-th is in the items (positions in ``items``) holders[ptr[r] : ptr[r + 1]]
+    grams: np.ndarray = field(default_factory=lambda: np.zeros(0, U64))
+    ptr: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    holders: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    # of each item: the q-grams that a leak leaves whole, and the most words of a leak
+    needs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    spans: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 class ItemIndex:
@@ -123,6 +131,13 @@ class ItemIndex:
             for i in c.items:
                 g = self._grams(self.words[i], c.q)
                 np.bitwise_or.at(self.anchors[c.q], (g & U64(_SLOTS - 1)).astype(np.int64), U64(1) << U64(k % 64))
+            c.needs = np.array([n - c.q + 1 - e * c.q for n, e in pairs])
+            c.spans = np.array([n + e for n, e in pairs])
+            own = [np.unique(self._grams(self.words[i], c.q)) for i in c.items]
+            every, holders = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
+            order = np.argsort(every, kind="stable")
+            c.grams, first = np.unique(every[order], return_index=True)
+            c.ptr, c.holders = np.append(first, len(every)), holders[order]
             windows = np.zeros((len(c.items), c.size), U64)
             for r, i in enumerate(c.items):
                 windows[r, : len(self.words[i])] = self.words[i]
@@ -193,6 +208,36 @@ class ItemIndex:
                 found += zip([k] * len(first), d[first].tolist(), lo[first].tolist(), np.maximum.reduceat(hi, first).tolist())
         return found
 
+    def _counted(self, c: SizeClass, flat: np.ndarray, base: np.ndarray, limit: int = 1 << 20) -> set[tuple[int, int]]:
+        """(stretch, item) of all pairs in which the item's span of words holds as many of its q-grams as it needs; stretches begin in ``flat`` at ``base``."""
+        gram = self._grams(flat, c.q)
+        rank = np.minimum(np.searchsorted(c.grams, gram), len(c.grams) - 1)
+        at = np.flatnonzero(c.grams[rank] == gram)
+        part = np.searchsorted(base, at, "right") - 1
+        inside = at + c.q <= np.append(base[1:], len(flat))[part]
+        at, part = at[inside], part[inside]
+        rank = rank[at]
+        many = c.ptr[rank + 1] - c.ptr[rank]
+        found = set()
+        group = max(1, limit // len(c.items))  # stretches counted at once
+        for lo in range(0, len(base), group):
+            a, b = np.searchsorted(part, [lo, lo + group])
+            counts = np.zeros(min(group, len(base) - lo) * len(c.items), np.int64)
+            done = np.cumsum(many[a:b])
+            while a < b:  # about ``limit`` pairs of position and item at once
+                z = max(a + 1, b - len(done) + int(np.searchsorted(done, (done[a - b] - many[a]) + limit, "right")))
+                m = many[a:z]
+                place = np.repeat(c.ptr[rank[a:z]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                counts += np.bincount(np.repeat(part[a:z] - lo, m) * len(c.items) + c.holders[place], minlength=len(counts))
+                a = z
+            for pair in np.flatnonzero(counts.reshape(-1, len(c.items)) >= c.needs).tolist():
+                r, k = lo + pair // len(c.items), pair % len(c.items)
+                x, y = np.searchsorted(part, [r, r + 1])
+                p = at[x:y][np.isin(gram[at[x:y]], self._grams(self.words[c.items[k]], c.q))]
+                if (p[c.needs[k] - 1 :] - p[: len(p) - c.needs[k] + 1] + c.q <= c.spans[k]).any():
+                    found.add((r, c.items[k]))
+        return found
+
     def leaks(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item's position in ``ids``, edits) of a column of texts."""
         stretches: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
@@ -225,7 +270,7 @@ class ItemIndex:
                     for a, b in zip(lo[h], hi[h]):
                         if b > a:
                             pairs.update((int(o[h]), int(i)) for i in c.owners[a:b])
-            for r, i in pairs:
+            for r, i in pairs | self._counted(c, flat, base):
                 row, w = parts[r]
                 if (row, i) in best and best[row, i] == 0:
                     continue

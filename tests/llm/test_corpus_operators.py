@@ -215,6 +215,34 @@ def test_recall_at_the_largest_distance():
     assert sum((k, k // 3) in got for k in range(len(texts))) >= 0.97 * len(texts)
 
 
+@pytest.mark.parametrize("size", (300, 600, 1000, 2000))
+def test_recall_of_long_items(size):
+    rng = random.Random(size)
+    vocab = [f"v{k}" for k in range(3000)] + ["the"] * 400
+    items = [[rng.choice(vocab) for _ in range(size - rng.randint(0, size // 10))] for _ in range(8)]
+    index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items])
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 400)) + edited(rng, w, vocab, len(w) * k // 20) + rng.choices(vocab, k=200)) for w in items for k in (0, 1, 4)]
+    got = {(r, i) for r, i, _ in index.leaks(pa.array(texts))}
+    assert got == {(r, r // 3) for r in range(len(texts))}
+
+
+def test_counting_finds_every_leak_that_brute_force_finds(monkeypatch):
+    rng = random.Random(4)
+    vocab = [f"v{k}" for k in range(40)] + ["the", "of"] * 5
+    items = [[rng.choice(vocab) for _ in range(rng.choice((5, 6, 9, 14, 30, 70)))] for _ in range(40)]
+    texts = []
+    for w in items * 3:
+        k = int(0.2 * len(w))
+        texts.append(rng.choices(vocab, k=rng.randint(0, 60)) + edited(rng, w, vocab, k) + rng.choices(vocab, k=rng.randint(0, 60)) + edited(rng, rng.choice(items), vocab, 1))
+    index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items])
+    want = {(r, i): d for r, t in enumerate(texts) for i, w in enumerate(items) if (d := plain_infix_distance(w, t)) <= int(0.2 * len(w))}
+    column = pa.array([" ".join(t) for t in texts])
+    assert {(r, i): d for r, i, d in index.leaks(column)} == want
+    counted = index._counted
+    monkeypatch.setattr(index, "_counted", lambda c, flat, base: counted(c, flat, base, limit=50))  # many small steps
+    assert {(r, i): d for r, i, d in index.leaks(column)} == want
+
+
 def padded(text):
     raw = (text or "").encode()
     return raw + bytes(-len(raw) % 64 if raw else 64)
