@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit verification.
 
-Texts and items are sequences of words (runs of letters, digits and non-ASCII characters of the
-lower-cased text). An item of n words leaks into a document if some run of the document's words has
+Texts and items are sequences of words (runs of letters, digits and non-ASCII characters but
+punctuation and blanks, of the lower-cased text). In scripts that are written without spaces each
+letter, with the marks on it, is a word. An item of n words leaks into a document if some run of the document's words has
 an edit distance (words inserted, deleted or replaced) of at most floor(``edits`` * n) to it.
 
 1. Anchors. Within k edits at least n - q + 1 - k * q of an item's q-grams stay whole (q is the
@@ -25,6 +26,7 @@ told.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,10 +49,58 @@ GRID = 1.15
 _SLOTS = 1 << 20
 
 
+# Han, kana, bopomofo; Thai, Lao, Myanmar, Khmer; Tai Le to Tai Tham, Balinese; Yi; Javanese, Cham, Tai Viet.
+UNSPACED = ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF),
+            (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA00, 0xAA7F), (0xAA80, 0xAADF))
+_kinds: list[np.ndarray] = []
+
+
+def _kind_table() -> np.ndarray:
+    """For every code point 0 (between words), 1 (in words), 2 (letter of an unspaced script) or 3 (mark)."""
+    if not _kinds:
+        kinds = np.ones(0x110000, np.uint8)
+        kinds[:128] = WORD[:128]
+        kinds[0x200B] = 0  # a blank of no width
+        for c in range(128, 0x20000):
+            category = unicodedata.category(chr(c))[0]
+            if category in "PZ":
+                kinds[c] = 0
+            elif category == "M":
+                kinds[c] = 3
+        for first, last in UNSPACED:
+            for c in range(first, min(last, 0x1FFFF) + 1):
+                if unicodedata.category(chr(c)) in ("Lo", "Lm", "Nl", "So", "Cn"):
+                    kinds[c] = 2
+        kinds[0x20000:0x40000] = 2
+        _kinds.append(kinds)
+    return _kinds[0]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of UTF-8 bytes."""
+    inside = WORD[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return spans(inside, offsets)
+    size = 2 + (data[lead] >= 0xE0).astype(np.int64) + (data[lead] >= 0xF0)
+    code = (data[lead] & (0xFF >> (size + 1))).astype(np.int64)
+    for k in range(1, 4):
+        code = np.where(size > k, (code << 6) | (data[np.minimum(lead + k, len(data) - 1)] & 0x3F), code)
+    kind, end = _kind_table()[code], lead + size
+    for k in range(4):
+        inside[lead[(kind == 0) & (size > k)] + k] = False
+    # A mark belongs to the letter before it: the words of unspaced letters end after their marks.
+    marks = np.append(False, (kind[1:] == 3) & (lead[1:] == end[:-1]) & ~np.isin(lead[1:], offsets))
+    base = kind[np.maximum.accumulate(np.where(marks, 0, np.arange(len(kind))))]
+    last = np.append(~marks[1:], True)
+    cuts = np.concatenate([lead[kind == 2], end[(base == 2) & last]])
+    return spans(inside, offsets, cuts[cuts < len(data)])
+
+
 def words_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, hashes of the words, pointers of the rows into them)."""
     for lo, hi, data, offsets in slices(pc.utf8_lower(column)):
-        starts, ends = spans(WORD[data], offsets)
+        starts, ends = word_spans(data, offsets)
         yield lo, hi, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 

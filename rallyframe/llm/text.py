@@ -63,8 +63,8 @@ def slices(column: pa.Array, limit: int = _SLICE) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true bytes; a run never crosses a document's end."""
+def spans(inside: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes; a run never crosses a document's end or one of ``cuts``."""
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.empty(len(inside), bool)
@@ -72,6 +72,8 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     edge[1:] = inside[1:] != inside[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(inside))]
     edge[inner] = True
+    if cuts is not None:
+        edge[cuts] = True
     starts = np.flatnonzero(edge & inside)
     stops = np.append(np.flatnonzero(edge), len(inside))
     ends = stops[np.searchsorted(stops, starts, "right")]

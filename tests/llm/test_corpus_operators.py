@@ -243,6 +243,26 @@ def test_counting_finds_every_leak_that_brute_force_finds(monkeypatch):
     assert {(r, i): d for r, i, d in index.leaks(column)} == want
 
 
+def test_words_of_unspaced_scripts_and_punctuation():
+    texts = ["", "我们在家，看书。abc中de", "ที่นี่ดี x", "e\u0301te\u0301«naïve»\u00a0Straße…fin", "カー12ガ", "한국어 말", "中", "\u0e48中", "😀 ok"]
+    want = [[], [*"我们在家看书", "abc", "中", "de"], ["ที่", "นี่", "ดี", "x"], ["e\u0301te\u0301", "naïve", "straße", "fin"], [*"カー", "12", *"ガ"], ["한국어", "말"], ["中"], ["\u0e48", "中"], ["😀", "ok"]]
+    for slice_of in (texts, texts[::-1]):
+        offsets = np.cumsum([0] + [len(t.lower().encode()) for t in slice_of])
+        starts, ends = decontaminate.word_spans(np.frombuffer("".join(slice_of).lower().encode(), np.uint8), offsets)
+        low = "".join(slice_of).lower().encode()
+        assert [low[a:b].decode() for a, b in zip(starts, ends)] == [w for ws in (want if slice_of is texts else want[::-1]) for w in ws]
+
+
+def test_verbatim_items_in_unspaced_scripts_leak(spark):
+    items = {1: "水的沸点在标准大气压下是多少摄氏度？", 2: "日本の首都はどこですか。東京です。", 3: "เมืองหลวงของประเทศไทยคือกรุงเทพ"}
+    texts = {10 * k: f"前文很长，和题目没有关系。{t}后面还有别的文字。" for k, t in items.items()} | {40: "这一段文字里什么题目也没有。"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == {(10, 1): 0, (20, 2): 0, (30, 3): 0}
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, bench).collect()] == [40]
+
+
 def padded(text):
     raw = (text or "").encode()
     return raw + bytes(-len(raw) % 64 if raw else 64)
