@@ -18,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a local test) a
-    temporary folder is taken and set.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is local
+    (a test) a temporary folder is taken and set; on a cluster no folder is guessed.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -40,7 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the tables of ``written`` frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -56,12 +67,18 @@ def crc_mod(col: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, picked by a hash of ``key``; all rows if there are fewer.
+def bounded_sample(df: DataFrame, columns: list[str], rows: int, values: str | None = None, most_values: int = 0) -> DataFrame:
+    """Rows of ``df``, distinct in ``columns``: all, or if that is more, about ``rows`` of them whose arrays ``values`` hold about ``most_values`` elements.
 
-    Only for fitting models: the bound keeps what reaches one process small at any input size.
+    They are picked by a hash of ``columns``. Only for fitting models: what reaches one process is
+    small at any input size, however often a row is repeated and however long the arrays are.
     """
-    n = df.count()
-    if n <= bound:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(97)), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    row = "__rf_row"
+    once = df.withColumn(row, F.xxhash64(*columns, F.lit(97))).dropDuplicates([row])
+    if values:
+        once = written(once, "sample")
+    found = once.agg(F.count("*").alias("n"), F.sum(F.size(values) if values else F.lit(0)).alias("v")).first()
+    share = min(1.0, rows / max(1, found["n"]), most_values / max(1, found["v"] or 0) if values else 1.0)
+    if share < 1:
+        once = once.where(F.pmod(row, F.lit(1 << 30)) < int((1 << 30) * share))
+    return once.drop(row)

@@ -107,12 +107,12 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("shingle,per_cent,rows,bands,block", [(3, 85, 6, 24, 1000), (5, 80, 5, 30, 4), (3, 85, 6, 24, 3)])
-def test_near_duplicates_equal_brute_force(spark, shingle, per_cent, rows, bands, block):
+@pytest.mark.parametrize("shingle,per_cent,rows,bands,block,again_above", [(3, 85, 6, 24, 1000, None), (5, 80, 5, 30, 4, None), (3, 85, 6, 24, 3, 2)])
+def test_near_duplicates_equal_brute_force(spark, shingle, per_cent, rows, bands, block, again_above):
     texts = near_texts()
     data = [(i, t, "x", 1) for i, t in texts.items()] + [(3, texts.get(3, "z"), "x", 1), (None, "one", "x", 1)]
     df = spark.createDataFrame([*data, data[0]], "doc_id long, text string, component string, n int")
-    got = neardup.near_duplicates(df, shingle, per_cent, rows, bands, block).collect()
+    got = neardup.near_duplicates(df, shingle, per_cent, rows, bands, block, again_above).collect()
     assert len(got) == len(data) + 1
     sets = sets_of(texts | {3: texts.get(3, "z")}, shingle)
     want = brute_components(sets, per_cent)
@@ -124,6 +124,50 @@ def test_near_duplicates_equal_brute_force(spark, shingle, per_cent, rows, bands
     assert neardup.near_duplicates(df.where("false"), shingle, per_cent, rows, bands).count() == 0
 
 
+def test_near_duplicates_with_several_texts_under_one_id(spark):
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(300)]
+    texts = [[rng.choice(vocab) for _ in range(100)] for _ in range(6)]
+    near = [[*t[:50], "x", *t[51:]] for t in texts]
+    # 1 holds texts 0 and 1, 9 holds 1 and 2, 3 holds 4 twice; 5, 6, 8, 10 hold near copies
+    held = [(1, texts[0]), (1, texts[1]), (5, near[0]), (6, near[1]), (9, texts[1]), (9, texts[2]), (8, near[2]), (3, texts[4]), (3, texts[4]), (10, near[4]), (2, texts[5]), (2, texts[3]), (11, ["z"])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in held], "doc_id long, text string")
+    want = {1: 1, 5: 1, 6: 1, 9: 1, 8: 1, 3: 3, 10: 3, 2: 2, 11: 11}
+    for block, again_above in ((500, None), (2, 1)):
+        got = neardup.near_duplicates(df, 3, 85, 6, 24, block, again_above).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got) == sorted((i, max(1, len(t) - 2), want[i], want[i] == i) for i, t in held)
+
+
+def test_near_duplicates_in_a_crowded_bucket(spark):
+    rng = random.Random(2)
+    vocab = [f"w{k}" for k in range(5000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    texts = {}
+    for i in range(120):  # about as alike as asked, some more, some less
+        w = list(base)
+        for p in rng.sample(range(150), rng.choice((1, 4, 8, 12))):
+            w[p] = rng.choice(vocab)
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(sets_of(texts, 3), 85)
+    for block, again_above in ((500, None), (10, None), (10, 20)):
+        got = neardup.near_duplicates(df, 3, 85, 6, 24, block, again_above).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    def size():
+        base = scratch_path(spark, "x").rpartition("/")[0].removeprefix("file://")
+        return set(os.listdir(base)) if os.path.isdir(base) else set()
+
+    before = size()
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e f")], "doc_id long, text string")
+    assert neardup.near_duplicates(df, 3, 85, 6, 24).count() == 3
+    assert {n.rpartition("-")[0] for n in size() - before} == {"classes", "edges"}  # what the result reads
+
+
 def test_sketch_agreement_estimates_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 1300, dtype=np.uint64)
