@@ -56,6 +56,26 @@ def features(column: pa.Array, prefixes: tuple[int, ...] = (), pairs: bool = Fal
         yield lo, hi, code >> BITS, code & (DIM - 1)
 
 
+def feature_lists(owner: np.ndarray, feature: np.ndarray, n: int) -> pa.Array:
+    """The features of each of ``n`` rows as an Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(feature.astype(np.int32)))
+
+
+def training_rows(got: pa.Table, marks: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Marks and features of the sampled rows in an order that depends on nothing but the rows."""
+    y = np.array(got.column(marks).to_pylist(), int)
+    y = y.reshape(len(y), -1) if len(y) else np.zeros((0, 1), int)
+    rows = [np.asarray(x.values, np.int64) for x in got.column("features")]
+    order = sorted(range(len(y)), key=lambda i: (y[i].tolist(), len(rows[i]), rows[i].tobytes()))
+    return y[order], [rows[i] for i in order]
+
+
+def log_count_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """For each feature the logarithm of its share among the positive rows' features over that among the negative ones', counts raised by 1."""
+    counts = [np.bincount(np.concatenate([r for r, mine in zip(rows, y > 0) if mine == side] or [np.zeros(0, int)]).astype(int), minlength=DIM) + 1.0 for side in (True, False)]
+    return np.log((counts[0] / counts[0].sum()) / (counts[1] / counts[1].sum()))
+
+
 def hinge_dcd(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, scale: np.ndarray, cost: float, epochs: int, seed: int):
     """L2-regularised hinge loss by dual coordinate descent.
 
@@ -120,11 +140,11 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, ratios: bool, cost: float, epochs: int = 12, folds: int = 3, beta: float = 1.0):
+def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, cost: float, epochs: int = 12, folds: int = 3, beta: float = 1.0):
     """A calibrated model, and the out-of-fold probabilities of its own training rows.
 
-    ``ratios``: the values of the features are the classes' log-count ratios (else 1), learned on
-    the training part of each fold. The calibration uses out-of-fold margins. With one class only,
+    The values of the features are the classes' log-count ratios, learned on the training part of
+    each fold. The calibration uses out-of-fold margins. With one class only,
     the probability is that class's, whatever the features.
     """
     y = np.where(y > 0, 1.0, -1.0)
@@ -134,12 +154,9 @@ def fit(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, ratios: bool,
         return Linear(none, none, np.zeros(extra.shape[1]), 0.0, p), np.full(len(y), float(p > 0))
 
     def train(keep: np.ndarray, seed: int):
-        scale = np.ones(DIM)
-        if ratios:
-            pos = np.bincount(np.concatenate([rows[i] for i in keep if y[i] > 0] or [np.zeros(0, int)]).astype(int), minlength=DIM) + 1.0
-            neg = np.bincount(np.concatenate([rows[i] for i in keep if y[i] < 0] or [np.zeros(0, int)]).astype(int), minlength=DIM) + 1.0
-            scale = np.log((pos / pos.sum()) / (neg / neg.sum()))
-        w, v = hinge_dcd([rows[i] for i in keep], extra[keep], y[keep], scale, cost, epochs, seed)
+        mine = [rows[i] for i in keep]
+        scale = log_count_ratios(mine, y[keep])
+        w, v = hinge_dcd(mine, extra[keep], y[keep], scale, cost, epochs, seed)
         if beta < 1:
             w = beta * w + (1 - beta) * np.abs(w).mean()
         return w * scale, scale, v

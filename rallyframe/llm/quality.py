@@ -4,10 +4,11 @@ Word n-gram indicators (tokens and pairs of neighbours, hashed) are scaled by th
 log-count ratios; a linear hinge-loss model on them is fitted by dual coordinate descent and
 calibrated with out-of-fold margins.
 
-Fitting takes at most about ``sample_rows`` labelled rows (a documented bound); scoring reads every
-whole text in tasks. Null, empty and blank texts have no features and get the score of the bare
-offset. Null labels and labels of unknown documents are not learned from. Labels of one document
-given several times count several times. An empty table gives no rows; without labels of both
+Fitting takes at most about ``sample_rows`` labelled rows with about ``sample_features`` features in
+all (documented bounds: what the driver holds); scoring reads every whole text in tasks. Null, empty
+and blank texts have no features and get the score of the bare offset. Null labels and labels of
+unknown documents are not learned from. A label or a text that one document has several times counts
+once; different ones each count. An empty table gives no rows; without labels of both
 classes the score is that of the only class (0 without any). Extra columns are ignored.
 """
 
@@ -24,26 +25,24 @@ from rallyframe.llm import linear
 from rallyframe.llm.common import bounded_sample, crc_mod, table
 
 SAMPLE_ROWS = 8000
+SAMPLE_FEATURES = 12_000_000
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, owner, feature in linear.features(batch.column("text"), pairs=True):
-            ptr = np.searchsorted(owner, np.arange(hi - lo + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield pa.record_batch([batch.column("label").slice(lo, hi - lo), lists], names=["label", "features"])
+            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), linear.feature_lists(owner, feature, hi - lo)], names=["doc_id", "label", "features"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> linear.Linear:
-    """Learn from all of ``docs`` that ``labels`` marks, or from about ``sample_rows`` of them."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> linear.Linear:
+    """Learn from all of ``docs`` that ``labels`` marks, or from a sample within both bounds."""
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
-    marked = bounded_sample(marked, "doc_id", sample_rows)
-    # The sample is small by its bound, so only its own documents' texts are moved.
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("label", "text").mapInArrow(_feature_rows, "label int, features array<int>").toArrow()
-    y = got.column("label").to_numpy()
-    rows = [np.asarray(x.values, np.int64) for x in got.column("features")]
-    order = sorted(range(len(y)), key=lambda i: (int(y[i]), len(rows[i]), rows[i].tobytes()))
-    return linear.fit([rows[i] for i in order], np.ones((len(y), 1)), y[order] if len(y) else y, ratios=True, cost=4.0, beta=0.9)[0]
+    marked = bounded_sample(marked, ["doc_id", "label"], sample_rows)
+    # The marked rows are few by their bound, so only their own documents' texts are moved.
+    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "label", "text").mapInArrow(_feature_rows, "doc_id long, label int, features array<int>")
+    got = bounded_sample(found, ["doc_id", "label", "features"], sample_rows, "features", sample_features).select("label", "features").toArrow()
+    y, rows = linear.training_rows(got, "label")
+    return linear.fit(rows, np.ones((len(y), 1)), y[:, 0], cost=4.0, beta=0.9)[0]
 
 
 def score_quality(docs: DataFrame, model: linear.Linear) -> DataFrame:

@@ -1,15 +1,20 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted in a fixed order. Each category's linear model sees the text's word
-indicators (whole words, word beginnings) and the probabilities of the earlier categories. While
-fitting, those are out-of-fold predictions, so that later models do not learn from overfitted ones.
-
-The default chain over a labels table with ``quality`` and ``toxic`` is: junk (quality 0), toxic
-(toxic 1), toxic_prose (toxic 1 in a text of quality 1). Others can be given as SQL conditions.
-
-Fitting takes at most about ``sample_rows`` labelled rows (a documented bound); scoring reads every
-whole text. Null and blank texts have no features. Rows with a null in a condition count as not
-in that category. Without labels nothing is toxic. Extra columns are ignored.
+indicators (whole words, word beginnings), scaled by the category's log-count ratios so that a few
+words count in a long text too, and the probabilities of the earlier categories. While fitting,
+those are out-of-fold predictions, so that later models do not learn from overfitted ones.
+
+The default chain over a labels table with ``quality`` and ``toxic`` is: junk (quality 0), toxic_prose
+(toxic 1 in a text of quality 1), toxic (toxic 1), the last of which uses both before it. Others can
+be given as SQL conditions.
+
+Fitting takes at most about ``sample_rows`` labelled rows with about ``sample_features`` features in
+all (documented bounds: what the driver holds); scoring reads every whole text. Null and blank texts
+have no features. Rows with a null in a condition count as not in that category; labels without a
+doc_id or of unknown documents are not learned from. A label or a text that one document has several
+times counts once; different ones each count. Without labels nothing is toxic. Every row is scored,
+those with a null or repeated doc_id too; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from rallyframe.llm import linear
 from rallyframe.llm.common import bounded_sample, crc_mod, table
 
 SAMPLE_ROWS = 8000
-CHAIN = {"junk": "quality = 0", "toxic": "toxic = 1", "toxic_prose": "toxic = 1 AND quality = 1"}
+SAMPLE_FEATURES = 12_000_000
+CHAIN = {"junk": "quality = 0", "toxic_prose": "toxic = 1 AND quality = 1", "toxic": "toxic = 1"}
 PREFIXES = (3, 5, 7)
 
 
@@ -37,23 +43,23 @@ def _features(column: pa.Array):
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, owner, feature in _features(batch.column("text")):
-            ptr = np.searchsorted(owner, np.arange(hi - lo + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield pa.record_batch([batch.column("marks").slice(lo, hi - lo), lists], names=["marks", "features"])
+            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), batch.column("marks").slice(lo, hi - lo), linear.feature_lists(owner, feature, hi - lo)], names=["doc_id", "marks", "features"])
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, sample_rows: int = SAMPLE_ROWS) -> list[linear.Linear]:
+def fit_chain(docs: DataFrame, labels: DataFrame, chain: dict[str, str] = CHAIN, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> list[linear.Linear]:
     """One model for each category, in the chain's order."""
     marks = F.array(*[F.coalesce(F.expr(c).cast("int"), F.lit(0)) for c in chain.values()])
-    marked = bounded_sample(labels.where(F.col("doc_id").isNotNull()).select("doc_id", marks.alias("marks")), "doc_id", sample_rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("marks", "text").mapInArrow(_feature_rows, "marks array<int>, features array<int>").toArrow()
-    y = np.array(got.column("marks").to_pylist(), int).reshape(-1, len(chain))
-    rows = [np.asarray(x.values, np.int64) for x in got.column("features")]
-    order = sorted(range(len(y)), key=lambda i: (y[i].tolist(), len(rows[i]), rows[i].tobytes()))
-    y, rows = y[order], [rows[i] for i in order]
-    dense, models = np.ones((len(y), 1)), []
-    for k in range(len(chain)):
-        model, out_of_fold = linear.fit(rows, dense, y[:, k], ratios=False, cost=8.0)
+    marked = bounded_sample(labels.where(F.col("doc_id").isNotNull()).select("doc_id", marks.alias("marks")), ["doc_id", "marks"], sample_rows)
+    found = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", "marks", "text").mapInArrow(_feature_rows, "doc_id long, marks array<int>, features array<int>")
+    got = bounded_sample(found, ["doc_id", "marks", "features"], sample_rows, "features", sample_features).select("marks", "features").toArrow()
+    return fit_rows(*linear.training_rows(got, "marks"), categories=len(chain))
+
+
+def fit_rows(y: np.ndarray, rows: list[np.ndarray], categories: int) -> list[linear.Linear]:
+    """The chain's models from marks (one column for each category) and features of the rows."""
+    y, dense, models = y if len(y) else np.zeros((0, categories), int), np.ones((len(rows), 1)), []
+    for k in range(categories):
+        model, out_of_fold = linear.fit(rows, dense, y[:, k], cost=8.0)
         models.append(model)
         dense = np.column_stack([dense, out_of_fold])
     return models
