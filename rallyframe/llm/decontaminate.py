@@ -17,8 +17,9 @@ an edit distance (words inserted, deleted or replaced) of at most floor(``edits`
    own q-grams, as every leak does: no leak is missed, whatever the item's size and the keys.
 5. Each candidate is verified over its whole stretch by an exact bit-parallel edit distance.
 
-The items are held in blocks of about ``block_items``: each block is one pass over the documents, so
-what tasks hold is bounded however many items there are. Items of fewer than ``least_words`` words
+The items' indexes are built in tasks and written in blocks of about ``block_items`` items and
+``block_bytes`` of text. The documents are read once: a task splits a batch of texts into words and
+takes one block after the other to it, so what it holds is bounded however many items there are. Items of fewer than ``least_words`` words
 (null and empty ones too) leak into nothing. Null and empty texts hold nothing. Items with equal
 texts all leak. Repeated rows of one doc_id are one document. Extra columns are ignored or kept as
 told.
@@ -26,11 +27,12 @@ told.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -39,12 +41,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import table
+from rallyframe.llm.common import scratch_path, table
+from rallyframe.llm.files import new_file, open_fs
 from rallyframe.llm.text import U64, WORD, doc_of, mix, slices, span_hashes, spans
 
 EDITS = 0.2
 LEAST_WORDS = 5
 BLOCK_ITEMS = 10000
+BLOCK_BYTES = 8 << 20
 GRID = 1.15
 _SLOTS = 1 << 20
 
@@ -171,13 +175,14 @@ class ItemIndex:
             by.setdefault(c, SizeClass(0)).items.append(i)
         self.classes = list(by.values())
         # slot -> bitmask of classes (classes beyond the 63rd share bits, which only adds candidates)
-        self.anchors = {q: np.zeros(_SLOTS, U64) for q in (1, 2, 3)}
+        self.anchors: dict[int, np.ndarray] = {}
         for k, c in enumerate(self.classes):
             pairs = [(len(self.words[i]), self.most[i]) for i in c.items]
             c.size = max(n for n, _ in pairs)
             c.q = next(q for q in (3, 2, 1) if min(n - q + 1 - e * q for n, e in pairs) >= 1)
             c.least = min(n - c.q + 1 - e * c.q for n, e in pairs)
             c.span = max(n + e for n, e in pairs)
+            self.anchors.setdefault(c.q, np.zeros(_SLOTS, U64))
             for i in c.items:
                 g = self._grams(self.words[i], c.q)
                 np.bitwise_or.at(self.anchors[c.q], (g & U64(_SLOTS - 1)).astype(np.int64), U64(1) << U64(k % 64))
@@ -288,10 +293,10 @@ class ItemIndex:
                     found.add((r, c.items[k]))
         return found
 
-    def leaks(self, column: pa.Array) -> list[tuple[int, int, int]]:
-        """(row, item's position in ``ids``, edits) of a column of texts."""
+    def leaks(self, texts: Iterable[tuple[int, int, np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """(row, item's position in ``ids``, edits) of texts as ``words_of`` gives them."""
         stretches: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for lo, _, words, ptr in words_of(column):
+        for lo, _, words, ptr in texts:
             for k, d, a, b in self._stretches(words, ptr):
                 stretches[k].append((lo + d, words[a:b].copy()))
         best: dict[tuple[int, int], int] = {}
@@ -330,51 +335,78 @@ class ItemIndex:
         return [(row, i, d) for (row, i), d in best.items()]
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, **options) -> Iterator[ItemIndex]:
-    """The items' indexes, each of about ``block_items`` items."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    blocks = max(1, ceil(items.count() / block_items))
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], **options)
+def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES, **options) -> list[str]:
+    """Write the items' indexes, of about ``block_items`` items and ``block_bytes`` of text at most each; returns their URIs."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull()).distinct()
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, ceil(size["n"] / block_items), ceil((size["bytes"] or 0) / block_bytes))
+    folder = scratch_path(benchmark.sparkSession, "items")
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["item_id", "text"]).to_pylist(), key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
+        uri = new_file(folder, ".index")
+        fs, path = open_fs(uri)
+        with fs.open_output_stream(path, compression=None) as out:
+            out.write(pickle.dumps(ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], **options)))
+        return pa.table({"uri": [uri]})
+
+    built = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))).groupBy("block").applyInArrow(build, "uri string")
+    return sorted(r["uri"] for r in built.collect())
+
+
+@lru_cache(1)
+def _index(uri: str) -> ItemIndex:
+    fs, path = open_fs(uri)
+    with fs.open_input_file(path) as f:
+        return pickle.loads(f.read())
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _leaks(batch: pa.RecordBatch, blocks: list[str]) -> Iterator[tuple[ItemIndex, list[tuple[int, int, int]]]]:
+    """The leaks of one batch by blocks of items; the texts are split into words once."""
+    words = list(words_of(batch.column("text"))) if blocks else []
+    for uri in blocks:
+        index = _index(uri)
+        yield index, index.leaks(words)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, edits and words (the item's) for each leak; one row for each document and item."""
+    blocks = item_blocks(benchmark, **options)
 
-    def scan(index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for batch in batches:
-                found = m.leaks(batch.column("text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_bytes(batches):
+            for m, found in _leaks(batch, blocks):
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.record_batch([batch.column("doc_id").take(rows), pa.array([m.ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([len(m.words[f[1]]) for f in found], pa.int64())], names=["doc_id", "item_id", "edits", "words"])
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, words long")
-
-    every = reduce(DataFrame.union, [scan(i) for i in item_blocks(benchmark, **options)])
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, edits long, words long")
     return every.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "words")).alias("m")).select("doc_id", "item_id", "m.edits", "m.words")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item. Nothing is shuffled."""
-    schema = docs.schema
-
-    def drop(rows: DataFrame, index: ItemIndex) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in shared.value.leaks(batch.column("text"))]] = False
-                yield batch.filter(pa.array(keep))
+    blocks = item_blocks(benchmark, **options)
 
-        return rows.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _by_bytes(batches):
+            keep = np.ones(batch.num_rows, bool)
+            for _, found in _leaks(batch, blocks):
+                keep[[f[0] for f in found]] = False
+            yield batch.filter(pa.array(keep))
 
-    return reduce(drop, item_blocks(benchmark, **options), docs)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
