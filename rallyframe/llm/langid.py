@@ -12,10 +12,13 @@ least ``least_ratio`` of its largest share in any language.
 
 Learning takes all labelled rows of a language, or about ``sample_rows`` of them where it has more (a
 documented bound, for each language by itself), so how rare a language is among all rows does not
-matter. They are picked by a hash of key and text: copies of a text under different keys are picked
-one by one, copies under the same key or none together. Prediction reads every whole text. Null texts and texts without a letter are ``und`` with score 0. Other texts get a
-learned language even if no n-gram is known: the most frequent one, score 0. Ties go to the more
-frequent language (of all labelled rows). Nothing learned: ``und``. Extra columns are ignored.
+matter. A row that is repeated with one key and one text counts once; the others are picked by a hash
+of key and text. A language has at most (n-grams of a document) / ``least_share`` n-grams, which bounds the
+filter, whatever the size of the table: it has ``bits_per_gram`` bits for each, times one word of 64 bits
+for each 64 languages. Prediction reads every whole text. Null texts and texts without a letter are
+``und`` with score 0. Other texts get a learned language even if no n-gram is known: the most frequent
+one, score 0. Ties go to the more frequent language (of all labelled rows). Nothing learned: ``und``.
+Every row is predicted, those with a null or repeated key too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import crc_mod, small, table
+from rallyframe.llm.common import crc_mod, dropped, small, table, written
 from rallyframe.llm.text import U64, mix
 
 SAMPLE_ROWS = 10000
@@ -41,7 +44,7 @@ def _letter_table() -> np.ndarray:
     """For every code point its lower-case form if it is a letter, else a blank."""
     if not _letters:
         codes = np.full(0x110000, 32, np.uint32)
-        for c in range(0x110000):
+        for c in range(0x40000):  # no letters lie beyond
             if chr(c).isalpha():
                 low = chr(c).lower()
                 codes[c] = ord(low) if len(low) == 1 else c
@@ -88,43 +91,50 @@ def grams(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int,
 
 @dataclass
 class LanguageFilter:
-    """``masks``: one bitmask of languages for each slot; ``fill``: share of set slots by language."""
+    """``masks``: bitmasks of languages for each slot (a row of 64-bit words); ``fill``: share of set slots by language."""
 
     languages: list[str]
     masks: np.ndarray
     fill: np.ndarray
 
     def _slots(self, hashes: np.ndarray) -> list[np.ndarray]:
-        n = U64(len(self.masks) - 1)
-        return [((hashes >> U64(20 * k)) & n).astype(np.int64) for k in range(HASHES)]
+        n, step = U64(len(self.masks) - 1), (hashes >> U64(32)) | U64(1)
+        return [((hashes + step * U64(k)) & n).astype(np.int64) for k in range(HASHES)]
 
     def add(self, hashes: np.ndarray, masks: np.ndarray) -> None:
         for s in self._slots(hashes):
             np.bitwise_or.at(self.masks, s, masks)
 
     def containing(self, hashes: np.ndarray) -> np.ndarray:
-        """The bitmask of languages that contain each n-gram."""
+        """The bitmasks of languages that contain each n-gram."""
         a, *rest = (self.masks[s] for s in self._slots(hashes))
         for b in rest:
             a = a & b
         return a
 
+    def hits(self, n: int, owner: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many n-grams of each of ``n`` rows each language contains, false positives among them."""
+        found, langs = self.containing(hashes), len(self.languages)
+        out = np.empty((n, langs))
+        bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+        for first in range(0, langs, 8):  # eight languages are counted at once, by what their bits spell
+            eight = (found[:, first // 64] >> U64(first % 64)) & U64(255)
+            spelt = np.bincount((owner << 8) | eight.astype(np.int64), minlength=n << 8).reshape(n, 256)
+            out[:, first : first + 8] = (spelt @ bits)[:, : langs - first]
+        return out
+
     def decide(self, n: int, owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the best language and its score, the share of known n-grams among all, for each of ``n`` rows."""
         total = np.bincount(owner, minlength=n)
-        found = self.containing(hashes)
         false = self.fill**HASHES
-        hits = np.empty((n, len(self.languages)))
-        for k in range(len(self.languages)):
-            count = np.bincount(owner[(found >> U64(k)) & U64(1) == 1], minlength=n)
-            hits[:, k] = np.maximum(0, (count - total * false[k]) / max(1 - false[k], 1e-9))
+        hits = np.maximum(0, (self.hits(n, owner, hashes) - total[:, None] * false) / np.maximum(1 - false, 1e-9))
         best = hits.argmax(1)  # the first of equals; languages stand in order of frequency
         return best, np.where(total > 0, hits[np.arange(n), best] / np.maximum(total, 1), 0.0).clip(0, 1)
 
 
 def _rows_by_language(known: DataFrame) -> dict[str, int]:
     """The rows of each language, the most frequent language first."""
-    return {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
+    return {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()}
 
 
 def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share: float = 0.01, least_ratio: float = 0.5, bits_per_gram: int = 24, key: str = "doc_id") -> LanguageFilter | None:
@@ -133,13 +143,14 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share:
     sizes = rows = _rows_by_language(known)
     if not rows:
         return None
-    if len(rows) > 64:
-        raise ValueError("the bitmasks hold 64 languages")
-    many = [F.when(F.col("lang") == k, F.lit(int((1 << 30) * sample_rows / n))) for k, n in rows.items() if n > sample_rows]
-    if many:
-        picked = F.pmod(F.xxhash64(F.col(key).cast("string"), F.xxhash64("text"), F.lit(97)), F.lit(1 << 30))
-        known = known.where(picked < F.coalesce(*many, F.lit(1 << 30)))
-        sizes = _rows_by_language(known)
+    row = F.xxhash64(F.col(key).cast("string"), F.xxhash64("text"), F.lit(97))
+    share = F.create_map(*[F.lit(x) for k, n in rows.items() for x in (k, int((1 << 30) * min(1.0, sample_rows / n)))])
+    known = known.where(F.pmod(row, F.lit(1 << 30)) < share[F.col("lang")])
+    once = written(known.select("lang", row.alias("row")).groupBy("lang", "row").agg(F.count("*").alias("n")), "picked")
+    sizes = _rows_by_language(once)
+    if not once.where("n > 1").isEmpty():  # repeated rows: each text once
+        known = known.withColumn("row", row).dropDuplicates(["lang", "row"])
+    dropped(once)
     known = known.select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,23 +165,24 @@ def fit_languages(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, least_share:
                     values, counts = np.unique(h[first], return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    share = F.col("n") / F.coalesce(*[F.when(F.col("lang") == k, F.lit(float(v))) for k, v in sizes.items()])
+    share = F.col("n") / F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, float(v))])[F.col("lang")]
     common = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("share", share)
     # A language has at most (n-grams of a document) / least_share such n-grams.
     common = common.where((F.col("share") >= least_share) & (F.col("n") >= 2))
     got = common.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("by")).toArrow()
     names = [k for k in rows if k in sizes]
     gram = got.column("gram").to_numpy().view(U64)
-    mask = np.zeros(len(gram), U64)
+    place = {k: i for i, k in enumerate(names)}
+    mask = np.zeros((len(gram), (len(names) + 63) // 64), U64)
     for i, by in enumerate(got.column("by").to_pylist()):
         top = max(v for _, v in by)
         for lang, v in by:
             if v >= least_ratio * top:
-                mask[i] |= U64(1) << U64(names.index(lang))
+                mask[i, place[lang] // 64] |= U64(1) << U64(place[lang] % 64)
     slots = 1 << max(12, int(len(gram) * bits_per_gram / HASHES - 1).bit_length())
-    out = LanguageFilter(names, np.zeros(min(slots, 1 << 20), U64), np.zeros(len(names)))
+    out = LanguageFilter(names, np.zeros((slots, mask.shape[1]), U64), np.zeros(len(names)))
     out.add(gram, mask)
-    out.fill = np.array([((out.masks >> U64(k)) & U64(1)).mean() for k in range(len(names))])
+    out.fill = np.array([((out.masks[:, k // 64] >> U64(k % 64)) & U64(1)).mean() for k in range(len(names))])
     return out
 
 
