@@ -37,6 +37,7 @@ RATE = 16000
 RANGE_BYTES = 32 << 20
 BATCH_BYTES = 8 << 20
 TRIES = 3
+LEVEL = 1
 SCHEMA = "key long, n_bytes long, archive string, header_offset long, media binary, error string"
 
 
@@ -73,14 +74,13 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
             return
         uri, members = new_file(f"{folder}/archives", ".zip"), 0
         fs, path = open_fs(uri)
-        with fs.open_output_stream(path, compression=None) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+        with fs.open_output_stream(path, compression=None) as out, zipfile.ZipFile(out, "w") as z:
             for batch in chain([first], full):
                 for k, t in zip(batch.column("key"), batch.column("text")):
                     value, body = k.as_py(), t.as_py() or ""
                     info = zipfile.ZipInfo(f"{members}.wav")
-                    info.compress_type = zipfile.ZIP_DEFLATED
                     info.comment = json.dumps([value, len(body.encode())]).encode()
-                    z.writestr(info, wav(payload_of(body)))
+                    z.writestr(info, wav(payload_of(body)), zipfile.ZIP_DEFLATED, compresslevel=LEVEL)
                     members += 1
         size = fs.get_file_info(path).size
         yield pa.record_batch([pa.array([uri]), pa.array([size], pa.int64()), pa.array([members], pa.int64())], names=["archive", "bytes", "members"])
