@@ -11,7 +11,10 @@ key of each block. The list of shards (one row for each partition, however many
 then reads a record by its byte range.
 
 Null html counts as empty. A null URL has the key of the empty URL. Equal payloads under one page
-id (repeated rows) are all responses. A null page id counts as the smallest. All rows are kept.
+id (repeated rows) are all responses; different payloads under one page id are captures of their own.
+A null page id counts as the smallest. All rows are kept; pages of any length are single records, of
+which a task holds one at a time beside its batch of 512. An empty table gives no captures. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import scratch_path, table, written
+from rallyframe.llm.common import scratch_path, small, table, written
 from rallyframe.llm.files import new_file, open_fs
 from rallyframe.llm.urls import url_parts
 
@@ -83,6 +87,12 @@ def _id(value: str) -> int | None:
     return int(value) if value else None
 
 
+def task_count(spark: SparkSession, size: int, least: int = 1 << 20, most: int = 64 << 20) -> int:
+    """Tasks for ``size`` bytes: of ``least`` or more each, up to the session's shuffle partitions; beyond these of at most ``most``."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(usual, ceil(size / least)), ceil(size / most))
+
+
 def write_warcs(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFrame:
     """Write all pages; returns the captures (url_key, page_id, path, offset, length)."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -94,7 +104,7 @@ def write_warcs(pages: DataFrame, folder: str, least_revisit: int = 0) -> DataFr
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, uri = None, None
-        for batch in batches:
+        for batch in small(batches):
             if out is None:
                 uri = new_file(f"{folder}/warc", ".warc.gz")
                 fs, path = open_fs(uri)
@@ -199,8 +209,12 @@ class Index:
         return found
 
 
-def look_up(keys: DataFrame, shards: list[tuple]) -> DataFrame:
-    """For each (url_key, page_id): what the records of its captures say, payloads re-read and checked."""
+def look_up(keys: DataFrame, shards: list[tuple], size: int = 0) -> DataFrame:
+    """For each (url_key, page_id): what the records of its captures say, payloads re-read and checked.
+
+    ``size``: bytes of the records to be read, from which the number of tasks follows (keys are small
+    beside what they make a task read).
+    """
     top = keys.sparkSession.sparkContext.broadcast(shards)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,11 +233,14 @@ def look_up(keys: DataFrame, shards: list[tuple]) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    sorted_keys = keys.distinct().repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    tasks = task_count(keys.sparkSession, size)
+    sorted_keys = keys.distinct().repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
     return sorted_keys.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, folder = table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
-    shards = build_index(write_warcs(pages, folder), folder)
-    return look_up(pages.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id")), shards)
+    captures = write_warcs(pages, folder)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    keys = pages.select(url_key(F.col("url")).alias("url_key"), F.col("page_id").cast("long").alias("page_id"))
+    return look_up(keys, build_index(captures, folder), size)
