@@ -10,8 +10,8 @@ mix exactly once: when a source ends, the others go on at their weights.
 
 Everything is DataFrame functions. Rounds with the same counts have the same schedule, so a schedule
 is made once for each of at most 2 * sources + 1 such shapes, not for each round. Rows are ranked within
-a source in two steps, by about sqrt(n) hash buckets of about sqrt(n) rows each, so a source with a third
-of all rows is never ordered in one task. What is broadcast is a table of the sources; their
+a source in two steps, by about sqrt(n) buckets of about sqrt(n) rows each by a hash of all columns, so
+neither a source with a third of all rows nor many rows under one id are ordered in one task. What is broadcast is a table of the sources; their
 number is at most ``MOST_SOURCES`` and the weights' sum at most ``MOST_WEIGHT``, which is checked.
 
 A null source is a source of its own; null ids and repeated rows are placed like others (rows that
@@ -111,7 +111,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if c in columns and not kind.startswith("map")]
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     small = F.broadcast(plan.select("src", "buckets"))  # at most MOST_SOURCES rows
-    rows = docs.select(name.alias("src"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.xxhash64(*hashed).alias("tie"), row).join(small, "src").withColumn("bucket", F.pmod("h", "buckets")).drop("buckets")
+    rows = docs.select(name.alias("src"), F.xxhash64(F.col(key).cast("string"), F.xxhash64(*hashed)).alias("h"), F.xxhash64(*hashed).alias("tie"), row).join(small, "src").withColumn("bucket", F.pmod("h", "buckets")).drop("buckets")
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = rows.groupBy("src", "bucket").agg(F.count("*").alias("m")).select("src", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"))
     ranked = rows.join(counted, ["src", "bucket"]).withColumn("at", F.col("offset") + F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "tie")) - 1)
@@ -124,4 +124,4 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix_sources(table(spark, sf_dir, "documents"))
