@@ -7,11 +7,13 @@ All rules advance together over each canonical URL, and the batch of URLs advanc
 Canonical URL: ``.host``, a boundary, then the path. Host: after the first ``://`` up to ``/``,
 ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to ``?``, ``#`` or the end. A null URL, or
 one without ``://``, has an empty host and path. In a rule's glob, ``*`` stands for any run, ``?`` for
-one byte, and ``\\n`` for the boundary (no other byte of a canonical URL becomes one).
+one character, and ``\\n`` for the boundary (no other byte of a canonical URL becomes one).
 
 A rule (host, path) fits its host and all its subdomains if the URL's path starts with the rule's.
 Of the fitting rules the longest wins (a tie: the first of equals by text). Where none fits, the
-general globs decide: block if any fits, else allow. All rows are kept, repeated ones too.
+general globs decide: block if any fits, else allow. All rows are kept, those with a null or repeated
+key too; an empty table gives none. URLs of any length are read whole, in slices of bounded size. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +37,13 @@ BLOCK_GLOBS = ("*cheap-pills.*\n*", "*casino-win.*\n*", "*free-bets.*\n*", "*adu
 
 @dataclass
 class Automaton:
-    """``accepts``: 256 masks; ``loops``: bits with a loop; ``starts``: first symbols of a rule, ``anywhere``: those behind a leading ``*``."""
+    """``accepts``: 256 masks; ``loops``: bits with a loop; ``first``: first symbols of a rule, ``anywhere``: those behind a leading ``*``, ``tails``: bits that stay for the further bytes of a character."""
 
     accepts: np.ndarray
     loops: np.ndarray
     first: np.ndarray
     anywhere: np.ndarray
+    tails: np.ndarray
     finals: list[int | None]
 
     @classmethod
@@ -70,9 +73,10 @@ class Automaton:
 
         accepts = np.zeros((256, words), np.uint64)
         for c in range(256):
-            accepts[c] = mask(i for i, (_, s) in enumerate(symbols) if s in (c, -1))
+            begins = c < 0x80 or 0xC0 <= c != BOUNDARY
+            accepts[c] = mask(i for i, (_, s) in enumerate(symbols) if s == c or (s == -1 and begins))
         # a rule's first symbol must not be reached from the rule before it
-        return cls(accepts, mask(loops), mask(first), mask(anywhere), finals)
+        return cls(accepts, mask(loops), mask(first), mask(anywhere), mask(i for i, (_, s) in enumerate(symbols) if s == -1), finals)
 
     def fits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Row by rule: whether the rule fits the whole row."""
@@ -88,7 +92,9 @@ class Automaton:
             up = s << one
             up[:, 1:] |= s[:, :-1] >> np.uint64(63)
             up = (up & ~heads) | (heads if j == 0 else self.anywhere)
-            state[:live] = (up & self.accepts[data[begin[:live] + j]]) | (s & self.loops)
+            byte = data[begin[:live] + j]
+            stay = np.where(((byte & 0xC0) == 0x80)[:, None], self.loops | self.tails, self.loops)
+            state[:live] = (up & self.accepts[byte]) | (s & stay)
         out = np.zeros((n, len(self.finals)), bool)
         for k, f in enumerate(self.finals):
             out[order, k] = True if f is None else (state[:, f // 64] >> np.uint64(f % 64)) & one == 1
@@ -145,7 +151,7 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOST = r"translate(regexp_extract(regexp_extract(substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3), '^([^?#]*)', 1), '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_PATH = r"regexp_extract(regexp_extract(substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3), '^([^?#]*)', 1), '^[^/]*(.*)$', 1)"
+_PATH = r"regexp_extract(regexp_extract(substr(coalesce(url, ''), strpos(coalesce(url, ''), '://') + 3), '^([^?#]*)', 1), '(?s)^[^/]*(.*)$', 1)"
 OP8_SQL = f"""
 WITH parts AS (
   SELECT page_id,
