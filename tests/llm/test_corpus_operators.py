@@ -255,21 +255,52 @@ def test_recall_at_the_largest_distance():
     items = [[rng.choice(vocab) for _ in range(n)] for n in (12, 20, 35, 50, 80) for _ in range(12)]
     index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items])
     texts = [" ".join(rng.choices(vocab, k=80) + edited(rng, w, vocab, len(w) // 5) + rng.choices(vocab, k=80)) for w in items for _ in range(3)]
-    got = {(r, i) for r, i, _ in index.leaks(pa.array(texts))}
+    got = {(r, i) for r, i, _ in index.leaks(decontaminate.words_of(pa.array(texts)))}
     assert sum((k, k // 3) in got for k in range(len(texts))) >= 0.97 * len(texts)
 
 
-@pytest.mark.parametrize("size", (300, 600, 1000, 2000))
-def test_recall_of_long_items(size):
-    rng = random.Random(size)
+def only(rng, words, vocab, k, kind):
+    """k edits of one kind, or mixed ones."""
+    w = list(words)
+    if kind == "insert":
+        for _ in range(k):
+            w.insert(rng.randrange(len(w)), rng.choice(vocab))
+    elif kind == "delete":
+        for p in sorted(rng.sample(range(len(w)), k), reverse=True):
+            del w[p]
+    else:
+        w = edited(rng, w, vocab, k)
+    return w
+
+
+@pytest.mark.parametrize("size", (5, 40, 80, 150, 300, 600, 1500))
+@pytest.mark.parametrize("kind", ("insert", "delete", "mixed"))
+def test_recall_at_the_largest_distance_by_size(size, kind):
+    rng = random.Random(f"{size}{kind}")
     vocab = [f"v{k}" for k in range(3000)] + ["the"] * 400
-    items = [[rng.choice(vocab) for _ in range(size - rng.randint(0, size // 10))] for _ in range(8)]
+    items = [[rng.choice(vocab) for _ in range(size)] for _ in range(6)]
     index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items])
-    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 400)) + edited(rng, w, vocab, len(w) * k // 20) + rng.choices(vocab, k=200)) for w in items for k in (0, 1, 4)]
-    got = {(r, i) for r, i, _ in index.leaks(pa.array(texts))}
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 400)) + only(rng, w, vocab, size * k // 20, kind) + rng.choices(vocab, k=200)) for w in items for k in (0, 1, 4)]
+    got = {(r, i) for r, i, _ in index.leaks(decontaminate.words_of(pa.array(texts)))}
     assert got == {(r, r // 3) for r in range(len(texts))}
 
 
+def test_documents_with_long_items_go_whatever_the_blocks(spark):
+    rng = random.Random(31)
+    vocab = [f"v{k}" for k in range(2000)]
+    items = {k: [rng.choice(vocab) for _ in range(n)] for k, n in enumerate((5, 150, 600, 900))}
+    texts = {10 * k + j: rng.choices(vocab, k=100) + only(rng, w, vocab, len(w) // 5, kind) + rng.choices(vocab, k=50) for k, w in items.items() for j, kind in enumerate(("insert", "delete", "mixed"))}
+    texts |= {100 + k: rng.choices(vocab, k=700) for k in range(5)}
+    docs = spark.createDataFrame([(i, " ".join(t), i) for i, t in texts.items()], "doc_id long, text string, uri long")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] * 3, "item_id long, text string")
+    want = {(10 * k + j, k) for k in items for j in range(3)}
+    for options in ({}, {"block_items": 1}, {"block_bytes": 2000}):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, **options).collect()} == want
+        kept = decontaminate.without_leaks(docs, bench, **options)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {100 + k for k in range(5)}
+    assert len(decontaminate.item_blocks(bench, block_items=1)) > 1
+
+
 def test_counting_finds_every_leak_that_brute_force_finds(monkeypatch):
     rng = random.Random(4)
     vocab = [f"v{k}" for k in range(40)] + ["the", "of"] * 5
@@ -281,10 +312,10 @@ def test_counting_finds_every_leak_that_brute_force_finds(monkeypatch):
     index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items])
     want = {(r, i): d for r, t in enumerate(texts) for i, w in enumerate(items) if (d := plain_infix_distance(w, t)) <= int(0.2 * len(w))}
     column = pa.array([" ".join(t) for t in texts])
-    assert {(r, i): d for r, i, d in index.leaks(column)} == want
+    assert {(r, i): d for r, i, d in index.leaks(decontaminate.words_of(column))} == want
     counted = index._counted
     monkeypatch.setattr(index, "_counted", lambda c, flat, base: counted(c, flat, base, limit=50))  # many small steps
-    assert {(r, i): d for r, i, d in index.leaks(column)} == want
+    assert {(r, i): d for r, i, d in index.leaks(decontaminate.words_of(column))} == want
 
 
 def test_words_of_unspaced_scripts_and_punctuation():
@@ -321,6 +352,13 @@ def test_media_round_trip(spark):
     manifest = media.write_archives(df, scratch_path(spark, "media"))
     got = media.media_features(media.read_archives(spark, manifest, range_bytes=300, batch_bytes=100)).collect()
     assert Counter(r["doc_id"] for r in got) == {i: 2 for i in ODD}
+    import zipfile
+
+    paths = [r["archive"].removeprefix("file://") for r in spark.read.parquet(manifest).collect()]
+    infos = [i for path in paths for i in zipfile.ZipFile(path).infolist()]
+    big = next(i for i in infos if i.file_size > 200_000)
+    fast = zlib.compressobj(1, zlib.DEFLATED, -15)
+    assert big.compress_size == len(fast.compress(media.wav(padded(ODD[6]))) + fast.flush())  # the fast level
     for r in got:
         p = padded(ODD[r["doc_id"]])
         assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["n_bytes"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len((ODD[r["doc_id"]] or "").encode()))
@@ -357,11 +395,88 @@ def test_warc_round_trip(spark):
         want = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), *(("response", None) if i == largest else ("revisit", largest)))
         assert got[i] == want
     assert len(got) == len(pages)
+    plan = warc.look_up(df.select(warc.url_key(F.col("url")).alias("url_key"), "page_id"), shards, 3 << 20)
+    assert plan.rdd.getNumPartitions() == 3
     missing = spark.createDataFrame([("com,nowhere)/", 1)], "url_key string, page_id long")
     assert warc.look_up(missing, shards).count() == 0
     assert warc.build_index(warc.write_warcs(df.where("false"), folder), folder) == []
 
 
+def test_warc_with_several_payloads_under_one_page_id(spark):
+    pages = [(1, "http://a/", "x"), (1, "http://a/", "y"), (1, "http://b/", "x"), (1, "http://a/", "x"), (2, "http://a/", "y"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc")
+    shards = warc.build_index(warc.write_warcs(df, folder), folder)
+    got = Counter(tuple(r)[:1] + tuple(r)[3:] for r in warc.look_up(df.select(warc.url_key(F.col("url")).alias("url_key"), "page_id"), shards).collect())
+    assert got == {(1, "response", None): 3, (1, "revisit", 2): 1, (2, "response", None): 1, (None, "response", None): 2}
+    assert warc.task_count(spark, 0) == 1 and warc.task_count(spark, 1 << 40) == 1 << 14 and warc.task_count(spark, 2 << 20) == 2
+
+
+def test_mixing_splits_rows_under_one_id(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS long) AS doc_id", "'a' AS source", "concat('t', id) AS text")
+    mixed = mixing.mix_sources(df, {}, 1, block_rows=8)
+    assert sorted(r["mix_position"] for r in mixed.collect()) == list(range(4000))
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("doc_id", "source", "text"))
+    assert df.select(F.pmod(h, F.lit(64)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 200
+
+
+CONTRACT = {
+    "op1_mixing": {"doc_id", "source", "mix_block", "mix_slot", "mix_position"},
+    "op2_quality": {"doc_id", "held_out", "score", "predicted"},
+    "op3_toxicity": {"doc_id", "held_out", "score", "predicted"},
+    "op4_language": {"doc_id", "held_out", "lang_pred", "score"},
+    "op5_neardup": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op6_decontaminate": {"doc_id", "item_id", "edits", "words"},
+    "op7_media": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"},
+    "op8_urls": {"page_id", "host", "path", "rule", "verdict"},
+    "op9_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
+    "op10_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_registered_query(spark, name):
+    import __spark_entry__
+
+    out = __spark_entry__.queries()[name](spark, SF)
+    assert CONTRACT[name] <= set(out.columns)
+    rows = out.collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    if name == "op6_decontaminate":
+        items = {r["item_id"]: re.findall(r"\w+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+        words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in docs.items()}
+        want = {(i, k): d for i, t in words.items() for k, w in items.items() if len(w) >= 5 and len(set(w) & set(t)) >= 0.5 * len(set(w)) and (d := plain_infix_distance(w, t)) <= int(0.2 * len(w))}
+        assert {(r["doc_id"], r["item_id"]): r["edits"] for r in rows} == want
+        return
+    key, ids = ("page_id", [p["page_id"] for p in pages]) if "page_id" in out.columns else ("doc_id", list(docs))
+    assert sorted(r[key] for r in rows) == sorted(ids)
+    if name == "op1_mixing":
+        assert sorted(r["mix_position"] for r in rows) == list(range(len(docs))) and {r["doc_id"]: r["text"] for r in rows} == docs
+    elif name == "op5_neardup":
+        sets = sets_of(docs, 3)
+        comp = brute_components(sets, 85)
+        assert all((r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), comp[r["doc_id"]], comp[r["doc_id"]] == r["doc_id"]) for r in rows)
+    elif name == "op7_media":
+        for r in rows:
+            p = padded(docs[r["doc_id"]])
+            assert (r["payload_bytes"], r["payload_sha256"], r["media_sha256"]) == (len(p), hashlib.sha256(p).hexdigest(), hashlib.sha256(media.wav(p)).hexdigest())
+    elif name == "op10_warc":
+        largest = {}
+        for p in pages:
+            largest[p["html"] or ""] = max(largest.get(p["html"] or "", -1), p["page_id"])
+        html = {p["page_id"]: p["html"] or "" for p in pages}
+        for r in rows:
+            at = largest[html[r["page_id"]]]
+            assert (r["record_type"], r["refers_to"]) == (("response", None) if at == r["page_id"] else ("revisit", at))
+            assert r["payload_digest"] == base64.b32encode(hashlib.sha1(html[r["page_id"]].encode()).digest()).decode()
+    elif name in ("op2_quality", "op3_toxicity"):
+        assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    elif name == "op4_language":
+        assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+        assert all((r["lang_pred"] == "und") == (not any(c.isalpha() for c in docs[r["doc_id"]] or "")) for r in rows)
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline
 
