@@ -3,7 +3,8 @@
 1. language: texts without a letter, and texts of which too few n-grams are known in any language,
    go. The filter is learned from the stage's own rows that have a language.
 2. near_duplicates: of each group of near copies (five-word shingles, similarity 0.8 or more) the
-   document with the smallest doc_id stays. Rows without a doc_id stay.
+   document with the smallest doc_id stays. A doc_id is one document: all its rows stay or go. Rows
+   without a doc_id stay.
 3. decontamination: documents that hold an item of ``benchmark`` go.
 4. personal_data: items found in the texts are masked; n_chars follows the text.
 5. mixing: every row gets its place in the mix of sources.
@@ -14,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm.common import table, written
+from rallyframe.llm.common import dropped, table, written
 from rallyframe.llm.decontaminate import without_leaks
 from rallyframe.llm.langid import fit_languages, identified
 from rallyframe.llm.mixing import mix_sources
 from rallyframe.llm.neardup import near_duplicates
 from rallyframe.llm.pii import mask_pii
 
-ORACLE_SQL = None  # SQL can't express the stages; tests/llm/test_pipeline.py holds run() against brute force
+ORACLE_SQL = None  # SQL can't express the stages; tests/llm/test_corpus_operators.py holds every stage against brute force
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +60,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
