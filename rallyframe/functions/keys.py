@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Invisible characters that a name key ignores: soft hyphen, combining grapheme joiner, Arabic letter
-# mark, fillers, zero-width and direction marks, variation selectors, byte order mark, tags.
-INVISIBLE = "\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u206F\\u3164\\uFE00-\\uFE0F\\uFEFF\\uFFA0\\x{E0000}-\\x{E0FFF}"
+# Characters that render as nothing: controls, format characters, and (fixed values) the grapheme
+# joiner, fillers, vowel inherent signs, variation selectors and other ignorable code points.
+INVISIBLE = "\\p{Cc}\\p{Cf}\\u034F\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u3164\\uFE00-\\uFE0F\\uFFA0\\x{E0100}-\\x{E01EF}"
+# Those of scripts whose invisible characters carry meaning stay, and so does what renders as a blank.
+IGNORED = f"[{INVISIBLE}&&[\\p{{IsCommon}}\\p{{IsInherited}}\\p{{IsLatin}}]&&[^\\p{{IsWhite_Space}}]]"
+NULL_KEY = "null"  # no text's key: those have a tag with a colon
 
 
 @F.pandas_udf(T.StringType())
@@ -20,8 +23,8 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def name_key(name: Column) -> Column:
-    """Without invisible characters, trimmed, NFKC, lower case, in this order; pure ASCII never leaves the JVM."""
-    bare = F.regexp_replace(F.regexp_replace(name, f"[{INVISIBLE}]", ""), r"(?U)^\s+|\s+$", "")
+    """Without invisible characters, trimmed, NFKC, lower case, in this order."""
+    bare = F.regexp_replace(F.regexp_replace(name, IGNORED, ""), r"(?U)^\s+|\s+$", "")
     return F.lower(nfkc(bare))
 
 
@@ -35,24 +38,31 @@ def slug(text: Column) -> Column:
 
 
 def loose_key(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """``raw:`` and the ASCII letters and digits of the lower-cased text; without any, ``lit:`` and the text with single blanks."""
+    low = F.lower(text)
+    bare = F.regexp_replace(low, "[^a-z0-9]", "")
+    return F.when(bare != "", F.concat(F.lit("raw:"), bare)).otherwise(F.concat(F.lit("lit:"), squeezed(low)))
+
+
+def squeezed(text: Column) -> Column:
+    """Single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def time_key(text: Column) -> Column:
-    """``clock:HH:MM`` for 12-hour and 24-hour times, else ``raw:`` and the loose text; null stays null."""
-    t = loose_key(text)
-    shape = r"^(\d{1,2}):(\d{2}) ?([ap])?\.?m?\.?$"
-    hour, minute, half = F.regexp_extract(t, shape, 1), F.regexp_extract(t, shape, 2), F.regexp_extract(t, shape, 3)
-    h = hour.try_cast("int")
-    h24 = F.when(half == "p", F.when(h < 12, h + 12).otherwise(h)).when(half == "a", F.when(h == 12, 0).otherwise(h)).otherwise(h)
-    ok = (hour != "") & (h24 <= 23) & (minute.try_cast("int") <= 59)
-    return F.when(t.isNull(), None).when(ok, F.concat(F.lit("clock:"), F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), minute)).otherwise(F.concat(F.lit("raw:"), t))
+    """``clock:HH:MM`` of a 12-hour time, blanks allowed about its parts; any other text's loose key; null has a key of its own."""
+    parts = F.split(squeezed(F.lower(text)), ":")
+    hour, rest = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    half = F.ltrim(F.substring(rest, 3, 100))
+    shaped = (F.size(parts) == 2) & hour.rlike("^[0-9]{1,2}$") & rest.rlike("^[0-9]{2}") & half.isin("am", "am.", "a.m", "a.m.", "pm", "pm.", "p.m", "p.m.")
+    h24 = F.pmod(hour.try_cast("int"), F.lit(12)) + F.when(half.startswith("p"), 12).otherwise(0)
+    clock = F.concat(F.lit("clock:"), F.lpad(h24.cast("string"), 2, "0"), F.lit(":"), F.substring(rest, 1, 2))
+    return F.when(text.isNull(), NULL_KEY).when(shaped, clock).otherwise(loose_key(text))
 
 
 def site_key(text: Column) -> Column:
-    """Letters and digits only, tagged ``lit:``; a text without any keeps its loose form, tagged ``raw:``."""
-    bare = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
-    return F.when(bare == "", F.concat(F.lit("raw:"), loose_key(text))).otherwise(F.concat(F.lit("lit:"), bare))
+    """A site's loose key: case and punctuation do not count; null has a key of its own."""
+    return F.when(text.isNull(), NULL_KEY).otherwise(loose_key(text))
 
 
 def is_iso_day(text: Column) -> Column:
@@ -64,28 +74,35 @@ def twelve_months_before(day: Column) -> Column:
 
 
 def fuzzy_neighbours(left: DataFrame, right: DataFrame, key: str = "key", radius: int = 2) -> DataFrame:
-    """Pairs of rows (columns of ``left``, then those of ``right`` with ``other_``) whose keys are 1 to ``radius`` edits apart.
+    """Distinct pairs of keys (``key``, ``other_key``) that are 1 to ``radius`` edits apart, with the edits.
 
-    A name within d edits keeps one of d + 1 pieces whole, at a place moved by at most d: keys are
-    joined on such pieces (an equi-join), and the edit distance only confirms.
+    A key within d edits keeps one of d + 1 pieces whole, at a place moved by at most d: keys are
+    joined on such pieces (an equi-join), and the edit distance only confirms. Keys too short to have
+    a piece of each kind are few, since keys are distinct, and meet by length.
     """
-    pieces = radius + 1
+    pieces, k, other = radius + 1, F.col(key), F.col(f"other_{key}")
 
-    def piece(k: Column, length: Column, i: int) -> tuple[Column, Column]:
+    def piece(length: Column, i: int) -> tuple[Column, Column]:
         at, end = F.floor(length * i / pieces), F.floor(length * (i + 1) / pieces)
         return at.cast("int"), (end - at).cast("int")
 
-    n = F.char_length(key)
-    parts = [F.struct(F.lit(i).alias("i"), n.alias("n"), F.substring(F.col(key), piece(F.col(key), n, i)[0] + 1, piece(F.col(key), n, i)[1]).alias("s")) for i in range(pieces)]
-    a = left.select("*", F.explode(F.array(*parts)).alias("__p"))
-    other = right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns])
-    ok, m = F.col(f"other_{key}"), F.char_length(f"other_{key}")
+    n = F.char_length(k)
+    own = []
+    for i in range(pieces):
+        at, size = piece(n, i)
+        own.append(F.struct(F.lit(i).alias("i"), n.alias("n"), F.substring(k, at + 1, size).alias("s")))
+    a = left.select(k).where(k.isNotNull()).distinct().select(k, F.explode(F.array_distinct(F.array(*own))).alias("__p"))
+    b = right.select(k.alias(f"other_{key}")).where(other.isNotNull()).distinct()
+    # Only lengths that occur on the left make pieces on the right.
+    m = F.char_length(other)
+    lengths = a.select(F.col("__p.n").alias("n")).distinct()
+    b = b.select(other, F.explode(F.sequence(F.greatest(m - radius, F.lit(0)), m + radius)).alias("n")).join(lengths, "n")
     wanted = []
     for i in range(pieces):
-        for d in range(-radius, radius + 1):  # the length of the left key
-            at, size = piece(ok, m + d, i)
-            for shift in range(-radius, radius + 1):
-                wanted.append(F.when(at + shift >= 0, F.struct(F.lit(i).alias("i"), (m + d).alias("n"), F.substring(ok, at + shift + 1, size).alias("s"))))
-    b = other.select("*", F.explode(F.array_distinct(F.filter(F.array(*wanted), lambda x: x.isNotNull()))).alias("__p"))
-    joined = a.join(b, "__p").drop("__p").distinct()
-    return joined.withColumn("edits", F.levenshtein(F.col(key), ok).cast("long")).where(F.col("edits").between(1, radius))
+        at, size = piece(F.col("n"), i)
+        for shift in range(-radius, radius + 1):
+            # a piece that moves by more than the difference in length allows needs more edits than there are
+            fits = (at + shift >= 0) & (at + shift + size <= m) & (abs(shift) + F.abs(m - F.col("n") - shift) <= radius)
+            wanted.append(F.when(fits, F.struct(F.lit(i).alias("i"), F.col("n").alias("n"), F.substring(other, at + shift + 1, size).alias("s"))))
+    b = b.select(other, F.explode(F.array_distinct(F.filter(F.array(*wanted), lambda x: x.isNotNull()))).alias("__p"))
+    return a.join(b, "__p").drop("__p").distinct().withColumn("edits", F.levenshtein(k, other).cast("long")).where(F.col("edits").between(1, radius))

@@ -33,6 +33,11 @@ def escape_html(text: Column) -> Column:
 
 
 def gender(text: Column) -> Column:
-    """M or F from the first letter of the usual words, else null."""
-    t = F.lower(F.trim(text))
-    return F.when(t.isin("m", "male", "men"), "M").when(t.isin("f", "female", "women", "w"), "F")
+    """Male or Female, in any case and behind the label of a category; any other word is no opinion (null)."""
+    word = F.regexp_replace(F.regexp_replace(text, r"(?i)^competition category:", ""), r"(?U)^\s+|\s+$", "")
+    return F.when(F.upper(word) == "MALE", "Male").when(F.upper(word) == "FEMALE", "Female")
+
+
+def gender_to_write(old: Column, text: Column) -> Column:
+    """What is stored after a source said ``text``: a word that says nothing leaves what is known."""
+    return F.coalesce(gender(text), old)

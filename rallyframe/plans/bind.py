@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 ANCHOR = "2001-08-01"
 EVENTS = ((1, "Opening week", "2024-01-01", "2024-01-10"), (2, "Second week", "2024-01-08", "2024-01-20"), (3, "Closing days", "2024-01-25", "2024-01-30"))
 REGISTERED_UNTIL = "2024-01-03"
+TIMES = (None, "9:00 AM", "09:00am", " 9 : 00 a.m. ", "17:00", "5:00 p.m", "TBD")
+SITES = (None, "St. Mary's", "st marys", "--", "Court 7")
+
+
+def _sql_choice(values: tuple, column: str) -> str:
+    listed = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"list_extract([{listed}], CAST({column} % {len(values)} AS INTEGER) + 1)"
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -62,6 +69,8 @@ def team_matches(spark, d):
     return m.select(
         "match_id", "played_on", "home_team_id", ((F.col("home_team_id") + 1 + F.col("match_id") % 24) % 25).cast("int").alias("visiting_team_id"),
         F.when(known, F.col("a")).alias("home_courts_won"), F.when(known, F.col("r")).alias("visiting_courts_won"),
+        F.get(F.array(*map(F.lit, TIMES)), F.col("match_id") % len(TIMES)).alias("scheduled_time"), F.get(F.array(*map(F.lit, SITES)), F.col("match_id") % len(SITES)).alias("site"),
+        F.when(F.col("match_id") % 7 == 3, 1).when(F.col("match_id") % 7 == 5, 2).alias("event_id"),
     )
 
 
@@ -102,7 +111,8 @@ match_players AS (SELECT m.match_id, m.played_on, m.winner_side, m.slot, m.disci
 leagues AS (SELECT m.match_id, CASE WHEN m.match_id % 23 <> 0 THEN c.c_mktsegment END AS league_context FROM court_matches m LEFT JOIN customer c ON c.c_custkey = m.o_custkey),
 team_matches AS (
   SELECT m.match_id, m.played_on, c.c_nationkey AS home_team_id, CAST((c.c_nationkey + 1 + m.match_id % 24) % 25 AS INTEGER) AS visiting_team_id,
-         CASE WHEN m.match_id % 19 <> 0 THEN f.a END AS home_courts_won, CASE WHEN m.match_id % 19 <> 0 THEN f.r END AS visiting_courts_won
+         CASE WHEN m.match_id % 19 <> 0 THEN f.a END AS home_courts_won, CASE WHEN m.match_id % 19 <> 0 THEN f.r END AS visiting_courts_won,
+         {_sql_choice(TIMES, "m.match_id")} AS scheduled_time, {_sql_choice(SITES, "m.match_id")} AS site, CASE m.match_id % 7 WHEN 3 THEN 1 WHEN 5 THEN 2 END AS event_id
   FROM court_matches m JOIN customer c ON c.c_custkey = m.o_custkey
   LEFT JOIN (SELECT l_orderkey, count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS a, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS r FROM lineitem GROUP BY 1) f ON f.l_orderkey = m.match_id),
 ratings AS (SELECT event_id AS rating_id, user_id AS player_id, event_type AS source, value, CAST(ts AS DATE) AS observed_on FROM events),

@@ -1,35 +1,23 @@
-"""The registered queries and their SQL. A query binds an operator to the test tables."""
+"""Queries of records, rosters, lineups and texts, and their SQL. A query binds an operator to the test tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions import grammar, keys, markup, phrases, redact
 from rallyframe.operators import identity, ingest, lineup, merge, ratings, records, roster, scope
 from rallyframe.plans import bind, dossier
-from rallyframe.plans.bind import ANCHOR, SQL_BASE
+from rallyframe.plans.bind import ANCHOR
+from rallyframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 SCOPE = "exclude:MA,BUILD"
 PRECEDENCE = ["purchase", "click", "view", "signup"]
 INVERTED = ["error", "click"]
 
 
-def query(sql: str | None = None, base: bool = True):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (SQL_BASE if base else "") + sql
-        return f
-
-    return add
-
-
 def _since():
     return keys.twelve_months_before(F.lit(ANCHOR).cast("date"))
 
@@ -304,16 +292,6 @@ def merge_ratings(s, d):
     return merge.merge_latest(stored, r.where("rating_id % 2 = 1"), key, ["rating_id"]).select("player_id", "source", "observed_on", "rating_id", "value")
 
 
-@query(""", oriented AS (SELECT least(home_team_id, visiting_team_id) AS low, greatest(home_team_id, visiting_team_id) AS high, played_on, match_id, home_team_id > visiting_team_id AS swap,
-  CASE WHEN home_team_id > visiting_team_id THEN visiting_courts_won ELSE home_courts_won END AS a, CASE WHEN home_team_id > visiting_team_id THEN home_courts_won ELSE visiting_courts_won END AS b FROM team_matches),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY low, high, played_on ORDER BY match_id) AS f, row_number() OVER (PARTITION BY low, high, played_on ORDER BY match_id DESC) AS l, count(*) OVER (PARTITION BY low, high, played_on) AS reports FROM oriented)
-SELECT x.match_id, x.played_on, CASE WHEN x.swap THEN x.high ELSE x.low END AS home_team_id, CASE WHEN x.swap THEN x.low ELSE x.high END AS visiting_team_id,
-  CASE WHEN x.swap THEN y.b ELSE y.a END AS home_courts_won, CASE WHEN x.swap THEN y.a ELSE y.b END AS visiting_courts_won, x.reports
-FROM numbered x JOIN numbered y ON x.low = y.low AND x.high = y.high AND x.played_on IS NOT DISTINCT FROM y.played_on WHERE x.f = 1 AND y.l = 1""")
-def merge_fixture_orientation(s, d):
-    return merge.merge_fixtures(bind.team_matches(s, d))
-
-
 _OBSERVED = "(SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) <= DATE '2024-01-05')"
 
 
@@ -346,23 +324,6 @@ def day_sequence(s, d):
     return roster.days_of(bind.events(s)).join(seen, "day", "left").select("event_id", "day")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'raw:tbd' ELSE 'clock:' || lpad(CAST(CASE WHEN o_orderkey % 4 = 1 THEN o_orderkey % 12 + CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE 0 END + CASE WHEN o_orderkey % 12 = 0 THEN 0 ELSE 12 END
-  WHEN o_orderkey % 4 = 2 THEN o_orderkey % 24 ELSE o_orderkey % 12 END AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') END AS time_key FROM orders""", base=False)
-def time_key(s, d):
-    k = F.col("o_orderkey")
-    minute = F.lpad((k % 60).cast("string"), 2, "0")
-    h12 = F.when(k % 12 == 0, 12).otherwise(k % 12).cast("string")
-    text = F.when(k % 4 == 0, F.lit(" TBD ")).when(k % 4 == 1, F.concat(h12, F.lit(":"), minute, F.lit(" PM"))).when(k % 4 == 2, F.concat((k % 24).cast("string"), F.lit(":"), minute)).otherwise(F.concat(h12, F.lit(":"), minute, F.lit("am")))
-    return bind.read(s, d, "orders").select("o_orderkey", keys.time_key(text).alias("time_key"))
-
-
-@query("""SELECT p_partkey, 'lit:' || trim(regexp_replace(lower(p_type || ' #' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS site_key,
-  regexp_replace(regexp_replace(lower(p_name || '  ' || p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lower(trim(p_name)) AS name_key FROM part""", base=False)
-def text_keys(s, d):
-    site = F.concat("p_type", F.lit(" #"), "p_brand")
-    return bind.read(s, d, "part").select("p_partkey", keys.site_key(site).alias("site_key"), keys.slug(F.concat("p_name", F.lit("  "), "p_type")).alias("slug"), keys.name_key(F.concat(F.lit(" \u200b"), "p_name", F.lit("\u00ad "))).alias("name_key"))
-
-
 @query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, regexp_extract(text, '{p}', 0) AS hit FROM documents WHERE regexp_extract(text, '{p}', 0) <> ''" for k, p in sorted((k, p.replace("'", "''")) for k, p in markup.CLASSES.items())), base=False)
 def pii_classes(s, d):
     return markup.first_hits(bind.read(s, d, "documents"))
@@ -493,22 +454,6 @@ def prior_meetings(s, d):
     return records.head_to_head(bind.match_players(s, d).join(kept, "match_id", "leftsemi"), requested)
 
 
-@query("""SELECT request, exact, lenient, CASE WHEN (CASE WHEN exact > 0 THEN exact ELSE lenient END) = 1 THEN coalesce(e, l) END AS match_id,
-  CASE CASE WHEN exact > 0 THEN exact ELSE lenient END WHEN 0 THEN 'new' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS outcome
-FROM (SELECT a.match_id AS request, count(CASE WHEN b.match_id IS NOT NULL AND a.k IS NOT DISTINCT FROM b.k THEN 1 END) AS exact,
-        count(CASE WHEN b.match_id IS NOT NULL AND (a.k IS NULL OR b.k IS NULL OR a.k = b.k) THEN 1 END) AS lenient,
-        min(CASE WHEN b.match_id IS NOT NULL AND a.k IS NOT DISTINCT FROM b.k THEN b.match_id END) AS e, min(CASE WHEN b.match_id IS NOT NULL AND (a.k IS NULL OR b.k IS NULL OR a.k = b.k) THEN b.match_id END) AS l
-      FROM (SELECT *, CASE WHEN match_id % 3 = 0 THEN NULL ELSE 'clock:' || (match_id % 2) END AS k FROM team_matches WHERE match_id % 2 = 0) a
-      LEFT JOIN (SELECT *, CASE WHEN match_id % 5 = 0 THEN NULL ELSE 'clock:' || (match_id % 4) END AS k FROM team_matches WHERE match_id % 2 = 1) b
-        ON a.played_on = b.played_on AND least(a.home_team_id, a.visiting_team_id) = least(b.home_team_id, b.visiting_team_id) AND greatest(a.home_team_id, a.visiting_team_id) = greatest(b.home_team_id, b.visiting_team_id)
-      GROUP BY 1) x""")
-def fixture_candidates(s, d):
-    m, k = bind.team_matches(s, d), F.col("match_id")
-    a = m.where(k % 2 == 0).withColumn("time_key", F.when(k % 3 != 0, F.concat(F.lit("clock:"), (k % 2).cast("string")))).withColumnRenamed("match_id", "request")
-    b = m.where(k % 2 == 1).withColumn("time_key", F.when(k % 5 != 0, F.concat(F.lit("clock:"), (k % 4).cast("string"))))
-    return ingest.fixture_candidates(a, b)
-
-
 @query("SELECT player_id, day, status FROM availability WHERE day < DATE '2024-01-03' OR day > DATE '2024-01-25'")
 def orphaned_availability(s, d):
     return ingest.orphaned_availability(bind.availability(s, d), F.lit("2024-01-03").cast("date"), F.lit("2024-01-25").cast("date"))
@@ -543,14 +488,6 @@ def vocabulary_bootstrap(s, d):
     return lines.select("skeleton", markup.needs_review(F.col("skeleton")).alias("review"))
 
 
-@query("""SELECT event_id, CASE WHEN st IS NOT NULL THEN CASE WHEN st = 408 OR st = 429 OR st >= 500 THEN 'retryable' WHEN st >= 400 THEN 'permanent' ELSE 'unclassified' END ELSE 'unclassified' END AS disposition
-FROM (SELECT event_id, CASE WHEN event_type = 'error' THEN 400 + CAST(event_id % 120 AS INTEGER) WHEN event_type = 'view' THEN 200 END AS st FROM events) x""", base=False)
-def failure_dispositions(s, d):
-    status = F.when(F.col("event_type") == "error", 400 + F.col("event_id") % 120).when(F.col("event_type") == "view", 200).cast("int")
-    none = F.lit(None).cast("string")
-    return bind.read(s, d, "events").select("event_id", ingest.disposition(status, none, none).alias("disposition"))
-
-
 @query("""SELECT match_id, CASE WHEN error IS NULL THEN slot || ':' || discipline || ',' || other || ':doubles' END AS courts, error
 FROM (SELECT *, CASE WHEN match_id % 5 = 0 THEN 'missing discipline' WHEN match_id % 7 = 0 THEN 'unknown discipline' WHEN slot = other THEN 'slot given twice' END AS error
 FROM (SELECT match_id, slot, discipline, 'D' || CAST(match_id % 6 AS VARCHAR) AS other FROM court_matches) x) y""")
@@ -625,3 +562,6 @@ _STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>
 @query(f"""SELECT page_id, md5(regexp_replace(regexp_replace({_STRIPPED}, 'EXAMPLE\\.NET', 'CLUB.INVALID', 'g'), '(?i)example\\.net', 'club.invalid', 'g')) AS digest FROM pages""", base=False)
 def redacted_pages(s, d):
     return bind.read(s, d, "pages").select("page_id", F.md5(redact.redacted(F.col("html"), {"example.net": "club.invalid"})).alias("digest"))
+
+
+from rallyframe.plans import merges  # noqa: E402, F401

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import chain, count
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.keys import slug
@@ -10,10 +13,28 @@ from rallyframe.functions.phrases import escape_html, safe
 
 
 def directory_names(teams: DataFrame) -> DataFrame:
-    """A folder name for each team: its slug, with a number behind it where an earlier team (by id) has that slug."""
-    s = F.when(slug(F.col("team_name")) == "", F.concat(F.lit("team-"), F.col("team_id").cast("string"))).otherwise(slug(F.col("team_name")))
-    place = F.row_number().over(Window.partitionBy("slug").orderBy("team_id"))
-    return teams.select("team_id", s.alias("slug")).withColumn("n", place).select("team_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("--"), F.col("n").cast("string"))).alias("directory"))
+    """A folder name for each team: its slug, or ``team-<id>`` where that is empty.
+
+    In order of ids, a team whose slug is taken has its id behind it, and if that is taken too, -2, -3 and
+    so on. Names can only meet within a family: slugs that are equal but for numbers behind them. In a
+    family of distinct slugs each team keeps its own; only the others are walked in order, each in a
+    task, so a task holds the teams of one family of which some have equal slugs.
+    """
+    s = slug(F.col("team_name"))
+    named = teams.select("team_id", F.when(s == "", F.concat(F.lit("team-"), F.col("team_id").cast("string"))).otherwise(s).alias("slug"))
+    named = named.withColumn("family", F.regexp_replace("slug", "(-[0-9]+)+$", ""))
+    clash = named.groupBy("family", "slug").agg(F.count("*").alias("n")).where("n > 1").select("family").distinct()
+    kept = named.join(clash, "family", "leftanti").select("team_id", F.col("slug").alias("directory"))
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for team, own in group.sort_values("team_id")[["team_id", "slug"]].itertuples(index=False):
+            options = chain([own, f"{own}-{team}"], (f"{own}-{team}-{k}" for k in count(2)))
+            out.append((team, next(name for name in options if name not in used)))
+            used.add(out[-1][1])
+        return pd.DataFrame(out, columns=["team_id", "directory"])
+
+    return kept.union(named.join(clash, "family", "leftsemi").groupBy("family").applyInPandas(walk, kept.schema))
 
 
 def escape_cell(text: Column) -> Column:

@@ -11,11 +11,28 @@ def test_seasons(spark, newest, oldest, want):
 
 
 def test_exact_fixture_beats_lenient_and_several_are_ambiguous(spark):
-    schema = "{} string, played_on string, home_team_id int, visiting_team_id int, time_key string"
-    asked = spark.createDataFrame([("a", "d", 1, 2, "k"), ("b", "d", 2, 1, None), ("c", "d", 1, 2, "z"), ("n", "e", 1, 2, "k")], schema.format("request"))
-    stored = spark.createDataFrame([("m1", "d", 2, 1, "k"), ("m2", "d", 1, 2, None), ("m3", "d", 1, 2, None)], schema.format("match_id"))
-    got = {r["request"]: (r["outcome"], r["match_id"]) for r in ingest.fixture_candidates(asked, stored).collect()}
-    assert got == {"a": ("matched", "m1"), "b": ("ambiguous", None), "c": ("ambiguous", None), "n": ("new", None)}
+    schema = "{} string, played_on string, home_team_id int, visiting_team_id int, scheduled_time string, site string"
+    asked = [("a", "d", 1, 2, "9:00 am", "X!"), ("b", "d", 2, 1, None, None), ("c", "d", 1, 2, "8:00", None), ("n", "e", 1, 2, "9:00 am", None), ("o", "d", 1, 2, "9:00 AM", "y"), ("p", "d", 3, 4, "9:00 am", None)]
+    stored = [("m1", "d", 2, 1, "09:00 A.M.", "x"), ("m2", "d", 1, 2, None, "y"), ("m3", "d", 1, 2, None, None), ("m4", "d", 4, 3, "9:00 am", "z")]
+    got = ingest.fixture_candidates(spark.createDataFrame(asked, schema.format("request")), spark.createDataFrame(stored, schema.format("match_id"))).collect()
+    assert {r["request"]: (r["outcome"], r["match_id"]) for r in got} == {"a": ("matched", "m1"), "b": ("matched", "m3"), "c": ("ambiguous", None), "n": ("new", None), "o": ("ambiguous", None), "p": ("matched", "m4")}
+
+
+def test_dispositions(spark):
+    chains = {
+        "retryable": [[("FetchError", 408.0, None, None)], [("FetchError", 425.0, None, None)], [("FetchError", 599.0, None, None)], [("E", None, "AbortError", None)], [("E", None, None, "x"), ("E", None, None, "SQLITE_BUSY_RECOVERY")], [("E", None, None, "SQLITE_LOCKED")]],
+        "permanent": [[("FetchError", 200.0, None, None)], [("FetchError", 302.0, None, None)], [("FetchError", 600.0, None, None)], [("E", None, None, None), ("AmbiguousIdentityError", None, None, None)], [("ParseError", None, "TimeoutError", None)]],
+        "unclassified": [[], [("FetchError", None, None, "ECONNRESET")], [("FetchError", float("nan"), None, None)], [("FetchError", 500.5, None, None)], [("E", None, None, "ENOTFOUND")], [("E", None, None, "SQLITE_LOCKED_VTAB")], [("E", None, None, None)] * 16 + [("E", None, None, "EPIPE")]],
+    }
+    rows = [(want, c) for want, cs in chains.items() for c in cs] + [("unclassified", None)]
+    df = spark.createDataFrame(rows, "want string, c array<struct<kind: string, status: double, name: string, code: string>>")
+    assert df.withColumn("got", ingest.disposition(F.col("c"))).where("got <> want").collect() == []
+
+
+def test_gender_is_no_opinion_unless_it_is_one_of_two_words(spark):
+    said = {"male": "Male", "FEMALE ": "Female", "Competition category: Female": "Female", "M": None, "women": None, "": None, None: None, "Male Female": None}
+    df = spark.createDataFrame([(t,) for t in said], "t string")
+    assert {r["t"]: r["g"] for r in df.select("t", phrases.gender(F.col("t")).alias("g")).collect()} == said
 
 
 def test_phrases(spark):

@@ -74,9 +74,23 @@ def test_name_key_drops_invisible_characters_first(spark):
     assert [r[0] for r in df.select(keys.name_key(F.col("n"))).collect()] == ["anna", "anna", None]
 
 
-@pytest.mark.parametrize("text,want", [("6:05 PM", "clock:18:05"), ("12:00 am", "clock:00:00"), ("23:59", "clock:23:59"), ("25:00", "raw:25:00"), ("TBD", "raw:tbd"), (None, None)])
-def test_time_key(spark, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(keys.time_key(F.col("t"))).first()[0] == want
+TIMES = {
+    "6:05 PM": "clock:18:05", "12:00 am": "clock:00:00", " 9 : 00  a.m. ": "clock:09:00", "09:00am": "clock:09:00", "9:00 P.M": "clock:21:00", "13:05 pm": "clock:13:05",
+    "9:00": "raw:900", "23:59": "raw:2359", "9:00:00 am": "raw:90000am", "9:00 amx": "raw:900amx", "TBD": "raw:tbd", " - ": "lit:-", "": "lit:", None: keys.NULL_KEY,
+}
+SITES = {"St. Mary's": "raw:stmarys", "st marys": "raw:stmarys", "St Mary": "raw:stmary", "--  !": "lit:-- !", None: keys.NULL_KEY, "null": "raw:null"}
+
+
+@pytest.mark.parametrize("key,cases", [(keys.time_key, TIMES), (keys.site_key, SITES)])
+def test_time_and_site_keys(spark, key, cases):
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["k"] for r in df.select("t", key(F.col("t")).alias("k")).collect()} == cases
+
+
+def test_name_key_leaves_the_invisible_characters_of_other_scripts(spark):
+    names = {"a\u0007b": "ab", "a\tb": "a\tb", "\u202eJo\ufe0f": "jo", "\u1100\u3164": "\u1100\u1160", "\u1820\u180e\u1820": "\u1820\u180e\u1820", "\u034fJosé": "josé", "\ufeff x": "x"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r["n"]: r["k"] for r in df.select("n", keys.name_key(F.col("n")).alias("k")).collect()} == names
 
 
 def test_merges_are_idempotent_and_swap_reversed_fixtures(spark):
@@ -87,8 +101,49 @@ def test_merges_are_idempotent_and_swap_reversed_fixtures(spark):
     assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, twice.collect()), key=str) == [(1, "b", 2), (None, "d", 3)]
     filled = merge.merge_filled(t, spark.createDataFrame([(1, None, 5)], t.schema), ["k"])
     assert [tuple(r) for r in filled.collect()] == [(1, "a", 5)]
-    f = spark.createDataFrame([(1, 9, 2, date(2026, 1, 1), 3, 1), (2, 2, 9, date(2026, 1, 1), 2, 4)], "match_id long, home_team_id int, visiting_team_id int, played_on date, home_courts_won long, visiting_courts_won long")
-    assert [tuple(r) for r in merge.merge_fixtures(f).collect()] == [(1, date(2026, 1, 1), 9, 2, 4, 2, 2)]
+
+
+FIXTURE = "match_id long, home_team_id int, visiting_team_id int, played_on date, scheduled_time string, site string, event_id int, home_courts_won long, visiting_courts_won long"
+
+
+def test_fixtures_merge_by_pair_day_time_and_site(spark):
+    day = date(2026, 1, 1)
+    f = spark.createDataFrame(
+        [
+            (1, 9, 2, day, "9:00 AM", "St. Mary's", None, 3, 1), (2, 2, 9, day, "09:00am", "st marys", 5, 2, 4),  # one fixture, reversed
+            (3, 9, 2, day, "5:00 PM", "St. Mary's", None, 0, 4),  # the same pair later on that day
+            (4, 9, 2, None, None, None, 5, 1, 1), (5, 9, 2, None, None, None, 6, 9, 9),  # another event: refused
+        ],
+        FIXTURE,
+    )
+    got = {r["match_id"]: r for r in merge.merge_fixtures(f).collect()}
+    assert set(got) == {1, 3, 4}
+    assert (got[1]["home_team_id"], got[1]["home_courts_won"], got[1]["visiting_courts_won"], got[1]["event_id"], got[1]["scheduled_time"], got[1]["reports"], got[1]["conflict"]) == (9, 4, 2, 5, "9:00 AM", 2, False)
+    assert (got[3]["home_courts_won"], got[3]["reports"]) == (0, 1)
+    assert (got[4]["home_courts_won"], got[4]["event_id"], got[4]["conflict"]) == (1, 5, True)
+
+
+def test_merges_by_source_id_and_presence(spark):
+    row = "source_match_id string, event_id int, home_team_id int, visiting_team_id int, played_on date, home_courts_won long, visiting_courts_won long"
+    stored = spark.createDataFrame([("a", 1, 1, 2, None, 3, 1), ("b", None, 1, 2, None, 3, 1), ("c", 2, 1, 2, None, 3, 1)], row)
+    fresh = spark.createDataFrame([("a", None, 2, 1, None, None, 0, 1), ("b", 7, 1, 2, None, 0, 0, 1), ("b", 8, 1, 2, None, 5, 0, 2), ("c", 9, 5, 6, None, 9, 9, 1), ("d", None, 1, 3, None, 1, 1, 1), (None, 1, 1, 1, None, 1, 1, 1)], row + ", seen long")
+    got = {r["source_match_id"]: (r["event_id"], r["home_team_id"], r["home_courts_won"], r["conflict"]) for r in merge.merge_team_matches(stored, fresh).collect()}
+    assert got == {"a": (1, 2, None, False), "b": (8, 1, 5, False), "c": (2, 1, 3, True), "d": (None, 1, 1, False)}
+    players = spark.createDataFrame([(1, "Jo", "x", "jo"), (2, "Al", "y", "al")], "player_id long, name string, age_range string, name_key string")
+    change = spark.createDataFrame([(1, (True, "Jo Ann "), (True, None)), (3, (True, "No"), (False, None))], "player_id long, name struct<given: boolean, value: string>, age_range struct<given: boolean, value: string>")
+    assert sorted(map(tuple, merge.merge_players(players, change).collect())) == [(1, "Jo Ann ", None, "jo ann"), (2, "Al", "y", "al")]
+
+
+def test_source_ids_decide_before_names(spark):
+    stored = spark.createDataFrame([(1, "jo day", "u1", None), (2, "jo day", None, "w2"), (3, "sam", "u3", "w2")], "id long, key string, a string, b string")
+    aliases = spark.createDataFrame([("joey", 1)], "key string, id long")
+    wanted = spark.createDataFrame([("p", "sam", "u1", "w2"), ("q", "zzz", "nobody", "w2"), ("r", "joey", None, None), ("s", "jo day", None, None), ("t", "samm", None, None), ("u", "entirely new", None, None)], "request string, key string, a string, b string")
+    got = {r["request"]: (r["tier"], r["outcome"], r["id"]) for r in identity.player_ladder(wanted, stored, aliases, ["a", "b"]).collect()}
+    assert got == {"p": ("source-id", "matched", 1), "q": ("source-id", "matched", 2), "r": ("name", "matched", 1), "s": ("name", "ambiguous", None), "t": ("near", "ambiguous", None), "u": ("none", "created", None)}
+    members = spark.createDataFrame([(7, 1), (7, 1), (7, 3), (8, 2)], "team_id int, player_id long")
+    asked = wanted.select("request", "key", F.when(F.col("request") == "s", 8).otherwise(7).alias("team_id"))
+    got = {r["request"]: (r["outcome"], r["id"]) for r in identity.roster_ladder(asked, stored, aliases, members).collect()}
+    assert got == {"p": ("matched", 3), "q": ("unresolved", None), "r": ("matched", 1), "s": ("matched", 2), "t": ("ambiguous", None), "u": ("unresolved", None)}
 
 
 def test_retire_absent_leaves_unobserved_teams_alone(spark):

@@ -53,8 +53,9 @@ def test_session_credentials(spark):
 
 
 def test_directory_names_do_not_collide(spark):
-    got = dossier.directory_names(spark.createDataFrame([(1, "Net Gains!"), (2, "net gains"), (3, "!!")], "team_id int, team_name string")).orderBy("team_id").collect()
-    assert [r["directory"] for r in got] == ["net-gains", "net-gains--2", "team-3"]
+    names = [(1, "X"), (2, "X 3"), (3, "X!"), (4, "Net Gains!"), (5, "net gains"), (6, "!!"), (7, "net-gains-5"), (8, "net gains"), (9, "y 1"), (10, "y 2")]
+    got = dossier.directory_names(spark.createDataFrame(names, "team_id int, team_name string")).orderBy("team_id").collect()
+    assert [r["directory"] for r in got] == ["x", "x-3", "x-3-2", "net-gains", "net-gains-5", "team-6", "net-gains-5-7", "net-gains-8", "y-1", "y-2"]
 
 
 def _drain(spark, df, name, mode):
