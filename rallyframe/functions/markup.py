@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Classes that must never be published; fixed patterns.
+# The kinds of street that end an address.
+STREETS = ("St", "Street", "Ave", "Avenue", "Rd", "Road", "Dr", "Drive", "Ln", "Lane", "Blvd", "Boulevard", "Ct", "Court", "Way", "Ter", "Terrace")
+# Classes that must never be published, from the grammars of addresses (RFC 6068, RFC 3966) and the
+# numbering plan (area, exchange, line); all in the syntax that Java and RE2 share.
 CLASSES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "phone": r"\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}",
-    "mailto": r"mailto:[^\s\"'>]+",
-    "tel": r"tel:[0-9+().-]+",
+    "email": r"[^\s@<>\"'(),:;]+@(?:[^\s@<>\"'(),:;./?#&=]+\.)+\pL{2,}",
+    "mailto": r"(?i)mailto:(?:[\w.!#$&*+/=?^`{|}~@,;:-]|%[0-9a-f]{2})+",
+    "phone": r"(?:\([0-9]{3}\) ?[-.]?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b",
+    "street": r"\b[0-9]{1,6}(?:\s+[A-Z][A-Za-z]+)+?\s+(?:" + "|".join(STREETS) + r")\b",
+    "tel": r"(?i)tel:\+?(?:[-.() ]{0,3}[0-9]){7,15}",
 }
 
 
@@ -35,10 +42,34 @@ def first_hits(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.array(*hits))).where("hit <> ''")
 
 
-def skeleton(text: Column) -> Column:
-    """Lower case; digits runs become one 0, everything but letters and digits a blank."""
-    s = F.regexp_replace(F.lower(text), "[0-9]+", "0")
-    return F.trim(F.regexp_replace(s, r"[^a-z0]+", " "))
+# What a page's structure says in digits, taken out in this order: whole days before their parts, decimals,
+# scores with their tiebreaks, colours, path data of drawings, whole numbers. Syntax of Java and RE2 alike;
+# words are ASCII here, as in RE2.
+STRUCTURAL = (
+    r"{b}[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}{e}",
+    r"{b}[0-9]{4}-[0-9]{2}-[0-9]{2}{e}",
+    r"{b}[0-9]+\.[0-9]+{e}",
+    r"[0-9]{1,2}-[0-9]{1,2}(?:\s?\([0-9]{1,2}(?:-[0-9]{1,2})?\))?",
+    r"#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{3}){e}",
+    r"[MmLlHhVvCcSsQqTtAaZz](?:\s*-?[0-9]+(?:\.[0-9]+)?[,\s]*)+",
+    r"{b}[0-9]+{e}",
+)
+
+
+def structural_patterns(begin: str = "(?<![0-9A-Za-z_])", end: str = "(?![0-9A-Za-z_])") -> list[str]:
+    return [p.replace("{b}", begin).replace("{e}", end) for p in STRUCTURAL]
+
+
+def skeleton(text: Column, stand_ins: list[str] | None = None) -> Column:
+    """What is left of a text without stand-ins (whole words, longest first, any case) and structural runs: letters and digits of any script, single blanks.
+
+    Case is kept. ``stand_ins`` are a short list of made-up names; longer lists are substituted before.
+    """
+    for s in sorted(filter(None, stand_ins or []), key=lambda s: (-len(s), s)):
+        text = F.regexp_replace(text, "(?i)(?<![0-9A-Za-z_])" + re.escape(s) + "(?![0-9A-Za-z_])", " ")
+    for p in structural_patterns():
+        text = F.regexp_replace(text, p, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " "), " +", " "))
 
 
 def off_vocabulary(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -47,16 +78,21 @@ def off_vocabulary(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def needs_review(skeletons: Column) -> Column:
-    """Name-shaped: two or more alphabetic tokens."""
-    return skeletons.rlike(r"(^|\s)[a-z]{2,}(\s.*)?\s[a-z]{2,}(\s|$)")
+    """Name-shaped: two words of letters side by side, in any script and case."""
+    return skeletons.rlike(r"\p{L}[\p{L}\p{M}'-]*\s+\p{L}")
 
 
-# Parts of names that mark an input or meta element as a session's credential.
+# Parts of names that mark an input or meta element as a session's credential, and kinds of
+# input whose value is a label.
 CREDENTIAL_NAMES = ("csrf", "xsrf", "viewstate", "eventvalidation", "authenticity_token", "_token", "requestverification")
+BUTTONS = ("submit", "button", "reset", "image")
+OPAQUE = string.ascii_letters + string.digits + "+/-_=."  # signs of base64 in both alphabets, and of dotted tokens
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)[\s\"']{name}\s*=\s*[\"']?([^\"'>]*)", 1)
+    """An attribute's value, in either kind of quotes or bare; empty without it."""
+    shape = rf"(?is)[\s\"']{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*[F.regexp_extract(tag, shape, k) for k in (1, 2, 3)])
 
 
 def session_credentials(pages: DataFrame) -> DataFrame:
@@ -71,17 +107,68 @@ def session_credentials(pages: DataFrame) -> DataFrame:
     marked = F.lit(False)
     for m in CREDENTIAL_NAMES:
         marked = marked | named.contains(m)
-    opaque = value.rlike(r"^[A-Za-z0-9+/=._-]{64,}$") & (F.lower(_attribute(F.col("tag"), "http-equiv")) != "origin-trial")
-    button = kind.isin("submit", "button", "reset", "image")
+    opaque = (F.char_length(value) >= 64) & (F.translate(value, OPAQUE, "") == "") & (F.lower(_attribute(F.col("tag"), "http-equiv")) != "origin-trial")
+    button = kind.isin(*BUTTONS)
     signal = F.when(button | (value == ""), None).when(marked, "name").when(opaque, "shape").when(kind == "hidden", "hidden")
     return tags.withColumn("signal", signal).where("signal IS NOT NULL")
 
 
+_NUMBER = r"[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+_LIST = rf"\s*{_NUMBER}(?:[\s,]+{_NUMBER})*\s*"
+# Attributes whose value may be published if it keeps to a closed grammar (of HTML and SVG): nothing else
+# can be said in it.
+CLOSED = {
+    "colspan": "[0-9]+", "rowspan": "[0-9]+", "width": rf"{_NUMBER}(?:px|em|rem|ex|pt|pc|cm|mm|in|%)?", "height": rf"{_NUMBER}(?:px|em|rem|ex|pt|pc|cm|mm|in|%)?",
+    "viewbox": rf"\s*{_NUMBER}(?:[\s,]+{_NUMBER}){{3}}\s*", "points": _LIST, "d": r"\s*[Mm][MmLlHhVvCcSsQqTtAaZz0-9eE+.,\s-]*",
+    "fill": "(?i)none|currentcolor|transparent|inherit|#(?:[0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})", "stroke": "(?i)none|currentcolor|transparent|inherit|#(?:[0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})",
+    "transform": rf"(?:\s*(?:matrix|translate|scale|rotate|skewX|skewY)\({_LIST}\)[\s,]*)+", "xmlns": r"http://www\.w3\.org/[0-9]{4}/[A-Za-z0-9/]+", "xmlns:xlink": r"http://www\.w3\.org/[0-9]{4}/[A-Za-z0-9/]+",
+    "focusable": "(?i)true|false|auto", "preserveaspectratio": r"(?i)\s*(?:none|x(?:min|mid|max)y(?:min|mid|max))(?:\s+(?:meet|slice))?\s*",
+    "role": "(?i)alert|banner|button|cell|checkbox|columnheader|complementary|contentinfo|dialog|form|grid|group|heading|img|link|list|listitem|main|menu|menuitem|navigation|none|presentation|region|row|rowgroup|search|status|tab|table|tablist|tabpanel|textbox|toolbar",
+    "type": "(?i)button|checkbox|color|date|email|file|hidden|image|number|password|radio|range|reset|search|submit|tel|text|time|url|text/css|text/html|text/javascript|application/json|application/javascript|module",
+}
+
+
+def is_closed(name: Column, value: Column) -> Column:
+    """Whether an attribute's value keeps to the closed grammar of its name."""
+    said = F.lit(False)
+    for n, p in CLOSED.items():
+        said = F.when(F.lower(name) == n, value.rlike(rf"\A(?:{p})\z")).otherwise(said)
+    return said
+
+
 def page_atoms(pages: DataFrame) -> DataFrame:
-    """page_id, kind (text, attribute, comment) and value of everything a page would publish."""
+    """page_id, kind (text, attribute, comment, attribute-name), name (of the attribute) and value of everything a page would publish, with how often.
+
+    Values that keep to a closed grammar say nothing and are left out; names of attributes that are not
+    plain words are atoms themselves.
+    """
     html = strip_code(F.col("html"))
-    comments = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), 1), lambda c: F.struct(F.lit("comment").alias("kind"), F.trim(c).alias("value")))
+    none = F.lit(None).cast("string")
+    comments = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), 1), lambda c: F.struct(F.lit("comment").alias("kind"), none.alias("name"), F.trim(c).alias("value")))
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    texts = F.transform(F.regexp_extract_all(bare, F.lit(r">([^<]+)"), 1), lambda c: F.struct(F.lit("text").alias("kind"), F.trim(c).alias("value")))
-    values = F.transform(F.regexp_extract_all(bare, F.lit(r"[\w-]+=\"([^\"]*)\""), 1), lambda c: F.struct(F.lit("attribute").alias("kind"), F.trim(c).alias("value")))
-    return pages.select("page_id", F.inline(F.concat(texts, values, comments))).where("value <> ''").groupBy("page_id", "kind", "value").agg(F.count("*").alias("n"))
+    texts = F.transform(F.regexp_extract_all(bare, F.lit(r">([^<]+)"), 1), lambda c: F.struct(F.lit("text").alias("kind"), none.alias("name"), F.trim(c).alias("value")))
+    tags = F.regexp_extract_all(bare, F.lit(r"<[a-zA-Z][^<>]*>"), 0)
+    pairs = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(r"[^\s\"'<>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 0)))
+    name = lambda c: F.lower(F.trim(F.substring_index(c, "=", 1)))
+    value = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)\A[^=]*=\s*", ""), r"(?s)\A[\"'](.*)[\"']\z", "$1"))
+    values = F.transform(pairs, lambda c: F.struct(F.lit("attribute").alias("kind"), name(c).alias("name"), value(c).alias("value")))
+    values = F.filter(values, lambda a: ~is_closed(a["name"], a["value"]))
+    odd = F.transform(F.filter(pairs, lambda c: ~name(c).rlike(r"\A[a-z][a-z0-9:_-]*\z")), lambda c: F.struct(F.lit("attribute-name").alias("kind"), none.alias("name"), name(c).alias("value")))
+    return pages.select("page_id", F.inline(F.concat(texts, values, odd, comments))).where("value <> ''").groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))
+
+
+def publication_check(pages: DataFrame, stand_ins: list[str], vocabulary: DataFrame, survivors: DataFrame) -> DataFrame:
+    """page_id, stage and detail of what refuses each redacted page; pages without a row may be published.
+
+    In order: a session's credential, an atom whose skeleton is not in ``vocabulary`` (skeleton), a class that must
+    never be published, a forbidden value (``survivors`` of the pages). A page shows its first stage only.
+    """
+    credentials = session_credentials(pages).select("page_id", F.lit(1).alias("stage"), F.col("signal").alias("detail"))
+    skeletons = page_atoms(pages).select("page_id", skeleton(F.col("value"), stand_ins).alias("skeleton"))
+    unknown = off_vocabulary(skeletons, vocabulary).select("page_id", F.lit(2).alias("stage"), F.col("skeleton").alias("detail"))
+    classes = first_hits(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))).select(F.col("doc_id").alias("page_id"), F.lit(3).alias("stage"), F.col("class").alias("detail"))
+    left = survivors.select("page_id", F.lit(4).alias("stage"), F.col("value").alias("detail"))
+    every = credentials.union(unknown).union(classes).union(left).distinct()
+    first = every.groupBy("page_id").agg(F.min("stage").alias("stage"))
+    names = F.array(*map(F.lit, ("credential", "vocabulary", "class", "forbidden")))
+    return every.join(first, ["page_id", "stage"]).select("page_id", F.element_at(names, F.col("stage")).alias("stage"), "detail")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyframe.functions import grammar, keys, markup, phrases, redact
+from rallyframe.functions import grammar, keys, markup, phrases
 from rallyframe.operators import identity, ingest, lineup, merge, ratings, records, roster, scope
 from rallyframe.plans import bind, dossier
 from rallyframe.plans.bind import ANCHOR
@@ -324,28 +324,6 @@ def day_sequence(s, d):
     return roster.days_of(bind.events(s)).join(seen, "day", "left").select("event_id", "day")
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, regexp_extract(text, '{p}', 0) AS hit FROM documents WHERE regexp_extract(text, '{p}', 0) <> ''" for k, p in sorted((k, p.replace("'", "''")) for k, p in markup.CLASSES.items())), base=False)
-def pii_classes(s, d):
-    return markup.first_hits(bind.read(s, d, "documents"))
-
-
-_SKELETON = "trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g'))"
-
-
-@query(f"SELECT doc_id, md5({_SKELETON}) AS skeleton FROM documents", base=False)
-def skeletons(s, d):
-    return bind.read(s, d, "documents").select("doc_id", F.md5(markup.skeleton(F.col("text"))).alias("skeleton"))
-
-
-_LINES = "(SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[^a-z0]+', ' ', 'g')) AS skeleton FROM conversations)"
-
-
-@query(f"SELECT conv_id, turn, skeleton FROM {_LINES} a WHERE skeleton <> '' AND skeleton NOT IN (SELECT skeleton FROM {_LINES} b WHERE conv_id % 2 = 0)", base=False)
-def off_vocabulary(s, d):
-    lines = bind.read(s, d, "conversations").select("conv_id", "turn", markup.skeleton(F.col("text")).alias("skeleton"))
-    return markup.off_vocabulary(lines, lines.where("conv_id % 2 = 0")).select("conv_id", "turn", "skeleton")
-
-
 @query("""SELECT page_id, CAST(length(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?is)<style[^>]*>.*?</style>', '<style></style>', 'g')) AS BIGINT) AS length,
   regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages""", base=False)
 def page_text(s, d):
@@ -399,16 +377,6 @@ def day_scenarios(s, d):
     return lineup.day_scenarios(eligible, pairs)
 
 
-@query()
-def session_credentials(s, d):
-    return markup.session_credentials(bind.read(s, d, "pages"))
-
-
-@query()
-def page_atoms(s, d):
-    return markup.page_atoms(bind.read(s, d, "pages"))
-
-
 _DOSSIER = f""", r AS (SELECT team_id, count(CASE WHEN played_on >= {_SINCE} AND ours > theirs THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND ours < theirs THEN 1 END) AS losses
 FROM (SELECT home_team_id AS team_id, played_on, home_courts_won AS ours, visiting_courts_won AS theirs FROM team_matches
       UNION ALL SELECT visiting_team_id, played_on, visiting_courts_won, home_courts_won FROM team_matches) x GROUP BY 1),
@@ -481,13 +449,6 @@ def record_lines(s, d):
     return r.select("player_id", "discipline", line.alias("line"), phrases.summary(player=F.col("player_id"), record=F.concat_ws("-", F.col("wins").cast("string"), F.col("losses").cast("string"))).alias("summary"))
 
 
-@query(f"SELECT DISTINCT skeleton, regexp_matches(skeleton, '(^|\\s)[a-z]{{2,}}(\\s.*)?\\s[a-z]{{2,}}(\\s|$)') AS review FROM {_LINES} a WHERE skeleton <> ''", base=False)
-def vocabulary_bootstrap(s, d):
-    """Distinct skeletons of the turns, and whether they are name-shaped and need a review."""
-    lines = bind.read(s, d, "conversations").select(markup.skeleton(F.col("text")).alias("skeleton")).where("skeleton <> ''").distinct()
-    return lines.select("skeleton", markup.needs_review(F.col("skeleton")).alias("review"))
-
-
 @query("""SELECT match_id, CASE WHEN error IS NULL THEN slot || ':' || discipline || ',' || other || ':doubles' END AS courts, error
 FROM (SELECT *, CASE WHEN match_id % 5 = 0 THEN 'missing discipline' WHEN match_id % 7 = 0 THEN 'unknown discipline' WHEN slot = other THEN 'slot given twice' END AS error
 FROM (SELECT match_id, slot, discipline, 'D' || CAST(match_id % 6 AS VARCHAR) AS other FROM court_matches) x) y""")
@@ -556,12 +517,6 @@ def merge_loss(s, d):
     return merge.compare_counts(r, merge.keep_first(r, ["player_id", "source", "observed_on"], "rating_id"), "source")
 
 
-_STRIPPED = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?is)<style[^>]*>.*?</style>', '<style></style>', 'g')"
-
-
-@query(f"""SELECT page_id, md5(regexp_replace(regexp_replace({_STRIPPED}, 'EXAMPLE\\.NET', 'CLUB.INVALID', 'g'), '(?i)example\\.net', 'club.invalid', 'g')) AS digest FROM pages""", base=False)
-def redacted_pages(s, d):
-    return bind.read(s, d, "pages").select("page_id", F.md5(redact.redacted(F.col("html"), {"example.net": "club.invalid"})).alias("digest"))
 
 
-from rallyframe.plans import merges  # noqa: E402, F401
+from rallyframe.plans import merges, publishing  # noqa: E402, F401

@@ -6,6 +6,8 @@ null. Tables inside tables are not looked into.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from rallyframe.sources.tables import cell_text, number, table_rows, us_date
 DYNAMIC = "Estimated Dynamic Rating"
 PROJECTED = "Projected Year End Rating"
 AREAS = "Current Playing Areas (Player Rating Lists)"
+LEAGUES = ("Adult", "Mixed", "Senior", "Tri-Level", "Combo")
 RATING_TYPES = ("C", "S", "A", "D", "M", "T", "B", "E", "P")
 RECENT_TEAMS = ["recentteam", "type", "section", "gender", "rating", "matchstart"]
 SEASONS = ["allmatches", "totalmatches", "win", "loss", "wpct", "totalsets", "win", "loss", "wpct", "totalgames", "win", "loss", "wpct", "defaults"]
@@ -55,14 +58,21 @@ def player_header(pages: DataFrame) -> DataFrame:
     p = p.withColumn("top", _cells(F.get("block", 0))).withColumn("dynamic", _lines(F.get(_cells(F.get(F.filter("block", lambda r: _has(r, DYNAMIC)), 0)), 1)))
     p = p.withColumn("projected", _lines(F.get(_cells(F.get(F.filter(F.flatten("tables"), lambda r: _has(r, PROJECTED)), 0)), 1)))
     p = p.withColumn("who", _lines(F.get("top", 0))).withColumn("level", _lines(F.get("top", 1)))
-    first, place = F.get("who", 0), r"^(.*?)\s*\(([^)]*)\)\s*$"
-    shape = r"^([0-9](?:\.[05])?)(?:\s+([A-Za-z]))?$"
-    level, letter, day = F.regexp_extract(F.get("level", 0), shape, 1).try_cast("double"), F.nullif(F.upper(F.regexp_extract(F.get("level", 0), shape, 2)), F.lit("")), us_date(F.get("level", 1))
-    name = F.when(first.rlike(place), F.regexp_extract(first, place, 1)).otherwise(first)
+    # ``Name (Place)``: split at the first bracket if the line ends in its only closing one.
+    first = F.trim(F.get("who", 0))
+    inner = F.substring(first, F.length(F.substring_index(first, "(", 1)) + 2, 1000)
+    placed = first.contains("(") & (F.locate(")", inner) == F.length(inner)) & (inner != "")
+    name, location = F.when(placed, F.trim(F.substring_index(first, "(", 1))).otherwise(first), F.when(placed, F.substring_index(inner, ")", 1))
+    # ``4.0 C``: a level in halves, and a letter behind it or none.
+    words = F.split(F.get("level", 0), " +")
+    number_, second = F.get(words, 0), F.get(words, 1)
+    halves = number_.try_cast("double") * 2
+    shaped = F.char_length(number_).isin(1, 3) & number_.rlike("^[0-9]") & (halves == F.floor(halves)) & (F.size(words) <= 2) & (second.isNull() | second.rlike("^[A-Za-z]$"))
+    level, letter, day = F.when(shaped, halves / 2), F.upper(second), us_date(F.get("level", 1))
     known = level.isNotNull() & day.isNotNull()
     error = F.when(F.col("block").isNull(), "header not found").when(known & letter.isNotNull() & ~letter.isin(*RATING_TYPES), F.concat(F.lit("unknown rating type "), letter)).when(F.coalesce(name, F.lit("")) == "", "no name")
     return p.select(
-        "url", name.alias("name"), F.when(first.rlike(place), F.regexp_extract(first, place, 2)).alias("location"), F.when(F.get("who", 1).isin("Male", "Female"), F.get("who", 1)).alias("gender"),
+        "url", name.alias("name"), location.alias("location"), F.when(F.get("who", 1).isin("Male", "Female"), F.get("who", 1)).alias("gender"),
         F.when(known, F.struct(level.alias("value"), letter.alias("rating_type"), day.alias("observed_on"))).alias("ntrp"), _observation(F.col("dynamic")).alias("dynamic_rating"), number(F.get("projected", 0)).alias("projected_rating"), error.alias("error"),
     )
 
@@ -106,16 +116,25 @@ def team_header(pages: DataFrame) -> DataFrame:
     The line of context ends in a gender letter and a level. Without an age band the league's name
     and its section can't be told apart: both stay in ``section``.
     """
-    fits = F.filter(_tables("html"), lambda t: F.trim(cell_text(t)).rlike(r"^(Adult|Mixed|Senior|Tri-Level|Combo)"))
-    p = pages.select("url", _rows(F.get(fits, 0)).alias("rows"))
-    p = p.select("url", "rows", *[F.replace(cell_text(F.get("rows", k)), F.lit("|"), F.lit(" ")).alias(n) for k, n in enumerate(("context", "season", "team_name"))])
-    banded, plain = r"^(.+?\d+\+)\s+(.+?)\s+([A-Z])\s+([\d.]+)$", r"^(.+?)\s+([A-Z])\s+([\d.]+)$"
-
-    def part(with_band: int, without: int) -> Column:
-        bare = F.nullif(F.regexp_extract("context", plain, without), F.lit("")) if without else F.lit(None)
-        return F.when(F.col("context").rlike(banded), F.regexp_extract("context", banded, with_band)).otherwise(bare)
+    def begins(t: Column) -> Column:
+        text = F.trim(cell_text(t))
+        return reduce(lambda a, b: a | b, [text.startswith(n) for n in LEAGUES])
 
-    return p.select("url", "team_name", F.nullif("season", F.lit("")).alias("season_name"), part(1, 0).alias("league_type"), part(2, 1).alias("section"), part(3, 2).alias("gender"), part(4, 3).alias("rating_level"), F.when(F.col("rows").isNull(), "header not found").alias("error"))
+    p = pages.select("url", _rows(F.get(F.filter(_tables("html"), begins), 0)).alias("rows"))
+    p = p.select("url", "rows", *[F.replace(cell_text(F.get("rows", k)), F.lit("|"), F.lit(" ")).alias(n) for k, n in enumerate(("context", "season", "team_name"))])
+    # Words from the right: level, gender, section; an age band (digits and a plus sign) ends the league's name.
+    p = p.withColumn("words", F.split(F.trim("context"), " +"))
+    n = F.size("words")
+    level, gender = F.get("words", n - 1), F.get("words", n - 2)
+    shaped = (n >= 3) & (F.translate(level, "0123456789.", "") == "") & (F.char_length(gender) == 1) & gender.between("A", "Z")
+    rest = F.slice("words", 1, F.greatest(n - 2, F.lit(1)))
+    band = F.array_position(F.transform(rest, lambda w: w.endswith("+") & F.substring(w, -2, 1).between("0", "9")), True).cast("int")
+    split = shaped & (band > 0) & (band < n - 2)
+    section = F.when(split, F.slice("words", band + 1, F.greatest(n - 2 - band, F.lit(1)))).otherwise(rest)
+    return p.select(
+        "url", "team_name", F.nullif("season", F.lit("")).alias("season_name"), F.when(split, F.array_join(F.slice("words", 1, F.greatest(band, F.lit(1))), " ")).alias("league_type"), F.when(shaped, F.array_join(section, " ")).alias("section"),
+        F.when(shaped, gender).alias("gender"), F.when(shaped, level).alias("rating_level"), F.when(F.col("rows").isNull(), "header not found").alias("error"),
+    )
 
 
 def team_roster(pages: DataFrame) -> DataFrame:

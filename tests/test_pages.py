@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.functions import grammar, redact
+from rallyframe.functions import grammar, markup, redact
 from rallyframe.operators import ingest, merge
 from rallyframe.plans import dossier
 from rallyframe.sources import profiles, widgets
@@ -95,12 +95,83 @@ def test_small_texts(spark):
     assert each(spark, links, lambda c: grammar.href_param(c, "name")) == ["Jo Day", "Jö", "100%", "", None, None]
 
 
+VALUES = {"Jo Day": "Al Roe", "Ann & Co": "Jo & Day", "Day": "Night", "5": "6", "José Muñoz": "Rui Paz", "O'Neill": "Abbott"}
+REDACTED = {
+    "<script>Jo Day</script><a href='?n=Jo%20Day&m=jo+day'>JO DAY</a> Jo&nbsp;Day, Ann &amp; Co 5 <img src='data:image/png;charset=x;base64,AAAA' alt=5>": "<script></script><a href='?n=Al%20Roe&m=Al+Roe'>AL ROE</a> Al&nbsp;Roe, Jo &amp; Day 6 <img src='data:,' alt=6>",
+    "&#74;o&#x20;D&#97y, J\u200bo\n\tDay": "Al&#x20;Roe, Al\n\tRoe",  # numeric references with and without their ends, invisible characters
+    "Jose\u0301 MUÑOZ Jos%C3%A9+Mu%c3%b1oz JOSÉ&#32;MUÑOZ": "Rui Paz Rui+Paz RUI&#32;PAZ",  # composed and decomposed, percent codes
+    "O&apos;Neill O&#39;NEILL O%27Neill": "Abbott ABBOTT Abbott",
+    "Ann %26 Co, Ann+%26+Co, ANN &AMP; CO": "Jo %26 Day, Jo+%26+Day, JO &AMP; DAY",
+    "50% &unknown; &#0; %ZZ Joday": "60% &unknown; &#0; %ZZ JoNight",
+    "\ue000\ue001 Day": "\ue000\ue001 Night",  # private-use characters are none of its business
+}
+
+
 def test_redaction(spark):
-    page = "<script>Jo Day</script><a href='?n=Jo%20Day&m=jo+day'>JO DAY</a> Jo&nbsp;Day, Ann &amp; Co 5 <img src='data:image/png;base64,AAAA'>"
-    got = each(spark, [page, "", None], lambda c: redact.redacted(c, {"Jo Day": "Al Roe", "Ann & Co": "Jo & Day", "Day": "Night", "5": "6"}))
-    assert got == ["<script></script><a href='?n=Al%20Roe&m=Al+Roe'>AL ROE</a> Al Roe, Jo &amp; Day 6 <img src='data:,'>", "", None]
-    with pytest.raises(ValueError):
-        redact.redacted(F.col("t"), {"Jo": "<b>"})
+    df = spark.createDataFrame([(p, 1) for p in [*REDACTED, "", None]], "html string, keep int").withColumn("was", F.col("html"))
+    got = {r["was"]: r["html"] for r in redact.redacted(df, VALUES).collect()}
+    assert got == {**REDACTED, "": "", None: None}
+    assert redact.survivors(df.select(F.col("keep").alias("page_id"), F.col("html")), ["José Muñoz"]).where("view = 'raw'").first()["n"] == 3
+    for bad in ({"Jo": "<b>"}, {"Jo": "A&B"}, {" \u200b": "x"}):
+        with pytest.raises(ValueError):
+            redact.redacted(df, bad)
+
+
+def test_every_spelling_of_every_character_is_found():
+    from urllib.parse import quote
+
+    value = "Zoë O'Day & Sons"
+    spellings = [lambda c: c, lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):X};", lambda c: quote(c, safe=""), lambda c: "".join(f"%{b:02x}" for b in c.encode()), lambda c: c.upper()]
+    matcher = redact.Matcher([value])
+    for a in spellings:
+        for b in spellings:
+            page = "x " + "".join((a if k % 2 else b)(c) for k, c in enumerate(value)) + " y"
+            assert [v for _, _, v in matcher.find(page)[0]] == [value], page
+            assert redact.substituted(page, matcher, {value: "Q"}) == "x Q y"
+
+
+def test_skeletons_and_classes(spark):
+    kept = {
+        "José Muñoz 4.02": "José Muñoz", "on 1/15/2026 and 2026-01-15 6-4, 7-6(7) 10-8 (10-8)": "on and", "#fff #a1B2c3 #abcd x": "abcd x", "Lee Leeson lee": "Leeson", "Straße_9 4.0M 日本": "Straße_9 0M 日本", "M0 10L-4 5z ok": "z ok", "Court 7": "Cour", "": "",
+    }
+    df = spark.createDataFrame([(t,) for t in kept], "t string")
+    assert {r["t"]: r["s"] for r in df.select("t", markup.skeleton(F.col("t"), ["Lee"]).alias("s")).collect()} == kept
+    assert each(spark, ["patrick turner", "José García", "O'Neil  Ann-Lee", "single", "x 1 y", None], markup.needs_review) == [True, True, True, False, False, None]
+    hits = {
+        "mail a.b+c@ex-am.co.uk now": {"email": "a.b+c@ex-am.co.uk"}, "<a href='MAILTO:jo%20day@x.org?subject=hi'>": {"mailto": "MAILTO:jo%20day@x.org?subject=hi", "email": "day@x.org"}, "tel:+1-918-55501 ": {"tel": "tel:+1-918-55501"},
+        "call (918) 555-0101 or 918.555.0102": {"phone": "(918) 555-0101"}, "x1918-555-01012": {}, "at 12 Old Mill Road, and": {"street": "12 Old Mill Road"}, "12 monkeys Way": {}, "@ a@b no.mail@": {},
+    }
+    docs = spark.createDataFrame(list(enumerate(hits)), "doc_id long, text string")
+    got = {i: {} for i in range(len(hits))}
+    for r in markup.first_hits(docs).collect():
+        got[r["doc_id"]][r["class"]] = r["hit"]
+    assert [got[i].get("email") if "MAILTO" in t else got[i] for i, t in enumerate(hits)] == [got[i].get("email") if "MAILTO" in t else want for i, (t, want) in enumerate(hits.items())]
+    assert got[1]["mailto"] == "MAILTO:jo%20day@x.org?subject=hi"
+
+
+def test_closed_attribute_values(spark):
+    cases = {
+        ("colspan", "2"): True, ("colspan", "2 Jo"): False, ("width", "12.5px"): True, ("width", "Jo"): False, ("viewbox", "0 0 24 24"): True, ("viewbox", "0 0 24"): False, ("d", "M0 0L4,4z"): True, ("d", "Jo Day"): False, ("fill", "#FFF"): True,
+        ("fill", "url(#jo)"): False, ("type", "Hidden"): True, ("type", "jo"): False, ("title", "2"): False, ("transform", "translate(1 2) rotate(45)"): True, ("transform", "jo(1)"): False, ("points", "1,2 3,4"): True, ("role", "button"): True, ("xmlns", "http://www.w3.org/2000/svg"): True,
+    }
+    df = spark.createDataFrame(list(cases), "n string, v string")
+    assert {(r["n"], r["v"]): r["c"] for r in df.select("n", "v", markup.is_closed(F.col("n"), F.col("v")).alias("c")).collect()} == cases
+
+
+def test_publication_check_shows_the_first_stage(spark):
+    rows = [
+        (1, "<p>Kestrel Avery</p><b>6-4</b>"), (2, "<input type=hidden name=csrf value=abc><p>Jo Day</p>"), (3, "<p>Somebody Else</p> a@b.org"), (4, "<p>known words</p><i>tel:918 555 0101</i>"), (5, "<p>known words</p><a title='Ann&#32;Co'></a>"), (6, "<td colspan=2>known words</td>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    known = spark.createDataFrame([("known words",), ("tel",), ("Ann 32 Co",), ("Ann Co",), ("Ann Co",)], "skeleton string")
+    got = markup.publication_check(pages, ["Kestrel Avery"], known, redact.survivors(pages, ["Ann Co"])).collect()
+    assert {(r["page_id"], r["stage"]) for r in got} == {(2, "credential"), (3, "vocabulary"), (4, "class"), (5, "forbidden")}
+
+
+def test_views(spark):
+    page = "<!-- Jo&#32;Day --><a title='J&ouml;'>a%20b&amp;amp;</a>\u200bx"
+    raw, decoded, shown, percent = redact.views(page)
+    assert raw == page and "Jo Day" in decoded and "a b" in percent and shown == "Jo Day Jö a%20b&amp; x"
 
 
 def test_members_are_replaced(spark):
