@@ -9,12 +9,58 @@ from __future__ import annotations
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PREDICTED = "team_id int, slot string, discipline string, player_ids array<long>, basis string, support long"
 
 
+def observed_slots(own: DataFrame) -> DataFrame:
+    """team_id, slot, discipline and place of the slots that a team's own matches were played at: the most frequent discipline (ties by name); singles, doubles, others, then number (none: last), then name."""
+    courts = own.select("team_id", "match_id", "slot", "discipline").distinct().groupBy("team_id", "slot", "discipline").agg(F.count("*").alias("n"))
+    best = courts.groupBy("team_id", "slot").agg(F.min(F.struct((-F.col("n")).alias("k"), "discipline")).alias("m")).select("team_id", "slot", F.col("m.discipline").alias("discipline"))
+    kind = F.when(F.col("discipline") == "singles", 0).when(F.col("discipline") == "doubles", 1).otherwise(2)
+    number = F.coalesce(F.regexp_extract("slot", r"([0-9]+)$", 1).try_cast("long"), F.lit(1 << 40))
+    order = Window.partitionBy("team_id").orderBy(kind, number, "slot")
+    return best.withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def own_singles(own: DataFrame) -> DataFrame:
+    return own.where("discipline = 'singles'").groupBy("team_id", "player_id").agg(F.count("*").alias("matches"))
+
+
+def own_pairs(own: DataFrame) -> DataFrame:
+    """team_id, low_id, high_id, slot, matches: roster players of one team on one side of a court that is not singles."""
+    a = own.where("discipline <> 'singles'").select("team_id", "match_id", "side", "slot", F.col("player_id").alias("low_id"))
+    b = a.select("team_id", "match_id", "side", F.col("low_id").alias("high_id"))
+    return a.join(b, ["team_id", "match_id", "side"]).where("low_id < high_id").groupBy("team_id", "low_id", "high_id", "slot").agg(F.count("*").alias("matches"))
+
+
+def unplaced(predicted: DataFrame, roster: DataFrame, own: DataFrame) -> DataFrame:
+    """team_id, player_id and court_matches (of the team's own) of roster players whom no court of a predicted team takes."""
+    placed = predicted.select("team_id", F.explode("player_ids").alias("player_id"))
+    played = own.groupBy("team_id", "player_id").agg(F.count("*").alias("court_matches"))
+    rest = roster.join(predicted.select("team_id").distinct(), "team_id", "leftsemi").join(placed, ["team_id", "player_id"], "leftanti")
+    return rest.join(played, ["team_id", "player_id"], "left").select("team_id", "player_id", F.coalesce("court_matches", F.lit(0)).alias("court_matches"))
+
+
+def plan_status(entries: DataFrame, roster: DataFrame, own: DataFrame, all_rows: DataFrame, formats: DataFrame) -> DataFrame:
+    """For each entry (team_id, event_id) whether a lineup can be predicted, and what it rests on.
+
+    ``own``: rows of roster players in their team's matches; ``all_rows``: all their rows; ``formats``: event_id,
+    courts (their number; null without a format). Refusals in order: no roster, an empty format, no history.
+    """
+    size = roster.groupBy("team_id").agg(F.count("*").alias("roster_size"), F.first("scope").alias("roster_source"))
+    seen = own.groupBy("team_id").agg(F.count_distinct("match_id").alias("observed"))
+    every = all_rows.select("team_id", "match_id").distinct().groupBy("team_id").agg(F.count("*").alias("all"))
+    e = entries.join(size, "team_id", "left").join(seen, "team_id", "left").join(every, "team_id", "left").join(formats, "event_id", "left")
+    n, k = F.coalesce("roster_size", F.lit(0)), F.coalesce("observed", F.lit(0))
+    status = F.when(n == 0, "no roster").when(F.col("courts") == 0, "empty format").when(k == 0, "no history").otherwise("predicted")
+    return e.select(
+        "team_id", "event_id", status.alias("status"), n.alias("roster_size"), "roster_source", F.when(F.col("courts").isNull(), "observed").otherwise("event-format").alias("slot_source"), k.alias("observed"), (F.coalesce("all", F.lit(0)) - k).alias("excluded_other_team")
+    )
+
+
 def predicted_lineup(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Who probably plays where.
 
@@ -26,7 +72,8 @@ def predicted_lineup(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pai
     the pairs that ask for one slot the strongest stands (best combined rank, then most matches, then
     ids); of those the one with most matches is placed (ties: the stronger, then slot order). Pairs
     without an open slot of their own take the first open one. What is left goes by rank: a court may
-    stay short or empty, and a player is on one court at most.
+    stay short or empty, and a player is on one court at most. Courts that are not singles are taken
+    as doubles.
     """
     rows = (
         slots.select("team_id", F.lit("slot").alias("kind"), "slot", "discipline", F.col("place").cast("long").alias("n"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
@@ -53,7 +100,7 @@ def _predict(team: pd.DataFrame) -> pd.DataFrame:
             p = min(free, key=lambda i: (-played.get(i, 0), rank[i], i))
             free.discard(p)
             placed[slot] = ([p], "history" if played.get(p) else "rating", played.get(p, 0))
-    order = {slot: k for k, (slot, kind) in enumerate(courts) if kind == "doubles"}
+    order = {slot: k for k, (slot, kind) in enumerate(courts) if kind != "singles"}
     total = {p: sum(s.values()) for p, s in history.items()}
     strength = {p: (rank[p[0]] + rank[p[1]], -total[p], p) for p in history}
 
@@ -79,33 +126,47 @@ def _predict(team: pd.DataFrame) -> pd.DataFrame:
         if slot not in placed:
             rest = sorted(free, key=lambda i: (rank[i], i))[:2]
             free.difference_update(rest)
-            placed[slot] = (rest, "rating" if rest else "empty", 0)
+            placed[slot] = (rest, "rating", 0)
     team_id = int(team["team_id"].iloc[0])
-    return pd.DataFrame([(team_id, s, k, *placed.get(s, ([], "empty", 0))) for s, k in courts], columns=["team_id", "slot", "discipline", "player_ids", "basis", "support"])
+    return pd.DataFrame([(team_id, s, k, *placed.get(s, ([], "rating", 0))) for s, k in courts], columns=["team_id", "slot", "discipline", "player_ids", "basis", "support"])
+
+
+SCENARIOS = "team_id int, event_id int, day date, strategies string, slot string, discipline string, player_ids array<long>, filled boolean, strength double, shared_matches long, doubles_only_override boolean, sitting array<long>, unfilled_seats int"
+DAY = ["team_id", "event_id", "day"]
 
 
-SCENARIOS = "team_id int, day date, strategies string, court int, discipline string, player_ids array<long>, strength double, doubles_only_override boolean"
+def day_ledger(grid: DataFrame, eligible: DataFrame, courts: DataFrame) -> DataFrame:
+    """For each team and day of an event: answers by kind, how many are eligible (for singles; rated), the bodies its courts need and the shortfall."""
+    status = F.col("status")
+    counts = grid.groupBy(*DAY).agg(*[F.count(F.when(status == x, 1)).alias(x) for x in ("available", "unavailable", "uncertain")], F.count(F.when(status.isNull(), 1)).alias("unrecorded"))
+    able = eligible.groupBy(*DAY).agg(F.count(F.when(~F.col("doubles_only"), 1)).alias("singles_eligible"), F.count("strength").alias("rated_eligible"))
+    needs = courts.groupBy("event_id").agg(F.sum(F.when(F.col("discipline") == "singles", 1).otherwise(2)).alias("bodies_needed"))
+    out = counts.join(able, DAY, "left").join(needs, "event_id").fillna(0, ["singles_eligible", "rated_eligible"])
+    return out.select(*DAY, "available", "unavailable", "uncertain", "unrecorded", "singles_eligible", "rated_eligible", "bodies_needed", F.greatest(F.col("bodies_needed") - F.col("available"), F.lit(0)).alias("shortfall"))
 
 
-def day_scenarios(eligible: DataFrame, pairs: DataFrame, singles_courts: int = 1, doubles_courts: int = 2) -> DataFrame:
-    """Three ways to field a team on a day, from its available players only; equal ways are merged.
+def day_scenarios(eligible: DataFrame, pairs: DataFrame, courts: DataFrame) -> DataFrame:
+    """Three ways to field a team on a day of an event, from its available players only; equal ways are merged.
 
-    ``eligible``: team_id, day, player_id, strength (null: unrated), singles (matches), doubles_only. ``pairs``:
-    team_id, low_id, high_id, matches. Singles go to the strongest (history first: to those with most
-    singles matches); who plays doubles only is taken there last. Doubles: strength first takes pairs in
-    order; history first the pair with most matches together, or the strongest two where none has any;
-    balanced, of all pairings of the strength-first field, the first with the least spread of pair sums.
-    Of groups the one with more rated players comes first, then the stronger (within 1e-9), then by ids.
-    A doubles court that cannot be filled stays empty.
+    ``eligible``: team_id, event_id, day, player_id, strength (null: unrated), singles (matches), doubles_only. ``pairs``:
+    team_id, low_id, high_id, matches. ``courts``: event_id, slot, discipline, place. Singles go to the
+    strongest (history first: to those with most singles matches); who plays doubles only is taken
+    there last. Doubles: strength first takes pairs in order; history first the pair with most matches
+    together, or the strongest two where none has any; balanced, of all pairings of the strength-first
+    field, the first with the least spread of pair sums. Of groups the one with more rated players
+    comes first, then the stronger (within 1e-9), then by ids. A doubles court that cannot be filled
+    stays empty. ``sitting``: the available players of whom no court is made.
     """
-    rows = eligible.select("team_id", "day", F.col("player_id").alias("a"), F.lit(None).cast("long").alias("b"), "strength", F.col("singles").cast("long").alias("n"), "doubles_only")
-    days = eligible.select("team_id", "day").distinct()
-    known = pairs.join(days, "team_id").select("team_id", "day", "low_id", "high_id", F.lit(None).cast("double"), F.col("matches").cast("long"), F.lit(False))
+    none = {k: F.lit(None).cast(t) for k, t in (("a", "long"), ("b", "long"), ("strength", "double"), ("n", "long"), ("flag", "boolean"), ("slot", "string"), ("discipline", "string"))}
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        return _scenarios(group, singles_courts, doubles_courts)
+    def rows(df: DataFrame, kind: str, **given) -> DataFrame:
+        return df.select(*DAY, F.lit(kind).alias("kind"), *[given.get(k, v).alias(k) for k, v in none.items()])
 
-    return rows.union(known).groupBy("team_id", "day").applyInPandas(build, SCENARIOS)
+    days = eligible.select(*DAY).distinct()
+    people = rows(eligible, "player", a=F.col("player_id"), strength=F.col("strength"), n=F.col("singles").cast("long"), flag=F.col("doubles_only"))
+    known = rows(pairs.join(days, "team_id"), "pair", a=F.col("low_id"), b=F.col("high_id"), n=F.col("matches").cast("long"))
+    places = rows(courts.join(days, "event_id"), "court", slot=F.col("slot"), discipline=F.col("discipline"), n=F.col("place").cast("long"))
+    return people.union(known).union(places).groupBy(*DAY).applyInPandas(_scenarios, SCENARIOS)
 
 
 def pairings(players: list[int]):
@@ -119,11 +180,13 @@ def pairings(players: list[int]):
             yield [(first, other), *more]
 
 
-def _scenarios(group: pd.DataFrame, singles: int, doubles: int) -> pd.DataFrame:
-    people, known = group[group["b"].isna()], group[group["b"].notna()]
+def _scenarios(group: pd.DataFrame) -> pd.DataFrame:
+    people, known, places = (group[group["kind"] == k] for k in ("player", "pair", "court"))
+    courts = [(r.slot, r.discipline) for r in places.sort_values(["n", "slot"]).itertuples()]
+    singles, doubles = [s for s, k in courts if k == "singles"], [s for s, k in courts if k != "singles"]
     strength = {int(r.a): None if pd.isna(r.strength) else float(r.strength) for r in people.itertuples()}
     alone = {int(r.a): int(r.n or 0) for r in people.itertuples()}
-    only = {int(r.a) for r in people.itertuples() if r.doubles_only}
+    only = {int(r.a) for r in people.itertuples() if r.flag}
     together = {(int(r.a), int(r.b)): int(r.n) for r in known.itertuples() if int(r.a) in strength and int(r.b) in strength}
 
     def single_key(p: int) -> tuple:
@@ -133,12 +196,12 @@ def _scenarios(group: pd.DataFrame, singles: int, doubles: int) -> pd.DataFrame:
         return (sum(strength[p] is None for p in pair), round(-sum(strength[p] or 0.0 for p in pair), 9), tuple(sorted(pair)))
 
     ranked = sorted(strength, key=single_key)
-    by_rating = sorted(ranked, key=lambda p: p in only)[:singles]
-    by_history = sorted(ranked, key=lambda p: (p in only, -alone[p], single_key(p)))[:singles]
+    by_rating = sorted(ranked, key=lambda p: p in only)[: len(singles)]
+    by_history = sorted(ranked, key=lambda p: (p in only, -alone[p], single_key(p)))[: len(singles)]
     field = [p for p in ranked if p not in by_rating]
-    strong = [tuple(field[i : i + 2]) for i in range(0, min(len(field) - 1, 2 * doubles), 2)]
+    strong = [tuple(field[i : i + 2]) for i in range(0, min(len(field) - 1, 2 * len(doubles)), 2)]
     left, kept = [p for p in ranked if p not in by_history], []
-    while len(kept) < doubles and len(left) >= 2:
+    while len(kept) < len(doubles) and len(left) >= 2:
         best = min(combinations(sorted(left), 2), key=lambda p: (-together.get(p, 0), group_key(p)))
         best = best if together.get(best) else tuple(left[:2])
         kept.append(best)
@@ -151,11 +214,15 @@ def _scenarios(group: pd.DataFrame, singles: int, doubles: int) -> pd.DataFrame:
             even, least = way, spread
     ways: dict[tuple, list[str]] = {}
     for name, solo, pairs in (("strength-first", by_rating, strong), ("history-first", by_history, kept), ("balanced", by_rating, sorted(even, key=group_key))):
-        ways.setdefault((tuple(solo), tuple(tuple(sorted(p)) for p in pairs)), []).append(name)
-    out, (team, day) = [], (int(group["team_id"].iloc[0]), group["day"].iloc[0])
-    for (solo, pairs), names in ways.items():
-        courts = [("singles", list(solo[k : k + 1])) for k in range(singles)] + [("doubles", list(pairs[k]) if k < len(pairs) else []) for k in range(doubles)]
-        for k, (kind, who) in enumerate(courts):
-            rated = [strength[p] for p in who if strength[p] is not None]
-            out.append((team, day, ",".join(names), k + 1, kind, who, sum(rated) if rated else None, kind == "singles" and bool(only.intersection(who))))
-    return pd.DataFrame(out, columns=["team_id", "day", "strategies", "court", "discipline", "player_ids", "strength", "doubles_only_override"])
+        seats = dict(zip(singles, ([p] for p in solo))) | dict(zip(doubles, (sorted(p, key=single_key) for p in pairs)))
+        ways.setdefault(tuple(tuple(seats.get(s, [])) for s, _ in courts), []).append(name)
+    out, key = [], [group[c].iloc[0] for c in DAY]
+    for taken, names in ways.items():
+        sitting = sorted(set(strength) - {p for who in taken for p in who})
+        empty = sum((1 if kind == "singles" else 2) - len(who) for (_, kind), who in zip(courts, taken))
+        for (slot, kind), who in zip(courts, taken):
+            rated, alone_there = [strength[p] for p in who if strength[p] is not None], kind == "singles"
+            shared = together.get(tuple(sorted(who)), 0) if len(who) == 2 else None
+            out.append((*key, ",".join(names), slot, kind, list(who), len(who) == (1 if alone_there else 2), sum(rated) if rated else None, shared, alone_there and bool(only.intersection(who)), sitting, empty))
+    frame = pd.DataFrame(out, columns=[*DAY, "strategies", "slot", "discipline", "player_ids", "filled", "strength", "shared_matches", "doubles_only_override", "sitting", "unfilled_seats"])
+    return frame.astype({"shared_matches": "Int64"})

@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def resolve_roster(memberships: DataFrame, event_id: int) -> DataFrame:
-    """Current members: those registered for the event where the team has any, else the season's; never both."""
+def _members(memberships: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Current registrations (team_id, event_id, player_id) and season members (team_id, player_id)."""
     now = memberships.where("NOT retired")
-    registered = now.where(F.col("event_id") == event_id).select("team_id", "player_id").distinct()
-    season = now.where("event_id IS NULL").select("team_id", "player_id").distinct()
-    fallback = season.join(registered.select("team_id").distinct(), "team_id", "leftanti")
-    return registered.withColumn("scope", F.lit("registered")).union(fallback.withColumn("scope", F.lit("season")))
+    return now.where("event_id IS NOT NULL").select("team_id", "event_id", "player_id").distinct(), now.where("event_id IS NULL").select("team_id", "player_id").distinct()
 
 
-def absent(memberships: DataFrame, event_id: int) -> DataFrame:
-    """Current season members of teams with registrations who are not registered."""
-    now = memberships.where("NOT retired")
-    registered = now.where(F.col("event_id") == event_id).select("team_id", "player_id").distinct()
-    season = now.where("event_id IS NULL").select("team_id", "player_id").distinct()
-    return season.join(registered.select("team_id").distinct(), "team_id", "leftsemi").join(registered, ["team_id", "player_id"], "leftanti")
+def resolve_rosters(memberships: DataFrame, entries: DataFrame) -> DataFrame:
+    """team_id, event_id, player_id and scope for each entry (team_id, event_id): those registered for the event where there are any, else the season's members; never both."""
+    registered, season = _members(memberships)
+    teams = entries.select("team_id", "event_id").distinct()
+    named = registered.join(teams, ["team_id", "event_id"], "leftsemi").select("team_id", "event_id", "player_id", F.lit("registered").alias("scope"))
+    fallback = teams.join(registered.select("team_id", "event_id").distinct(), ["team_id", "event_id"], "leftanti").join(season, "team_id")
+    return named.union(fallback.select("team_id", "event_id", "player_id", F.lit("season")))
+
+
+def absent(memberships: DataFrame, entries: DataFrame) -> DataFrame:
+    """Current season members of entries with registrations who are not registered."""
+    registered, season = _members(memberships)
+    known = entries.select("team_id", "event_id").distinct().join(registered.select("team_id", "event_id").distinct(), ["team_id", "event_id"], "leftsemi")
+    return known.join(season, "team_id").join(registered, ["team_id", "event_id", "player_id"], "leftanti").select("team_id", "event_id", "player_id")
+
+
+def registered_teams(memberships: DataFrame, entries: DataFrame) -> DataFrame:
+    """The teams of each event's field: those with any registration for it, retired ones too; all its entries if there is none."""
+    any_ = memberships.where("event_id IS NOT NULL").select("team_id", "event_id").distinct()
+    rest = entries.select("team_id", "event_id").distinct().join(any_.select("event_id").distinct(), "event_id", "leftanti").select("team_id", "event_id")
+    return any_.union(rest)
 
 
 def days_of(events: DataFrame) -> DataFrame:
@@ -51,6 +63,13 @@ def covering_events(days: DataFrame, events: DataFrame) -> DataFrame:
     return out.select("day", F.col("n").cast("long").alias("events"), F.when(F.col("n") == 1, F.col("event_id")).alias("event_id"), F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("ambiguous").alias("outcome"))
 
 
+def own_team_rows(rows: DataFrame, team_matches: DataFrame, roster: DataFrame, home_label: str = "home") -> DataFrame:
+    """Rows of matches (match_id, player_id, side) of roster players (team_id, player_id) with ``ours``: null where their team did not play in the match, else whether they stood on its side."""
+    played = rows.join(roster.select("team_id", "player_id"), "player_id").join(team_matches.select("match_id", "home_team_id", "visiting_team_id"), "match_id", "left")
+    at_home = F.when(F.col("team_id") == F.col("home_team_id"), True).when(F.col("team_id") == F.col("visiting_team_id"), False)
+    return played.withColumn("ours", (F.col("side") == home_label) == at_home).drop("home_team_id", "visiting_team_id")
+
+
 def own_team_matches(rows: DataFrame, team_matches: DataFrame, roster: DataFrame) -> DataFrame:
     """Members' matches, and whether their own team played in them; ``our_side`` is the team's label there."""
     played = rows.join(roster.select("team_id", "player_id"), "player_id").join(team_matches.select("match_id", "home_team_id", "visiting_team_id"), "match_id", "left")

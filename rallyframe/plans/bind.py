@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ANCHOR = "2001-08-01"
-EVENTS = ((1, "Opening week", "2024-01-01", "2024-01-10"), (2, "Second week", "2024-01-08", "2024-01-20"), (3, "Closing days", "2024-01-25", "2024-01-30"))
 REGISTERED_UNTIL = "2024-01-03"
+FIRST_DAY = "2024-01-01"
 TIMES = (None, "9:00 AM", "09:00am", " 9 : 00 a.m. ", "17:00", "5:00 p.m", "TBD")
 SITES = (None, "St. Mary's", "st marys", "--", "Court 7")
 
@@ -86,16 +86,26 @@ def availability(spark, d):
     return last.select("player_id", "day", status.alias("status")).where("status IS NOT NULL")
 
 
-def events(spark):
-    return spark.createDataFrame(list(EVENTS), "event_id int, event_name string, s string, e string").select("event_id", "event_name", F.to_date("s").alias("starts_on"), F.to_date("e").alias("ends_on"))
+def events(spark, d):
+    """One event for each region, for the teams of its nations: ten days from the first of the month, each six days after the one before; each second one has a format."""
+    k = F.col("r_regionkey")
+    start = F.date_add(F.lit(FIRST_DAY).cast("date"), k * 6)
+    courts = F.when(k % 2 == 0, "S1:singles,S2:singles,D3:doubles,D4:doubles")
+    return read(spark, d, "region").select((k + 1).cast("int").alias("event_id"), F.col("r_name").alias("event_name"), start.alias("starts_on"), F.date_add(start, 9).alias("ends_on"), courts.alias("format"))
+
+
+def entries(spark, d):
+    """team_id and event_id: the teams of a region play in its event."""
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("team_id"), (F.col("n_regionkey") + 1).cast("int").alias("event_id"))
 
 
 def memberships(spark, d):
-    """player_id, team_id, event_id (null: season), retired: each player's season row, and a row for event 1 of those seen early in the month in teams below 20."""
+    """player_id, team_id, event_id (null: season), retired: each player's season row, and a row for the team's event of those seen early in the month in teams below 20."""
     early = read(spark, d, "events").where((F.col("event_type") == "purchase") & (F.to_date("ts") <= F.lit(REGISTERED_UNTIL).cast("date"))).select(F.col("user_id").alias("player_id")).distinct()
     p = players(spark, d).select("player_id", "team_id")
     season = p.select("*", F.lit(None).cast("int").alias("event_id"), (F.col("player_id") % 13 == 0).alias("retired"))
-    return season.union(p.where("team_id < 20").join(early, "player_id", "leftsemi").select("*", F.lit(1), F.lit(False)))
+    registered = p.where("team_id < 20").join(early, "player_id", "leftsemi").join(entries(spark, d), "team_id")
+    return season.union(registered.select("player_id", "team_id", "event_id", F.lit(False)))
 
 
 SQL_BASE = f"""
@@ -120,9 +130,10 @@ availability AS (
   SELECT player_id, day, CASE WHEN t IN ('view', 'click') THEN 'available' WHEN t = 'purchase' THEN 'uncertain' WHEN t = 'error' THEN 'unavailable' END AS status
   FROM (SELECT user_id AS player_id, CAST(ts AS DATE) AS day, event_type AS t, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events) x
   WHERE k = 1 AND t IN ('view', 'click', 'purchase', 'error')),
-happenings AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', DATE '{s}', DATE '{e}')" for i, n, s, e in EVENTS)}) v(event_id, event_name, starts_on, ends_on)),
+happenings AS (SELECT CAST(r_regionkey + 1 AS INTEGER) AS event_id, r_name AS event_name, DATE '{FIRST_DAY}' + r_regionkey * 6 AS starts_on, DATE '{FIRST_DAY}' + r_regionkey * 6 + 9 AS ends_on, CASE WHEN r_regionkey % 2 = 0 THEN 'S1:singles,S2:singles,D3:doubles,D4:doubles' END AS format FROM region),
+entries AS (SELECT n_nationkey AS team_id, CAST(n_regionkey + 1 AS INTEGER) AS event_id FROM nation),
 memberships AS (
   SELECT player_id, team_id, CAST(NULL AS INTEGER) AS event_id, player_id % 13 = 0 AS retired FROM players
   UNION ALL
-  SELECT player_id, team_id, 1, false FROM players WHERE team_id < 20 AND player_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) <= DATE '{REGISTERED_UNTIL}'))
+  SELECT p.player_id, p.team_id, e.event_id, false FROM players p JOIN entries e ON e.team_id = p.team_id WHERE p.team_id < 20 AND p.player_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) <= DATE '{REGISTERED_UNTIL}'))
 """

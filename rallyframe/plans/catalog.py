@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions import grammar, keys, markup, phrases
-from rallyframe.operators import identity, ingest, lineup, merge, ratings, records, roster, scope
+from rallyframe.operators import identity, ingest, merge, ratings, records, roster, scope
 from rallyframe.plans import bind, dossier
 from rallyframe.plans.bind import ANCHOR
 from rallyframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -161,33 +161,42 @@ def retained_leagues(s, d):
     return scope.retained_leagues(bind.leagues(s, d), *scope.parse_scope(SCOPE))
 
 
-_ROSTER = """, registered AS (SELECT DISTINCT team_id, player_id FROM memberships WHERE NOT retired AND event_id = 1),
+_ROSTER = """, registered AS (SELECT DISTINCT team_id, event_id, player_id FROM memberships WHERE NOT retired AND event_id IS NOT NULL),
 season AS (SELECT DISTINCT team_id, player_id FROM memberships WHERE NOT retired AND event_id IS NULL),
-resolved AS (SELECT team_id, player_id, 'registered' AS scope FROM registered UNION ALL SELECT team_id, player_id, 'season' FROM season WHERE team_id NOT IN (SELECT team_id FROM registered))"""
+resolved AS (SELECT team_id, event_id, player_id, 'registered' AS scope FROM registered UNION ALL SELECT e.team_id, e.event_id, s.player_id, 'season' FROM entries e JOIN season s ON s.team_id = e.team_id WHERE NOT EXISTS (SELECT 1 FROM registered r WHERE r.team_id = e.team_id AND r.event_id = e.event_id))"""
 
 
 @query(f"{_ROSTER} SELECT * FROM resolved")
 def roster_resolved(s, d):
-    return roster.resolve_roster(bind.memberships(s, d), 1)
+    return roster.resolve_rosters(bind.memberships(s, d), bind.entries(s, d))
 
 
-@query(f"{_ROSTER} SELECT s.team_id, s.player_id FROM season s LEFT JOIN registered r ON r.team_id = s.team_id AND r.player_id = s.player_id WHERE r.player_id IS NULL AND s.team_id IN (SELECT team_id FROM registered)")
+@query(f"{_ROSTER} SELECT e.team_id, e.event_id, s.player_id FROM entries e JOIN season s ON s.team_id = e.team_id LEFT JOIN registered r ON r.team_id = e.team_id AND r.event_id = e.event_id AND r.player_id = s.player_id WHERE r.player_id IS NULL AND (e.team_id, e.event_id) IN (SELECT team_id, event_id FROM registered)")
 def roster_absent(s, d):
-    return roster.absent(bind.memberships(s, d), 1)
+    return roster.absent(bind.memberships(s, d), bind.entries(s, d))
 
 
-_GRID = f"""{_ROSTER}, grid AS (SELECT r.team_id, r.player_id, 1 AS event_id, g.day, a.status FROM resolved r
-  JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS DATE) AS day) g ON true
-  LEFT JOIN availability a ON a.player_id = r.player_id AND a.day = g.day)"""
+@query("SELECT DISTINCT team_id, event_id FROM memberships WHERE event_id IS NOT NULL UNION SELECT team_id, event_id FROM entries WHERE event_id NOT IN (SELECT event_id FROM memberships WHERE event_id IS NOT NULL)")
+def field_teams(s, d):
+    return roster.registered_teams(bind.memberships(s, d), bind.entries(s, d))
+
+
+_GRID = f"""{_ROSTER}, grid AS (SELECT r.team_id, r.player_id, r.event_id, CAST(g.day AS DATE) AS day, a.status FROM resolved r
+  JOIN (SELECT event_id, unnest(generate_series(CAST(starts_on AS TIMESTAMP), CAST(ends_on AS TIMESTAMP), INTERVAL 1 DAY)) AS day FROM happenings) g ON g.event_id = r.event_id
+  LEFT JOIN availability a ON a.player_id = r.player_id AND a.day = CAST(g.day AS DATE))"""
+
+
+def _roster(s, d):
+    return roster.resolve_rosters(bind.memberships(s, d), bind.entries(s, d))
 
 
 def _grid(s, d):
-    members = roster.resolve_roster(bind.memberships(s, d), 1).select("team_id", "player_id", F.lit(1).alias("event_id"))
-    return roster.availability_grid(members, bind.events(s), bind.availability(s, d)).select("team_id", "player_id", "event_id", "day", "status")
+    return roster.availability_grid(_roster(s, d).drop("scope"), bind.events(s, d), bind.availability(s, d)).select("team_id", "player_id", "event_id", "day", "status")
 
 
 @query(f"{_GRID} SELECT * FROM grid")
 def availability_grid(s, d):
+    """Every event's roster on each of its days."""
     return _grid(s, d)
 
 
@@ -200,7 +209,7 @@ def eligibility_ledger(s, d):
 @query("""SELECT day, n AS events, CASE WHEN n = 1 THEN e END AS event_id, CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS outcome
 FROM (SELECT x.day, count(h.event_id) AS n, min(h.event_id) AS e FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events) x LEFT JOIN happenings h ON x.day BETWEEN h.starts_on AND h.ends_on GROUP BY 1) y""")
 def day_covering_events(s, d):
-    return roster.covering_events(bind.read(s, d, "events").select(F.to_date("ts").alias("day")).distinct(), bind.events(s))
+    return roster.covering_events(bind.read(s, d, "events").select(F.to_date("ts").alias("day")).distinct(), bind.events(s, d))
 
 
 _OWN = """, own AS (SELECT DISTINCT p.team_id, m.match_id, CASE WHEN p.team_id = t.home_team_id THEN 'home' WHEN p.team_id = t.visiting_team_id THEN 'visiting' END AS our_side
@@ -225,7 +234,7 @@ def excluded_counts(s, d):
 JOIN nation n ON n.n_nationkey = m.team_id LEFT JOIN region r ON r.r_regionkey = n.n_regionkey LEFT JOIN happenings h ON h.event_id = m.event_id""")
 def membership_profile(s, d):
     m = bind.memberships(s, d).join(bind.players(s, d).select("player_id", "name"), "player_id").join(bind.teams(s, d), "team_id")
-    return m.join(bind.events(s).select("event_id", "event_name"), "event_id", "left").select("player_id", "name", "team_name", "district", "event_name", "retired")
+    return m.join(bind.events(s, d).select("event_id", "event_name"), "event_id", "left").select("player_id", "name", "team_name", "district", "event_name", "retired")
 
 
 @query(""", current AS (SELECT DISTINCT player_id FROM memberships WHERE NOT retired)
@@ -318,10 +327,9 @@ def iso_days(s, d):
     return m.select("match_id", day.alias("day"), keys.is_iso_day(day).alias("valid"), keys.twelve_months_before(F.col("played_on")).alias("since"))
 
 
-@query("SELECT h.event_id, CAST(g.day AS DATE) AS day FROM happenings h, (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS day) g WHERE CAST(g.day AS DATE) BETWEEN h.starts_on AND h.ends_on AND EXISTS (SELECT 1 FROM events)")
+@query("SELECT event_id, CAST(unnest(generate_series(CAST(starts_on AS TIMESTAMP), CAST(ends_on AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM happenings")
 def day_sequence(s, d):
-    seen = bind.read(s, d, "events").select(F.to_date("ts").alias("day")).distinct()
-    return roster.days_of(bind.events(s)).join(seen, "day", "left").select("event_id", "day")
+    return roster.days_of(bind.events(s, d))
 
 
 @query("""SELECT page_id, CAST(length(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?is)<style[^>]*>.*?</style>', '<style></style>', 'g')) AS BIGINT) AS length,
@@ -343,40 +351,6 @@ def snapshot_counts(s, d):
     return reduce(DataFrame.union, [bind.read(s, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in _TABLES])
 
 
-def _team_pairs(s, d):
-    """Established pairs within one team."""
-    p = bind.players(s, d).select("player_id", "team_id")
-    found = records.pair_slot_counts(bind.match_players(s, d))
-    low = p.withColumnRenamed("player_id", "low_id")
-    high = p.select(F.col("player_id").alias("high_id"), F.col("team_id").alias("other"))
-    return found.join(low, "low_id").join(high, "high_id").where("team_id = other").drop("other")
-
-
-@query()
-def predicted_lineup(s, d):
-    members = bind.players(s, d).select("team_id", "player_id")
-    last, chosen = _choice(s, d)
-    places = records.slot_disciplines(bind.court_matches(s, d)).select("slot", "discipline", (F.col("kind_rank") * 1000 + F.col("slot_number")).alias("place"))
-    slots = members.select("team_id").distinct().withColumn("__k", F.lit(1)).join(F.broadcast(places.withColumn("__k", F.lit(1))), "__k")
-    singles = bind.match_players(s, d).where("discipline = 'singles'").groupBy("player_id").agg(F.count("*").alias("matches")).join(members, "player_id")
-    return lineup.predicted_lineup(slots, ratings.roster_rank(members, last, chosen, INVERTED), singles, _team_pairs(s, d))
-
-
-def _singles(s, d):
-    return bind.match_players(s, d).where("discipline = 'singles'").groupBy("player_id").agg(F.count("*").alias("singles"))
-
-
-@query()
-def day_scenarios(s, d):
-    last, chosen = _choice(s, d)
-    members = bind.players(s, d).select("team_id", "player_id")
-    ranked = ratings.roster_rank(members, last, chosen, INVERTED).select("player_id", F.when(F.col("source").isin(INVERTED), -F.col("value")).otherwise(F.col("value")).alias("strength"))
-    eligible = _grid(s, d).where("status = 'available'").join(ranked, "player_id").join(_singles(s, d), "player_id", "left")
-    eligible = eligible.select("team_id", "day", "player_id", "strength", F.coalesce("singles", F.lit(0)).alias("singles"), (F.col("player_id") % 4 == 0).alias("doubles_only"))
-    pairs = _team_pairs(s, d).groupBy("team_id", "low_id", "high_id").agg(F.sum("matches").alias("matches"))
-    return lineup.day_scenarios(eligible, pairs)
-
-
 _DOSSIER = f""", r AS (SELECT team_id, count(CASE WHEN played_on >= {_SINCE} AND ours > theirs THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND ours < theirs THEN 1 END) AS losses
 FROM (SELECT home_team_id AS team_id, played_on, home_courts_won AS ours, visiting_courts_won AS theirs FROM team_matches
       UNION ALL SELECT visiting_team_id, played_on, visiting_courts_won, home_courts_won FROM team_matches) x GROUP BY 1),
@@ -488,16 +462,16 @@ def merge_filled(s, d):
     return merge.merge_filled(best("F"), best("O").select(k, F.when(k % 3 != 0, F.col("price")).alias("price"), F.when(k % 2 == 0, F.col("priority")).alias("priority")), ["o_custkey"])
 
 
-_LISTED = "SELECT DISTINCT p.player_id, p.team_id, 1 AS event_id FROM players p JOIN availability a ON a.player_id = p.player_id WHERE a.day = DATE '2024-01-09' AND a.status = 'available' AND p.team_id % 2 = 0"
+_LISTED = "SELECT DISTINCT p.player_id, p.team_id, e.event_id FROM players p JOIN entries e ON e.team_id = p.team_id JOIN availability a ON a.player_id = p.player_id WHERE a.day = DATE '2024-01-09' AND a.status = 'available' AND p.team_id % 2 = 0"
 
 
 @query(f""", listed AS ({_LISTED})
 SELECT coalesce(m.player_id, l.player_id) AS player_id, coalesce(m.team_id, l.team_id) AS team_id, coalesce(m.event_id, l.event_id) AS event_id,
-  CASE WHEN l.player_id IS NOT NULL THEN false WHEN m.event_id = 1 AND m.team_id IN (SELECT team_id FROM listed) THEN true ELSE m.retired END AS retired
+  CASE WHEN l.player_id IS NOT NULL THEN false WHEN (m.team_id, m.event_id) IN (SELECT team_id, event_id FROM listed) THEN true ELSE m.retired END AS retired
 FROM memberships m FULL JOIN listed l ON l.player_id = m.player_id AND l.team_id = m.team_id AND l.event_id = m.event_id""")
 def replace_event_roster(s, d):
     there = bind.availability(s, d).where("day = DATE '2024-01-09' AND status = 'available'")
-    listed = bind.players(s, d).where("team_id % 2 = 0").join(there, "player_id", "leftsemi").select("player_id", "team_id", F.lit(1).alias("event_id"))
+    listed = bind.players(s, d).where("team_id % 2 = 0").join(there, "player_id", "leftsemi").join(bind.entries(s, d), "team_id").select("player_id", "team_id", "event_id")
     return merge.replace_members(bind.memberships(s, d), listed)
 
 
@@ -508,7 +482,7 @@ FROM events v JOIN (SELECT x.day, count(h.event_id) AS n, min(h.event_id) AS e F
 ON c.day = CAST(v.ts AS DATE)) y) z""")
 def answer_outcomes(s, d):
     attempts = bind.read(s, d, "events").select(F.col("event_id").alias("attempt"), F.col("user_id").alias("player_id"), F.to_date("ts").alias("day"))
-    return ingest.answer_outcomes(attempts, bind.memberships(s, d).where("NOT retired"), bind.events(s))
+    return ingest.answer_outcomes(attempts, bind.memberships(s, d).where("NOT retired"), bind.events(s, d))
 
 
 @query("""SELECT source, count(*) AS rows_before, count(DISTINCT (player_id, observed_on)) AS rows_after, count(*) = count(DISTINCT (player_id, observed_on)) AS same FROM ratings GROUP BY 1""")
@@ -519,4 +493,4 @@ def merge_loss(s, d):
 
 
 
-from rallyframe.plans import merges, publishing  # noqa: E402, F401
+from rallyframe.plans import lineups, merges, pages, publishing  # noqa: E402, F401

@@ -242,7 +242,7 @@ def team_ladder(s, d):
 
 
 @query(f"""{_FIXTURES}, cards AS (SELECT match_id AS card, home_team_id, CASE WHEN match_id % 29 = 0 THEN home_team_id ELSE visiting_team_id END AS visiting_team_id, played_on, scheduled_time, site, tk, sk, least(home_team_id, CASE WHEN match_id % 29 = 0 THEN home_team_id ELSE visiting_team_id END) AS low,
-  greatest(home_team_id, CASE WHEN match_id % 29 = 0 THEN home_team_id ELSE visiting_team_id END) AS high, CASE match_id % 6 WHEN 4 THEN 'Opening week' WHEN 2 THEN 'No such event' END AS event_name FROM keyed WHERE match_id % 2 = 0 AND played_on IS NOT NULL),
+  greatest(home_team_id, CASE WHEN match_id % 29 = 0 THEN home_team_id ELSE visiting_team_id END) AS high, CASE match_id % 6 WHEN 4 THEN 'AFRICA' WHEN 2 THEN 'No such event' END AS event_name FROM keyed WHERE match_id % 2 = 0 AND played_on IS NOT NULL),
 seats AS (SELECT m.match_id AS card, m.slot, p.player_id, p.side, q.team_id, CASE WHEN p.side = 'O' THEN c.home_team_id ELSE c.visiting_team_id END AS wanted_team FROM court_matches m JOIN participants p ON p.match_id = m.match_id JOIN players q ON q.player_id = p.player_id JOIN cards c ON c.card = m.match_id),
 off AS (SELECT card, count(CASE WHEN player_id % 4 = 0 AND team_id <> wanted_team THEN 1 END) AS off, count(CASE WHEN player_id % 50 = 0 THEN 1 END) AS doubled FROM seats GROUP BY 1),
 happen AS (SELECT event_name, event_id FROM happenings),
@@ -258,11 +258,11 @@ def scorecard_outcomes(s, d):
     m, k = bind.team_matches(s, d), F.col("match_id")
     cards = m.where("match_id % 2 = 0 AND played_on IS NOT NULL").select(
         k.alias("card"), "played_on", "scheduled_time", "site", "home_team_id", F.when(k % 29 == 0, F.col("home_team_id")).otherwise(F.col("visiting_team_id")).alias("visiting_team_id"),
-        F.when(k % 6 == 4, "Opening week").when(k % 6 == 2, "No such event").alias("event_name"), (k % 31 == 0).alias("slot_twice"), (k % 37 != 0).alias("teams_known"),
+        F.when(k % 6 == 4, "AFRICA").when(k % 6 == 2, "No such event").alias("event_name"), (k % 31 == 0).alias("slot_twice"), (k % 37 != 0).alias("teams_known"),
     )
     seats = bind.match_players(s, d).select(F.col("match_id").alias("card"), "slot", "player_id", "side").join(bind.players(s, d).select("player_id", "team_id"), "player_id")
     seats = seats.join(cards.select("card", "home_team_id", "visiting_team_id"), "card")
     wanted = F.when(F.col("side") == "O", F.col("home_team_id")).otherwise(F.col("visiting_team_id"))
     seats = seats.select("card", "slot", "player_id", (~((F.col("player_id") % 4 == 0) & (F.col("team_id") != wanted))).alias("on_roster"), F.when(F.col("player_id") % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))).alias("times"))
     seats = seats.select("card", "slot", "player_id", "on_roster", F.explode("times").alias("t")).drop("t")
-    return ingest.scorecard_outcomes(cards, seats, bind.events(s).select("event_name", "event_id"), m.where("match_id % 2 = 1"))
+    return ingest.scorecard_outcomes(cards, seats, bind.events(s, d).select("event_name", "event_id"), m.where("match_id % 2 = 1"))

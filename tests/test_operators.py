@@ -38,11 +38,23 @@ def test_days_of_reversed_or_open_events_are_none(spark):
     assert roster.days_of(df).groupBy("event_id").count().collect() == [(1, 3)]
 
 
-def test_roster_falls_back_by_team(spark):
-    df = spark.createDataFrame([(1, 1, None, False), (2, 1, None, False), (1, 1, 5, False), (3, 2, None, False), (4, 2, None, True)], "player_id long, team_id int, event_id int, retired boolean")
-    got = {(r["team_id"], r["player_id"]): r["scope"] for r in roster.resolve_roster(df, 5).collect()}
-    assert got == {(1, 1): "registered", (2, 3): "season"}
-    assert [tuple(r) for r in roster.absent(df, 5).collect()] == [(1, 2)]
+def test_rosters_fall_back_by_entry(spark):
+    rows = [(1, 1, None, False), (2, 1, None, False), (1, 1, 5, False), (3, 2, None, False), (4, 2, None, True), (5, 3, 6, True), (6, 3, None, False), (7, 1, 9, False)]
+    df = spark.createDataFrame(rows, "player_id long, team_id int, event_id int, retired boolean")
+    entries = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (3, 6), (4, 6)], "team_id int, event_id int")
+    got = {(r["team_id"], r["event_id"], r["player_id"]): r["scope"] for r in roster.resolve_rosters(df, entries).collect()}
+    assert got == {(1, 5, 1): "registered", (1, 6, 1): "season", (1, 6, 2): "season", (2, 5, 3): "season", (3, 6, 6): "season"}
+    assert [tuple(r) for r in roster.absent(df, entries).collect()] == [(1, 5, 2)]
+    field = sorted(map(tuple, roster.registered_teams(df, entries.union(spark.createDataFrame([(2, 7), (4, 7)], entries.schema))).collect()))
+    assert field == [(1, 5), (1, 9), (2, 7), (3, 6), (4, 7)]  # event 6 has a (retired) registration, event 7 none
+
+
+def test_own_team_rows(spark):
+    rows = spark.createDataFrame([(1, 10, "h"), (1, 11, "v"), (2, 10, "v"), (3, 10, "h")], "match_id long, player_id long, side string")
+    matches = spark.createDataFrame([(1, 7, 8), (2, 8, 7), (3, 1, 2)], "match_id long, home_team_id int, visiting_team_id int")
+    members = spark.createDataFrame([(7, 10), (7, 11)], "team_id int, player_id long")
+    got = {(r["match_id"], r["player_id"]): r["ours"] for r in roster.own_team_rows(rows, matches, members, "h").collect()}
+    assert got == {(1, 10): True, (1, 11): False, (2, 10): True, (3, 10): None}
 
 
 def test_fuzzy_join_equals_brute_force(spark):
@@ -176,7 +188,7 @@ def test_leftovers_go_by_rank_and_a_court_may_stay_short(spark):
     got = _lineup(spark, SLOTS, [(1, p, p) for p in range(1, 5)], [], [(1, 1, 2, "D2", 1)])
     assert got == {"S1": ([1], "rating"), "D1": ([2, 3], "rating"), "D2": ([4], "rating")}
     got = _lineup(spark, SLOTS, [(1, 1, 0)], [], [])
-    assert got == {"S1": ([1], "rating"), "D1": ([], "empty"), "D2": ([], "empty")}
+    assert got == {"S1": ([1], "rating"), "D1": ([], "rating"), "D2": ([], "rating")}
 
 
 def test_most_matches_win_across_slots(spark):
@@ -186,13 +198,24 @@ def test_most_matches_win_across_slots(spark):
     assert got["D2"] == ([3, 4], "history") and got["D1"] == ([2, 5], "rating")
 
 
-ELIGIBLE = "team_id int, day date, player_id long, strength double, singles int, doubles_only boolean"
+ELIGIBLE = "team_id int, event_id int, day date, player_id long, strength double, singles int, doubles_only boolean"
+COURTS = [(9, "S1", "singles", 0), (9, "D1", "doubles", 1), (9, "D2", "doubles", 2)]
+
+
+def _ways(spark, players, pairs=()):
+    e = spark.createDataFrame([(1, 9, date(2026, 1, 1), *p) for p in players], ELIGIBLE)
+    known = spark.createDataFrame(list(pairs), "team_id int, low_id long, high_id long, matches long")
+    return lineup.day_scenarios(e, known, spark.createDataFrame(COURTS, "event_id int, slot string, discipline string, place int")).collect()
 
 
 def _courts(spark, players, pairs=()):
-    e = spark.createDataFrame([(1, date(2026, 1, 1), *p) for p in players], ELIGIBLE)
-    rows = lineup.day_scenarios(e, spark.createDataFrame(list(pairs), "team_id int, low_id long, high_id long, matches long")).collect()
-    return {(s, r["court"]): (r["player_ids"], r["doubles_only_override"]) for r in rows for s in r["strategies"].split(",")}
+    return {(s, [c[1] for c in COURTS].index(r["slot"]) + 1): (r["player_ids"], r["doubles_only_override"]) for r in _ways(spark, players, pairs) for s in r["strategies"].split(",")}
+
+
+def test_sitting_and_unfilled_seats(spark):
+    rows = _ways(spark, [(k, 10.0 - k, 0, False) for k in range(1, 5)], [(1, 2, 3, 6)])
+    assert {(tuple(r["sitting"]), r["unfilled_seats"]) for r in rows} == {((4,), 2)}
+    assert {(r["slot"], tuple(r["player_ids"]), r["filled"], r["shared_matches"]) for r in rows} == {("S1", (1,), True, None), ("D1", (2, 3), True, 6), ("D2", (), False, None)}
 
 
 def test_doubles_only_is_avoided_at_singles_unless_nobody_else_is_there(spark):
@@ -211,9 +234,7 @@ def test_history_first_keeps_the_pair_that_played_most(spark):
 
 def test_balanced_is_the_brute_force_minimum_and_equal_ways_merge(spark):
     values = {1: 9.0, 2: 7.5, 3: 7.0, 4: 4.0, 5: 1.0}
-    e = spark.createDataFrame([(1, date(2026, 1, 1), p, v, 0, False) for p, v in values.items()], ELIGIBLE)
-    none = spark.createDataFrame([], "team_id int, low_id long, high_id long, matches long")
-    rows = lineup.day_scenarios(e, none).collect()
+    rows = _ways(spark, [(p, v, 0, False) for p, v in values.items()])
     best = min(abs(sum(values[p] for p in a) - sum(values[p] for p in (2, 3, 4, 5) if p not in a)) for a in combinations((2, 3, 4, 5), 2))
     mine = [r["strength"] for r in rows if "balanced" in r["strategies"] and r["discipline"] == "doubles"]
     assert abs(mine[0] - mine[1]) == pytest.approx(best)
