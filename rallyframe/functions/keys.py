@@ -69,6 +69,11 @@ def is_iso_day(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
+def is_season(text: Column) -> Column:
+    """A year of four digits that does not begin with zero, and nothing else."""
+    return F.coalesce((F.char_length(text) == 4) & (F.translate(text, "0123456789", "") == "") & ~text.startswith("0"), F.lit(False))
+
+
 def twelve_months_before(day: Column) -> Column:
     return F.add_months(day, -12)
 

@@ -28,6 +28,12 @@ def absent(memberships: DataFrame, entries: DataFrame) -> DataFrame:
     return known.join(season, "team_id").join(registered, ["team_id", "event_id", "player_id"], "leftanti").select("team_id", "event_id", "player_id")
 
 
+def season_only(memberships: DataFrame) -> DataFrame:
+    """Current season rows of players without any current registration."""
+    now = memberships.where("NOT retired")
+    return now.where("event_id IS NULL").join(now.where("event_id IS NOT NULL").select("player_id").distinct(), "player_id", "leftanti").select("team_id", "player_id", "event_id")
+
+
 def registered_teams(memberships: DataFrame, entries: DataFrame) -> DataFrame:
     """The teams of each event's field: those with any registration for it, retired ones too; all its entries if there is none."""
     any_ = memberships.where("event_id IS NOT NULL").select("team_id", "event_id").distinct()

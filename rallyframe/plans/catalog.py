@@ -493,4 +493,4 @@ def merge_loss(s, d):
 
 
 
-from rallyframe.plans import lineups, merges, pages, publishing  # noqa: E402, F401
+from rallyframe.plans import lineups, merges, pages, publishing, upkeep  # noqa: E402, F401

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rallyframe.operators import pull
 from rallyframe.plans import bind
 from rallyframe.plans.registry import query
-from rallyframe.sources import payloads, profiles, tables, widgets
+from rallyframe.sources import payloads, profiles, renderings, tables, widgets
 
 
 def _cell(c: Column | str, tag: str = "td") -> Column:
@@ -234,3 +234,48 @@ def roster_payloads(s, d):
     given = F.when((k % 7 == 0) | F.col("names").isNull(), F.array().cast("array<string>")).otherwise(F.col("names"))
     card = F.struct(F.when(k % 5 == 0, "").otherwise(F.col("team_name")).alias("team"), F.lit("Opening week").alias("event"), given.alias("players"))
     return payloads.rosters(t.select("team_id", F.to_json(card).alias("payload"))).select("team_id", "team", "event", F.size("players").cast("long").alias("players"), "refusal")
+
+
+# History pages in both renderings: every seventh court is a tournament entry, some blocks differ, some pages lack a block.
+def _two_renderings(s, d):
+    m, k = bind.match_players(s, d).where("player_id % 3 <> 0"), F.col("match_id")
+    day, entry = _us(F.col("played_on")), k % 7 == 0
+    row = F.concat(F.lit("<tr>"), *[_cell(c) for c in (day, F.when(entry, "Tournament").otherwise("Adult 18+"), "Net Gains", F.col("slot"), F.when(F.col("discipline") == "doubles", "Al").otherwise(""), F.when(F.col("discipline") == "doubles", "Opp A<br>(3.5)<br>Opp B").otherwise("Opp A"), "w", F.concat(F.lit("<a href='/matchresults.aspx?mid="), k.cast("string"), F.lit("'>6-4<br>6-4</a>")), "3.7", "3.7")], F.lit("</tr>"))
+    other_day = F.when(k % 11 == 1, "1/1/1999").otherwise(day)
+    other_slot = F.when(k % 13 == 2, "S9").otherwise(F.col("slot"))
+    league = F.concat(
+        F.lit("<table><tr>"), _cell(other_day, "th"), _cell(other_slot, "th"), F.lit("</tr><tr><td><a href='/teamprofile.aspx?t=1'>Net Gains</a></td><td><a href='/teamprofile.aspx?t=2'>Rivals "), (k % 5).cast("string"), F.lit("<br>Heart of America</a></td></tr></table>"),
+        F.lit("<a href='/matchresults.aspx?mid="), F.when(k % 17 == 3, "zz").otherwise(k.cast("string")), F.lit("'>x</a>"),
+    )
+    tournament = F.concat(F.lit("<table><tr>"), _cell(other_day), _cell(other_slot), F.lit("<td>Tournament<br>Open</td></tr></table>"))
+    block = F.concat(F.lit("<div class='container496 x'>"), F.when(entry, tournament).otherwise(league), F.lit("</div>"))
+    rows = m.where("played_on IS NOT NULL").groupBy("player_id").agg(F.array_sort(F.collect_list(F.struct("match_id", row.alias("row"), block.alias("block")))).alias("r"))
+    head = _row("Match Date", "League", "Team", "Court", "Partner", "Opponent(s)", "W/L", "Result", "Match", "Rating", tag="th")
+    blocks = F.when(F.col("player_id") % 10 == 1, F.slice("r", 2, 1 << 20)).otherwise(F.col("r"))
+    html = F.concat(F.lit("<div class='large'>"), _table(head, F.array_join(F.transform("r", lambda x: x["row"]), "")), F.lit("</div><div class='small'>"), F.array_join(F.transform(blocks, lambda x: x["block"]), ""), F.lit("</div>"))
+    return rows.select(F.concat(F.lit("p"), F.col("player_id").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("""SELECT url, place, played_on, slot, source_match_id, opponent_team, opponent_section, error FROM (
+SELECT 'p' || player_id AS url, player_id, CAST(row_number() OVER (PARTITION BY player_id ORDER BY match_id) - 1 AS INTEGER) AS place, strftime(played_on, '%Y-%m-%d') AS played_on, slot, CAST(match_id AS VARCHAR) AS source_match_id, match_id % 7 = 0 AS entry,
+  CASE WHEN match_id % 7 <> 0 THEN 'Rivals ' || (match_id % 5) END AS opponent_team, CASE WHEN match_id % 7 <> 0 THEN 'Heart of America' END AS opponent_section,
+  CASE WHEN match_id % 11 = 1 AND played_on <> DATE '1999-01-01' THEN 'renderings disagree on the day' WHEN match_id % 13 = 2 THEN 'renderings disagree on the slot' WHEN match_id % 7 <> 0 AND match_id % 17 = 3 THEN 'renderings disagree on the match' END AS error
+FROM match_players WHERE player_id % 3 <> 0 AND played_on IS NOT NULL) x WHERE player_id % 10 <> 1 AND (NOT entry OR error IS NOT NULL)
+UNION ALL SELECT 'p' || player_id, NULL, NULL, NULL, NULL, NULL, NULL, 'table has ' || count(*) || ' matches, mobile blocks are ' || (count(*) - 1) FROM match_players WHERE player_id % 3 <> 0 AND player_id % 10 = 1 AND played_on IS NOT NULL GROUP BY player_id""")
+def agreed_renderings(s, d):
+    return renderings.agreed_history(_two_renderings(s, d))
+
+
+@query("""SELECT 'https://x.org/p#uaid=' || player_id AS url, name, CAST(player_id AS VARCHAR) AS uaid, CASE player_id % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'Female' WHEN 2 THEN 'Male' END AS gender, CASE WHEN player_id % 4 IN (0, 1) THEN 'Tulsa, OK' WHEN player_id % 4 = 3 THEN NULL END AS location, 'Missouri Valley' AS section,
+  CASE WHEN player_id % 4 <> 3 THEN 'Oklahoma' END AS district, 'A' || player_id AS tennis_id, CASE WHEN player_id % 5 = 0 THEN NULL ELSE '4.5' || CASE WHEN player_id % 3 = 0 THEN 'C' WHEN player_id % 3 = 1 THEN '' ELSE 'X' END || '@2025-12-31' END AS ntrp,
+  CASE WHEN player_id % 4 = 3 THEN 'no identity line' WHEN player_id % 5 <> 0 AND player_id % 3 = 2 THEN 'unknown rating type' END AS error FROM players""")
+def captured_profiles(s, d):
+    """Pages captured behind a login, in the layouts that their context block has had."""
+    k = F.col("player_id")
+    context = F.when(k % 4 == 0, "<p>Competition Category: Male</p><p>Tulsa, OK | Section: Missouri Valley</p><p>District: Oklahoma</p>").when(k % 4 == 1, "<p>Female | Tulsa, OK</p><p>Section: Missouri Valley | District: Oklahoma</p>").when(k % 4 == 2, "<p>Nationality: USA</p><p>Competition Category: Male | Section: Missouri Valley | District: Oklahoma</p>").otherwise("<p>Section: Missouri Valley</p>")
+    letter = F.when(k % 3 == 0, " c").when(k % 3 == 1, "").otherwise(" x")
+    level = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("<div data-element-name='ntrpSummary'><span class='readonly-text__text'>4.5"), letter, F.lit("</span><span class='readonly-text__subtext'>as of 12/31/25</span></div>")))
+    html = F.concat(F.lit("<div data-element-name=\"fullName\"><div class='readonly-text__text'><h3> "), "name", F.lit(" </h3></div></div><div data-element-name='nameGenderAddress'><div class='readonly-text__text'>"), context, F.lit("</div></div>"), level, F.lit("<a class='v-form-wtn-widget__navigation-link' href='/x?tennis-id=A"), k.cast("string"), F.lit("'>go</a>"))
+    p = widgets.captured_profile(bind.players(s, d).select(F.concat(F.lit("https://x.org/p#uaid="), k.cast("string")).alias("url"), html.alias("html")))
+    ntrp = F.when(F.col("ntrp").isNotNull(), F.concat(F.col("ntrp.value").cast("string"), F.coalesce("ntrp.rating_type", F.lit("")), F.lit("@"), "ntrp.observed_on"))
+    return p.withColumn("ntrp", ntrp)

@@ -61,7 +61,9 @@ def number(text: Column) -> Column:
 
 
 def discipline(slot: Column) -> Column:
-    return F.when(slot.rlike(r"^S\d+X?$"), "singles").when(slot.rlike(r"^D\d+X?$"), "doubles")
+    """By the slot's letter, before a number and an X or nothing; else null."""
+    shaped = F.upper(slot).rlike("^.[0-9]+X?$")
+    return F.when(shaped & (F.upper(F.substring(slot, 1, 1)) == "S"), "singles").when(shaped & (F.upper(F.substring(slot, 1, 1)) == "D"), "doubles")
 
 
 def match_history(pages: DataFrame) -> DataFrame:
@@ -77,8 +79,9 @@ def match_history(pages: DataFrame) -> DataFrame:
     opponents = parts(5)
     rows = rows.select(
         "url", "place", us_date(cell(0)).alias("played_on"), F.array_join(parts(1), " ").alias("league_context"), F.get(parts(2), 0).alias("team_name"), cell(3).alias("slot"), discipline(cell(3)).alias("discipline"),
-        F.get(parts(4), 0).alias("partner"), F.exists(opponents, lambda x: F.lower(x).startswith("default")).alias("defaulted"), F.filter(opponents, lambda x: ~x.rlike(r"^\([\d.]+\)$") & ~F.lower(x).startswith("default")).alias("opponents"),
-        F.when(cell(6).isin("W", "L"), cell(6)).alias("result"), sets(parts(7)).alias("sets"), F.regexp_extract(F.get("cells", 7), r"[?&;]mid=([^&\"'#]+)", 1).alias("source_match_id"),
+        (F.get(parts(1), 0) == "Tournament").alias("tournament"), F.get(parts(4), 0).alias("partner"), F.get(rated(parts(4)), 0)["rating"].alias("partner_rating"), F.exists(opponents, lambda x: F.lower(x).startswith("default")).alias("defaulted"),
+        F.transform(rated(opponents), lambda x: x["name"]).alias("opponents"), F.transform(rated(opponents), lambda x: x["rating"]).alias("opponent_ratings"),
+        F.when(F.upper(cell(6)).isin("W", "L"), F.upper(cell(6))).alias("result"), sets(parts(7)).alias("sets"), F.regexp_extract(F.get("cells", 7), r"[?&;]mid=([^&\"'#]+)", 1).alias("source_match_id"),
         number(cell(8)).alias("match_rating"), (F.upper(cell(8)) == "S").alias("self_rated"), number(cell(9)).alias("resulting_rating"), "error",
     )
     want = F.when(F.col("discipline") == "singles", 1).otherwise(2)
@@ -90,6 +93,13 @@ def match_history(pages: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.coalesce("error", *[F.when(c, F.lit(m)) for c, m in checks]))
 
 
+def rated(lines: Column) -> Column:
+    """(name, rating) of each player: a line in brackets with a number is the rating of the name before it; lines of a default name nobody."""
+    is_rating = lambda x: x.startswith("(") & x.endswith(")") & number(x).isNotNull()
+    each = F.transform(lines, lambda x, i: F.when(~is_rating(x) & ~F.lower(x).startswith("default"), F.struct(x.alias("name"), F.when(is_rating(F.get(lines, i + 1)), number(F.get(lines, i + 1))).alias("rating"))))
+    return F.filter(each, lambda p: p.isNotNull())
+
+
 def sets(lines: Column) -> Column:
     """Winner-first games of each set; a third or later set with no side above 1 is a match tiebreak."""
     scored = F.filter(lines, lambda x: x.rlike(r"^\d+-\d+"))

@@ -39,3 +39,20 @@ def test_phrases(spark):
     df = spark.createDataFrame([('a​"b\n', 3, 1, 2)], "t string, w int, l int, u int")
     got = df.select(phrases.record(F.col("w"), F.col("l"), F.col("u")), phrases.summary(x=F.col("t"), y=F.lit(None)), phrases.escape_html(F.lit("<a&'>"))).first()
     assert tuple(got) == ("3-1 (2 undecided)", 'x="a \\"b "', "&lt;a&amp;&#39;&gt;")
+
+
+def test_numbers_are_rounded_by_their_exact_value(spark):
+    cases = {33.05: "33.0", 3.25: "3.3", 3.35: "3.4", 0.05: "0.1", 4.0: "4.0", -3.25: "-3.3", 1e6 + 0.25: "1000000.3", 0.0: "0.0"}
+    df = spark.createDataFrame([(v,) for v in cases], "v double")
+    assert {r["v"]: r["t"] for r in df.select("v", phrases.fixed(F.col("v"), 1).alias("t")).collect()} == cases
+    assert df.select(phrases.rating_value(F.lit(22.505), F.lit("wtn_singles"))).first()[0] == "22.50"
+    assert df.select(phrases.rating_value(F.lit(4.0), F.lit("ntrp"))).first()[0] == "4.0"
+
+
+def test_membership_texts(spark):
+    rows = [
+        ("a", [(None, None, False)]), ("b", [(None, None, True)]), ("c", [(None, None, True), (1, "Cup", False), (2, " ", True)]), ("d", [(1, "Cup", False)]),
+    ]
+    df = spark.createDataFrame(rows, "team string, rows array<struct<event_id: int, event_name: string, retired: boolean>>")
+    got = {r["team"]: r["t"] for r in df.select("team", phrases.membership_text(F.col("team"), F.col("rows")).alias("t")).collect()}
+    assert got == {"a": "a", "b": "b (former)", "c": 'c (season roster — former; registered for "Cup"; registered for event #2 — former)', "d": 'd (registered for "Cup")'}
