@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import grammar, keys, markup, phrases
 from rallyframe.operators import identity, ingest, merge, ratings, records, roster, scope
-from rallyframe.plans import bind, dossier
+from rallyframe.plans import bind
 from rallyframe.plans.bind import ANCHOR
 from rallyframe.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -351,37 +351,6 @@ def snapshot_counts(s, d):
     return reduce(DataFrame.union, [bind.read(s, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in _TABLES])
 
 
-_DOSSIER = f""", r AS (SELECT team_id, count(CASE WHEN played_on >= {_SINCE} AND ours > theirs THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND ours < theirs THEN 1 END) AS losses
-FROM (SELECT home_team_id AS team_id, played_on, home_courts_won AS ours, visiting_courts_won AS theirs FROM team_matches
-      UNION ALL SELECT visiting_team_id, played_on, visiting_courts_won, home_courts_won FROM team_matches) x GROUP BY 1),
-p AS (SELECT player_id, count(CASE WHEN played_on >= {_SINCE} AND winner_side = side THEN 1 END) AS wins, count(CASE WHEN played_on >= {_SINCE} AND winner_side <> side THEN 1 END) AS losses,
-  count(CASE WHEN played_on >= {_SINCE} AND winner_side IS NULL THEN 1 END) AS undecided FROM match_players GROUP BY 1)"""
-
-
-@query(f"""{_DOSSIER},
-l AS (SELECT q.team_id, string_agg('| ' || q.name || ' | ' || coalesce(p.wins, 0) || '-' || coalesce(p.losses, 0) || ' | ' || coalesce(p.undecided, 0) || ' |', chr(10) ORDER BY lower(q.name), q.player_id) AS lines FROM players q LEFT JOIN p ON p.player_id = q.player_id GROUP BY 1)
-SELECT n.n_nationkey AS team_id, md5('# ' || n.n_name || chr(10) || chr(10) || 'Record: ' || coalesce(r.wins, 0) || '-' || coalesce(r.losses, 0) || chr(10) || chr(10) || '| Player | Record | Undecided |' || chr(10) || '| --- | --- | --- |' || chr(10)
-  || coalesce(l.lines, 'no players recorded') || chr(10)) AS digest, trim(regexp_replace(lower(n.n_name), '[^a-z0-9]+', '-', 'g')) AS directory
-FROM nation n LEFT JOIN r ON r.team_id = n.n_nationkey LEFT JOIN l ON l.team_id = n.n_nationkey""")
-def team_dossiers(s, d):
-    text = dossier.markdown(*_dossier_parts(s, d))
-    return text.join(dossier.directory_names(bind.teams(s, d)), "team_id").select("team_id", F.md5("text").alias("digest"), "directory")
-
-
-def _dossier_parts(s, d):
-    return bind.teams(s, d), records.team_record(bind.team_matches(s, d), _since()).select("team_id", "wins", "losses"), bind.players(s, d), records.windowed_record(bind.match_players(s, d), _since())
-
-
-@query(f"""{_DOSSIER},
-l AS (SELECT q.team_id, string_agg('<tr><td>' || q.name || '</td><td>' || coalesce(p.wins, 0) || '-' || coalesce(p.losses, 0) || '</td><td>' || coalesce(p.undecided, 0) || '</td></tr>', chr(10) ORDER BY lower(q.name), q.player_id) AS lines FROM players q LEFT JOIN p ON p.player_id = q.player_id GROUP BY 1)
-SELECT n.n_nationkey AS team_id, md5('<!doctype html>' || chr(10) || '<meta charset=''utf-8''>' || chr(10) || '<title>' || n.n_name || '</title>' || chr(10) || '<h1>' || n.n_name || '</h1>' || chr(10)
-  || '<p>Record: ' || coalesce(r.wins, 0) || '-' || coalesce(r.losses, 0) || '</p>' || chr(10) || '<table>' || chr(10) || '<tr><th>Player</th><th>Record</th><th>Undecided</th></tr>' || chr(10)
-  || coalesce(l.lines, '<tr><td colspan=''3''>no players recorded</td></tr>') || chr(10) || '</table>' || chr(10)) AS digest
-FROM nation n LEFT JOIN r ON r.team_id = n.n_nationkey LEFT JOIN l ON l.team_id = n.n_nationkey""")
-def team_dossier_pages(s, d):
-    return dossier.html(*_dossier_parts(s, d)).select("team_id", F.md5("text").alias("digest"))
-
-
 @query(f"""SELECT r.player_id, r.opponent_id, count(CASE WHEN m.winner_side = m.side THEN 1 END) AS wins, count(CASE WHEN m.winner_side <> m.side THEN 1 END) AS losses,
   count(CASE WHEN m.match_id IS NOT NULL AND m.winner_side IS NULL THEN 1 END) AS undecided, count(m.match_id) AS matches
 FROM (SELECT a.player_id, b.player_id AS opponent_id FROM players a JOIN players b ON b.team_id = (a.team_id + 2) % 25) r
@@ -493,4 +462,4 @@ def merge_loss(s, d):
 
 
 
-from rallyframe.plans import lineups, merges, pages, publishing, upkeep  # noqa: E402, F401
+from rallyframe.plans import books, lineups, merges, pages, publishing, upkeep  # noqa: E402, F401

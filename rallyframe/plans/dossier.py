@@ -16,15 +16,23 @@ def directory_names(teams: DataFrame) -> DataFrame:
     """A folder name for each team: its slug, or ``team-<id>`` where that is empty.
 
     In order of ids, a team whose slug is taken has its id behind it, and if that is taken too, -2, -3 and
-    so on. Names can only meet within a family: slugs that are equal but for numbers behind them. In a
-    family of distinct slugs each team keeps its own; only the others are walked in order, each in a
-    task, so a task holds the teams of one family of which some have equal slugs.
+    so on. What is put behind a shared slug can only meet slugs that go on from it by numbers. So a
+    slug of one team, none of whose beginnings is shared, stays; where teams share a slug and no other
+    goes on from it, the first has it and each other one has its id behind it. Only the teams of a
+    shared slug that another goes on from are walked in order, in one task for each such slug.
     """
     s = slug(F.col("team_name"))
     named = teams.select("team_id", F.when(s == "", F.concat(F.lit("team-"), F.col("team_id").cast("string"))).otherwise(s).alias("slug"))
-    named = named.withColumn("family", F.regexp_replace("slug", "(-[0-9]+)+$", ""))
-    clash = named.groupBy("family", "slug").agg(F.count("*").alias("n")).where("n > 1").select("family").distinct()
-    kept = named.join(clash, "family", "leftanti").select("team_id", F.col("slug").alias("directory"))
+    shared = named.groupBy("slug").agg(F.count("*").alias("n")).where("n > 1").select(F.col("slug").alias("root"))
+    # The slug and its beginnings without one, two, ... of the numbers at its end; the shortest that is shared.
+    parts = F.split("slug", "-")
+    numbers = F.aggregate(F.reverse(parts), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, p: F.struct((a["n"] + F.when(a["on"] & p.rlike("^[0-9]+$"), 1).otherwise(0)).alias("n"), (a["on"] & p.rlike("^[0-9]+$")).alias("on")))["n"]
+    begun = F.transform(F.sequence(F.lit(0), F.least(numbers, F.size(parts) - 1)), lambda k: F.array_join(F.slice(parts, 1, F.size(parts) - k), "-"))
+    roots = named.select("team_id", "slug", F.explode(begun).alias("root")).join(shared, "root").groupBy("team_id", "slug").agg(F.min(F.struct(F.length("root").alias("l"), "root"))["root"].alias("root"))
+    kept = named.join(roots.select("team_id"), "team_id", "leftanti").select("team_id", F.col("slug").alias("directory"))
+    groups = roots.groupBy("root").agg(F.min("team_id").alias("first"), F.max((F.col("slug") != F.col("root")).cast("int")).alias("mixed"))
+    placed = roots.join(groups, "root")
+    plain = placed.where("mixed = 0").select("team_id", F.when(F.col("team_id") == F.col("first"), F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("team_id").cast("string"))).alias("directory"))
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -34,7 +42,7 @@ def directory_names(teams: DataFrame) -> DataFrame:
             used.add(out[-1][1])
         return pd.DataFrame(out, columns=["team_id", "directory"])
 
-    return kept.union(named.join(clash, "family", "leftsemi").groupBy("family").applyInPandas(walk, kept.schema))
+    return kept.union(plain).union(placed.where("mixed = 1").select("root", "team_id", "slug").groupBy("root").applyInPandas(walk, kept.schema))
 
 
 def escape_cell(text: Column) -> Column:
@@ -52,22 +60,47 @@ def _gathered(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, rec
     return teams.join(team_records, "team_id", "left").join(lines, "team_id", "left")
 
 
-def markdown(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame) -> DataFrame:
-    """team_id and its Markdown dossier."""
+def _section(t: DataFrame, sections: dict[str, DataFrame] | None) -> tuple[DataFrame, list[str]]:
+    """Teams with a column for each section (frames of team_id and text), and the sections' titles."""
+    names = []
+    for title, frame in (sections or {}).items():
+        names.append(title)
+        t = t.join(frame.select("team_id", F.col("text").alias(f"__{len(names)}")), "team_id", "left")
+    return t, names
+
+
+def markdown(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame, sections: dict[str, DataFrame] | None = None) -> DataFrame:
+    """team_id and its Markdown dossier; ``sections`` (title: team_id and text) follow the table of players, ``_None recorded._`` where a team has no text."""
     line = F.concat(F.lit("| "), escape_cell(F.col("name")), F.lit(" | "), _tally("wins", "losses"), F.lit(" | "), F.coalesce("undecided", F.lit(0)).cast("string"), F.lit(" |"))
-    t = _gathered(teams, team_records, rosters, records, line)
+    t, titles = _section(_gathered(teams, team_records, rosters, records, line), sections)
     table = F.coalesce(F.array_join(F.transform("rows", lambda r: r.line), "\n"), F.lit("no players recorded"))
     head = F.concat(F.lit("# "), escape_cell(F.col("team_name")), F.lit("\n\nRecord: "), _tally("wins", "losses"), F.lit("\n\n| Player | Record | Undecided |\n| --- | --- | --- |\n"))
-    return t.select("team_id", F.concat(head, table, F.lit("\n")).alias("text"))
+    more = [F.concat(F.lit(f"\n\n## {title}\n\n"), F.coalesce(f"__{k + 1}", F.lit("_None recorded._"))) for k, title in enumerate(titles)]
+    return t.select("team_id", F.concat(head, table, *more, F.lit("\n")).alias("text"))
 
 
-def html(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame) -> DataFrame:
+def html(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records: DataFrame, sections: dict[str, DataFrame] | None = None) -> DataFrame:
     """team_id and its dossier as a page; every text from the data is escaped."""
     line = F.concat(F.lit("<tr><td>"), escape_html(safe(F.col("name"))), F.lit("</td><td>"), _tally("wins", "losses"), F.lit("</td><td>"), F.coalesce("undecided", F.lit(0)).cast("string"), F.lit("</td></tr>"))
     t, name = _gathered(teams, team_records, rosters, records, line), escape_html(safe(F.col("team_name")))
+    t, titles = _section(t, sections)
     rows = F.coalesce(F.array_join(F.transform("rows", lambda r: r.line), "\n"), F.lit("<tr><td colspan='3'>no players recorded</td></tr>"))
     head = F.concat(F.lit("<!doctype html>\n<meta charset='utf-8'>\n<title>"), name, F.lit("</title>\n<h1>"), name, F.lit("</h1>\n<p>Record: "), _tally("wins", "losses"), F.lit("</p>\n<table>\n<tr><th>Player</th><th>Record</th><th>Undecided</th></tr>\n"))
-    return t.select("team_id", F.concat(head, rows, F.lit("\n</table>\n")).alias("text"))
+    more = [F.concat(F.lit(f"<h2>{title}</h2>\n<pre>"), F.coalesce(escape_html(F.col(f"__{k + 1}")), F.lit("None recorded.")), F.lit("</pre>\n")) for k, title in enumerate(titles)]
+    return t.select("team_id", F.concat(head, rows, F.lit("\n</table>\n"), *more).alias("text"))
+
+
+def list_section(rows: DataFrame, order: list[str], line: Column) -> DataFrame:
+    """team_id and text: one line for each row of a team, in order."""
+    return rows.groupBy("team_id").agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("__line")))).alias("l")).select("team_id", F.array_join(F.transform("l", lambda x: x["__line"]), "\n").alias("text"))
+
+
+def index(field: DataFrame, teams: DataFrame, directories: DataFrame, team_records: DataFrame) -> DataFrame:
+    """event_id and the index page of its field (team_id, event_id): a line for each team in order of name, with its folder and record."""
+    t = field.join(teams.select("team_id", "team_name"), "team_id").join(directories, "team_id").join(team_records, "team_id", "left")
+    line = F.concat(F.lit("- ["), escape_cell(F.col("team_name")), F.lit("]("), "directory", F.lit("/dossier.md) "), _tally("wins", "losses"))
+    rows = F.array_sort(F.collect_list(F.struct(F.lower("team_name").alias("k"), "team_id", line.alias("line"))))
+    return t.groupBy("event_id").agg(rows.alias("l")).select("event_id", F.concat(F.lit("# Field\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("text"))
 
 
 def write(dossiers: DataFrame, directories: DataFrame, path: str) -> None:

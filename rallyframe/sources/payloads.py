@@ -36,7 +36,7 @@ def rosters(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def images(spark, path: str, most_bytes: int = 25 << 20) -> DataFrame:
-    """Scorecard images of a supported kind (by their first bytes) and size."""
+    """Scorecard images of a supported kind (by name and first bytes) and size; files of other names or sizes are not opened."""
     head = F.hex(F.substring("content", 1, 8))
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most_bytes)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{[pP][nN][gG],[jJ][pP][gG],[jJ][pP][eE][gG]}").load(path).where(F.col("length") <= most_bytes)
     return files.where(head.startswith("FFD8FF") | (head == "89504E470D0A1A0A")).select("path", "length", "content")

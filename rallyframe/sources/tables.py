@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Headers of the saved pages, lower case without blanks, in the pages' order.
 MATCH_HISTORY = ["matchdate", "league", "team", "court", "partner", "opponent(s)", "w/l", "result", "match", "rating"]
@@ -19,6 +20,26 @@ def read_pages(spark: SparkSession, path: str, url: str | None = None) -> DataFr
     return spark.read.text(path, wholetext=True).select(F.coalesce(F.lit(url), F.input_file_name()).alias("url"), F.col("value").alias("html"))
 
 
+def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table with the declared columns only; refuses one that is missing, or whose columns are missing or of other types."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        raise ValueError(f"{path} does not exist")
+    wanted, found = T.StructType.fromDDL(schema), spark.read.parquet(path)
+    has = dict(found.dtypes)
+    wrong = [f"{f.name} is {has.get(f.name, 'missing')}, not {f.dataType.simpleString()}" for f in wanted.fields if has.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
+    return found.select([f.name for f in wanted.fields])
+
+
+def archived(pages: DataFrame, path: str, fetched_at: str) -> DataFrame:
+    """Raw pages (url, html, http_status) written with their provenance to a new folder and read from there: parsers see only what is on file. An existing folder is refused."""
+    kept = pages.select("url", F.lit(fetched_at).cast("timestamp").alias("fetched_at"), "http_status", F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("bytes"), "html")
+    kept.write.mode("errorifexists").parquet(path)
+    return pages.sparkSession.read.schema(kept.schema).parquet(path)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

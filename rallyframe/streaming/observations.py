@@ -44,12 +44,26 @@ def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     yield pd.DataFrame(said, columns=["team_id", "url", "observed_at", "verdict"])
 
 
-def merge_into(path: str, keys: list[str], order: list[str]):
-    """A ``foreachBatch`` function that merges each batch into the Parquet table at ``path``: version directories, the newest of which is the table. Running a batch again writes the same version again."""
+def merge_into(path: str, keys: list[str], order: list[str], buckets: int = 64):
+    """A ``foreachBatch`` function that merges each batch into the Parquet table at ``path``.
+
+    The table lies in ``buckets`` folders by a hash of the key (a power of two near the table's size over the
+    size of a file suits it; it must not change later). A batch reads and writes only the buckets of
+    its own keys, and writes each as a whole. Running a batch again changes nothing, so one that was
+    broken off between two buckets is simply run again.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        stored = batch.limit(0) if epoch == 0 else spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}")
-        merge_latest(stored, batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = batch.withColumn("bucket", bucket)
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        known = there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+        stored = spark.read.schema(fresh.schema).parquet(path).where(F.col("bucket").isin(touched)) if known else fresh.limit(0)
+        merged = merge_latest(stored, fresh, ["bucket", *keys], order)
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return merge

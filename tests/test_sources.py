@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import markup
@@ -74,14 +75,26 @@ def test_snapshot_trust(spark, tmp_path):
     assert [v for _, v in got] == ["baseline", "trusted", "moved", "stale", "trusted"]
 
 
-def test_merge_into_is_idempotent(spark, tmp_path):
-    merge = observations.merge_into(str(tmp_path / "t"), ["k"], ["i"])
-    a = spark.createDataFrame([(1, 1, "a")], "k int, i int, v string")
-    b = spark.createDataFrame([(1, 2, "b"), (2, 1, "c")], "k int, i int, v string")
+def test_merge_into_is_idempotent_and_writes_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    merge = observations.merge_into(path, ["k"], ["i"], buckets=8)
+    a = spark.createDataFrame([(k, 1, "a") for k in range(40)], "k int, i int, v string")
+    b = spark.createDataFrame([(1, 2, "b"), (99, 1, "c")], a.schema)
     merge(a, 0)
-    merge(b, 1)
-    merge(b, 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v=1")).collect())) == [(1, 2, "b"), (2, 1, "c")]
+    before = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    for _ in range(2):
+        merge(b, 1)
+        got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+        assert got == {**{k: "a" for k in range(40)}, 1: "b", 99: "c"}
+    after = {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    kept = [f for f in before if after.get(f) == before[f]]
+    assert len(before) - len(kept) <= 2  # the buckets of two keys
+    merge(b.where("false"), 2)
+    spark.createDataFrame([(2, 5, "z")], a.schema).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))
+    run = q.writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}[2] == "z"
 
 
 def test_pulled_courts(spark):
@@ -95,3 +108,29 @@ def test_pulled_courts(spark):
     got = sorted((r["source_match_id"], r["side"], r["name"]) for r in pull.participants(history, subjects).collect())
     assert got == [("77", "home", "Jo Day"), ("77", "home", "Me"), ("77", "visiting", "A B"), ("77", "visiting", "C D"), ("78", "home", "Me")]
     assert [tuple(r) for r in pull.refused_pages(history).collect()] == [("u2", ["unknown slot"])]
+
+
+def test_guarded_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", 2.0)], "k int, v string, extra double").write.parquet(path)
+    assert tables.scan(spark, path, "k int, v string").columns == ["k", "v"]
+    for wanted in ("k int, missing string", "k string"):
+        with pytest.raises(ValueError, match="missing|int"):
+            tables.scan(spark, path, wanted)
+    with pytest.raises(ValueError, match="does not exist"):
+        tables.scan(spark, str(tmp_path / "nowhere"), "k int")
+
+
+def test_pages_are_archived_before_they_are_parsed(spark, tmp_path):
+    pages = spark.createDataFrame([("u1", "<p>é</p>", 200), ("u2", None, 404)], "url string, html string, http_status int")
+    kept = tables.archived(pages, str(tmp_path / "bronze"), "2026-01-02 03:04:05")
+    assert {(r["url"], r["bytes"], r["http_status"], str(r["fetched_at"])) for r in kept.collect()} == {("u1", 9, 200, "2026-01-02 03:04:05"), ("u2", 0, 404, "2026-01-02 03:04:05")}
+    with pytest.raises(Exception, match="already exists"):
+        tables.archived(pages, str(tmp_path / "bronze"), "2026-01-02 03:04:05")
+
+
+def test_images_by_name_size_and_first_bytes(spark, tmp_path):
+    for name, data in {"a.png": b"\x89PNG\r\n\x1a\nxx", "b.jpg": b"\xff\xd8\xff\xe0", "c.png": b"GIF89a..", "d.gif": b"\x89PNG\r\n\x1a\n", "e.JPEG": b"\xff\xd8\xff\xe0" + b"x" * 100}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rpartition("/")[2] for r in payloads.images(spark, str(tmp_path), most_bytes=50).collect()}
+    assert got == {"a.png", "b.jpg"}
