@@ -24,8 +24,9 @@ Candidates are not expanded into pairs:
    much less than asked. Buckets of one component are done; in the others each member is compared
    with the smallest id.
 5. Members of the buckets that are open still are compared inside tasks, only across components, in
-   blocks of at most ``block`` members (a larger bucket is dealt out as pairs of blocks, so no pair is
-   lost and no task holds more than two blocks); a task returns links that join components, not pairs.
+   blocks of about ``block`` members (a larger bucket is dealt out as pairs of blocks, so no pair is
+   lost and no task holds more than two blocks; blocks of one component only do not meet); a task
+   returns links that join components, not pairs.
 6. Components of all links.
 
 Nulls: a null text is an empty set; a null doc_id is in no component and kept. A doc_id is one
@@ -200,9 +201,9 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _open_keys(placed: DataFrame) -> DataFrame:
-    """key and size of the buckets with several components; one of those with the same members."""
+    """key, size and i (the smallest component) of the buckets with several components; one of those with the same members."""
     sizes = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("i"), F.max("component").alias("j"), F.sum(F.xxhash64("id", "v").cast("decimal(38,0)")).alias("same"))
-    return sizes.where("i < j").groupBy("size", "same").agg(F.min("key").alias("key")).select("key", "size")
+    return sizes.where("i < j").groupBy("size", "same").agg(F.min(F.struct("key", "i")).alias("m")).select("m.key", "size", "m.i")
 
 
 def _keyed_again(members: DataFrame, rows: int, bands: int) -> DataFrame:
@@ -265,6 +266,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     rest = placed.join(still.where(F.col("size") <= again_above), "key")
     large = written(placed.join(still.where(F.col("size") > again_above), "key").select("id", "v").distinct(), "large")
     dropped(hubs, buckets, crowded, several, links)
+    used = [placed, still, large]
     if not large.isEmpty():
         # Members of large open buckets are dealt out again, by keys of twice as many coordinates.
         again = _placed(_keyed_again(large.join(sets.withColumnRenamed("doc_id", "id"), ["id", "v"]), 2 * rows, more_bands), found)
@@ -275,25 +277,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
         links = written(_confirmed(buckets.where(near & (F.col("component") != F.col("hub_component"))).select("hub", "hub_v", "id", "v").distinct(), sets, per_cent), "links")
         first, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
         split = written(_placed(buckets.drop("component"), found), "placed")
-        rest = rest.select("key", "id", "v", "component", "size").union(split.join(_open_keys(split), "key").select("key", "id", "v", "component", "size"))
-        rest = written(rest, "rest")
-        dropped(first, again, hubs, buckets, links, split)
-
-    # What is left is compared in tasks, a bucket of many blocks by pairs of blocks.
-    rest = rest.select("key", "id", "v", "component", F.ceil(F.col("size") / block).cast("int").alias("blocks")).distinct().withColumn("own", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "v", "component")
-    rest = rest.join(sets.select(F.col("doc_id").alias("id"), "v", "shingles"), ["id", "v"])
+        rest = rest.select("key", "id", "v", "component", "i").union(split.join(_open_keys(split), "key").select("key", "id", "v", "component", "i"))
+        used += [first, again, hubs, buckets, links, split]
+
+    # What is left is compared in tasks, a bucket of many blocks by pairs of blocks. Members of the
+    # bucket's smallest component, mostly its largest, need not be compared with each other: they have
+    # blocks of their own, which meet those of the other members only.
+    rest = written(rest.select("key", "id", "v", "component", (F.col("component") == F.col("i")).alias("main")).distinct(), "rest")
+    dropped(*used)
+    counted = rest.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / block).cast("int").alias("mains"), F.ceil(F.count(F.when(~F.col("main"), 1)) / block).cast("int").alias("others"))
+    own = F.when(F.col("main"), F.pmod(F.xxhash64("id", "v"), F.col("mains")) + F.col("others")).otherwise(F.pmod(F.xxhash64("id", "v"), F.col("others"))).cast("int")
+    met = F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("main"), 0).otherwise(F.col("mains")))
+    pairs = rest.join(counted, "key").withColumn("own", own).withColumn("other", F.explode(met))
+    pairs = pairs.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "v", "component")
+    pairs = pairs.join(sets.select(F.col("doc_id").alias("id"), "v", "shingles"), ["id", "v"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "v"])
-        pairs = joining_links(group["id"].to_numpy(), group["component"].to_numpy(), [np.asarray(s) for s in group["shingles"]], per_cent) if len(group) > 1 else []
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype="int64")
+        found = joining_links(group["id"].to_numpy(), group["component"].to_numpy(), [np.asarray(s) for s in group["shingles"]], per_cent) if len(group) > 1 else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    more = written(rest.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long"), "joins")
+    more = written(pairs.groupBy("key", "p", "q").applyInPandas(compare, "a long, b long"), "joins")
     if not more.isEmpty():
         first, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         dropped(first)
-    dropped(more, placed, still, large, sets)
+    dropped(more, rest, sets)
     named = known.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

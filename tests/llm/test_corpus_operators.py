@@ -162,10 +162,19 @@ def test_scratch_tables_go(spark):
         base = scratch_path(spark, "x").rpartition("/")[0].removeprefix("file://")
         return set(os.listdir(base)) if os.path.isdir(base) else set()
 
-    before = size()
-    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "a b c e f")], "doc_id long, text string")
-    assert neardup.near_duplicates(df, 3, 85, 6, 24).count() == 3
-    assert {n.rpartition("-")[0] for n in size() - before} == {"classes", "edges"}  # what the result reads
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):  # enough that buckets stay open and are keyed again
+        w = list(base)
+        for p in rng.sample(range(60), 2):
+            w[p] = f"x{i}{p}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for again_above in (None, 5):
+        before = size()
+        assert neardup.near_duplicates(df, 3, 85, 6, 24, 500, again_above).count() == 40
+        assert {n.rpartition("-")[0] for n in size() - before} == {"classes", "edges"}  # what the result reads
 
 
 def test_sketch_agreement_estimates_similarity():
