@@ -28,7 +28,7 @@ def _parts(s, d):
     members = roster.resolve_rosters(bind.memberships(s, d), bind.entries(s, d))
     sizes = members.groupBy("team_id", "scope").agg(F.count("*").alias("n"))
     absent = roster.absent(bind.memberships(s, d), bind.entries(s, d)).join(names.select("player_id", "name"), "player_id").withColumn("k", F.lower("name"))
-    told = scope.scope_summary(bind.participants(s, d).join(names.select("player_id", "team_id"), "player_id").join(bind.leagues(s, d), "match_id"), *scope.parse_scope(catalog.SCOPE), by="team_id")
+    told = scope.scope_summary(bind.participants(s, d).join(names.select("player_id", "team_id"), "player_id").join(bind.leagues(s, d), "match_id"), *scope.parse_scope(catalog.SCOPE), by="team_id", fold=F.lower)
     slots = records.slot_tendencies(bind.match_players(s, d).join(names, "player_id"), "team_id").withColumn("k", -F.col("matches"))
     sections = (
         dossier.list_section(sizes, ["scope"], F.concat("scope", F.lit(": "), F.col("n").cast("string"))), dossier.list_section(absent, ["k", "player_id"], F.col("name")),

@@ -153,12 +153,21 @@ _RETAIN = "(l.league_context IS NULL OR NOT (lower(l.league_context) LIKE 'ma%'
 @query(f"""SELECT p.player_id, count(*) AS considered, count(CASE WHEN {_RETAIN} THEN 1 END) AS retained, count(CASE WHEN NOT {_RETAIN} THEN 1 END) AS excluded,
   count(CASE WHEN l.league_context IS NULL THEN 1 END) AS unclassified FROM participants p JOIN leagues l ON l.match_id = p.match_id GROUP BY 1""")
 def evidence_scope_summary(s, d):
-    return scope.scope_summary(_scoped(s, d), *scope.parse_scope(SCOPE))
+    return scope.scope_summary(_scoped(s, d), *scope.parse_scope(SCOPE), fold=F.lower)
 
 
 @query(f"SELECT l.league_context, count(*) AS matches FROM leagues l WHERE {_RETAIN} GROUP BY 1")
 def retained_leagues(s, d):
-    return scope.retained_leagues(bind.leagues(s, d), *scope.parse_scope(SCOPE))
+    return scope.retained_leagues(bind.leagues(s, d), *scope.parse_scope(SCOPE), fold=F.lower)
+
+
+@query("SELECT c_mktsegment AS league, count(CASE WHEN NOT (lower(c_mktsegment) LIKE 'ma%' OR lower(c_mktsegment) LIKE 'build%') THEN 1 END) AS retained, count(*) AS considered FROM customer GROUP BY 1", base=False)
+def retained_wide(s, d):
+    """Contexts in full-width letters fold to the same prefixes."""
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    wide = F.translate("c_mktsegment", plain, "".join(chr(ord(c) + 0xFEE0) for c in plain))
+    c = bind.read(s, d, "customer").select(F.col("c_mktsegment").alias("league"), scope.retains(wide, *scope.parse_scope(SCOPE)).alias("keep"))
+    return c.groupBy("league").agg(F.count(F.when(F.col("keep"), 1)).alias("retained"), F.count("*").alias("considered"))
 
 
 _ROSTER = """, registered AS (SELECT DISTINCT team_id, event_id, player_id FROM memberships WHERE NOT retired AND event_id IS NOT NULL),
@@ -361,7 +370,7 @@ def prior_meetings(s, d):
     p = bind.players(s, d)
     others = p.select(F.col("team_id").alias("other_team"), F.col("player_id").alias("opponent_id"))
     requested = p.select("player_id", ((F.col("team_id") + 2) % 25).alias("other_team")).join(others, "other_team").select("player_id", "opponent_id")
-    kept = bind.leagues(s, d).where(scope.retains(F.col("league_context"), *scope.parse_scope(SCOPE)))
+    kept = bind.leagues(s, d).where(scope.retains(F.col("league_context"), *scope.parse_scope(SCOPE), F.lower))
     return records.head_to_head(bind.match_players(s, d).join(kept, "match_id", "leftsemi"), requested)
 
 

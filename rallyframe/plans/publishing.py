@@ -116,7 +116,21 @@ def added_atoms(s, d):
     return joined.where("n > 0").select("page_id", "kind", "name", "value", "n")
 
 
-@query()
+_CLOSED = "CASE name " + " ".join(f"WHEN {_sql_text(n)} THEN regexp_matches(value, {_sql_text(chr(92) + 'A(?:' + p + ')' + chr(92) + 'z')})" for n, p in markup.CLOSED.items()) + " ELSE false END"
+
+
+@query(
+    rf"""WITH h AS (SELECT page_id, {_STRIPPED} AS html FROM pages), bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM h),
+tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^<>]*>')) AS tag FROM bare),
+pairs AS (SELECT page_id, unnest(regexp_extract_all(tag, '[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) AS pair FROM tags),
+named AS (SELECT page_id, lower(trim(split_part(pair, '=', 1))) AS name, trim(regexp_replace(regexp_replace(pair, '(?s)\A[^=]*=\s*', ''), '(?s)\A["''](.*)["'']\z', '\1')) AS value FROM pairs),
+atoms AS (SELECT page_id, 'text' AS kind, CAST(NULL AS VARCHAR) AS name, trim(unnest(regexp_extract_all(html, '>([^<]+)', 1))) AS value FROM bare
+  UNION ALL SELECT page_id, 'comment', NULL, trim(unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1))) FROM h
+  UNION ALL SELECT page_id, 'attribute', name, value FROM named WHERE NOT ({_CLOSED})
+  UNION ALL SELECT page_id, 'attribute-name', NULL, name FROM named WHERE NOT regexp_matches(name, '\A[a-z][a-z0-9:_-]*\z'))
+SELECT page_id, kind, name, value, count(*) AS n FROM atoms WHERE value <> '' GROUP BY 1, 2, 3, 4""",
+    base=False,
+)
 def page_atoms(s, d):
     return markup.page_atoms(bind.read(s, d, "pages"))
 

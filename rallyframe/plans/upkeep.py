@@ -137,7 +137,7 @@ def rating_lines(s, d):
 FROM participants p JOIN leagues l ON l.match_id = p.match_id GROUP BY 1""")
 def scope_lines(s, d):
     mode, prefixes = scope.parse_scope(catalog.SCOPE)
-    told = scope.scope_summary(bind.participants(s, d).join(bind.leagues(s, d), "match_id"), mode, prefixes)
+    told = scope.scope_summary(bind.participants(s, d).join(bind.leagues(s, d), "match_id"), mode, prefixes, fold=F.lower)
     k = F.col("player_id")
     label = grammar.league_scope_label(F.lit(mode), F.array(*map(F.lit, prefixes)))
     return told.select("player_id", phrases.scope_line(F.when(k % 4 != 0, mode), label, F.when(k % 2 == 0, "Cup"), F.col("considered"), F.col("retained"), F.col("excluded")).alias("line"))

@@ -28,7 +28,9 @@ def test_scope_keeps_unknown_contexts_under_both_modes(spark):
     for text, want in (("exclude:Mixed", ["Adult", None]), ("only:mixed", ["MIXED 18", None])):
         got = df.where(scope.retains(F.col("league_context"), *scope.parse_scope(text))).collect()
         assert [r[0] for r in got] == want
-    for bad in ("Mixed", "exclude:", "exclude:a,A", "drop:x"):
+    wide = spark.createDataFrame([("ＭＩＸＥＤ 18",), ("Ａdult",)], "league_context string")
+    assert [r[0] for r in wide.where(scope.retains(F.col("league_context"), *scope.parse_scope("only:mixed"))).collect()] == ["ＭＩＸＥＤ 18"]
+    for bad in ("Mixed", "exclude:", "exclude:a,A", "exclude:a,Ａ", "drop:x"):
         with pytest.raises(ValueError):
             scope.parse_scope(bad)
 
