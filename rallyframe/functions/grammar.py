@@ -91,3 +91,14 @@ def href_param(href: Column, name: str) -> Column:
     link = F.regexp_replace(href, "&amp;", "&")
     raw = F.when(link.rlike(rf"[?&]{name}="), F.regexp_extract(link, rf"[?&]{name}=([^&]*)", 1))
     return F.coalesce(F.try_url_decode(raw), raw)
+
+
+def history_link(base: Column, year: Column, name: Column) -> Column:
+    """The link to a player's match history of a year: all match and league types, in form encoding."""
+    return F.concat(base, F.lit("?year="), F.url_encode(year), F.lit("&playername="), F.url_encode(name), F.lit("&mt=0&lt=0&yr=0"))
+
+
+def url_slug(url: Column) -> Column:
+    """A file name for a link: without its scheme, runs of other signs than ASCII letters and digits as one hyphen, at most 120 characters; ``page`` if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"^https?://", ""), "[^A-Za-z0-9]+", "-"), "^-+|-+$", "")
+    return F.lower(F.coalesce(F.nullif(F.substring(bare, 1, 120), F.lit("")), F.lit("page")))

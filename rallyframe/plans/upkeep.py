@@ -182,3 +182,16 @@ def season_texts(s, d):
 @query("SELECT team_id, player_id, event_id FROM memberships WHERE NOT retired AND event_id IS NULL AND player_id NOT IN (SELECT player_id FROM memberships WHERE NOT retired AND event_id IS NOT NULL)")
 def season_only_members(s, d):
     return roster.season_only(bind.memberships(s, d))
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ' Jr' WHEN 1 THEN '100%' WHEN 2 THEN '' END AS name, '/h.aspx?year=2026&playername=' || replace(c_name, '#', '%23') || '+%26+Co&mt=0&lt=0&yr=0' AS link,
+  CASE WHEN c_custkey % 5 = 0 THEN 'page' ELSE lower(substr(regexp_replace(replace(c_name, '#', '-') || '-x-' || repeat('long-', c_custkey % 40), '-+$', ''), 1, 120)) END AS slug FROM customer""",
+    base=False,
+)
+def link_texts(s, d):
+    """Encoded, broken, empty and missing parameters; links and file names made of names."""
+    k = F.col("c_custkey")
+    href = F.when(k % 4 == 0, F.concat(F.lit("/p.aspx?a=1&amp;name="), F.replace("c_name", F.lit("#"), F.lit("%23")), F.lit("+Jr&b=2"))).when(k % 4 == 1, "/p.aspx?name=100%").when(k % 4 == 2, "?name=&b=2").otherwise("/p.aspx?other=1#name=x")
+    url = F.when(k % 5 == 0, "https://--/").otherwise(F.concat(F.lit("https://"), "c_name", F.lit("/?x="), F.repeat(F.lit("long&"), (k % 40).cast("int")), F.lit("!")))
+    return bind.read(s, d, "customer").select("c_custkey", grammar.href_param(href, "name").alias("name"), grammar.history_link(F.lit("/h.aspx"), F.lit("2026"), F.concat("c_name", F.lit(" & Co"))).alias("link"), grammar.url_slug(url).alias("slug"))
