@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     # blocks of their own, which meet those of the other members only.
     rest = written(rest.select("key", "id", "v", "component", (F.col("component") == F.col("i")).alias("main")).distinct(), "rest")
     dropped(*used)
-    counted = rest.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / block).cast("int").alias("mains"), F.ceil(F.count(F.when(~F.col("main"), 1)) / block).cast("int").alias("others"))
+    counted = written(rest.groupBy("key").agg(F.ceil(F.count(F.when(F.col("main"), 1)) / block).cast("int").alias("mains"), F.ceil(F.count(F.when(~F.col("main"), 1)) / block).cast("int").alias("others")), "counted")
     own = F.when(F.col("main"), F.pmod(F.xxhash64("id", "v"), F.col("mains")) + F.col("others")).otherwise(F.pmod(F.xxhash64("id", "v"), F.col("others"))).cast("int")
     met = F.sequence(F.lit(0), F.col("others") - 1 + F.when(F.col("main"), 0).otherwise(F.col("mains")))
     pairs = rest.join(counted, "key").withColumn("own", own).withColumn("other", F.explode(met))
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, rows:
     if not more.isEmpty():
         first, found = found, components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         dropped(first)
-    dropped(more, rest, sets)
+    dropped(more, rest, counted, sets)
     named = known.select("doc_id", F.col("n").alias("n_shingles"), "class_id").join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
