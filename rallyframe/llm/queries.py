@@ -9,6 +9,7 @@ from rallyframe.llm.mixing import op1_mixing
 from rallyframe.llm.neardup import op5_neardup
 from rallyframe.llm.pii import op9_pii
 from rallyframe.llm.quality import op2_quality
+from rallyframe.llm.simhash import op12_simhash
 from rallyframe.llm.toxicity import op3_toxicity
 from rallyframe.llm.urls import OP8_SQL, op8_urls
 from rallyframe.llm.warc import op10_warc
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op12_simhash": op12_simhash,
 }
 ORACLES = {"op8_urls": OP8_SQL}
