@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rallyframe.llm.decontaminate import op6_decontaminate
+from rallyframe.llm.divergence import OP13_SQL, op13_divergence
+from rallyframe.llm.infill import OP11_SQL, op11_infill
 from rallyframe.llm.langid import op4_language
 from rallyframe.llm.media import op7_media
 from rallyframe.llm.mixing import op1_mixing
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_infill": op11_infill,
     "op12_simhash": op12_simhash,
+    "op13_divergence": op13_divergence,
 }
-ORACLES = {"op8_urls": OP8_SQL}
+ORACLES = {"op8_urls": OP8_SQL, "op11_infill": OP11_SQL, "op13_divergence": OP13_SQL}
