@@ -277,6 +277,9 @@ def only(rng, words, vocab, k, kind):
     elif kind == "delete":
         for p in sorted(rng.sample(range(len(w)), k), reverse=True):
             del w[p]
+    elif kind == "replace":
+        for p in rng.sample(range(len(w)), k):
+            w[p] = rng.choice(vocab)
     else:
         w = edited(rng, w, vocab, k)
     return w
@@ -294,6 +297,30 @@ def test_recall_at_the_largest_distance_by_size(size, kind):
     assert got == {(r, r // 3) for r in range(len(texts))}
 
 
+@pytest.mark.parametrize("size", (5, 40, 80, 150, 300, 600, 1500))
+@pytest.mark.parametrize("kind", ("insert", "delete", "replace", "mixed"))
+def test_keys_alone_reach_their_recall(size, kind):
+    """Without the count, all leaks at the largest distance but at most one in twenty are found."""
+    rng = random.Random(f"keys{size}{kind}")
+    vocab = [f"v{k}" for k in range(3000)] + ["the"] * 400
+    items = [[rng.choice(vocab) for _ in range(size)] for _ in range(20)]
+    index = decontaminate.ItemIndex(list(range(len(items))), [" ".join(w) for w in items], exact=False)
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 300)) + only(rng, w, vocab, size // 5, kind) + rng.choices(vocab, k=100)) for w in items]
+    got = {(r, i) for r, i, _ in index.leaks(decontaminate.words_of(pa.array(texts)))}
+    assert len(got) >= 0.95 * len(texts) and got <= {(r, r) for r in range(len(texts))}
+
+
+def test_blocks_that_are_held_serve_the_next_batch(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k}") for k in range(12)], "item_id long, text string")
+    blocks = decontaminate.item_blocks(bench, block_items=1)
+    decontaminate._index.cache_clear()
+    batch = pa.record_batch([pa.array(["x a3 b3 c3 d3 e3", "nothing of them"])], names=["text"])
+    for _ in range(3):
+        assert [(i.ids[f[1]], f[0]) for i, found in decontaminate._leaks(batch, blocks) for f in found] == [(3, 0)]
+    read = decontaminate._index.cache_info()
+    assert read.hits == 2 * min(len(blocks), decontaminate.HELD) and read.misses == 3 * len(blocks) - read.hits
+
+
 def test_documents_with_long_items_go_whatever_the_blocks(spark):
     rng = random.Random(31)
     vocab = [f"v{k}" for k in range(2000)]
