@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import html
 import re
 import string
+import unicodedata
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from rallyframe.functions import pagescan
 
 # The kinds of street that end an address.
 STREETS = ("St", "Street", "Ave", "Avenue", "Rd", "Road", "Dr", "Drive", "Ln", "Lane", "Blvd", "Boulevard", "Ct", "Court", "Way", "Ter", "Terrace")
@@ -21,13 +30,13 @@ CLASSES = {
 }
 
 
-def strip_code(html: Column) -> Column:
+def strip_code(page: Column) -> Column:
     """Bodies of scripts and styles removed."""
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "<script></script>"), r"(?is)<style[^>]*>.*?</style>", "<style></style>")
+    return F.regexp_replace(F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>", "<script></script>"), r"(?is)<style[^>]*>.*?</style>", "<style></style>")
 
 
-def title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+def title(page: Column) -> Column:
+    return F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -42,36 +51,48 @@ def first_hits(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(F.array(*hits))).where("hit <> ''")
 
 
-# What a page's structure says in digits, taken out in this order: whole days before their parts, decimals,
-# scores with their tiebreaks, colours, path data of drawings, whole numbers. Syntax of Java and RE2 alike;
-# words are ASCII here, as in RE2.
+# The runs of a page that count as structure, taken out in this order. Word characters are ASCII.
 STRUCTURAL = (
-    r"{b}[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}{e}",
-    r"{b}[0-9]{4}-[0-9]{2}-[0-9]{2}{e}",
-    r"{b}[0-9]+\.[0-9]+{e}",
-    r"[0-9]{1,2}-[0-9]{1,2}(?:\s?\([0-9]{1,2}(?:-[0-9]{1,2})?\))?",
-    r"#(?:[0-9A-Fa-f]{6}|[0-9A-Fa-f]{3}){e}",
-    r"[MmLlHhVvCcSsQqTtAaZz](?:\s*-?[0-9]+(?:\.[0-9]+)?[,\s]*)+",
-    r"{b}[0-9]+{e}",
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b",  # a day as people write it
+    r"\b\d{4}-\d{2}-\d{2}\b",  # a day in order of size
+    r"\b\d+\.\d+\b",  # a decimal
+    r"\d{1,2}-\d{1,2}(?:\s?\(\d{1,2}(?:-\d{1,2})?\))?",  # a set with its tiebreak
+    r"#[0-9a-fA-F]{6}\b|#[0-9a-fA-F]{3}\b",  # a colour
+    r"[MmLlHhVvCcSsQqTtAaZz](?:\s*-?\d+(?:\.\d+)?[,\s]*)+",  # path data of a drawing
+    r"\b\d+\b",  # a whole number
 )
-
-
-def structural_patterns(begin: str = "(?<![0-9A-Za-z_])", end: str = "(?![0-9A-Za-z_])") -> list[str]:
-    return [p.replace("{b}", begin).replace("{e}", end) for p in STRUCTURAL]
+_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 
 def skeleton(text: Column, stand_ins: list[str] | None = None) -> Column:
     """What is left of a text without stand-ins (whole words, longest first, any case) and structural runs: letters and digits of any script, single blanks.
 
-    Case is kept. ``stand_ins`` are a short list of made-up names; longer lists are substituted before.
+    References, percent codes, invisible signs and combining marks are resolved first (``normalised``). Case is
+    kept. ``stand_ins`` are a short list of made-up names; longer lists are substituted before.
     """
+    text = F.coalesce(_normalised(F.when(text.rlike(r"[&%]|[^\x00-\x7F]"), text)), text)
     for s in sorted(filter(None, stand_ins or []), key=lambda s: (-len(s), s)):
         text = F.regexp_replace(text, "(?i)(?<![0-9A-Za-z_])" + re.escape(s) + "(?![0-9A-Za-z_])", " ")
-    for p in structural_patterns():
-        text = F.regexp_replace(text, p, " ")
+    for p in STRUCTURAL:
+        text = F.regexp_replace(text, p.replace(r"\b", _EDGE), " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " "), " +", " "))
 
 
+def normalised(text: str) -> str:
+    """A text with its references decoded until none is left, percent codes decoded, format characters as blanks, and composed (NFC)."""
+    while (said := html.unescape(text)) != text:
+        text = said
+    text = unquote(text, errors="surrogateescape").encode("utf-8", "replace").decode() if "%" in text else text
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", "".join(" " if unicodedata.category(c) == "Cf" else c for c in text))
+    return text
+
+
+@F.pandas_udf(StringType())
+def _normalised(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else normalised(t))
+
+
 def off_vocabulary(lines: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Lines whose skeleton is not empty and not in the vocabulary."""
     return lines.where("skeleton <> ''").join(vocabulary.select("skeleton").distinct(), "skeleton", "leftanti")
@@ -86,7 +107,7 @@ def needs_review(skeletons: Column) -> Column:
 # input whose value is a label.
 CREDENTIAL_NAMES = ("csrf", "xsrf", "viewstate", "eventvalidation", "authenticity_token", "_token", "requestverification")
 BUTTONS = ("submit", "button", "reset", "image")
-OPAQUE = string.ascii_letters + string.digits + "+/-_=."  # signs of base64 in both alphabets, and of dotted tokens
+OPAQUE = string.ascii_letters + string.digits + "+/=_.-"  # fixed as well: the signs of base64, of its form for URLs and of dotted tokens
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -128,47 +149,35 @@ CLOSED = {
 }
 
 
-def is_closed(name: Column, value: Column) -> Column:
+def is_closed(name: str, value: str) -> bool:
     """Whether an attribute's value keeps to the closed grammar of its name."""
-    said = F.lit(False)
-    for n, p in CLOSED.items():
-        said = F.when(F.lower(name) == n, value.rlike(rf"\A(?:{p})\z")).otherwise(said)
-    return said
+    return name in _CLOSED and _CLOSED[name].fullmatch(value) is not None
+
+
+_CLOSED = {n: re.compile(p) for n, p in CLOSED.items()}
 
 
 def page_atoms(pages: DataFrame) -> DataFrame:
-    """page_id, kind (text, attribute, comment, attribute-name), name (of the attribute) and value of everything a page would publish, with how often.
+    """page_id, kind, name (of the attribute), value and n (how often) of everything a page would publish (``pagescan``).
 
-    Values that keep to a closed grammar say nothing and are left out; names of attributes that are not
-    plain words are atoms themselves.
-    """
-    html = strip_code(F.col("html"))
-    none = F.lit(None).cast("string")
-    comments = F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<!--(.*?)-->"), 1), lambda c: F.struct(F.lit("comment").alias("kind"), none.alias("name"), F.trim(c).alias("value")))
-    bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    texts = F.transform(F.regexp_extract_all(bare, F.lit(r">([^<]+)"), 1), lambda c: F.struct(F.lit("text").alias("kind"), none.alias("name"), F.trim(c).alias("value")))
-    tags = F.regexp_extract_all(bare, F.lit(r"<[a-zA-Z][^<>]*>"), 0)
-    pairs = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(r"[^\s\"'<>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 0)))
-    name = lambda c: F.lower(F.trim(F.substring_index(c, "=", 1)))
-    value = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?s)\A[^=]*=\s*", ""), r"(?s)\A[\"'](.*)[\"']\z", "$1"))
-    values = F.transform(pairs, lambda c: F.struct(F.lit("attribute").alias("kind"), name(c).alias("name"), value(c).alias("value")))
-    values = F.filter(values, lambda a: ~is_closed(a["name"], a["value"]))
-    odd = F.transform(F.filter(pairs, lambda c: ~name(c).rlike(r"\A[a-z][a-z0-9:_-]*\z")), lambda c: F.struct(F.lit("attribute-name").alias("kind"), none.alias("name"), name(c).alias("value")))
-    return pages.select("page_id", F.inline(F.concat(texts, values, odd, comments))).where("value <> ''").groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))
-
-
-def publication_check(pages: DataFrame, stand_ins: list[str], vocabulary: DataFrame, survivors: DataFrame) -> DataFrame:
-    """page_id, stage and detail of what refuses each redacted page; pages without a row may be published.
-
-    In order: a session's credential, an atom whose skeleton is not in ``vocabulary`` (skeleton), a class that must
-    never be published, a forbidden value (``survivors`` of the pages). A page shows its first stage only.
+    Values that keep to a closed grammar say nothing and are left out. Bodies of scripts and styles are
+    texts: strip them first (``strip_code``) where they are not published. A null page says nothing.
     """
-    credentials = session_credentials(pages).select("page_id", F.lit(1).alias("stage"), F.col("signal").alias("detail"))
-    skeletons = page_atoms(pages).select("page_id", skeleton(F.col("value"), stand_ins).alias("skeleton"))
-    unknown = off_vocabulary(skeletons, vocabulary).select("page_id", F.lit(2).alias("stage"), F.col("skeleton").alias("detail"))
-    classes = first_hits(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))).select(F.col("doc_id").alias("page_id"), F.lit(3).alias("stage"), F.col("class").alias("detail"))
-    left = survivors.select("page_id", F.lit(4).alias("stage"), F.col("value").alias("detail"))
-    every = credentials.union(unknown).union(classes).union(left).distinct()
-    first = every.groupBy("page_id").agg(F.min("stage").alias("stage"))
-    names = F.array(*map(F.lit, ("credential", "vocabulary", "class", "forbidden")))
-    return every.join(first, ["page_id", "stage"]).select("page_id", F.element_at(names, F.col("stage")).alias("stage"), "detail")
+    kind = pages.schema["page_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                ids, kinds, names, values = [], [], [], []
+                for k, page in enumerate(rows.column("html").to_pylist()):
+                    for atom in pagescan.atoms(page, is_closed):
+                        ids.append(k)
+                        kinds.append(atom.kind)
+                        names.append(atom.name)
+                        values.append(atom.value.strip())
+                text = pa.string()
+                yield pa.record_batch([rows.column("page_id").take(pa.array(ids, pa.int64())), pa.array(kinds, text), pa.array(names, text), pa.array(values, text)], names=["page_id", "kind", "name", "value"])
+
+    found = pages.select("page_id", "html").mapInArrow(scan, f"page_id {kind}, kind string, name string, value string")
+    return found.groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))

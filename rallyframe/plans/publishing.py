@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rallyframe.functions import markup, redact
+from rallyframe.functions import markup, publication, redact
 from rallyframe.plans import bind
 from rallyframe.plans.registry import query
 
@@ -13,15 +13,28 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, regexp_extract(text, {_sql_text(p)}, 0) AS hit FROM documents WHERE regexp_extract(text, {_sql_text(p)}, 0) <> ''" for k, p in sorted(markup.CLASSES.items())), base=False)
+# The SQL of this module states its patterns by hand; none is taken from the code under test.
+_CLASS_SQL = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}",
+    "mailto": r"(?i)mailto:[^\s<>()\"'\[\]|\\]+",
+    "phone": r"(?:\([0-9]{3}\)(?: [-.]?|[-.]?)|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
+    "street": r"\b[0-9]{1,6}\s+(?:[A-Z][A-Za-z]+\s+)+?(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd|Court|Ct|Way|Terrace|Ter)\b",
+    "tel": r"(?i)tel:[+]?[0-9()\-. ]{7,}[0-9]",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS class, regexp_extract(text, {_sql_text(p)}, 0) AS hit FROM documents WHERE regexp_matches(text, {_sql_text(p)})" for k, p in _CLASS_SQL.items()), base=False)
 def pii_classes(s, d):
     return markup.first_hits(bind.read(s, d, "documents"))
 
 
 def _sql_skeleton(text: str) -> str:
-    for p in markup.structural_patterns(r"\b", r"\b"):
+    """Days, scores, path data, colours and numbers out, by hand, then all but letters and digits."""
+    runs = (r"\b[0-9][0-9]?[-/][0-9][0-9]?[-/][0-9]{2,4}\b", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", r"\b[0-9]+[.][0-9]+\b", r"[0-9][0-9]?-[0-9][0-9]?(?:\s?[(][0-9][0-9]?(?:-[0-9][0-9]?)?[)])?",
+            r"#(?:[0-9a-fA-F]{6}|[0-9a-fA-F]{3})\b", r"[mlhvcsqtazMLHVCSQTAZ](?:\s*-?[0-9]+(?:[.][0-9]+)?[\s,]*)+", r"\b[0-9]+\b")
+    for p in runs:
         text = f"regexp_replace({text}, {_sql_text(p)}, ' ', 'g')"
-    return rf"trim(regexp_replace(regexp_replace({text}, '[^\p{{L}}\p{{N}}_]', ' ', 'g'), ' +', ' ', 'g'))"
+    return rf"trim(regexp_replace({text}, '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
 @query(f"SELECT doc_id, md5({_sql_skeleton('text')}) AS skeleton FROM documents", base=False)
@@ -38,7 +51,7 @@ def off_vocabulary(s, d):
     return markup.off_vocabulary(lines, lines.where("conv_id % 2 = 0")).select("conv_id", "turn", "skeleton")
 
 
-@query(rf"SELECT DISTINCT skeleton, regexp_matches(skeleton, '\p{{L}}[\p{{L}}\p{{M}}''-]*\s+\p{{L}}') AS review FROM {_LINES} a WHERE skeleton <> ''", base=False)
+@query(rf"SELECT DISTINCT skeleton, regexp_matches(skeleton, '(^|[^\p{{L}}])\p{{L}}+ \p{{L}}') OR regexp_matches(skeleton, '\p{{L}} \p{{L}}') AS review FROM {_LINES} a WHERE skeleton <> ''", base=False)
 def vocabulary_bootstrap(s, d):
     """Distinct skeletons of the turns, and whether they are name-shaped and need a review."""
     lines = bind.read(s, d, "conversations").select(markup.skeleton(F.col("text")).alias("skeleton")).where("skeleton <> ''").distinct()
@@ -116,23 +129,57 @@ def added_atoms(s, d):
     return joined.where("n > 0").select("page_id", "kind", "name", "value", "n")
 
 
-_CLOSED = "CASE name " + " ".join(f"WHEN {_sql_text(n)} THEN regexp_matches(value, {_sql_text(chr(92) + 'A(?:' + p + ')' + chr(92) + 'z')})" for n, p in markup.CLOSED.items()) + " ELSE false END"
-
-
 @query(
-    rf"""WITH h AS (SELECT page_id, {_STRIPPED} AS html FROM pages), bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM h),
-tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^<>]*>')) AS tag FROM bare),
-pairs AS (SELECT page_id, unnest(regexp_extract_all(tag, '[^\s"''<>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)')) AS pair FROM tags),
-named AS (SELECT page_id, lower(trim(split_part(pair, '=', 1))) AS name, trim(regexp_replace(regexp_replace(pair, '(?s)\A[^=]*=\s*', ''), '(?s)\A["''](.*)["'']\z', '\1')) AS value FROM pairs),
-atoms AS (SELECT page_id, 'text' AS kind, CAST(NULL AS VARCHAR) AS name, trim(unnest(regexp_extract_all(html, '>([^<]+)', 1))) AS value FROM bare
+    r"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '<script></script>', 'g'), '(?s)<style[^>]*>.*?</style>', '<style></style>', 'g') AS html FROM pages),
+bare AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS html FROM h),
+tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-z][^>]*>')) AS tag FROM bare),
+pairs AS (SELECT page_id, unnest(regexp_extract_all(tag, '[a-z]+="[^"]*"')) AS pair FROM tags),
+atoms AS (SELECT page_id, 'text' AS kind, CAST(NULL AS VARCHAR) AS name, trim(unnest(string_split_regex(html, '<[^>]*>'))) AS value FROM bare
   UNION ALL SELECT page_id, 'comment', NULL, trim(unnest(regexp_extract_all(html, '(?s)<!--(.*?)-->', 1))) FROM h
-  UNION ALL SELECT page_id, 'attribute', name, value FROM named WHERE NOT ({_CLOSED})
-  UNION ALL SELECT page_id, 'attribute-name', NULL, name FROM named WHERE NOT regexp_matches(name, '\A[a-z][a-z0-9:_-]*\z'))
+  UNION ALL SELECT page_id, 'attribute', split_part(pair, '=', 1), trim(split_part(pair, '"', 2)) FROM pairs)
 SELECT page_id, kind, name, value, count(*) AS n FROM atoms WHERE value <> '' GROUP BY 1, 2, 3, 4""",
     base=False,
 )
 def page_atoms(s, d):
-    return markup.page_atoms(bind.read(s, d, "pages"))
+    """The atoms of the pages without bodies of scripts and styles. (The SQL reads tags as the pages have them: complete, with quoted values.)"""
+    return markup.page_atoms(bind.read(s, d, "pages").withColumn("html", markup.strip_code(F.col("html"))))
+
+
+def _broken(page: str, title: str) -> str:
+    """SQL and Spark alike: a page cut inside its last tag, with its title before the first tag, in a doctype, behind the last tag and in an open comment."""
+    return f"concat('{page} ', {title}, '<!DOCTYPE x \"', {title}, '\">', html, {title}, '<{page}-x>', '<!-- ', {title})"
+
+
+@query(
+    rf"""WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)
+SELECT page_id, kind, value FROM (SELECT page_id, 'directive' AS kind, 'DOCTYPE x "' || t || '"' AS value FROM t UNION ALL SELECT page_id, 'text', trim('page ' || t) FROM t
+UNION ALL SELECT page_id, 'element-name', 'page-x' FROM t UNION ALL SELECT page_id, 'unfinished', trim('<!-- ' || t) FROM t)""",
+    base=False,
+)
+def broken_page_atoms(s, d):
+    """What pages say outside their tags: each page with its own title put before, behind, in a doctype and in a comment that never ends."""
+    pages = bind.read(s, d, "pages").withColumn("__t", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    pages = pages.select("page_id", F.expr(_broken("page", "__t")).alias("html"))
+    return markup.page_atoms(pages).where("kind IN ('directive', 'element-name', 'unfinished') OR value LIKE 'page %'").select("page_id", "kind", "value")
+
+
+_PROFILE = """concat('<section class="x playerDetailsHeader_', page_id, '">', substr(html, 1, CAST(page_id * 37 % 420 AS INT)), '<h2 class=n>', 'W ', page_id, '</h2></section><p data-element-name="fullName">',
+ repeat('y', CAST(page_id * 53 % 800 AS INT)), '<h3>', regexp_extract(html, '<a href="/([^"<]*)"', 1), '</h3><i data-element-name="nameGenderAddress"><span>F</span> | City ', page_id, ' <br>',
+ '<img src="/User/01234567-89ab-cdef-0123-', lpad(CAST(page_id AS STRING), 12, '0'), '/p.png">')"""
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, """ + _PROFILE.replace("AS STRING", "AS VARCHAR") + r""" AS html FROM pages)
+SELECT DISTINCT * FROM (SELECT page_id, 'displayed name' AS detector, unnest(regexp_extract_all(html, 'data-element-name="fullName"[\s\S]{0,400}?<h3[^>]*>([^<]+)</h3>', 1)) AS value FROM p
+UNION ALL SELECT page_id, 'displayed location', unnest(regexp_extract_all(html, 'data-element-name="nameGenderAddress"[\s\S]{0,400}?</span>\s*[|]\s*([^<|]+?)\s*<br', 1)) FROM p
+UNION ALL SELECT page_id, 'displayed profile', unnest(regexp_extract_all(html, 'class="[^"]*playerDetailsHeader[^"]*"[\s\S]{0,200}?<h2[^>]*>([^<]+)</h2>', 1)) FROM p
+UNION ALL SELECT page_id, 'avatar asset', unnest(regexp_extract_all(html, '(?i)/User/([0-9a-f-]{36})/', 1)) FROM p)""",
+    base=False,
+)
+def displayed_identities(s, d):
+    """Names, places and pictures that pages show near a mark, which no list has to know: profiles made of the pages, their texts at distances within and beyond reach."""
+    pages = bind.read(s, d, "pages").select("page_id", F.expr(_PROFILE).alias("html"))
+    return publication.displayed(pages)
 
 
 @query()
@@ -140,7 +187,7 @@ def publication_check(s, d):
     """Redacted pages against the vocabulary of the pages with even ids."""
     pages = redact.redacted(_pages_with(s, d, [p[0] for p in ADDED]), VALUES)
     known = markup.page_atoms(pages.where("page_id % 2 = 0")).select(markup.skeleton(F.col("value"), ["Kestrel, Avery"]).alias("skeleton"))
-    return markup.publication_check(pages, ["Kestrel, Avery"], known, redact.survivors(pages, list(VALUES)))
+    return publication.publication_check(pages, ["Kestrel, Avery"], known, redact.survivors(pages, list(VALUES)))
 
 
 @query("SELECT page_id, 'playername' AS detector, 'jo day ' || page_id AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'tennis-id', 'B7' FROM pages WHERE page_id % 3 = 2", base=False)

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from rallyframe.functions import grammar, markup, redact
+from rallyframe.functions import grammar, markup, pagescan, publication, redact
 from rallyframe.operators import ingest, merge
 from rallyframe.plans import dossier
 from rallyframe.sources import profiles, widgets
@@ -149,13 +151,12 @@ def test_skeletons_and_classes(spark):
     assert got[1]["mailto"] == "MAILTO:jo%20day@x.org?subject=hi"
 
 
-def test_closed_attribute_values(spark):
+def test_closed_attribute_values():
     cases = {
         ("colspan", "2"): True, ("colspan", "2 Jo"): False, ("width", "12.5px"): True, ("width", "Jo"): False, ("viewbox", "0 0 24 24"): True, ("viewbox", "0 0 24"): False, ("d", "M0 0L4,4z"): True, ("d", "Jo Day"): False, ("fill", "#FFF"): True,
         ("fill", "url(#jo)"): False, ("type", "Hidden"): True, ("type", "jo"): False, ("title", "2"): False, ("transform", "translate(1 2) rotate(45)"): True, ("transform", "jo(1)"): False, ("points", "1,2 3,4"): True, ("role", "button"): True, ("xmlns", "http://www.w3.org/2000/svg"): True,
     }
-    df = spark.createDataFrame(list(cases), "n string, v string")
-    assert {(r["n"], r["v"]): r["c"] for r in df.select("n", "v", markup.is_closed(F.col("n"), F.col("v")).alias("c")).collect()} == cases
+    assert {(n, v): markup.is_closed(n, v) for n, v in cases} == cases
 
 
 def test_publication_check_shows_the_first_stage(spark):
@@ -164,7 +165,7 @@ def test_publication_check_shows_the_first_stage(spark):
     ]
     pages = spark.createDataFrame(rows, "page_id long, html string")
     known = spark.createDataFrame([("known words",), ("tel",), ("Ann 32 Co",), ("Ann Co",), ("Ann Co",)], "skeleton string")
-    got = markup.publication_check(pages, ["Kestrel Avery"], known, redact.survivors(pages, ["Ann Co"])).collect()
+    got = publication.publication_check(pages, ["Kestrel Avery"], known, redact.survivors(pages, ["Ann Co"])).collect()
     assert {(r["page_id"], r["stage"]) for r in got} == {(2, "credential"), (3, "vocabulary"), (4, "class"), (5, "forbidden")}
 
 
@@ -232,3 +233,66 @@ def test_html_dossier_escapes(spark):
     roster = spark.createDataFrame([(1, 7, "Jo 'x' Day")], "team_id int, player_id int, name string")
     text = {r["team_id"]: r["text"] for r in dossier.html(teams, won, roster, spark.createDataFrame([(7, 3, 1, 0)], "player_id int, wins int, losses int, undecided int")).collect()}
     assert "<h1>A &amp; &lt;B&gt;</h1>" in text[1] and "<td>Jo &#39;x&#39; Day</td><td>3-1</td><td>0</td>" in text[1] and "no players recorded" in text[2]
+
+
+PIECES = ("<p>", "</p >", "<td colspan='2' title=\"Jo <b> Day\">", "<br/>", "words ", " < 3", "<!-- note -->", "<!DOCTYPE html>", "<!doctype x>", "<?pi z?>", "<script>var a = '<p>';</script>", "<title>a<b</title>", "<jo-day x=1>", "<a href=jo data-jo-day=2 jo>", "</a jo=day>", "é&eacute;\n", "<input value='", "'>", "<", ">", "</", "<!--", "\"")
+
+
+def random_pages(n):
+    rng = random.Random(17)
+    return ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(n)]
+
+
+def test_every_character_of_a_page_is_covered_or_an_atom():
+    for page in random_pages(3000):
+        scanner = pagescan.Scanner(page, markup.is_closed)
+        found = list(scanner.tokens())
+        seen = bytearray(len(page))
+        for a, b in scanner.covered:
+            seen[a:b] = b"\1" * (b - a)
+        for g in scanner.gaps():
+            seen[g.start : g.end] = b"\1" * (g.end - g.start)
+        assert not "".join(c for c, s in zip(page, seen) if not s and c not in pagescan.DELIMITERS).strip(), page
+        assert all(page[a.start : a.end] == a.value for a in found)
+
+
+def test_a_word_planted_anywhere_in_a_page_is_in_an_atom():
+    rng = random.Random(23)
+    for page in random_pages(3000):
+        at = rng.randint(0, len(page))
+        for word in ("Zqx", " Zqx ", "&Zqx"):
+            said = page[:at] + word + page[at:]
+            assert any("Zqx" in a.value for a in pagescan.atoms(said, markup.is_closed)), said
+
+
+def test_atoms_of_a_page_outside_its_tags(spark):
+    page = 'Jane Doe<p>x</p><!DOCTYPE a "Jane Doe"><jane-doe data-jane=1></p doe="1"><td width=4 width=Jane><!-- Jane Doe'
+    got = {(r["kind"], r["name"], r["value"]) for r in markup.page_atoms(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).collect()}
+    assert got == {
+        ("text", None, "Jane Doe"), ("text", None, "x"), ("directive", None, 'DOCTYPE a "Jane Doe"'), ("element-name", None, "jane-doe"), ("attribute-name", None, "jane"), ("attribute", "data-jane", "1"),
+        ("discarded", None, "doe"), ("discarded", None, "1"), ("attribute", "width", "Jane"), ("unfinished", None, "<!-- Jane Doe"),
+    }
+    pages = spark.createDataFrame([(1, "Jane Doe<p>x</p>"), (2, '<!DOCTYPE a "Jane Doe"><p>x</p>'), (3, "<p>x</p><!-- Jane Doe"), (4, "<p>x</p><p title=Jane"), (5, "<!doctype html><p>x</p>"), (6, "<p>x</p><p>&#106;&#x40;b.org</p>"), (7, "<p>x</p>918%2D555%2D0101")], "page_id long, html string")
+    known = spark.createDataFrame([("x",), ("j b org",)], "skeleton string")
+    none = spark.createDataFrame([], "page_id long, value string")
+    got = {r["page_id"]: (r["stage"], r["detail"]) for r in publication.publication_check(pages, [], known, none).collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "vocabulary", 2: "vocabulary", 3: "vocabulary", 4: "vocabulary", 6: "class", 7: "class"} and got[6][1] == "email" and got[7][1] == "phone"
+
+
+def test_skeletons_are_the_same_in_every_spelling(spark):
+    texts = ["José García", "Jos&eacute; Garc&#237;a", "Jose\u0301 Garci\u0301a", "Jos%C3%A9%20Garc%C3%ADa", "José\u200bGarcía", "José &amp;amp;  García", "100% José García 6-4, 7-6(7) #fff M10 20L3.5,4 1/15/2026"]
+    got = [r["s"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(markup.skeleton(F.col("t")).alias("s")).collect()]
+    assert got[:4] == ["José García"] * 4 and got[4:6] == ["José García"] * 2 and got[6] == "José García"
+    assert [r["s"] for r in spark.createDataFrame([(None,), ("",)], "t string").select(markup.skeleton(F.col("t")).alias("s")).collect()] == [None, ""]
+
+
+def test_shown_identities_within_reach_of_a_mark(spark):
+    rows = [
+        (1, '<b data-element-name="fullName"></b>' + "." * 350 + "<h3 class=x>Jo Day</h3><h3>Other</h3>"), (2, '<b data-element-name="fullName"></b>' + "." * 420 + "<h3>Jo Day</h3>"), (3, '<div class="a playerDetailsHeader___p1"><h2>jo day</h2></div>'),
+        (4, '<p data-element-name="nameGenderAddress"><span>F</span> | Tulsa, OK <br>'), (5, '<img src="/User/01234567-89ab-cdef-0123-456789abcdef/x.png">'), (6, "<h3>Jo Day</h3>"), (7, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    want = {(1, "displayed name", "Jo Day"), (3, "displayed profile", "jo day"), (4, "displayed location", "Tulsa, OK"), (5, "avatar asset", "01234567-89ab-cdef-0123-456789abcdef")}
+    assert set(map(tuple, publication.displayed(pages).collect())) == want
+    allowed = spark.createDataFrame([("JO DAY",)], "value string")
+    assert set(map(tuple, publication.unlisted(pages, allowed).collect())) == {w for w in want if w[2].lower() != "jo day"}
