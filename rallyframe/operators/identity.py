@@ -90,7 +90,7 @@ def routed(targets: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     route, value = F.lit("name"), F.col("target")
     for prefix, column in prefixes.items():
         hit = F.col("target").startswith(prefix)
-        route, value = F.when(hit, column).otherwise(route), F.when(hit, F.substring("target", len(prefix) + 1, 1000)).otherwise(value)
+        route, value = F.when(hit, column).otherwise(route), F.when(hit, F.substr("target", F.lit(len(prefix) + 1))).otherwise(value)
     return targets.withColumn("route", route).withColumn("value", value)
 
 

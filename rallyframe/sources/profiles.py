@@ -60,7 +60,7 @@ def player_header(pages: DataFrame) -> DataFrame:
     p = p.withColumn("who", _lines(F.get("top", 0))).withColumn("level", _lines(F.get("top", 1)))
     # ``Name (Place)``: split at the first bracket if the line ends in its only closing one.
     first = F.trim(F.get("who", 0))
-    inner = F.substring(first, F.length(F.substring_index(first, "(", 1)) + 2, 1000)
+    inner = F.substr(first, F.length(F.substring_index(first, "(", 1)) + 2)
     placed = first.contains("(") & (F.locate(")", inner) == F.length(inner)) & (inner != "")
     name, location = F.when(placed, F.trim(F.substring_index(first, "(", 1))).otherwise(first), F.when(placed, F.substring_index(inner, ")", 1))
     # ``4.0 C``: a level in halves, and a letter behind it or none.
