@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions.keys import slug
 from rallyframe.functions.phrases import escape_html, safe
+from rallyframe.sources import dossier_sink
 
 
 def directory_names(teams: DataFrame) -> DataFrame:
@@ -104,4 +105,5 @@ def index(field: DataFrame, teams: DataFrame, directories: DataFrame, team_recor
 
 
 def write(dossiers: DataFrame, directories: DataFrame, path: str) -> None:
-    dossiers.join(directories, "team_id").select("directory", F.col("text").alias("value")).write.partitionBy("directory").mode("overwrite").text(path)
+    """Replace the dossiers at ``path`` by these, in the folder of each team; a bad one leaves all as it was (``dossier_sink``)."""
+    dossier_sink.write(dossiers.join(directories, "team_id").select("directory", "text"), path)
