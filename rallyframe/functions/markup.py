@@ -61,7 +61,7 @@ STRUCTURAL = (
     r"[MmLlHhVvCcSsQqTtAaZz](?:\s*-?\d+(?:\.\d+)?[,\s]*)+",  # path data of a drawing
     r"\b\d+\b",  # a whole number
 )
-_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+_BEGIN, _END = r"(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])"  # what a boundary says before a run and behind it
 
 
 def skeleton(text: Column, stand_ins: list[str] | None = None) -> Column:
@@ -73,8 +73,10 @@ def skeleton(text: Column, stand_ins: list[str] | None = None) -> Column:
     text = F.coalesce(_normalised(F.when(text.rlike(r"[&%]|[^\x00-\x7F]"), text)), text)
     for s in sorted(filter(None, stand_ins or []), key=lambda s: (-len(s), s)):
         text = F.regexp_replace(text, "(?i)(?<![0-9A-Za-z_])" + re.escape(s) + "(?![0-9A-Za-z_])", " ")
+    bare = text
     for p in STRUCTURAL:
-        text = F.regexp_replace(text, p.replace(r"\b", _EDGE), " ")
+        bare = F.regexp_replace(bare, re.sub(r"^\\b", lambda _: _BEGIN, p).replace(r"\b", _END), " ")
+    text = F.when(text.rlike("[0-9#]"), bare).otherwise(text)  # every run has a digit or begins with the sign of a colour
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " "), " +", " "))
 
 

@@ -1,7 +1,9 @@
 """Lineups: what Spark can aggregate is aggregated first; the short sequential choice runs for each team.
 
-``predicted_lineup`` groups by team. A team's input is bounded by its roster (players, their counts by
-slot, their pairs), not by the number of matches.
+What reaches a group is bounded by its courts, not by its roster. A choice that takes t seats in all
+(one for each singles court, two for each other one) can only ever take the first 2 t players by rank and, of pairs
+that ask for courts in the same order, the first t (t + 1) + 1 of those that are among the first t + 1 of
+both their players: a pair behind them is never the best free one, since t seats cannot block all before it.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyframe.sources.store import written
+
 PREDICTED = "team_id int, slot string, discipline string, player_ids array<long>, basis string, support long"
 
 
@@ -61,6 +65,43 @@ def plan_status(entries: DataFrame, roster: DataFrame, own: DataFrame, all_rows:
     )
 
 
+def seats(courts: DataFrame, by: str) -> int:
+    """The most seats that any group's courts have."""
+    n = F.when(F.col("discipline") == "singles", 1).otherwise(2)
+    return courts.groupBy(by).agg(F.sum(n).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def first_pairs(pairs: DataFrame, by: list[str], order: list[str], t: int) -> DataFrame:
+    """Of the pairs (low_id, high_id) of each group those that a choice of t seats by ``order`` can reach."""
+    rest = [c for c in pairs.columns if c not in by]
+    ends = pairs.withColumn("__v", F.explode(F.array("low_id", "high_id")))
+    best = ends.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__v").orderBy(*order, "low_id", "high_id"))).where(F.col("__k") <= t + 1)
+    both = best.groupBy(*by, *rest).agg(F.count("*").alias("__n")).where("__n = 2").drop("__n")
+    ranked = both.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "low_id", "high_id")))
+    return ranked.where(F.col("__k") <= t * (t + 1) + 1).drop("__k")
+
+
+def _reachable(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranks, singles counts and pairs that a prediction can use."""
+    t = seats(slots, "team_id")
+    queue = ranks.join(singles, ["team_id", "player_id"], "left").withColumn("__turn", F.row_number().over(Window.partitionBy("team_id").orderBy(F.coalesce("matches", F.lit(0)).desc(), "rank", "player_id")))
+    queue = queue.where(F.col("__turn") <= t)
+    top = ranks.withColumn("__k", F.row_number().over(Window.partitionBy("team_id").orderBy("rank", "player_id"))).where(F.col("__k") <= 2 * t)
+    # A pair's class: the courts that it has stood on, in the order in which it asks for them.
+    places = slots.where("discipline <> 'singles'").select("team_id", "slot", "place")
+    asks = pairs.join(places, ["team_id", "slot"], "left").groupBy("team_id", "low_id", "high_id").agg(
+        F.sum("matches").alias("total"), F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct((-F.col("matches")).alias("m"), "place", "slot")))).alias("asked")
+    )
+    low, high = (ranks.select("team_id", F.col("player_id").alias(f"{x}_id"), F.col("rank").alias(f"{x}_rank")) for x in ("low", "high"))
+    asks = asks.where("total >= 2").join(low, ["team_id", "low_id"]).join(high, ["team_id", "high_id"])
+    asks = asks.select("team_id", "low_id", "high_id", F.array_join(F.transform("asked", lambda a: a["slot"]), "\n").alias("__asked"), (F.col("low_rank") + F.col("high_rank")).alias("__both"), (-F.col("total")).alias("__less"))
+    asks = written(asks, "asks")
+    kept = first_pairs(asks, ["team_id", "__asked"], ["__both", "__less"], t).select("team_id", "low_id", "high_id")
+    kept = written(kept, "kept")
+    people = queue.select("team_id", "player_id").union(top.select("team_id", "player_id")).union(kept.select("team_id", "low_id")).union(kept.select("team_id", "high_id")).distinct()
+    return ranks.join(people, ["team_id", "player_id"], "leftsemi"), singles.join(people, ["team_id", "player_id"], "leftsemi"), pairs.join(kept, ["team_id", "low_id", "high_id"], "leftsemi")
+
+
 def predicted_lineup(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Who probably plays where.
 
@@ -75,6 +116,7 @@ def predicted_lineup(slots: DataFrame, ranks: DataFrame, singles: DataFrame, pai
     stay short or empty, and a player is on one court at most. Courts that are not singles are taken
     as doubles.
     """
+    ranks, singles, pairs = _reachable(slots, ranks, singles, pairs)
     rows = (
         slots.select("team_id", F.lit("slot").alias("kind"), "slot", "discipline", F.col("place").cast("long").alias("n"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
         .union(ranks.select("team_id", F.lit("rank"), F.lit(None), F.lit(None), F.col("rank").cast("long"), F.col("player_id"), F.lit(None)))
@@ -163,10 +205,32 @@ def day_scenarios(eligible: DataFrame, pairs: DataFrame, courts: DataFrame) -> D
         return df.select(*DAY, F.lit(kind).alias("kind"), *[given.get(k, v).alias(k) for k, v in none.items()])
 
     days = eligible.select(*DAY).distinct()
+    everyone = eligible.groupBy(*DAY).agg(F.array_sort(F.collect_set("player_id")).alias("__all"))
+    t = seats(courts, "event_id")
+    by_rank = ["__unrated", "__weaker", "player_id"]
+    ranked = eligible.withColumn("__unrated", F.col("strength").isNull()).withColumn("__weaker", -F.coalesce("strength", F.lit(0.0))).withColumn("__only", F.coalesce("doubles_only", F.lit(False)))
+    keep = None
+    for order, most in ((by_rank, 2 * t), (["__only", *by_rank], t), (["__only", F.col("singles").desc(), *by_rank], t)):
+        first = ranked.withColumn("__k", F.row_number().over(Window.partitionBy(*DAY).orderBy(*order))).where(F.col("__k") <= most).select(*DAY, "player_id")
+        keep = first if keep is None else keep.union(first)
+    able = {x: ranked.select(*DAY, F.col("player_id").alias(f"{x}_id"), F.col("__unrated").cast("int").alias(f"{x}_u"), F.col("__weaker").alias(f"{x}_w")) for x in ("low", "high")}
+    met = pairs.where("matches > 0").join(able["low"], ["team_id", "low_id"]).join(able["high"], [*DAY, "high_id"])
+    met = met.select(*DAY, "low_id", "high_id", "matches", (-F.col("matches")).alias("__less"), (F.col("low_u") + F.col("high_u")).alias("__u"), F.round(F.col("low_w") + F.col("high_w"), 9).alias("__w"))
+    met = first_pairs(met, DAY, ["__less", "__u", "__w"], t)
+    met = met.select(*DAY, F.explode(F.array("low_id", "high_id")).alias("player_id"))
+    keep = written(keep.union(met).distinct(), "reachable")
+    eligible = eligible.join(keep, [*DAY, "player_id"], "leftsemi")
+    # What two kept players have in common is shown, whoever pairs them.
+    for end in ("low_id", "high_id"):
+        mine = keep.withColumnRenamed("player_id", end)
+        pairs = pairs.join(mine, ["team_id", end] if end == "low_id" else [*DAY, end])
     people = rows(eligible, "player", a=F.col("player_id"), strength=F.col("strength"), n=F.col("singles").cast("long"), flag=F.col("doubles_only"))
-    known = rows(pairs.join(days, "team_id"), "pair", a=F.col("low_id"), b=F.col("high_id"), n=F.col("matches").cast("long"))
+    known = rows(pairs, "pair", a=F.col("low_id"), b=F.col("high_id"), n=F.col("matches").cast("long"))
     places = rows(courts.join(days, "event_id"), "court", slot=F.col("slot"), discipline=F.col("discipline"), n=F.col("place").cast("long"))
-    return people.union(known).union(places).groupBy(*DAY).applyInPandas(_scenarios, SCENARIOS)
+    chosen = people.union(known).union(places).groupBy(*DAY).applyInPandas(_scenarios, SCENARIOS)
+    taken = F.flatten(F.collect_list("player_ids").over(Window.partitionBy(*DAY, "strategies")))
+    chosen = chosen.withColumn("__taken", taken).join(everyone, DAY)
+    return chosen.withColumn("sitting", F.array_except("__all", "__taken")).drop("__taken", "__all").select([c.split()[0] for c in SCENARIOS.split(", ")])
 
 
 def pairings(players: list[int]):

@@ -61,6 +61,13 @@ def leagues(spark, d):
     return court_matches(spark, d).join(customer, "o_custkey", "left").select("match_id", F.when(F.col("match_id") % 23 != 0, F.col("c_mktsegment")).alias("league_context"))
 
 
+def match_sides(spark, d):
+    """match_id and the two teams: ``team_matches`` without counts."""
+    customer = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home_team_id"))
+    m = read(spark, d, "orders").select(F.col("o_orderkey").alias("match_id"), "o_custkey").join(customer, "o_custkey")
+    return m.select("match_id", "home_team_id", ((F.col("home_team_id") + 1 + F.col("match_id") % 24) % 25).cast("int").alias("visiting_team_id"))
+
+
 def team_matches(spark, d):
     customer = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("home_team_id"))
     flags = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("match_id")).agg(F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("a"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("r"))

@@ -8,6 +8,7 @@ from rallyframe.functions import grammar
 from rallyframe.operators import lineup, ratings, records, roster
 from rallyframe.plans import bind, catalog
 from rallyframe.plans.registry import query
+from rallyframe.sources.store import written
 
 HOME = "O"  # the side that stands for the home team
 
@@ -22,7 +23,7 @@ def _roster(s, d):
 def _played(s, d):
     """Roster players' rows, with whether their team played and stood there."""
     rows = bind.match_players(s, d).select("match_id", "slot", "discipline", "player_id", "side")
-    return roster.own_team_rows(rows, bind.team_matches(s, d), _roster(s, d), HOME)
+    return roster.own_team_rows(rows, bind.match_sides(s, d), _roster(s, d), HOME)
 
 
 def _courts(s, d):
@@ -52,11 +53,11 @@ def observed_slots(s, d):
     return lineup.observed_slots(_played(s, d).where("ours IS NOT NULL"))
 
 
-def _plan_slots(s, d):
+def _plan_slots(s, d, own):
     """Each team's slots: those of its event's format, else those observed."""
     entries, courts = bind.entries(s, d), _courts(s, d)
     formal = entries.join(courts, "event_id").select("team_id", "slot", "discipline", "place")
-    seen = lineup.observed_slots(_played(s, d).where("ours IS NOT NULL")).join(formal.select("team_id").distinct(), "team_id", "leftanti")
+    seen = lineup.observed_slots(own).join(formal.select("team_id").distinct(), "team_id", "leftanti")
     return formal.union(seen.select("team_id", "slot", "discipline", "place"))
 
 
@@ -71,8 +72,8 @@ status AS (SELECT e.team_id, e.event_id, CASE WHEN s.team_id IS NULL THEN 'no ro
   coalesce(o.observed, 0) AS observed, coalesce(o.every, 0) - coalesce(o.observed, 0) AS excluded_other_team FROM entries e JOIN happenings h ON h.event_id = e.event_id LEFT JOIN sizes s ON s.team_id = e.team_id LEFT JOIN own o ON o.team_id = e.team_id)"""
 
 
-def _status(s, d):
-    rows = _played(s, d)
+def _status(s, d, rows=None):
+    rows = _played(s, d) if rows is None else rows
     formats = bind.events(s, d).select("event_id").join(_courts(s, d).groupBy("event_id").agg(F.count("*").alias("courts")), "event_id", "left")
     return lineup.plan_status(bind.entries(s, d), _roster(s, d), rows.where("ours IS NOT NULL"), rows, formats)
 
@@ -82,10 +83,12 @@ def lineup_plan_status(s, d):
     return _status(s, d)
 
 
-def _plan(s, d):
-    own, able = _played(s, d).where("ours IS NOT NULL"), _status(s, d).where("status = 'predicted'").select("team_id")
-    slots = _plan_slots(s, d).join(able, "team_id", "leftsemi")
-    ranks = _ranks(s, d).join(able, "team_id", "leftsemi")
+def _plan(s, d, rows=None):
+    """The predicted lineups; the evidence is computed once and written."""
+    rows = written(_played(s, d), "played") if rows is None else rows
+    own, able = rows.where("ours IS NOT NULL"), _status(s, d, rows).where("status = 'predicted'").select("team_id")
+    slots = written(_plan_slots(s, d, own).join(able, "team_id", "leftsemi"), "slots")
+    ranks = written(_ranks(s, d).join(able, "team_id", "leftsemi"), "ranks")
     return lineup.predicted_lineup(slots, ranks, lineup.own_singles(own), lineup.own_pairs(own)).withColumn("confidence", records.confidence(F.col("support")))
 
 
@@ -96,7 +99,8 @@ def predicted_lineup(s, d):
 
 @query()
 def lineup_unplaced(s, d):
-    return lineup.unplaced(_plan(s, d), _roster(s, d).select("team_id", "player_id"), _played(s, d).where("ours IS NOT NULL"))
+    rows = written(_played(s, d), "played")
+    return lineup.unplaced(_plan(s, d, rows), _roster(s, d).select("team_id", "player_id"), rows.where("ours IS NOT NULL"))
 
 
 # The singles courts of a plan in SQL: the players in order of singles matches, rank and id.
@@ -117,11 +121,12 @@ def predicted_singles(s, d):
 
 def _eligible(s, d):
     """Available players of events with a format, with strength, singles matches on their own side and whether they play doubles only (every fourth)."""
-    ours = _played(s, d).where("ours")
+    ours = written(_played(s, d), "played").where("ours")
     ranks = _ranks(s, d).select("team_id", "player_id", F.when(F.col("source").isin(catalog.INVERTED), -F.col("value")).otherwise(F.col("value")).alias("strength"))
     grid = catalog._grid(s, d).join(_courts(s, d).select("event_id").distinct(), "event_id", "leftsemi")
     e = grid.where("status = 'available'").join(ranks, ["team_id", "player_id"]).join(lineup.own_singles(ours), ["team_id", "player_id"], "left")
-    return grid, ours, e.select("team_id", "event_id", "day", "player_id", "strength", F.coalesce("matches", F.lit(0)).alias("singles"), (F.col("player_id") % 4 == 0).alias("doubles_only"))
+    e = e.select("team_id", "event_id", "day", "player_id", "strength", F.coalesce("matches", F.lit(0)).alias("singles"), (F.col("player_id") % 4 == 0).alias("doubles_only"))
+    return grid, ours, e
 
 
 @query(f"""{catalog._GRID}, latest AS (SELECT player_id, source, value FROM (SELECT *, row_number() OVER (PARTITION BY player_id, source ORDER BY observed_on DESC, rating_id DESC) AS k FROM ratings) x WHERE k = 1),
@@ -138,6 +143,7 @@ def day_ledger(s, d):
 def _scenarios(s, d):
     _, ours, eligible = _eligible(s, d)
     pairs = lineup.own_pairs(ours.where("discipline = 'doubles'")).groupBy("team_id", "low_id", "high_id").agg(F.sum("matches").alias("matches"))
+    eligible, pairs = written(eligible, "eligible"), written(pairs, "pairs")
     return lineup.day_scenarios(eligible, pairs, _courts(s, d))
 
 
