@@ -32,15 +32,69 @@ def edf(counts):
 def test_schedule_equals_slot_by_slot_simulation_and_stays_within_one_block(spark):
     rng = random.Random(4)
     for _ in range(6):
-        counts = [rng.randint(1, 12) for _ in range(rng.randint(1, 7))]
-        row = spark.createDataFrame([(counts, sum(counts))], "c array<long>, t long").select(mixing._earliest_deadline_first(F.col("c"), F.col("t")).alias("o")).first()["o"]
-        assert row == edf(counts)
+        shape = [(c, rng.randint(1, 3)) for c in sorted(rng.sample(range(1, 13), rng.randint(1, 5)))]
+        counts = [c for c, k in shape for _ in range(k)]  # members of a class follow each other
+        row = spark.createDataFrame([(shape, sum(counts))], "s array<struct<c:long,k:long>>, t long").select(mixing._earliest_deadline_first(F.col("s"), F.col("t")).alias("o")).first()["o"]
+        served = Counter()
+        order = []
+        for i in row:
+            c, k = shape[i]
+            order.append(sum(k for _, k in shape[:i]) + served[i] % k)
+            served[i] += 1
+        assert order == edf(counts)
         done = Counter()
-        for k, i in enumerate(row):
+        for k, i in enumerate(order):
             done[i] += 1
             assert all(abs(done[s] - (k + 1) * c / sum(counts)) < 1 for s, c in enumerate(counts))
 
 
+def rounds_by_hand(blocks, weights):
+    """Slots of a mix, round by round: in a round the sources that have blocks give their weight or what is left."""
+    left, slots = dict(blocks), []
+    while any(left.values()):
+        order = sorted((s for s in left if left[s]), key=lambda s: (min(weights[s], left[s]), left[s] < weights[s] or None is s, s))
+        counts = {s: min(weights[s], left[s]) for s in order}
+        slots.append(counts)
+        for s in order:
+            left[s] -= counts[s]
+    return slots
+
+
+@pytest.mark.parametrize("many", (7, 1000, 5000))
+def test_any_number_of_sources_is_mixed(spark, many):
+    rng = random.Random(many)
+    sizes = {f"s{k}": rng.choice((1, 2, 3, 7, 30 if many < 100 else 5)) for k in range(many)}
+    weights = {f"s{k}": 1 + k % 3 for k in range(6)}
+    df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = mixing.mix_sources(df, weights, 2, block_rows=1).collect()
+    total = sum(sizes.values())
+    assert sorted(r["mix_slot"] for r in got) == list(range(total)) and all(r["mix_position"] == r["mix_slot"] for r in got)
+    order = [r["source"] for r in sorted(got, key=lambda r: r["mix_slot"])]
+    at = 0
+    for counts in rounds_by_hand(sizes, {s: weights.get(s, 2) for s in sizes}):
+        slots = sum(counts.values())
+        now = order[at : at + slots]
+        assert Counter(now) == counts
+        if slots < 300 or at == 0:
+            done = Counter()
+            for k, s in enumerate(now):
+                done[s] += 1
+                assert abs(done[s] - (k + 1) * counts[s] / slots) < 1
+        at += slots
+
+
+def test_copies_of_one_row_do_not_fill_a_bucket(spark):
+    n = 30_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.create_map(F.lit("k"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("m"))
+    sources = spark.createDataFrame([("sa", n)], "src string, n long")
+    dealt = mixing._dealt(df, sources, F.concat(F.lit("s"), "source"), df.columns, "doc_id")
+    sizes = [r["count"] for r in dealt.groupBy("src", "bucket").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 2000  # without dealing one bucket has 10000
+    got = mixing.mix_sources(df)
+    assert got.select("mix_position").distinct().count() == n and got.agg(F.max("mix_position")).first()[0] == n - 1
+    assert got.where("doc_id = 0").count() == n // 3 and got.schema["m"].dataType == df.schema["m"].dataType
+
+
 def test_mixing_places_every_row_once(spark):
     sizes = {"a": 700, "b": 150, "c": 33, None: 40, "": 1}
     rows = [(i, s, "m", "h") for s, n in sizes.items() for i in range(n)] + [(None, "a", "m", "h")] * 3
