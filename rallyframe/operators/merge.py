@@ -41,15 +41,16 @@ def merge_fixtures(fixtures: DataFrame) -> DataFrame:
         "match_id", swap.alias("swap"), "scheduled_time", "site", "event_id",
         F.when(swap, F.col("visiting_courts_won")).otherwise(F.col("home_courts_won")).alias("a"), F.when(swap, F.col("home_courts_won")).otherwise(F.col("visiting_courts_won")).alias("b"),
     )
-    event = F.min(F.when(F.col("event_id").isNotNull(), F.struct("match_id", "event_id"))).event_id
-    # A report that names another event than the first one named is refused as a whole.
-    first_event = rows.groupBy("low", "high", "played_on", "time_key", "site_key").agg(event.alias("kept_event"))
-    named = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in ("low", "high", "played_on", "time_key", "site_key")]
-    rows = rows.alias("r").join(first_event.alias("f"), named).select("r.*", "kept_event", F.coalesce(F.col("event_id") != F.col("kept_event"), F.lit(False)).alias("refused"))
-    one = rows.groupBy("low", "high", "played_on", "time_key", "site_key").agg(
-        F.min(F.struct("match_id", "swap", "scheduled_time", "site")).alias("first"), F.max(F.when(~F.col("refused"), F.struct("match_id", "a", "b"))).alias("last"),
-        F.first("kept_event").alias("event_id"), F.count("*").alias("reports"), F.bool_or("refused").alias("conflict"),
+    # First by key and event, then by key: what is gathered for a fixture is one entry for each event that it is reported for.
+    keys = ["low", "high", "played_on", "time_key", "site_key"]
+    told = rows.groupBy(*keys, "event_id").agg(F.min(F.struct("match_id", "swap", "scheduled_time", "site")).alias("first"), F.max(F.struct("match_id", "a", "b")).alias("last"), F.count("*").alias("n"))
+    one = told.groupBy(*keys).agg(
+        F.min("first").alias("first"), F.min(F.when(F.col("event_id").isNotNull(), F.struct("first.match_id", "event_id"))).alias("named"), F.sum("n").alias("reports"), F.collect_list(F.struct("event_id", "last")).alias("told")
     )
+    # A report that names another event than the first one named is refused as a whole.
+    one = one.withColumn("event_id", F.col("named.event_id"))
+    kept = F.filter("told", lambda x: x["event_id"].isNull() | (x["event_id"] == F.col("event_id")))
+    one = one.withColumn("last", F.array_max(F.transform(kept, lambda x: x["last"]))).withColumn("conflict", F.size(kept) < F.size("told"))
     s = F.col("first.swap")
     return one.select(
         F.col("first.match_id").alias("match_id"), "played_on", F.col("first.scheduled_time").alias("scheduled_time"), F.col("first.site").alias("site"), "event_id",

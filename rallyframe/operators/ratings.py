@@ -28,9 +28,19 @@ def choose_source(roster: DataFrame, last: DataFrame, precedence: list[str]) ->
 
 
 def roster_rank(roster: DataFrame, last: DataFrame, chosen: DataFrame, inverted: list[str]) -> DataFrame:
-    """Rank from 0 in the team's chosen source (low values first where inverted), ties by id; all unrated share the number of rated players."""
+    """Rank from 0 in the team's chosen source (low values first where inverted), ties by id; all unrated share the number of rated players.
+
+    Counted in two steps, so that a team's players are never in one task: how many have a better value, then the place among those of one value.
+    """
     rated = roster.join(chosen.select("team_id", "source"), "team_id").join(last.select("player_id", "source", "value"), ["player_id", "source"], "left")
-    strength = F.when(F.col("source").isin(inverted), -F.col("value")).otherwise(F.col("value"))
+    rated = rated.withColumn("strength", F.when(F.col("source").isin(inverted), -F.col("value")).otherwise(F.col("value")))
+    values = rated.where("strength IS NOT NULL").groupBy("team_id", "strength").agg(F.count("*").alias("n"))
     team = Window.partitionBy("team_id")
-    order = team.orderBy(strength.desc_nulls_last(), "player_id")
-    return rated.select("team_id", "player_id", "source", "value", F.when(F.col("value").isNotNull(), F.row_number().over(order) - 1).otherwise(F.count("value").over(team)).cast("long").alias("rank"))
+    better = F.coalesce(F.sum("n").over(team.orderBy(F.desc("strength")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = values.select("team_id", "strength", better.alias("better"))
+    counts = values.groupBy("team_id").agg(F.sum("n").alias("rated"))
+    out = rated.join(placed, ["team_id", "strength"], "left").join(counts, "team_id", "left")
+    among = F.row_number().over(Window.partitionBy("team_id", "strength").orderBy("player_id")) - 1
+    # those without a value are not ordered: their place says nothing
+    rank = F.when(F.col("better").isNotNull(), F.col("better") + among).otherwise(F.coalesce("rated", F.lit(0)))
+    return out.select("team_id", "player_id", "source", "value", rank.cast("long").alias("rank"))

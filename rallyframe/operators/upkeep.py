@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.keys import fuzzy_neighbours, name_key
+from rallyframe.functions.phrases import gender_to_write
 
 BLANK = r"(?U)^\s*$"
 
@@ -27,8 +28,15 @@ def visible_notes(notes: DataFrame, roster: DataFrame) -> DataFrame:
     r = roster.select("team_id", "player_id")
     seen = notes.join(r, "player_id").join(r.withColumnRenamed("player_id", "pair_id").withColumn("pair_on", F.lit(True)), ["team_id", "pair_id"], "left").where("pair_id IS NULL OR pair_on")
     kind = F.when(F.col("pair_id").isNull(), "player").otherwise("pairing")
-    order = Window.partitionBy("team_id", "kind").orderBy(F.desc("created_at"), F.desc("note_id"))
-    return seen.withColumn("kind", kind).select("team_id", "kind", "note_id", "player_id", "pair_id", F.row_number().over(order).alias("place"))
+    # Places are counted in two steps, so that a team's notes are never in one task: times first, then the notes of one time.
+    seen = seen.withColumn("kind", kind)
+    group, at = ["team_id", "kind"], F.coalesce(F.col("created_at").cast("string"), F.lit(""))
+    times = seen.groupBy(*group, "created_at").agg(F.count("*").alias("n"))
+    later = F.sum("n").over(Window.partitionBy(*group).orderBy(F.desc("created_at")).rowsBetween(Window.unboundedPreceding, -1))
+    times = times.select(*group, at.alias("__at"), F.coalesce(later, F.lit(0)).alias("later"))
+    same = Window.partitionBy(*group, "__at").orderBy(F.desc("note_id"))
+    placed = seen.withColumn("__at", at).join(times, [*group, "__at"]).withColumn("place", (F.col("later") + F.row_number().over(same)).cast("int"))
+    return placed.select(*group, "note_id", "player_id", "pair_id", "place")
 
 
 def alias_outcomes(requests: DataFrame, canonical: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -100,3 +108,32 @@ def unverified_windows(claimed: DataFrame) -> DataFrame:
     """Windows (anchor, since, label) whose bound or label does not follow from their anchor; any of them refuses a report."""
     fits = F.col("since").eqNullSafe(F.add_months("anchor", -12)) & F.col("label").eqNullSafe(F.concat(F.lit("12mo to "), F.date_format("anchor", "yyyy-MM-dd")))
     return claimed.where(F.col("anchor").isNull() | ~fits)
+
+
+# What a player may be asked for.
+PLAYS = ("both", "doubles-only")
+
+
+def plays_outcomes(requests: DataFrame, members: DataFrame) -> DataFrame:
+    """What becomes of each request to set how a player plays (request, team_id, plays, outcome and id of the name): request, outcome, player_id and plays.
+
+    Refusals in order: a value that is none, a name that nobody has, one that several may have, a player who is no current member of the team.
+    """
+    ours = members.select("team_id", F.col("player_id").alias("id"), F.lit(True).alias("__on")).distinct()
+    r = requests.join(ours, ["team_id", "id"], "left")
+    refusal = (
+        F.when(~F.coalesce(F.col("plays").isin(*PLAYS), F.lit(False)), "invalid value").when(F.col("outcome") == "ambiguous", "ambiguous").when(F.col("outcome") != "matched", "unknown player").when(F.col("__on").isNull(), "not on the roster")
+    )
+    done = refusal.isNull()
+    return r.select("request", F.coalesce(refusal, F.lit("set")).alias("outcome"), F.when(done, F.col("id")).alias("player_id"), F.when(done, F.col("plays")).alias("plays"))
+
+
+def set_plays(players: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Players (player_id, plays and more) after the outcomes; of several for one player the last request stands."""
+    last = outcomes.where("outcome = 'set'").groupBy("player_id").agg(F.max_by("plays", "request").alias("__plays"))
+    return players.join(last, "player_id", "left").withColumn("plays", F.coalesce("__plays", "plays")).select(players.columns)
+
+
+def backfilled_genders(players: DataFrame) -> DataFrame:
+    """Players whose gender is a word of any source as Male or Female; what says neither stays as it is."""
+    return players.withColumn("gender", gender_to_write(F.col("gender"), F.col("gender")))

@@ -471,4 +471,4 @@ def merge_loss(s, d):
 
 
 
-from rallyframe.plans import books, lineups, merges, pages, publishing, pulls, timelines, upkeep  # noqa: E402, F401
+from rallyframe.plans import books, lineups, merges, pages, publishing, pulls, texts, timelines, upkeep  # noqa: E402, F401

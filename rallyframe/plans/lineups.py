@@ -53,10 +53,11 @@ def observed_slots(s, d):
     return lineup.observed_slots(_played(s, d).where("ours IS NOT NULL"))
 
 
-def _plan_slots(s, d, own):
+def _plan_slots(s, d, own=None):
     """Each team's slots: those of its event's format, else those observed."""
     entries, courts = bind.entries(s, d), _courts(s, d)
     formal = entries.join(courts, "event_id").select("team_id", "slot", "discipline", "place")
+    own = _played(s, d).where("ours IS NOT NULL") if own is None else own
     seen = lineup.observed_slots(own).join(formal.select("team_id").distinct(), "team_id", "leftanti")
     return formal.union(seen.select("team_id", "slot", "discipline", "place"))
 

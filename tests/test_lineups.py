@@ -142,3 +142,54 @@ def test_plan_status(spark):
     formats = spark.createDataFrame([(5, None), (6, 0), (7, 3)], "event_id int, courts long")
     got = {r["team_id"]: (r["status"], r["roster_size"], r["observed"], r["excluded_other_team"], r["slot_source"]) for r in lineup.plan_status(entries, roster, rows.where("ours IS NOT NULL"), rows, formats).collect()}
     assert got == {1: ("predicted", 1, 1, 1, "observed"), 2: ("no history", 1, 0, 0, "observed"), 3: ("empty format", 1, 1, 0, "event-format"), 4: ("no roster", 0, 0, 0, "event-format")}
+
+
+def test_lineup_texts(spark):
+    from rallyframe.operators import printed
+
+    predicted = spark.createDataFrame(
+        [(1, "S1", 1, "singles", [10], "history", 1, "low"), (1, "D12345", 2, "doubles", [11, 12], "rating", 0, "low"), (1, "D2", 3, "doubles", [13, 14], "history", 6, "high"), (1, "D3", 4, "doubles", [], "rating", 0, "low"), (2, "S1", 1, "singles", [20], "history", 3, "medium")],
+        "team_id int, slot string, place long, discipline string, player_ids array<long>, basis string, support long, confidence string",
+    )
+    players = spark.createDataFrame([(10, "Jo"), (11, "Ann Lee"), (12, "Bo​X"), (13, "Cy"), (14, "Dee"), (15, "Eve"), (16, "Fay"), (20, "Z")], "player_id long, name string")
+    status = spark.createDataFrame(
+        [(1, 5, "predicted", 7, "registered", "event-format", 1, 2, "The Cup"), (2, 6, "predicted", 1, "season", "observed", 9, 0, "Other"), (3, 6, "no roster", 0, None, "observed", 0, 0, "Other")],
+        "team_id int, event_id int, status string, roster_size long, roster_source string, slot_source string, observed long, excluded_other_team long, event_name string",
+    )
+    unplaced = spark.createDataFrame([(1, 16, 1), (1, 15, 4)], "team_id int, player_id long, court_matches long")
+    ranks = spark.createDataFrame([(1, 10, "wtn_singles", 3.0), (1, 16, "wtn_singles", None), (1, 15, "wtn_singles", None), (2, 20, None, None)], "team_id int, player_id long, source string, value double")
+    sizes = spark.createDataFrame([(1, 7, 9), (2, 0, 1)], "team_id int, registered long, season long")
+    got = {r["team_id"]: r["text"].split("\n") for r in printed.lineup_texts(predicted, spark.createDataFrame([(1, "Aces"), (2, "Bees"), (3, "C")], "team_id int, team_name string"), players, status, unplaced, ranks, sizes).collect()}
+    assert set(got) == {1, 2}
+    assert got[1] == [
+        "PREDICTED LINEUP — Aces", "  This is a guess, not a lineup card. Based on 1 observed court match across a roster of 7.", "",
+        "  S1   Jo       conf: low     1 singles match", "  D12345 Ann Lee  conf: low     placed by rating — no shared history", "       Bo X", "  D2   Cy       conf: high    6 matches together", "       Dee", "  D3   (unfilled — roster exhausted)", "",
+        "  not placed: Eve (4 court matches), Fay (1 court match)", "  ratings: ranked within WTN-S; unrated: Eve, Fay", '  courts: 4, from the format of event "The Cup"', '  roster: registered 7 for event "The Cup" (season roster: 9)', "  excluded: 2 court matches these players played for other teams",
+    ]
+    assert got[2][-3:] == ["  ratings: none on file — every tie fell through to a stable ordering, not to strength", "  courts: 1, from this team's observed match history (not the event format)", "  roster: season roster — no event named"]
+
+
+def test_what_a_group_is_given_is_bounded_by_its_courts(spark):
+    """A large roster: the choice is that of a plain loop over all, and few rows reach it."""
+    import random
+
+    rng = random.Random(12)
+    n = 120
+    slots = [("S1", "singles"), ("D1", "doubles"), ("D2", "doubles")]
+    rank = {p: rng.randint(0, 60) for p in range(n)}
+    rows, match = [], 0
+    for _ in range(2500):
+        match += 1
+        slot = rng.choice(("S1", "D1", "D2", "D9"))
+        for p in rng.sample(range(n), 1 if slot == "S1" else 2):
+            rows.append((match, slot, "singles" if slot == "S1" else "doubles", p, "h", True))
+    own = spark.createDataFrame([(1, *r) for r in rows], "team_id int, match_id long, slot string, discipline string, player_id long, side string, ours boolean")
+    slot_rows = spark.createDataFrame([(1, s, k, i + 1) for i, (s, k) in enumerate(slots)], "team_id int, slot string, discipline string, place long")
+    ranks = spark.createDataFrame([(1, p, r) for p, r in rank.items()], "team_id int, player_id long, rank long")
+    singles, pairs = lineup.own_singles(own), lineup.own_pairs(own)
+    want, _ = plain_prediction(slots, set(rank), rows, rank)
+    got = {r["slot"]: (r["player_ids"], r["basis"], r["support"]) for r in lineup.predicted_lineup(slot_rows, ranks, singles, pairs).collect()}
+    assert got == want
+    kept_ranks, _, kept = lineup._reachable(slot_rows, ranks, singles, pairs)
+    assert kept_ranks.count() < n and kept.count() < pairs.count() / 2
+    assert len(lineup.first_pairs(pairs.groupBy("team_id", "low_id", "high_id").agg({"matches": "sum"}).withColumnRenamed("sum(matches)", "m"), ["team_id"], ["m"], 1).collect()) <= 3
