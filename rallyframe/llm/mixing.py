@@ -132,22 +132,21 @@ def _slots(blocks: DataFrame, members: DataFrame, runs: DataFrame, block_rows: i
     return b.withColumn("inside", inside).join(chunks, "chunk").select("src", "block", "slot", (F.col("slot") * block_rows - lacking).alias("start"))
 
 
-def _dealt(docs: DataFrame, sources: DataFrame, name: Column, columns: list[str], key: str) -> DataFrame:
-    """src, h, tie, bucket and row of every row; copies of a row that would fill a bucket are dealt out."""
+def _dealt(docs: DataFrame, sources: DataFrame, name: Column, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """src, h, tie, bucket and row of every row, and src, bucket and m (rows); copies of a row that would fill a bucket are dealt out."""
     maps = {c for c, kind in docs.dtypes if kind.startswith("map")}
     hashed = [F.map_entries(f"`{c}`") if c in maps else F.col(f"`{c}`") for c in columns]
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     sizes = sources.select("src", F.ceil(F.sqrt("n")).alias("buckets"))
     rows = docs.select(name.alias("src"), F.xxhash64(F.col(key).cast("string"), F.xxhash64(*hashed)).alias("h"), F.xxhash64(*hashed).alias("tie"), row)
     rows = rows.join(sizes, "src").withColumn("bucket", F.pmod("h", "buckets"))
-    full = rows.groupBy("src", "bucket", "buckets").agg(F.count("*").alias("m")).where(F.col("m") > 4 * F.col("buckets") + 1000).select("src", "bucket")
-    full = written(full, "full")
+    sized = written(rows.groupBy("src", "bucket", "buckets").agg(F.count("*").alias("m")), "sized")
+    full = sized.where(F.col("m") > 4 * F.col("buckets") + 1000).select("src", "bucket")
     if full.isEmpty():
-        dropped(full)
-        return rows.drop("buckets")
+        return rows.drop("buckets"), sized.select("src", "bucket", "m")
     often = rows.join(full, ["src", "bucket"], "leftsemi").groupBy("src", "buckets", "h", "tie").agg(F.count("*").alias("m")).where(F.col("m") > F.col("buckets")).select("src", "h", "tie")
     often = written(often, "often")
-    dropped(full)
+    dropped(sized)
     same = [F.map_entries(f"row.`{c}`").alias(f"__rf_{k}") if c in maps else F.col(f"row.`{c}`").alias(f"__rf_{k}") for k, c in enumerate(columns)]
     copies = rows.join(often, ["src", "h", "tie"]).groupBy("src", "buckets", "h", "tie", *same).agg(F.count("*").alias("m"))
     back = [(F.map_from_entries(f"__rf_{k}") if c in maps else F.col(f"__rf_{k}")).alias(c) for k, c in enumerate(columns)]
@@ -156,7 +155,8 @@ def _dealt(docs: DataFrame, sources: DataFrame, name: Column, columns: list[str]
     parts = parts.withColumn("mine", F.least(F.col("buckets"), F.col("m") - F.col("part") * F.col("buckets"))).withColumn("bucket", F.pmod(F.xxhash64("h", "part"), F.col("buckets")))
     parts = parts.repartition("src", "bucket").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mine"))))
     others = rows.join(often, ["src", "h", "tie"], "leftanti")
-    return others.select("src", "h", "tie", "bucket", "row").union(parts.select("src", "h", "tie", "bucket", F.struct(*back).alias("row")))
+    dealt = others.select("src", "h", "tie", "bucket", "row").union(parts.select("src", "h", "tie", "bucket", F.struct(*back).alias("row")))
+    return dealt, dealt.groupBy("src", "bucket").agg(F.count("*").alias("m"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weight: int = DEFAULT_WEIGHT, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -173,9 +173,9 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] = WEIGHTS, default_weig
     runs = written(_runs(members), "runs")
 
     columns = [c for c in docs.columns if c.lower() not in ("mix_block", "mix_slot", "mix_position")]
-    rows = _dealt(docs, sources, name, columns, key)
+    rows, sized = _dealt(docs, sources, name, columns, key)
     before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counted = written(rows.groupBy("src", "bucket").agg(F.count("*").alias("m")).select("src", "bucket", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset")), "counted")
+    counted = written(sized.select("src", "bucket", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset")), "counted")
     touched = F.sequence(_div(F.col("offset"), F.lit(block_rows)), _div(F.col("offset") + F.col("m") - 1, F.lit(block_rows)))
     blocks = counted.select("src", "bucket", "offset", F.explode(touched).alias("block"))
     placed = blocks.join(_slots(blocks, members, runs, block_rows), ["src", "block"])

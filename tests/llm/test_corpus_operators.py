@@ -87,8 +87,9 @@ def test_copies_of_one_row_do_not_fill_a_bucket(spark):
     n = 30_000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.create_map(F.lit("k"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))).alias("m"))
     sources = spark.createDataFrame([("sa", n)], "src string, n long")
-    dealt = mixing._dealt(df, sources, F.concat(F.lit("s"), "source"), df.columns, "doc_id")
+    dealt, sized = mixing._dealt(df, sources, F.concat(F.lit("s"), "source"), df.columns, "doc_id")
     sizes = [r["count"] for r in dealt.groupBy("src", "bucket").count().collect()]
+    assert sorted(r["m"] for r in sized.collect()) == sorted(sizes)
     assert sum(sizes) == n and max(sizes) < 2000  # without dealing one bucket has 10000
     got = mixing.mix_sources(df)
     assert got.select("mix_position").distinct().count() == n and got.agg(F.max("mix_position")).first()[0] == n - 1
@@ -601,3 +602,37 @@ def test_pipeline_stages_equal_brute_force(spark):
         else:
             assert sorted(r["mix_position"] for r in after.collect()) == list(range(len(kept)))
         now = after
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def pipeline_dir(spark, tmp_path, rows, schema=DOCUMENTS):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_the_pipeline_runs_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, pipeline_dir(spark, tmp_path, []))
+    assert out.count() == 0 and {"doc_id", "text", "lang", "source", "n_chars", "mix_position"} <= set(out.columns)
+
+
+def test_the_pipeline_as_a_whole_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(*r, "kept", r["doc_id"], "x") for r in docs if len((r["text"] or "").split()) > 20]
+    first = rows[0]
+    rows += [(9001, first[1] + " and one more", first[2], "new", 1, "kept", 9001, "x"), (9002, first[1].split(".")[0] + " quite other words " + item, "en", "new", 1, "kept", 9002, "x"), (None, None, None, None, None, "kept", 0, "x"), (9003, "   ", "en", "new", 1, "kept", 9003, "x")]
+    path = pipeline_dir(spark, tmp_path, rows, DOCUMENTS + ", mix_slot string, component_id long, kept string")
+    got = corpus_pipeline.run(spark, path).collect()
+    ids = {r["doc_id"] for r in got}
+    assert sorted(r["mix_position"] for r in got) == list(range(len(got))) and len(got) > len(rows) / 3
+    assert not ids & {9001, 9002, 9003, None}  # a near copy, a leak, texts without a letter
+    assert first[0] in ids or first[0] not in {r[0] for r in rows}
+    for r in got:
+        assert r["n_chars"] == len(r["text"]) and r["kept"] == "x" and r["component_id"] == r["doc_id"]
