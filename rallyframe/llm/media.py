@@ -7,8 +7,8 @@ a task opens an archive's directory, takes the members whose headers begin in it
 streams their payloads in Arrow batches of bounded size. Each member is read on its own by its
 offset and retried on its own; one that stays unreadable gives a row with ``error`` set and no media.
 
-A payload is the text in UTF-8 (null: empty) and bytes 0 up to a positive multiple of 64. Equal
-texts give equal media. Repeated rows and rows with a null id are kept as they are. An empty table
+A payload is the text in UTF-8 (null: empty) and bytes 0 up to a positive multiple of 64. A very long text is
+one member, which its task holds whole. Equal texts give equal media. Repeated rows and rows with a null id are kept as they are. An empty table
 gives no rows. Extra columns are ignored.
 """
 

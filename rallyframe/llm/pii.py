@@ -15,8 +15,9 @@ Added kinds: url (scheme with a host, up to white space or a quote), secret (a c
 ``token``, ``=`` or ``:``, and a value of 16 or more identifier characters), iban (two capitals, two
 digits and 11 to 30 capitals or digits that pass the mod-97 test).
 
-Null texts count as empty and have no items. Every whole text is read; extra columns are kept or
-ignored as told. An empty table gives no rows.
+Null texts count as empty and have no items. Every whole text is read, a very long one as one string of one
+task. A null doc_id stays null, and each of several rows of one doc_id has its own row, in order of nothing.
+Extra columns are kept or ignored as told. An empty table gives no rows.
 """
 
 from __future__ import annotations
