@@ -122,3 +122,13 @@ def publication_check(pages: DataFrame, stand_ins: list[str], vocabulary: DataFr
     first = every.groupBy("page_id").agg(F.min("stage").alias("stage"))
     names = F.array(*map(F.lit, ("credential", "vocabulary", "class", "forbidden", "shown")))
     return every.join(first, ["page_id", "stage"]).select("page_id", F.element_at(names, F.col("stage")).alias("stage"), "detail")
+
+
+def captured(pages: DataFrame, substitutions: dict[str, str], note: str) -> DataFrame:
+    """Pages (page_id, url, html, fetched_at, http_status) as fixtures: html and source_url redacted, with what is known of where they come from.
+
+    A fixture is published only if ``publication_check`` has no row for it. Null pages are no fixtures.
+    """
+    made = pages.where("html IS NOT NULL").withColumn("bytes_before", F.octet_length("html"))
+    made = redact.redacted(redact.redacted(made, substitutions), substitutions, column="url")
+    return made.select("page_id", "html", F.col("url").alias("source_url"), "fetched_at", "http_status", F.lit(True).alias("redacted"), "bytes_before", F.octet_length("html").alias("bytes_after"), F.lit(note).alias("note"))

@@ -197,3 +197,15 @@ def unlisted_identities(s, d):
     said = F.when(k % 3 == 0, F.concat(F.lit("<a href='?a=1&amp;playername=jo+day%20"), k.cast("string"), F.lit("'>x</a>"))).when(k % 3 == 1, "<a href=\"?playername=AVERY%20kestrel\">x</a>").otherwise("<a href=\"?tennis-id=B7\">x</a>")
     pages = bind.read(s, d, "pages").select("page_id", said.alias("html"))
     return redact.unlisted(pages, pages.sparkSession.range(1).select(F.lit("Avery Kestrel").alias("value")))
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, url, html, regexp_replace(regexp_replace({_STRIPPED}, 'EXAMPLE\.NET', 'CLUB.INVALID', 'g'), '(?i)example\.net', 'club.invalid', 'g') AS made FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(url, 'EXAMPLE\.NET', 'CLUB.INVALID', 'g'), '(?i)example\.net', 'club.invalid', 'g') AS source_url, CAST(200 + page_id % 2 AS INTEGER) AS http_status, true AS redacted, CAST(strlen(html) AS INTEGER) AS bytes_before, CAST(strlen(made) AS INTEGER) AS bytes_after, 'from the tables' AS note, md5(made) AS digest FROM p""",
+    base=False,
+)
+def captures(s, d):
+    """Fixtures made of the pages: redacted page and address, and their provenance."""
+    pages = bind.read(s, d, "pages").withColumn("fetched_at", F.lit("2026-05-01")).withColumn("http_status", (200 + F.col("page_id") % 2).cast("int"))
+    made = publication.captured(pages, VALUES, "from the tables")
+    return made.select("page_id", "source_url", "http_status", "redacted", "bytes_before", "bytes_after", "note", F.md5("html").alias("digest"))
