@@ -116,3 +116,15 @@ def roster_line(scope: Column, event: Column, registered: Column, season: Column
     named = F.concat(F.lit('event "'), safe(F.coalesce(event, F.lit(""))), F.lit('"'))
     of_season = F.when(event.isNull(), "season roster — no event named").otherwise(F.concat(F.lit("season roster ("), named, F.lit(") — no registered members")))
     return F.when(scope == "registered", F.concat(F.lit("registered "), registered.cast("string"), F.lit(" for "), named, F.lit(" (season roster: "), season.cast("string"), F.lit(")"))).otherwise(of_season)
+
+
+def slots_line(entries: Column) -> Column:
+    """``S1×3, D2×1`` from an array of (slot, matches) in its order."""
+    one = lambda e: F.concat(e["slot"], F.lit("×"), e["matches"].cast("string"))
+    return F.when(F.coalesce(F.size(entries), F.lit(0)) < 1, "none").otherwise(F.array_join(F.transform(entries, one), ", "))
+
+
+def partners_line(entries: Column) -> Column:
+    """``Jo Day ×3, Al Ko ×1`` from an array of (name, matches) in its order."""
+    one = lambda e: F.concat(safe(e["name"]), F.lit(" ×"), e["matches"].cast("string"))
+    return F.when(F.coalesce(F.size(entries), F.lit(0)) < 1, "none").otherwise(F.array_join(F.transform(entries, one), ", "))

@@ -76,3 +76,29 @@ def directory_names(s, d):
     k = F.col("c_custkey")
     name = F.concat(F.lit("Customer #"), F.lpad((k % 97).cast("string"), 2, "0"), F.when(k % 2 == 0, "!").otherwise(" ?"))
     return dossier.directory_names(bind.read(s, d, "customer").select(k.alias("team_id"), name.alias("team_name")))
+
+
+_FACTS = f""", w AS (SELECT player_id, discipline, count(CASE WHEN winner_side = side THEN 1 END) AS w, count(CASE WHEN winner_side <> side THEN 1 END) AS l, count(CASE WHEN winner_side IS NULL THEN 1 END) AS u FROM match_players WHERE played_on >= {catalog._SINCE} GROUP BY 1, 2),
+said AS (SELECT player_id, discipline, w || '-' || l || CASE WHEN u > 0 THEN ' (' || u || ' undecided)' ELSE '' END AS t FROM w),
+sl AS (SELECT player_id, string_agg(slot || '×' || n, ', ' ORDER BY n DESC, slot) AS t FROM (SELECT player_id, slot, count(*) AS n FROM match_players WHERE played_on >= {catalog._SINCE} GROUP BY 1, 2) x GROUP BY 1),
+d AS (SELECT match_id, side, player_id FROM match_players WHERE discipline = 'doubles' AND played_on >= {catalog._SINCE}),
+pa AS (SELECT x.player_id, string_agg(q.name || ' ×' || n, ', ' ORDER BY n DESC, x.partner) AS t FROM (SELECT a.player_id, b.player_id AS partner, count(*) AS n FROM d a JOIN d b ON a.match_id = b.match_id AND a.side = b.side AND a.player_id <> b.player_id GROUP BY 1, 2) x JOIN players q ON q.player_id = x.partner GROUP BY 1),
+facts AS (SELECT p.player_id, p.name, coalesce(s.t, '0-0') AS singles, coalesce(b.t, '0-0') AS doubles, coalesce(l.t, 'none') AS slots, coalesce(a.t, 'none') AS partners FROM players p LEFT JOIN said s ON s.player_id = p.player_id AND s.discipline = 'singles'
+  LEFT JOIN said b ON b.player_id = p.player_id AND b.discipline = 'doubles' LEFT JOIN sl l ON l.player_id = p.player_id LEFT JOIN pa a ON a.player_id = p.player_id)"""
+
+
+def _facts(s, d):
+    rows = records.rows_within(bind.match_players(s, d), catalog._since())
+    return dossier.player_facts(bind.players(s, d), records.windowed_record(rows), records.slot_tendencies(rows), records.partner_frequency(rows))
+
+
+@query(f"""{_FACTS} SELECT player_id, '### ' || name || chr(10) || chr(10) || '**Record (12 months):** singles ' || singles || ', doubles ' || doubles || chr(10) || chr(10) || '**Court-slot tendencies:** ' || slots || chr(10) || chr(10) || '**Partner frequency:** ' || partners AS text FROM facts""")
+def player_write_ups(s, d):
+    """Each player's write-up in Markdown, over the window."""
+    return dossier.player_blocks(_facts(s, d), "12 months")
+
+
+@query(f"""{_FACTS} SELECT player_id, '<article>' || chr(10) || '<h3>' || name || '</h3>' || chr(10) || '<p>Record (12 months): singles ' || singles || ', doubles ' || doubles || '</p>' || chr(10) || '<p>Court slots: ' || slots || '</p>' || chr(10) || '<p>Partners: ' || partners || '</p>' || chr(10) || '</article>' AS text FROM facts""")
+def player_write_up_pages(s, d):
+    """The same as parts of a page."""
+    return dossier.player_articles(_facts(s, d), "12 months")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions.keys import slug
-from rallyframe.functions.phrases import escape_html, safe
+from rallyframe.functions.phrases import escape_html, partners_line, record, safe, slots_line
 from rallyframe.sources import dossier_sink
 
 
@@ -91,6 +91,42 @@ def html(teams: DataFrame, team_records: DataFrame, rosters: DataFrame, records:
     return t.select("team_id", F.concat(head, rows, F.lit("\n</table>\n"), *more).alias("text"))
 
 
+def player_facts(players: DataFrame, windowed: DataFrame, slots: DataFrame, partners: DataFrame) -> DataFrame:
+    """player_id, name and the lines of its write-up: singles and doubles (records), slots and partners.
+
+    ``windowed``: player_id, discipline, wins, losses, undecided; ``slots``: player_id, slot, matches; ``partners``: player_id,
+    partner_id, matches. What is gathered for a player is what its own write-up prints.
+    """
+    said = {}
+    for kind in ("singles", "doubles"):
+        sums = [F.coalesce(F.sum(F.when(F.col("discipline") == kind, F.col(c))), F.lit(0)) for c in ("wins", "losses", "undecided")]
+        said[kind] = record(*sums).alias(kind)
+    records = windowed.groupBy("player_id").agg(*said.values())
+    by_count = F.array_sort(F.collect_list(F.struct((-F.col("matches")).alias("k"), F.col("slot").alias("t"), "slot", "matches")))
+    tended = slots.groupBy("player_id").agg(slots_line(by_count).alias("slots"))
+    names = players.select(F.col("player_id").alias("partner_id"), "name")
+    met = F.array_sort(F.collect_list(F.struct((-F.col("matches")).alias("k"), "partner_id", "name", "matches")))
+    stood = partners.join(names, "partner_id").groupBy("player_id").agg(partners_line(met).alias("partners"))
+    out = players.select("player_id", "name").join(records, "player_id", "left").join(tended, "player_id", "left").join(stood, "player_id", "left")
+    return out.fillna("0-0", ["singles", "doubles"]).fillna("none", ["slots", "partners"])
+
+
+def player_blocks(facts: DataFrame, window: str) -> DataFrame:
+    """player_id and its write-up in Markdown."""
+    text = F.concat(
+        F.lit("### "), escape_cell(safe(F.col("name"))), F.lit(f"\n\n**Record ({window}):** singles "), "singles", F.lit(", doubles "), "doubles", F.lit("\n\n**Court-slot tendencies:** "), "slots", F.lit("\n\n**Partner frequency:** "), escape_cell(F.col("partners"))
+    )
+    return facts.select("player_id", text.alias("text"))
+
+
+def player_articles(facts: DataFrame, window: str) -> DataFrame:
+    """player_id and its write-up as a part of a page; every text from the data is escaped."""
+    text = F.concat(
+        F.lit("<article>\n<h3>"), escape_html(safe(F.col("name"))), F.lit(f"</h3>\n<p>Record ({window}): singles "), "singles", F.lit(", doubles "), "doubles", F.lit("</p>\n<p>Court slots: "), escape_html(F.col("slots")), F.lit("</p>\n<p>Partners: "), escape_html(F.col("partners")), F.lit("</p>\n</article>")
+    )
+    return facts.select("player_id", text.alias("text"))
+
+
 def list_section(rows: DataFrame, order: list[str], line: Column) -> DataFrame:
     """team_id and text: one line for each row of a team, in order."""
     return rows.groupBy("team_id").agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("__line")))).alias("l")).select("team_id", F.array_join(F.transform("l", lambda x: x["__line"]), "\n").alias("text"))
