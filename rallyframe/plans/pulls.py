@@ -1,7 +1,7 @@
 """Queries of what is written as a whole: scorecards, pulls of teams and players, saved profiles, with their SQL.
 
-Each binds a state and what comes in to the test tables, commits to a store in the shared folder and reads the
-new state back.
+A state and what comes in are bound to the test tables and committed to a store in the shared folder; each query
+reads one table of the new state. Queries of one application share a store, as readers of one state do.
 """
 
 from __future__ import annotations
@@ -46,11 +46,27 @@ def _card_parts(s, d):
     return state, cards, card_courts, sat, bind.events(s, d).select("event_name", "event_id")
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _once(s, d, name, make):
+    """The store that ``make`` filled for these tables; within an application it is made once, and again if its folder is gone."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key in _made and Store(s, _made[key]).version():
+        return Store(s, _made[key])
+    store = Store(s, shared_folder(s, name))
+    make(store)
+    _made[key] = store.path
+    return store
+
+
 def _cards_written(s, d):
-    state, cards, courts, seats, events = _card_parts(s, d)
-    store = Store(s, shared_folder(s, "cards"))
-    store.commit(state)
-    return store, card_ops.ingest_cards(store, cards, courts, seats, events)
+    def make(store):
+        state, cards, courts, seats, events = _card_parts(s, d)
+        store.commit(state)
+        store.commit({"outcomes": card_ops.ingest_cards(store, cards, courts, seats, events)})
+
+    return _once(s, d, "cards", make)
 
 
 _CARDS = f"""{_FIXTURES}, even AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY played_on, low, high ORDER BY match_id) AS k FROM keyed WHERE match_id % 2 = 0 AND played_on IS NOT NULL) x WHERE k = 1),
@@ -70,31 +86,35 @@ card_courts AS (SELECT t.target AS match_id, t.card, c.slot, c.discipline, c.win
 @query(f"{_CARDS} SELECT o.card, o.outcome, t.target AS match_id FROM outcomes o LEFT JOIN taken t ON t.card = o.card")
 def card_ingest_outcomes(s, d):
     """What became of each card, and the team match it was written to."""
-    return _cards_written(s, d)[1].select("card", "outcome", "match_id")
+    return _cards_written(s, d).read("outcomes").select("card", "outcome", "match_id")
 
 
 @query(f"""{_CARDS} SELECT k.match_id, coalesce(k.event_id, t.told) AS event_id, k.home_team_id, k.visiting_team_id, k.played_on, coalesce(k.scheduled_time, t.scheduled_time) AS scheduled_time, coalesce(k.site, t.site) AS site, k.home_courts_won
 FROM odd k LEFT JOIN taken t ON t.parent = k.match_id UNION ALL SELECT card, told, home_team_id, visiting_team_id, played_on, scheduled_time, site, NULL FROM taken WHERE parent IS NULL""")
 def card_ingest_matches(s, d):
     """The team matches after all cards are written: found ones keep what they have and get what they lack."""
-    return _cards_written(s, d)[0].read("team_matches").select("match_id", "event_id", "home_team_id", "visiting_team_id", "played_on", "scheduled_time", "site", "home_courts_won")
+    return _cards_written(s, d).read("team_matches").select("match_id", "event_id", "home_team_id", "visiting_team_id", "played_on", "scheduled_time", "site", "home_courts_won")
 
 
 @query(f"""{_CARDS} SELECT c.match_id, c.slot, c.discipline, c.winner_side, CAST(NULL AS VARCHAR) AS score, c.played_on FROM court_matches c WHERE c.match_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM card_courts x WHERE x.match_id = c.match_id AND x.slot = c.slot)
 UNION ALL SELECT match_id, slot, discipline, winner_side, score, played_on FROM card_courts""")
 def card_ingest_courts(s, d):
     """The courts after all cards are written: named ones are replaced, others stay."""
-    return _cards_written(s, d)[0].read("courts")
+    return _cards_written(s, d).read("courts")
 
 
 @query(f"""{_CARDS} SELECT m.match_id, m.slot, m.player_id, m.side FROM match_players m WHERE m.match_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM card_courts x WHERE x.match_id = m.match_id AND x.slot = m.slot)
 UNION ALL SELECT t.target, m.slot, m.player_id, m.side FROM taken t JOIN match_players m ON m.match_id = t.card""")
 def card_ingest_players(s, d):
     """Who stands on the courts after all cards are written: a replaced court has the card's players only."""
-    return _cards_written(s, d)[0].read("court_players")
+    return _cards_written(s, d).read("court_players")
 
 
 def _pulled(s, d):
+    return _once(s, d, "pulls", lambda store: _pull_all(s, d, store))
+
+
+def _pull_all(s, d, store):
     """State: season and event members, the odd matches by source id; each team is pulled once, with faults by number."""
     t, k = F.col("team_id"), F.col("match_id")
     day = lambda x: F.date_add(F.lit(bind.FIRST_DAY).cast("date"), x.cast("int"))
@@ -111,11 +131,9 @@ def _pulled(s, d):
     schedule = m.where("match_id % 3 <> 0 AND match_id % 4 = 1").select(
         F.col("home_team_id").alias("team_id"), source(4).alias("source_match_id"), F.col("visiting_team_id").cast("string").alias("opponent"), F.lit("matched").alias("outcome"), F.col("visiting_team_id").alias("opponent_id"), "played_on", result.alias("result"), k.alias("seen"),
     )
-    store = Store(s, shared_folder(s, "pulls"))
     base = store.commit(state)
     after, said = pull.team_pulls(store.tables(base), snapshots, roster, schedule)
     store.commit({**after, "outcomes": said}, base)
-    return store
 
 
 _PULLS = f""", held AS (SELECT n_nationkey AS team_id, n_name AS team_name, CASE WHEN n_nationkey % 6 <> 0 THEN DATE '{bind.FIRST_DAY}' + n_nationkey % 5 END AS roster_observed_at, CASE WHEN n_nationkey % 6 <> 0 THEN 'u' || n_nationkey END AS roster_observed_url,
