@@ -67,6 +67,29 @@ def league_scope(text: Column) -> Column:
     return F.struct(F.when(error.isNull(), mode).alias("mode"), F.when(error.isNull(), prefixes).alias("prefixes"), error.alias("error"))
 
 
+def league_scope_text(mode: Column, prefixes: Column) -> Column:
+    """The written form of a scope, which ``league_scope`` reads back."""
+    return F.concat(mode, F.lit(":"), F.array_join(prefixes, ","))
+
+
+def stored_scope(raw: Column) -> Column:
+    """A stored scope, ``{"mode": "exclude", "prefixes": ["Mixed"]}``, as struct(mode, prefixes, error); a null is no scope and no error.
+
+    Nothing is repaired: text that is no JSON, an object with other or further members, a member of another
+    type, and prefixes that the written form could not have given are errors.
+    """
+    v = F.try_parse_json(raw)
+    kind = F.schema_of_variant(v)
+    typed = kind == "OBJECT<mode: STRING, prefixes: ARRAY<STRING>>"
+    mode, prefixes = F.try_variant_get(v, "$.mode", "string"), F.when(typed, F.try_variant_get(v, "$.prefixes", "array<string>"))
+    again = league_scope(league_scope_text(mode, prefixes))
+    same = (again.getField("mode") == mode) & (again.getField("prefixes") == prefixes)
+    error = F.when(v.isNull(), "not JSON").when(~typed, "malformed").when(~mode.isin("exclude", "only"), "malformed").when(F.exists(prefixes, lambda p: p == ""), "malformed").when(again.getField("error") == "prefix given twice", "prefix given twice").when(~F.coalesce(same, F.lit(False)), "not canonical")
+    error = F.when(raw.isNotNull(), error)
+    fine = raw.isNotNull() & error.isNull()
+    return F.struct(F.when(fine, mode).alias("mode"), F.when(fine, prefixes).alias("prefixes"), error.alias("error"))
+
+
 def league_scope_label(mode: Column, prefixes: Column) -> Column:
     quoted = F.array_join(F.transform(prefixes, lambda p: F.concat(F.lit('"'), p, F.lit('"'))), " or ")
     return F.concat(F.when(mode == "exclude", "excluding").otherwise("only"), F.lit(" league contexts starting with "), quoted)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rallyframe.functions import grammar
 from rallyframe.operators import lineup, printed, upkeep
 from rallyframe.plans import bind, lineups
 from rallyframe.plans.registry import query
@@ -80,3 +81,27 @@ def lineup_texts(s, d):
     current = bind.memberships(s, d).where("NOT retired")
     sizes = current.groupBy("team_id").agg(F.count("event_id").alias("registered"), F.count(F.when(F.col("event_id").isNull(), 1)).alias("season"))
     return printed.lineup_texts(predicted, bind.teams(s, d), bind.players(s, d), status, unplaced, lineups._ranks(s, d), sizes)
+
+
+_SCOPES = (
+    '{"mode":"exclude","prefixes":["§"]}', '{"prefixes": ["§", "Tri"], "mode": "only"}', '{"mode":"exclude","prefixes":["§","§ "]}', '{"mode":"exclude","prefixes":["§"],"x":1}', '{"mode":"none","prefixes":["§"]}', '{"mode":"only","prefixes":[]}', '{"mode":"only","prefixes":[7]}',
+    '{"mode":"only","prefixes":["§","x§"', '["§"]', '{"mode":"only","prefixes":["a,§"]}', '{"mode":"only","prefixes":[" §"]}', '{"mode":"only","prefixes":["§",""]}', None,
+)
+_RAW = "CASE o_orderkey % 13 " + " ".join(f"WHEN {k} THEN replace('{t}', '§', coalesce(c_mktsegment, 'none'))" for k, t in enumerate(_SCOPES) if t) + " END"
+
+
+@query(
+    f"""WITH r AS (SELECT o_orderkey, o_orderkey % 13 AS k, {_RAW} AS raw FROM orders LEFT JOIN customer ON c_custkey = o_custkey),
+j AS (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM r),
+t AS (SELECT *, j IS NOT NULL AND json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = ['mode', 'prefixes'] AND json_type(j, '$.mode') = 'VARCHAR' AND json_type(j, '$.prefixes') = 'ARRAY' AND json_array_length(j, '$.prefixes') > 0 AND list_distinct(json_type(j, '$.prefixes[*]')) = ['VARCHAR'] AS typed FROM j),
+p AS (SELECT *, CASE WHEN typed THEN json_extract_string(j, '$.mode') END AS mode, CASE WHEN typed THEN json_extract_string(j, '$.prefixes[*]') END AS prefixes FROM t),
+e AS (SELECT *, CASE WHEN raw IS NULL THEN NULL WHEN j IS NULL THEN 'not JSON' WHEN NOT typed OR mode NOT IN ('exclude', 'only') OR list_contains(prefixes, '') THEN 'malformed'
+  WHEN len(list_distinct([lower(trim(x)) FOR x IN prefixes])) < len(prefixes) THEN 'prefix given twice' WHEN len([x FOR x IN prefixes IF x <> trim(x) OR contains(x, ',')]) > 0 THEN 'not canonical' END AS error FROM p)
+SELECT o_orderkey, error, CASE WHEN error IS NULL THEN mode END AS mode, CASE WHEN error IS NULL THEN array_to_string(prefixes, '|') END AS prefixes FROM e""",
+    base=False,
+)
+def stored_scopes(s, d):
+    """Stored league scopes: read, or refused for what is wrong with them."""
+    o = bind.read(s, d, "orders").join(bind.read(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    stored = grammar.stored_scope(F.col("raw"))
+    return o.select("o_orderkey", F.expr(_RAW).alias("raw")).select("o_orderkey", stored.alias("s")).select("o_orderkey", "s.error", "s.mode", F.array_join("s.prefixes", "|").alias("prefixes"))
