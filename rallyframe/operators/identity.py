@@ -34,24 +34,38 @@ def _by_source_ids(wanted: DataFrame, stored: DataFrame, sources: list[str]) ->
     """request and the stored id that the first source with any hit gives (the smallest, if it has several)."""
     hits = None
     for place, c in enumerate(sources):
-        found = wanted.where(F.col(c).isNotNull()).select("request", c).join(stored.select(c, "id"), c).select("request", F.lit(place).alias("place"), "id")
+        found = wanted.where(F.col(c).isNotNull()).select("request", c).join(stored.groupBy(c).agg(F.min("id").alias("id")), c).select("request", F.lit(place).alias("place"), "id")
         hits = found if hits is None else hits.union(found)
     return hits.groupBy("request").agg(F.min(F.struct("place", "id")).alias("m")).select("request", F.col("m.id").alias("source_id"))
 
 
+def _exact_id(wanted: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """request, exact (0, 1, or 2 for several ids) and the smallest id of the known names that ``wanted`` has.
+
+    Ids are gathered by name before requests meet them: a name that many share costs each request one row.
+    """
+    ids = known.groupBy(*on).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    met = wanted.select("request", *on).join(ids, on).groupBy("request").agg(F.min("low").alias("id"), F.max("high").alias("high"))
+    return met.select("request", F.when(F.col("high").isNull(), 0).when(F.col("high") == F.col("id"), 1).otherwise(2).alias("exact"), "id")
+
+
 def player_ladder(wanted: DataFrame, stored: DataFrame, aliases: DataFrame, sources: list[str]) -> DataFrame:
     """request, tier, outcome (matched, ambiguous, created) and id.
 
     ``wanted``: request, key and the columns ``sources``; ``stored``: id, key and those columns. Source ids
     decide in order, before any name; then exact keys of names and aliases: one id is a match, several
-    are ambiguous; then any near canonical name makes it ambiguous; else a player is created.
+    are ambiguous; then any near canonical name makes it ambiguous; else a player is created. Near names are
+    looked for only where neither decides.
     """
     by_id = _by_source_ids(wanted, stored, sources)
-    exact = exact_ids(wanted.select("request", "key"), stored, aliases).groupBy("request").agg(F.count_distinct("id").alias("exact"), F.min("id").alias("id"))
-    out = wanted.select("request", "key").join(by_id, "request", "left").join(exact, "request", "left").join(_near_counts(wanted, stored), "key", "left")
-    there, n, near = F.col("source_id").isNotNull(), F.coalesce("exact", F.lit(0)), F.coalesce("near", F.lit(0)) > 0
-    tier = F.when(there, "source-id").when(n > 0, "name").when(near, "near").otherwise("none")
-    outcome = F.when(there | (n == 1), "matched").when((n > 1) | near, "ambiguous").otherwise("created")
+    exact = _exact_id(wanted, stored.select("key", "id").union(aliases.select("key", "id")), ["key"])
+    asked = wanted.select("request", "key").join(by_id, "request", "left").join(exact, "request", "left")
+    there, n = F.col("source_id").isNotNull(), F.coalesce("exact", F.lit(0))
+    near = _near_counts(asked.where(~there & (n == 0)), stored).select("key", F.lit(True).alias("near"))
+    out = asked.join(near, "key", "left")
+    close = F.coalesce("near", F.lit(False))
+    tier = F.when(there, "source-id").when(n > 0, "name").when(close, "near").otherwise("none")
+    outcome = F.when(there | (n == 1), "matched").when((n > 1) | close, "ambiguous").otherwise("created")
     return out.select("request", tier.alias("tier"), outcome.alias("outcome"), F.when(there, F.col("source_id")).when(n == 1, F.col("id")).alias("id"))
 
 
@@ -67,20 +81,20 @@ def team_ladder(wanted: DataFrame, teams: DataFrame) -> DataFrame:
 def roster_ladder(wanted: DataFrame, stored: DataFrame, aliases: DataFrame, members: DataFrame, radius: int = 2) -> DataFrame:
     """request, outcome (matched, ambiguous, unresolved) and id, looking at the current members of the request's team only.
 
-    ``members``: team_id, player_id. The roster bounds the near search: keys are compared within a team.
+    ``members``: team_id, player_id. The roster bounds the near search: keys are compared within a team, each once,
+    and only with those that no exact key decides.
     """
     ours = members.select("team_id", F.col("player_id").alias("id")).distinct()
     names = stored.select("key", "id").join(ours, "id")
-    known = names.select("team_id", "key", "id").union(aliases.select("key", "id").join(ours, "id").select("team_id", "key", "id")).distinct()
-    asked = wanted.select("request", "team_id", "key")
-    exact = asked.join(known, ["team_id", "key"]).groupBy("request").agg(F.count_distinct("id").alias("exact"), F.min("id").alias("id"))
+    known = names.select("team_id", "key", "id").union(aliases.select("key", "id").join(ours, "id").select("team_id", "key", "id"))
+    wanted = wanted.select("request", "team_id", "key")
+    asked = wanted.join(_exact_id(wanted, known, ["team_id", "key"]), "request", "left")
+    k = F.coalesce("exact", F.lit(0))
     # One hash join on the team and the length of the key within its band.
     n = F.char_length("key")
-    bands = asked.select("team_id", "key").distinct().withColumn("length", F.explode(F.sequence(F.greatest(n - radius, F.lit(0)), n + radius)))
-    close = bands.join(names.select("team_id", F.col("key").alias("other"), n.alias("length")), ["team_id", "length"]).where(F.levenshtein("key", "other", radius).between(1, radius))
-    near = close.groupBy("team_id", "key").agg(F.count("*").alias("near"))
-    out = asked.join(exact, "request", "left").join(near, ["team_id", "key"], "left")
-    k = F.coalesce("exact", F.lit(0))
+    bands = asked.where(k == 0).select("team_id", "key").distinct().withColumn("length", F.explode(F.sequence(F.greatest(n - radius, F.lit(0)), n + radius)))
+    close = bands.join(names.select("team_id", F.col("key").alias("other"), n.alias("length")).distinct(), ["team_id", "length"]).where(F.levenshtein("key", "other", radius).between(1, radius))
+    out = asked.join(close.select("team_id", "key", F.lit(True).alias("near")).distinct(), ["team_id", "key"], "left")
     outcome = F.when(k == 1, "matched").when((k > 1) | F.col("near").isNotNull(), "ambiguous").otherwise("unresolved")
     return out.select("request", outcome.alias("outcome"), F.when(k == 1, F.col("id")).alias("id"))
 

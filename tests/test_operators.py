@@ -241,3 +241,25 @@ def test_balanced_is_the_brute_force_minimum_and_equal_ways_merge(spark):
     mine = [r["strength"] for r in rows if "balanced" in r["strategies"] and r["discipline"] == "doubles"]
     assert abs(mine[0] - mine[1]) == pytest.approx(best)
     assert {s for r in rows for s in r["strategies"].split(",")} == {"strength-first", "history-first", "balanced"}
+
+
+def test_ladders_take_names_that_many_share_once_for_each_request(spark):
+    """A name with 3000 ids asked for by 3000 requests makes no row for each of their pairs."""
+    stored = spark.range(3000).selectExpr("id", "'same name' AS key", "concat('u', id) AS a", "1 AS team_id")
+    wanted = spark.range(3000).selectExpr("id AS request", "'same name' AS key", "CASE WHEN id % 10 = 0 THEN concat('u', id) END AS a", "1 AS team_id")
+    aliases, members = stored.select("key", "id").limit(0), stored.selectExpr("team_id", "id AS player_id")
+    for got in (identity.player_ladder(wanted, stored, aliases, ["a"]), identity.roster_ladder(wanted, stored, aliases, members)):
+        assert {(r["outcome"], r["n"]) for r in got.groupBy("outcome").agg(F.count("*").alias("n")).collect()} <= {("matched", 300), ("ambiguous", 2700), ("ambiguous", 3000)}
+    one = identity._exact_id(wanted, stored.select("key", "id"), ["key"])
+    assert one.where("exact = 2 AND id = 0").count() == 3000
+
+
+def test_player_ladder_looks_for_near_names_only_where_nothing_decides(spark, monkeypatch):
+    asked = {}
+    near = identity._near_counts
+    monkeypatch.setattr(identity, "_near_counts", lambda wanted, known: asked.update(keys=[r["key"] for r in wanted.where("key IS NOT NULL").select("key").collect()]) or near(wanted, known))
+    stored = spark.createDataFrame([(1, "jo day", "x"), (2, "jo may", None), (3, "al", None)], "id long, key string, a string")
+    wanted = spark.createDataFrame([(1, "jo ray", "x"), (2, "jo may", None), (3, "jo dax", None), (4, None, None)], "request long, key string, a string")
+    got = {r["request"]: (r["tier"], r["outcome"], r["id"]) for r in identity.player_ladder(wanted, stored, stored.select("key", "id").limit(0), ["a"]).collect()}
+    assert got == {1: ("source-id", "matched", 1), 2: ("name", "matched", 2), 3: ("near", "ambiguous", None), 4: ("none", "created", None)}
+    assert asked["keys"] == ["jo dax"]
