@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from rallyframe.functions import markup
 from rallyframe.operators import pull
-from rallyframe.plans import dossier
-from rallyframe.sources import payloads, tables
+from rallyframe.plans import catalog, dossier
+from rallyframe.sources import payloads, renderings, tables
 from rallyframe.streaming import observations
 
 HEAD = "<tr>" + "".join(f"<th>{h}</th>" for h in ("Match Date", "League", "Team", "Court", "Partner", "Opponent(s)", "W/L", "Result", "Match", "Rating")) + "</tr>"
@@ -134,3 +134,32 @@ def test_images_by_name_size_and_first_bytes(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rpartition("/")[2] for r in payloads.images(spark, str(tmp_path), most_bytes=50).collect()}
     assert got == {"a.png", "b.jpg"}
+
+
+def _parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("(?is)<table")
+
+
+def test_pages_are_read_once(spark):
+    pages = spark.createDataFrame([("a", page(("6/1/2026", "L", "T", "S1", "", "A", "W", LINK, "3.5", "3.4"))), ("b", "<p>none</p>"), ("c", None)], "url string, html string")
+    rows = tables.match_history(pages)
+    assert _parses(rows) == 1 and _parses(rows.where("error IS NOT NULL")) == 1
+    assert sorted((r["url"], r["place"], r["error"]) for r in rows.collect()) == [("a", 0, None), ("b", None, "table not found"), ("c", None, "table not found")]
+
+
+def test_refusals_read_the_pages_once(spark):
+    pages = spark.createDataFrame([("a", page(("x", "L", "T", "S1", "", "A", "W", LINK, "3.5", "3.4"))), ("b", "<p>none</p>"), ("c", page())], "url string, html string")
+    refused = pull.refused_pages(tables.match_history(pages))
+    assert _parses(refused) == 1 and {r["url"]: r["errors"] for r in refused.collect()} == {"a": ["unparseable date"], "b": ["table not found"]}
+    assert _parses(catalog.QUERIES["pulled_courts"](spark, "/root/testdata/sf0.001")) == 0  # the sound rows were written once
+
+
+def test_both_renderings_are_read_once_and_not_shuffled(spark):
+    block = "<div class='container496'><table><tr><th>6/1/2026</th><th>S1</th></tr></table><a href='/teamprofile.aspx?t=1'>T</a><a href='/teamprofile.aspx?t=2'>R<br>Sec</a><a href='/matchresults.aspx?mid=77'>x</a></div>"
+    row = ("6/1/2026", "L", "T", "S1", "", "A", "W", LINK, "3.5", "3.4")
+    pages = spark.createDataFrame([("a", page(row) + block), ("b", page(row)), ("c", block + block), ("d", "")], "url string, html string")
+    agreed = renderings.agreed_history(pages)
+    plan = agreed._jdf.queryExecution().executedPlan().toString()
+    assert _parses(agreed) == 1 and "Exchange" not in plan and "Join" not in plan
+    got = {r["url"]: (r["place"], r["opponent_team"], r["error"]) for r in agreed.collect()}
+    assert got == {"a": (0, "R", None), "b": (None, None, "table has 1 matches, mobile blocks are 0"), "c": (None, None, "table has 0 matches, mobile blocks are 2")}
