@@ -167,3 +167,22 @@ def test_long_targets_are_taken_whole(spark):
     df = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, "Jo")], "request long, target string")
     got = {r["request"]: (r["route"], r["value"]) for r in identity.routed(df, {"id:": "uaid"}).collect()}
     assert got == {1: ("uaid", long[3:] + "a"), 2: ("uaid", long[3:] + "b"), 3: ("name", "Jo")}
+
+
+def test_cards_are_made_once_however_many_tables_they_change(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def on_roster(card):
+        seen.add(1)
+        return True
+
+    state = {"team_matches": spark.createDataFrame([], MATCHES), "courts": spark.createDataFrame([], COURTS), "court_players": spark.createDataFrame([], "match_id long, slot string, player_id long, side string")}
+    store = Store(spark, shared_folder(spark, "t"))
+    store.commit(state)
+    made = spark.createDataFrame([(1, 11, DAY, None, None, 1, 2, None, False, True)], CARDS)
+    courts = spark.createDataFrame([(1, "S1", "singles", "home", "6-0")], "card long, slot string, discipline string, winner_side string, score string")
+    seats = spark.createDataFrame([(1, "S1", 7, "home"), (1, "S1", 8, "visiting")], "card long, slot string, player_id long, side string").withColumn("on_roster", on_roster("card"))
+    said = cards.ingest_cards(store, made, courts, seats, spark.createDataFrame([], "event_name string, event_id int"))
+    assert [tuple(r) for r in said.collect()] == [(1, "accepted", 11)] and store.read("court_players").count() == 2
+    assert seen.value == 2
