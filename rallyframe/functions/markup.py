@@ -77,7 +77,15 @@ def skeleton(text: Column, stand_ins: list[str] | None = None) -> Column:
     for p in STRUCTURAL:
         bare = F.regexp_replace(bare, re.sub(r"^\\b", lambda _: _BEGIN, p).replace(r"\b", _END), " ")
     text = F.when(text.rlike("[0-9#]"), bare).otherwise(text)  # every run has a digit or begins with the sign of a colour
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " "), " +", " "))
+    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}_]+", " "))
+
+
+def unformatted(text: str) -> str:
+    """A text with each format character as a blank."""
+    for c in set(text):
+        if c > "\x7f" and unicodedata.category(c) == "Cf":
+            text = text.replace(c, " ")
+    return text
 
 
 def normalised(text: str) -> str:
@@ -86,7 +94,7 @@ def normalised(text: str) -> str:
         text = said
     text = unquote(text, errors="surrogateescape").encode("utf-8", "replace").decode() if "%" in text else text
     if not text.isascii():
-        text = unicodedata.normalize("NFC", "".join(" " if unicodedata.category(c) == "Cf" else c for c in text))
+        text = unicodedata.normalize("NFC", unformatted(text))
     return text
 
 
@@ -160,7 +168,12 @@ _CLOSED = {n: re.compile(p) for n, p in CLOSED.items()}
 
 
 def page_atoms(pages: DataFrame) -> DataFrame:
-    """page_id, kind, name (of the attribute), value and n (how often) of everything a page would publish (``pagescan``).
+    """page_id, kind, name (of the attribute), value and n (how often) of what ``atoms`` finds."""
+    return atoms(pages).groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))
+
+
+def atoms(pages: DataFrame) -> DataFrame:
+    """page_id, kind, name (of the attribute) and value of everything a page would publish (``pagescan``), a row for each time.
 
     Values that keep to a closed grammar say nothing and are left out. Bodies of scripts and styles are
     texts: strip them first (``strip_code``) where they are not published. A null page says nothing.
@@ -181,5 +194,4 @@ def page_atoms(pages: DataFrame) -> DataFrame:
                 text = pa.string()
                 yield pa.record_batch([rows.column("page_id").take(pa.array(ids, pa.int64())), pa.array(kinds, text), pa.array(names, text), pa.array(values, text)], names=["page_id", "kind", "name", "value"])
 
-    found = pages.select("page_id", "html").mapInArrow(scan, f"page_id {kind}, kind string, name string, value string")
-    return found.groupBy("page_id", "kind", "name", "value").agg(F.count("*").alias("n"))
+    return pages.select("page_id", "html").mapInArrow(scan, f"page_id {kind}, kind string, name string, value string")

@@ -73,7 +73,8 @@ def _choice(parts, column: str = "page_id") -> str:
 
 
 def _pages_with(s, d, parts):
-    return bind.read(s, d, "pages").withColumn("html", F.concat("html", F.get(F.array(*map(F.lit, parts)), F.col("page_id") % len(parts))))
+    """The pages with one of the parts each, dealt out by their ids: a file's few row groups would leave most cores idle. The number keeps the tasks small."""
+    return bind.read(s, d, "pages").repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "page_id").withColumn("html", F.concat("html", F.get(F.array(*map(F.lit, parts)), F.col("page_id") % len(parts))))
 
 
 @query(rf"SELECT page_id, md5(regexp_replace(regexp_replace({_STRIPPED}, 'EXAMPLE\.NET', 'CLUB.INVALID', 'g'), '(?i)example\.net', 'club.invalid', 'g') || {_choice([p[1] for p in ADDED])}) AS digest FROM pages", base=False)

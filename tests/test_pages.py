@@ -296,3 +296,27 @@ def test_shown_identities_within_reach_of_a_mark(spark):
     assert set(map(tuple, publication.displayed(pages).collect())) == want
     allowed = spark.createDataFrame([("JO DAY",)], "value string")
     assert set(map(tuple, publication.unlisted(pages, allowed).collect())) == {w for w in want if w[2].lower() != "jo day"}
+
+
+def test_characters_of_a_page_are_kept_in_runs():
+    page = "<p>Grün ist\n  J&ouml; Day</p>" + "Wörter und Wörter. " * 5000
+    chars, starts = redact.characters(page)
+    assert chars == "<p>Grün ist Jö Day</p>" + "Wörter und Wörter. " * 5000 and len(starts.firsts) == 6  # five, and the end
+    assert all(page[starts[k]] == c for k, c in enumerate(chars) if c not in "ö ") and page[starts[13] : starts[14]] == "&ouml;" and starts[len(chars)] == len(page)
+
+
+def test_every_spelling_is_found_as_before():
+    rng = random.Random(31)
+    pieces = (" ", "  ", "\n", " ", "\u200b", "\u00ad", "é", "\u0130", "\u03a3", "&#32;", "&eacute;", "&#1114112;", "%C3%A9", "%ff", "+", "Jun", "JUN", "<", "&amp;", "x", "Ж")
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        chars, starts = redact.characters(page)
+        assert redact._lowered(chars) == "".join(map(redact._lower, chars))
+        assert "  " not in chars and [starts[k] for k in range(len(chars) + 1)] == sorted({starts[k] for k in range(len(chars) + 1)}) and starts[len(chars)] == len(page)
+
+
+def test_pages_are_dealt_out_before_python(spark):
+    from rallyframe.plans import publishing
+
+    for query in (publishing.forbidden_survivors, publishing.redaction_leaks):
+        assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
