@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions import markup, redact
@@ -62,17 +62,22 @@ def marks(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def displayed(pages: DataFrame, rules: dict[str, Shown] = SHOWN, key: str = "page_id") -> DataFrame:
     """key, detector and value of what pages show: for each mark the nearest fitting text within reach, and the ids of avatars.
 
-    Marks and texts of a page are joined by the page and by their distance; a null page shows nothing.
+    Marks and texts of a page are read once and passed in order of their places; a null page shows nothing.
     """
-    found = marks(pages, key)
-    near = None
+    spots = []
     for name, r in rules.items():
-        one = found.where((F.col("kind") == "attribute") & (F.col("name") == r.name) & F.col("value").rlike(r.marked)).select(key, F.col("end").alias("__rf_from"))
-        two = found.where((F.col("kind") == "text") & (F.col("before") == r.before) & (F.col("after") == r.after) & F.col("value").rlike(r.text)).select(key, "start", F.regexp_extract("value", r.text, 1).alias("value"))
-        reach = (F.col("start") >= F.col("__rf_from")) & (F.col("start") <= F.col("__rf_from") + r.within)
-        hit = one.join(two, key).where(reach).groupBy(key, "__rf_from").agg(F.min(F.struct("start", "value")).alias("m"))
-        hit = hit.select(key, F.lit(name).alias("detector"), F.col("m.value").alias("value"))
-        near = hit if near is None else near.union(hit)
+        marked = (F.col("kind") == "attribute") & (F.col("name") == r.name) & F.col("value").rlike(r.marked)
+        text = (F.col("kind") == "text") & (F.col("before") == r.before) & (F.col("after") == r.after) & F.col("value").rlike(r.text)
+        which, reach, nothing = F.lit(name).alias("detector"), F.lit(r.within).cast("long").alias("within"), F.lit(None)
+        spots += [
+            F.when(marked, F.struct(which, F.col("end").alias("place"), reach, nothing.cast("string").alias("shown"))),
+            F.when(text, F.struct(which, F.col("start").alias("place"), nothing.cast("long").alias("within"), F.regexp_extract("value", r.text, 1).alias("shown"))),
+        ]
+    found = marks(pages, key).select(key, F.inline(F.filter(F.array(*spots), lambda x: x.isNotNull())))
+    # From the page's end to its beginning: the text passed last is the nearest behind a mark; texts go before marks at one place.
+    back = Window.partitionBy(key, "detector").orderBy(F.col("place").desc(), F.col("within").isNull().desc(), F.col("shown").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    next_ = F.last(F.when(F.col("within").isNull(), F.struct("place", "shown")), ignorenulls=True).over(back)
+    near = found.withColumn("next", next_).where(F.col("next.place") <= F.col("place") + F.col("within")).select(key, "detector", F.col("next.shown").alias("value"))
     avatars = pages.select(key, F.lit("avatar asset").alias("detector"), F.explode(F.regexp_extract_all("html", F.lit(AVATAR), 1)).alias("value"))
     return near.union(avatars).distinct()
 
@@ -85,18 +90,22 @@ def unlisted(pages: DataFrame, allowed: DataFrame, key: str = "page_id") -> Data
     return redact.unlisted(pages, allowed, key=key).union(shown)
 
 
+# What every hit of a class contains, in patterns that are quickly searched: a view without it is not searched in full.
+_HINTS = {"email": "@", "phone": r"[0-9][-. ][0-9]{4}", "street": r"[0-9]\s+[A-Z]"}
+
+
 def class_hits(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
     """key and class of what must never be published, in any view of a page: as it stands, decoded, rendered, percent-decoded."""
     kind = pages.schema[key].dataType.simpleString()
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = {name: regex.compile(p.replace(r"\pL", r"\p{L}")) for name, p in markup.CLASSES.items()}
+        patterns = {name: (re.compile(_HINTS.get(name, "")), regex.compile(p.replace(r"\pL", r"\p{L}"))) for name, p in markup.CLASSES.items()}
         for batch in batches:
             ids, classes = [], []
             for k, page in enumerate(batch.column(column).to_pylist()):
-                seen = redact.views(page or "")
-                for name, pattern in patterns.items():
-                    if any(pattern.search(view) for view in seen):
+                seen = dict.fromkeys(redact.views(page or ""))
+                for name, (hint, pattern) in patterns.items():
+                    if any(hint.search(view) and pattern.search(view) for view in seen):
                         ids.append(k)
                         classes.append(name)
             yield pa.record_batch([batch.column(key).take(pa.array(ids, pa.int64())), pa.array(classes, pa.string())], names=[key, "class"])
@@ -104,24 +113,30 @@ def class_hits(pages: DataFrame, key: str = "page_id", column: str = "html") ->
     return pages.select(key, column).mapInArrow(sweep, f"`{key}` {kind}, class string")
 
 
-def publication_check(pages: DataFrame, stand_ins: list[str], vocabulary: DataFrame, survivors: DataFrame) -> DataFrame:
+def page_skeletons(pages: DataFrame, stand_ins: list[str]) -> DataFrame:
+    """page_id, skeleton (what a vocabulary must have) and own (that of the value with its angle brackets as they are; null without any) of each atom of the pages."""
+    bare, value = F.translate("value", "<>", "  "), F.col("value")
+    return markup.atoms(pages).select("page_id", markup.skeleton(bare, stand_ins).alias("skeleton"), markup.skeleton(F.when(value.rlike("[<>]"), value), stand_ins).alias("own"))
+
+
+def publication_check(pages: DataFrame, stand_ins: list[str], vocabulary: DataFrame, survivors: DataFrame, skeletons: DataFrame | None = None) -> DataFrame:
     """page_id, stage and detail of what refuses each redacted page; pages without a row may be published.
 
     In order: a session's credential, an atom whose skeleton is not in ``vocabulary`` (skeleton), a class that must
     never be published in any view, a forbidden value (``survivors`` of the pages), an identity that is shown
-    and no stand-in. A page shows its first stage only.
+    and no stand-in. A page shows its first stage only. ``skeletons``: those of the pages (``page_skeletons``), where they are there already.
     """
     credentials = markup.session_credentials(pages).select("page_id", F.lit(1).alias("stage"), F.col("signal").alias("detail"))
-    skeletons = markup.page_atoms(pages).select("page_id", markup.skeleton(F.translate("value", "<>", "  "), stand_ins).alias("skeleton"))
-    unknown = markup.off_vocabulary(skeletons, vocabulary).select("page_id", F.lit(2).alias("stage"), F.col("skeleton").alias("detail"))
+    skeletons = page_skeletons(pages, stand_ins) if skeletons is None else skeletons
+    unknown = markup.off_vocabulary(skeletons.select("page_id", "skeleton"), vocabulary).select("page_id", F.lit(2).alias("stage"), F.col("skeleton").alias("detail"))
     classes = class_hits(pages).select("page_id", F.lit(3).alias("stage"), F.col("class").alias("detail"))
     left = survivors.select("page_id", F.lit(4).alias("stage"), F.col("value").alias("detail"))
     allowed = pages.sparkSession.createDataFrame([(s,) for s in stand_ins], "value string")
     shown = unlisted(pages, allowed).select("page_id", F.lit(5).alias("stage"), F.col("value").alias("detail"))
-    every = credentials.union(unknown).union(classes).union(left).union(shown).distinct()
-    first = every.groupBy("page_id").agg(F.min("stage").alias("stage"))
+    every = credentials.union(unknown).union(classes).union(left).union(shown)
+    every = every.withColumn("__rf_first", F.min("stage").over(Window.partitionBy("page_id"))).where("stage = __rf_first").distinct()
     names = F.array(*map(F.lit, ("credential", "vocabulary", "class", "forbidden", "shown")))
-    return every.join(first, ["page_id", "stage"]).select("page_id", F.element_at(names, F.col("stage")).alias("stage"), "detail")
+    return every.select("page_id", F.element_at(names, F.col("stage")).alias("stage"), "detail")
 
 
 def captured(pages: DataFrame, substitutions: dict[str, str], note: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rallyframe.functions import markup, publication, redact
 from rallyframe.plans import bind
 from rallyframe.plans.registry import query
+from rallyframe.sources.store import written
 
 
 def _sql_text(value: str) -> str:
@@ -185,10 +186,12 @@ def displayed_identities(s, d):
 
 @query()
 def publication_check(s, d):
-    """Redacted pages against the vocabulary of the pages with even ids."""
-    pages = redact.redacted(_pages_with(s, d, [p[0] for p in ADDED]), VALUES)
-    known = markup.page_atoms(pages.where("page_id % 2 = 0")).select(markup.skeleton(F.col("value"), ["Kestrel, Avery"]).alias("skeleton"))
-    return publication.publication_check(pages, ["Kestrel, Avery"], known, redact.survivors(pages, list(VALUES)))
+    """Redacted pages against the vocabulary of the pages with even ids. Redacted pages and their skeletons are made once and written."""
+    pages = written(redact.redacted(_pages_with(s, d, [p[0] for p in ADDED]), VALUES).select("page_id", "html"), "redacted")
+    stand_ins = ["Kestrel, Avery"]
+    skeletons = written(publication.page_skeletons(pages, stand_ins), "skeletons")
+    known = skeletons.where("page_id % 2 = 0").select(F.coalesce("own", "skeleton").alias("skeleton"))
+    return publication.publication_check(pages, stand_ins, known, redact.survivors(pages, list(VALUES)), skeletons)
 
 
 @query("SELECT page_id, 'playername' AS detector, 'jo day ' || page_id AS value FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'tennis-id', 'B7' FROM pages WHERE page_id % 3 = 2", base=False)

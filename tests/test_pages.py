@@ -320,3 +320,19 @@ def test_pages_are_dealt_out_before_python(spark):
 
     for query in (publishing.forbidden_survivors, publishing.redaction_leaks):
         assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_publication_check_redacts_and_reads_pages_once(spark):
+    from rallyframe.plans import publishing
+
+    plan = publishing.publication_check(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substitute(" not in plan and plan.count("MapInArrow") == 2  # classes; marks and texts
+
+
+def test_nearest_text_behind_a_mark(spark):
+    rows = [
+        (1, '<i data-element-name="fullName"></i><h3>Ann</h3><h3>Bea</h3>'), (1, '<i data-element-name="fullName"></i><h3>Abe</h3>'), (2, '<h3>Cat</h3><i data-element-name="fullName"></i>'),
+        (3, '<i data-element-name="fullName"></i>' * 2 + "x" * 380 + "<h3>Dan</h3>"), (4, '<i data-element-name="fullName"></i>' + "x" * 420 + "<h3>Eve</h3>"), (5, '<h2 class="playerDetailsHeader">Flo</h2><h2>Gus</h2>'), (6, None),
+    ]
+    got = sorted(map(tuple, publication.displayed(spark.createDataFrame(rows, "page_id long, html string")).collect()))
+    assert got == [(1, "displayed name", "Abe"), (3, "displayed name", "Dan"), (5, "displayed profile", "Gus")]
