@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.functions import grammar
@@ -20,10 +23,11 @@ def _roster(s, d):
     return roster.resolve_rosters(bind.memberships(s, d), bind.entries(s, d))
 
 
-def _played(s, d):
+def _played(s, d, members=None):
     """Roster players' rows, with whether their team played and stood there."""
+    members = _roster(s, d) if members is None else members
     rows = bind.match_players(s, d).select("match_id", "slot", "discipline", "player_id", "side")
-    return roster.own_team_rows(rows, bind.match_sides(s, d), _roster(s, d), HOME)
+    return roster.own_team_rows(rows, bind.match_sides(s, d), members, HOME)
 
 
 def _courts(s, d):
@@ -62,9 +66,10 @@ def _plan_slots(s, d, own=None):
     return formal.union(seen.select("team_id", "slot", "discipline", "place"))
 
 
-def _ranks(s, d):
-    members = _roster(s, d).select("team_id", "player_id")
-    last = ratings.latest(bind.ratings(s, d))
+def _ranks(s, d, members=None):
+    """Ranks of the rosters; the last ratings, which are used twice, are made once and written."""
+    members = (_roster(s, d) if members is None else members).select("team_id", "player_id")
+    last = written(ratings.latest(bind.ratings(s, d)), "latest")
     return ratings.roster_rank(members, last, ratings.choose_source(members, last, catalog.PRECEDENCE), catalog.INVERTED)
 
 
@@ -73,10 +78,11 @@ status AS (SELECT e.team_id, e.event_id, CASE WHEN s.team_id IS NULL THEN 'no ro
   coalesce(o.observed, 0) AS observed, coalesce(o.every, 0) - coalesce(o.observed, 0) AS excluded_other_team FROM entries e JOIN happenings h ON h.event_id = e.event_id LEFT JOIN sizes s ON s.team_id = e.team_id LEFT JOIN own o ON o.team_id = e.team_id)"""
 
 
-def _status(s, d, rows=None):
+def _status(s, d, rows=None, members=None):
     rows = _played(s, d) if rows is None else rows
+    members = _roster(s, d) if members is None else members
     formats = bind.events(s, d).select("event_id").join(_courts(s, d).groupBy("event_id").agg(F.count("*").alias("courts")), "event_id", "left")
-    return lineup.plan_status(bind.entries(s, d), _roster(s, d), rows.where("ours IS NOT NULL"), rows, formats)
+    return lineup.plan_status(bind.entries(s, d), members, rows.where("ours IS NOT NULL"), rows, formats)
 
 
 @query(f"{_STATUS} SELECT * FROM status")
@@ -84,13 +90,33 @@ def lineup_plan_status(s, d):
     return _status(s, d)
 
 
-def _plan(s, d, rows=None):
-    """The predicted lineups; the evidence is computed once and written."""
-    rows = written(_played(s, d), "played") if rows is None else rows
-    own, able = rows.where("ours IS NOT NULL"), _status(s, d, rows).where("status = 'predicted'").select("team_id")
-    slots = written(_plan_slots(s, d, own).join(able, "team_id", "leftsemi"), "slots")
-    ranks = written(_ranks(s, d).join(able, "team_id", "leftsemi"), "ranks")
-    return lineup.predicted_lineup(slots, ranks, lineup.own_singles(own), lineup.own_pairs(own)).withColumn("confidence", records.confidence(F.col("support")))
+class Evidence(NamedTuple):
+    """What lineups rest on, each computed once and written: rosters, their players' rows, status of the entries, and slots and ranks of the teams that can be predicted."""
+
+    members: DataFrame
+    rows: DataFrame
+    status: DataFrame
+    slots: DataFrame
+    ranks: DataFrame
+
+    @property
+    def own(self) -> DataFrame:
+        return self.rows.where("ours IS NOT NULL")
+
+
+def _evidence(s, d) -> Evidence:
+    members = written(_roster(s, d), "members")
+    rows = written(_played(s, d, members), "played")
+    status = written(_status(s, d, rows, members), "status")
+    able = status.where("status = 'predicted'").select("team_id")
+    slots = written(_plan_slots(s, d, rows.where("ours IS NOT NULL")).join(able, "team_id", "leftsemi"), "slots")
+    return Evidence(members, rows, status, slots, written(_ranks(s, d, members).join(able, "team_id", "leftsemi"), "ranks"))
+
+
+def _plan(s, d, evidence=None):
+    """The predicted lineups."""
+    e = _evidence(s, d) if evidence is None else evidence
+    return lineup.predicted_lineup(e.slots, e.ranks, lineup.own_singles(e.own), lineup.own_pairs(e.own)).withColumn("confidence", records.confidence(F.col("support")))
 
 
 @query()
@@ -100,8 +126,8 @@ def predicted_lineup(s, d):
 
 @query()
 def lineup_unplaced(s, d):
-    rows = written(_played(s, d), "played")
-    return lineup.unplaced(_plan(s, d, rows), _roster(s, d).select("team_id", "player_id"), rows.where("ours IS NOT NULL"))
+    e = _evidence(s, d)
+    return lineup.unplaced(_plan(s, d, e), e.members.select("team_id", "player_id"), e.own)
 
 
 # The singles courts of a plan in SQL: the players in order of singles matches, rank and id.

@@ -73,14 +73,13 @@ def backfilled_genders(s, d):
 @query()
 def lineup_texts(s, d):
     """The predicted lineup of each team as it is printed."""
-    rows = written(lineups._played(s, d), "played")
-    own = rows.where("ours IS NOT NULL")
-    predicted = written(lineups._plan(s, d, rows).join(lineups._plan_slots(s, d, own).select("team_id", "slot", "place"), ["team_id", "slot"]), "predicted")
-    status = lineups._status(s, d, rows).join(bind.events(s, d).select("event_id", "event_name"), "event_id")
-    unplaced = lineup.unplaced(predicted, lineups._roster(s, d).select("team_id", "player_id"), own)
+    e = lineups._evidence(s, d)
+    predicted = written(lineups._plan(s, d, e).join(e.slots.select("team_id", "slot", "place"), ["team_id", "slot"]), "predicted")
+    status = e.status.join(bind.events(s, d).select("event_id", "event_name"), "event_id")
+    unplaced = lineup.unplaced(predicted, e.members.select("team_id", "player_id"), e.own)
     current = bind.memberships(s, d).where("NOT retired")
     sizes = current.groupBy("team_id").agg(F.count("event_id").alias("registered"), F.count(F.when(F.col("event_id").isNull(), 1)).alias("season"))
-    return printed.lineup_texts(predicted, bind.teams(s, d), bind.players(s, d), status, unplaced, lineups._ranks(s, d), sizes)
+    return printed.lineup_texts(predicted, bind.teams(s, d), bind.players(s, d), status, unplaced, e.ranks, sizes)
 
 
 _SCOPES = (

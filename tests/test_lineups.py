@@ -193,3 +193,14 @@ def test_what_a_group_is_given_is_bounded_by_its_courts(spark):
     kept_ranks, _, kept = lineup._reachable(slot_rows, ranks, singles, pairs)
     assert kept_ranks.count() < n and kept.count() < pairs.count() / 2
     assert len(lineup.first_pairs(pairs.groupBy("team_id", "low_id", "high_id").agg({"matches": "sum"}).withColumnRenamed("sum(matches)", "m"), ["team_id"], ["m"], 1).collect()) <= 3
+
+
+def test_evidence_of_printed_lineups_is_made_once(spark, monkeypatch):
+    from rallyframe.plans import texts
+
+    calls = []
+    for name in ("_roster", "_played", "_status", "_plan_slots", "_ranks"):
+        made = getattr(lineups, name)
+        monkeypatch.setattr(lineups, name, lambda *a, _f=made, _n=name: calls.append(_n) or _f(*a))
+    texts.lineup_texts(spark, SF)
+    assert sorted(calls) == ["_plan_slots", "_played", "_ranks", "_roster", "_status"]
