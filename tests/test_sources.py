@@ -9,6 +9,7 @@ from rallyframe.plans import catalog, dossier
 from rallyframe.sources import payloads, renderings, tables
 from rallyframe.streaming import observations
 
+SMALL = "/root/testdata/sf0.001"
 HEAD = "<tr>" + "".join(f"<th>{h}</th>" for h in ("Match Date", "League", "Team", "Court", "Partner", "Opponent(s)", "W/L", "Result", "Match", "Rating")) + "</tr>"
 
 
@@ -163,3 +164,14 @@ def test_both_renderings_are_read_once_and_not_shuffled(spark):
     assert _parses(agreed) == 1 and "Exchange" not in plan and "Join" not in plan
     got = {r["url"]: (r["place"], r["opponent_team"], r["error"]) for r in agreed.collect()}
     assert got == {"a": (0, "R", None), "b": (None, None, "table has 1 matches, mobile blocks are 0"), "c": (None, None, "table has 0 matches, mobile blocks are 2")}
+
+
+def _sound_rows(spark):
+    """url and id of each row of all histories that breaks no rule, and whether it is a default."""
+    return {(r["url"], r["source_match_id"]): r["defaulted"] for r in catalog.QUERIES["match_history_rows"](spark, SMALL).where("error IS NULL").collect()}
+
+
+def test_pulled_courts_has_every_sound_row(spark):
+    sound = _sound_rows(spark)
+    got = catalog.QUERIES["pulled_courts"](spark, SMALL).collect()
+    assert sorted((r["url"], r["source_match_id"]) for r in got) == sorted(sound) and {k[1][-1] for k in sound} == set("0123456789")
