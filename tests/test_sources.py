@@ -175,3 +175,15 @@ def test_pulled_courts_has_every_sound_row(spark):
     sound = _sound_rows(spark)
     got = catalog.QUERIES["pulled_courts"](spark, SMALL).collect()
     assert sorted((r["url"], r["source_match_id"]) for r in got) == sorted(sound) and {k[1][-1] for k in sound} == set("0123456789")
+
+
+def test_pulled_participants_has_everyone_of_every_sound_row(spark):
+    sound = _sound_rows(spark)
+    seats = {}
+    for r in catalog.QUERIES["pulled_participants"](spark, SMALL).collect():
+        seats.setdefault((r["url"], r["source_match_id"]), []).append((r["slot"][0], r["side"]))
+    assert set(seats) == set(sound)
+    for row, there in seats.items():
+        slot = there[0][0]
+        others = [] if sound[row] else ["visiting"] if slot == "S" else ["home", "visiting", "visiting"]
+        assert sorted(side for _, side in there) == sorted(["home", *others])
